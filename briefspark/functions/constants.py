@@ -134,15 +134,15 @@ RESUME_HEADER = (
     'everything under "Verbatim" as fixed and exact. Start from "Now".'
 )
 RESUME_FOOTER = "That is the full current state. Continue from here."
-#: section number -> (name of the table, heading, separator between items)
+#: section -> (heading, separator between items)
 SECTIONS = {
-    1: ("now", "Now", ""),
-    2: ("decided", "Decided", "\n"),
-    3: ("open", "Open", "\n"),
-    4: ("rejected", "Rejected (and why)", "\n"),
-    5: ("verbatim", "Verbatim, keep exact", "\n\n"),
-    6: ("files", "Bring these for full context", "\n"),
-    7: ("unknown", "Raw, could not parse (review these)", "\n"),
+    "now": ("Now", ""),
+    "decided": ("Decided", "\n"),
+    "open": ("Open", "\n"),
+    "rejected": ("Rejected (and why)", "\n"),
+    "verbatim": ("Verbatim, keep exact", "\n\n"),
+    "files": ("Bring these for full context", "\n"),
+    "unknown": ("Raw, could not parse (review these)", "\n"),
 }
 NOTE_NO_CHUNK = "No chunk produced parseable JSON; fell back to deterministic extraction."
 NOTE_NO_OBJECT = "No JSON object found in model output."

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.operators.lineage import collapse_lineage
-from briefspark.operators.ordered import assemble, block_of, running
+from briefspark.operators.ordered import Rule, assemble, block_of, running
 
 BLOCK_CHUNKS = 1024
 UNIT_ORDER = ["src", "ordinal"]
@@ -61,19 +61,13 @@ def transcript_units(
     )
 
 
+RULES = {0: Rule(sep="\n\n"), 1: Rule(sep="\n\n", lead="\n\n")}
+
+
 def render_transcript(units: DataFrame) -> DataFrame:
     """Units joined by a blank line -> (conv_key, part, text)."""
-    first = units.groupBy("conv_key").agg(F.min(F.struct(*UNIT_ORDER)).alias("f")).select(
-        "conv_key", "f.src", "f.ordinal", F.lit("").alias("__sep")
-    )
-    led = units.join(first, ["conv_key", *UNIT_ORDER], "left").select(
-        "conv_key",
-        *UNIT_ORDER,
-        F.concat(F.coalesce("__sep", F.lit("\n\n")), "text").alias("text"),
-    )
-    return assemble(
-        led.withColumn("__block", block_of("ordinal")), ["conv_key"], ["src", "__block"], ["ordinal"], "text"
-    )
+    coded = units.select("conv_key", F.col("src").alias("code"), "src", "ordinal", F.lit(0).alias("pos"), "text")
+    return assemble(coded, RULES)
 
 
 def transcript_chars(units: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.operators.chunk import transcript_chars
-from briefspark.operators.render import Brief, human_units
+from briefspark.operators.render import Brief, brief_chars
 
 
 def brief_metrics(units: DataFrame, brief: Brief, brand: str = "briefspark") -> DataFrame:
@@ -19,9 +19,7 @@ def brief_metrics(units: DataFrame, brief: Brief, brand: str = "briefspark") ->
     Lengths are summed over text units; neither text is built.
     """
     full = transcript_chars(units)
-    short = (
-        human_units(brief, brand).groupBy("conv_key").agg(F.sum(F.length("text")).cast("bigint").alias("brief_chars"))
-    )
+    short = brief_chars(brief, brand)
     tables = {"decided": brief.decided, "open": brief.open, "rejected": brief.rejected, "verbatim": brief.verbatim, "files": brief.files}
     marks = reduce(
         DataFrame.unionByName,

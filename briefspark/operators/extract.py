@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.operators.ordered import (
+    Rule,
     assemble,
     block_of,
     first_wins,
@@ -35,20 +36,58 @@ FILES = ["conv_key", "src", "ordinal", "pos", "name", "why", "source"]
 # order of the sources in the brief
 SRC_TABLE_MESSAGE, SRC_TABLE_ARTIFACT, SRC_IMAGE, SRC_FORMULA = 0, 1, 2, 3
 SRC_ARTIFACT_CODE, SRC_FENCE, SRC_URL, SRC_ENDPOINT = 4, 5, 6, 7
-LAST_SRC = 1 << 20
 SRC_FILE_ARTIFACT, SRC_FILE_GENERATED, SRC_FILE_UPLOAD, SRC_FILE_REFERENCED = 0, 1, 2, 3
 
 
-def _verbatim(df: DataFrame, src: int, kind: str, label: Column, value: Column, language=None) -> DataFrame:
-    return df.select(
-        "conv_key",
-        F.lit(src).alias("src"),
-        F.col("ordinal").cast("bigint").alias("ordinal"),
-        F.col("pos").cast("bigint").alias("pos"),
+FACT = "array<struct<src:int,pos:int,kind:string,label:string,value:string,language:string,key:string>>"
+CHAT_FILE, MENTIONED_FILE = "chat file", "mentioned file"
+
+
+def fact(src: int, pos, kind: str, label, value, language=None, key=None) -> Column:
+    """One found fact; ``key`` is what two equal facts share (value by default)."""
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.struct(
+        F.lit(src).cast("int").alias("src"),
+        pos.cast("int").alias("pos"),
         F.lit(kind).alias("kind"),
-        label.alias("label"),
+        text(label).alias("label"),
         value.alias("value"),
         (F.lit(None).cast("string") if language is None else language).alias("language"),
+        (value if key is None else key).alias("key"),
+    )
+
+
+def facts_in(messages: DataFrame, *finders, text: str = "text") -> DataFrame:
+    """All facts of the texts in one pass over the table.
+
+    (conv_key, ordinal, src, pos, kind, label, value, language, key)
+    """
+    c = F.col(text)
+    found = finders[0](c) if len(finders) == 1 else F.concat(*[F.coalesce(f(c), F.array().cast(FACT)) for f in finders])
+    return messages.select(
+        "conv_key", F.col("ordinal").cast("bigint").alias("ordinal"), F.inline(found)
+    )
+
+
+def first_facts(facts: DataFrame) -> DataFrame:
+    """First of each (kind, key) of a conversation; equal to removing repeats per
+    source and then over all sources, since sources of one kind share the key."""
+    return first_wins(facts, ["conv_key", "kind", "key"], ["src", "ordinal", "pos"])
+
+
+def as_verbatim(facts: DataFrame) -> DataFrame:
+    return facts.filter(~F.col("kind").isin(CHAT_FILE, MENTIONED_FILE)).select(*VERBATIM)
+
+
+def as_files(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("kind").isin(CHAT_FILE, MENTIONED_FILE)).select(
+        "conv_key",
+        "src",
+        "ordinal",
+        "pos",
+        F.col("value").alias("name"),
+        F.col("label").alias("why"),
+        F.when(F.col("kind") == CHAT_FILE, F.lit("chat")).otherwise(F.lit("referenced")).alias("source"),
     )
 
 
@@ -57,7 +96,7 @@ def _files(df: DataFrame, src: int, name: Column, why: Column, source: str) -> D
         "conv_key",
         F.lit(src).alias("src"),
         F.col("ordinal").cast("bigint").alias("ordinal"),
-        F.col("pos").cast("bigint").alias("pos"),
+        F.col("pos").cast("int").alias("pos"),
         name.alias("name"),
         why.alias("why"),
         F.lit(source).alias("source"),
@@ -90,34 +129,27 @@ def markdown_tables(text: Column) -> Column:
 
 
 def extract_tables(messages: DataFrame, text: str = "text") -> DataFrame:
-    found = messages.filter(F.contains(F.col(text), F.lit("|"))).select(
+    return messages.filter(F.contains(F.col(text), F.lit("|"))).select(
         "conv_key", "ordinal", F.posexplode(markdown_tables(F.col(text))).alias("pos", "table")
     )
-    return found
 
 
-def tables_verbatim(messages: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
-    parts = [
-        _verbatim(
-            extract_tables(messages), SRC_TABLE_MESSAGE, "table", F.lit("table"), F.col("table")
+def table_facts(src: int = SRC_TABLE_MESSAGE):
+    def find(text: Column) -> Column:
+        tables = F.when(F.contains(text, F.lit("|")), markdown_tables(text))
+        return F.filter(
+            F.transform(tables, lambda t, i: fact(src, i, "table", "table", t, key=T.drop_blanks(t))),
+            lambda f: F.length(f["key"]) >= K.TABLE_KEY_MIN,
         )
-    ]
+
+    return find
+
+
+def tables_verbatim(messages: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    found = facts_in(messages, table_facts())
     if artifacts is not None:
-        parts.append(
-            _verbatim(
-                extract_tables(artifacts, "content"),
-                SRC_TABLE_ARTIFACT,
-                "table",
-                F.lit("table"),
-                F.col("table"),
-            )
-        )
-    keyed = (
-        reduce(DataFrame.unionByName, parts)
-        .withColumn("key", T.drop_blanks(F.col("value")))
-        .filter(F.length("key") >= K.TABLE_KEY_MIN)
-    )
-    return first_wins(keyed, ["conv_key", "key"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+        found = found.unionByName(facts_in(artifacts, table_facts(SRC_TABLE_ARTIFACT), text="content"))
+    return first_facts(found).select(*VERBATIM)
 
 
 def table_cells(tables: DataFrame, table: str = "table") -> DataFrame:
@@ -149,197 +181,194 @@ def table_cells(tables: DataFrame, table: str = "table") -> DataFrame:
 # -- images ---------------------------------------------------------------------
 
 
-def latest_images(messages: DataFrame) -> DataFrame:
-    """Subjects of the last message that shows any image."""
+def image_facts(messages: DataFrame) -> DataFrame:
     shown = messages.filter(F.size("images") > 0).select("conv_key", "ordinal", "images")
     last = last_wins(shown, ["conv_key"], ["ordinal"])
-    items = last.select("conv_key", "ordinal", F.posexplode("images").alias("pos", "subject"))
-    trimmed = T.js_trim(F.col("subject"))
-    value = F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("image"))
-    keyed = _verbatim(items, SRC_IMAGE, "image", F.lit("image shown"), value).withColumn(
-        "key", F.lower("value")
+    value = lambda x: F.coalesce(F.nullif(T.js_trim(x), F.lit("")), F.lit("image"))
+    return last.select(
+        "conv_key",
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        F.inline(
+            F.transform(
+                "images", lambda x, i: fact(SRC_IMAGE, i, "image", "image shown", value(x), key=F.lower(value(x)))
+            )
+        ),
     )
-    return first_wins(keyed, ["conv_key", "key"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+
+
+def latest_images(messages: DataFrame) -> DataFrame:
+    """Subjects of the last message that shows any image."""
+    return first_facts(image_facts(messages)).select(*VERBATIM)
 
 
 # -- patterns that may run over the border between two messages -------------------
+#
+# The conversation text is its messages joined by a line break, and formulas and
+# endpoints may hold blanks, so a match can begin in one message and end in a later
+# one.  Texts are never joined for that: each message is matched on its own, and
+# only the few characters at its ends that could take part travel to the neighbour.
 
+_RUN = rf"[A-Z0-9$=+*/{K.BLANK}-]"  # what a formula is made of
+_ENDS = rf"(?:{K.CELL}|[-+*/=])[{K.BLANK}]*\z"
+_STARTS = rf"^[{K.BLANK}]*(?:\$?{K.CELL}|[-+*/=])"
+_TAIL = rf"(?s)(.?{_RUN}+)\z"
+_HEAD = rf"^{_RUN}+"
 
-def _with_text(messages: DataFrame) -> DataFrame:
-    return messages.filter(T.has_text(F.col("text")))
 
+def _core(text: Column) -> Column:
+    """The text without the ends that are matched together with the neighbours."""
+    cut = F.when(text.rlike(_ENDS), F.regexp_replace(text, rf"{_RUN}++\z", "")).otherwise(text)
+    return F.when(text.rlike(_STARTS), F.regexp_replace(cut, rf"{_HEAD}", "")).otherwise(cut)
 
-def formulas(messages: DataFrame) -> DataFrame:
-    """Cell formulas of the conversation text, blanks removed, first of each.
 
-    Messages are matched one by one.  Only where the end of a message and the
-    start of the next one can belong to the same formula are the neighbours
-    joined and matched together; their own matches are then replaced.
-    """
-    rows = _with_text(messages).select("conv_key", "ordinal", "text")
-    cell_end = rf"[A-Z]{{1,3}}\$?[0-9]{{1,4}}[{K.BLANK}]*\z"
-    sign_end = rf"[-+*/=][{K.BLANK}]*\z"
-    edges = rows.select(
+def formula_facts(text: Column) -> Column:
+    """Formulas inside one message, away from its borders."""
+    hits = F.when(F.contains(text, F.lit("=")), T.find_all(_core(text), K.FORMULA))
+    return F.transform(
+        hits, lambda h, i: fact(SRC_FORMULA, i + 2**20, "constraint", "formula", T.drop_blanks(h))
+    )
+
+
+def endpoint_facts(text: Column) -> Column:
+    hits = F.when(F.contains(text, F.lit("/")), T.find_all(text, K.ENDPOINT))
+    part = lambda h, n: F.regexp_extract(h, K.edged(K.ENDPOINT), n)
+    return F.transform(
+        hits, lambda h, i: fact(SRC_ENDPOINT, i, "api", "endpoint", F.concat_ws(" ", part(h, 1), part(h, 2)))
+    )
+
+
+def borders(messages: DataFrame) -> DataFrame:
+    """The ends of each non-blank message and those of the one before it."""
+    text = F.col("text")
+    tail_verb = K.edged(rf"\b({K.VERBS})[{K.BLANK}]*\z")
+    left_over = T.replace_pattern(text, K.ENDPOINT, " ")
+    edges = messages.filter(T.has_text(text)).select(
         "conv_key",
-        "ordinal",
-        F.col("text").rlike(cell_end).alias("ends_cell"),
-        F.col("text").rlike(sign_end).alias("ends_sign"),
-        F.col("text").rlike(rf"^[{K.BLANK}]*\$?{K.CELL}").alias("starts_cell"),
-        F.col("text").rlike(rf"^[{K.BLANK}]*[-+*/=][{K.BLANK}]*(\$?{K.CELL}|\z)").alias("starts_sign"),
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        F.when(text.rlike(_STARTS), F.regexp_extract(text, _HEAD, 0)).alias("head"),
+        F.when(text.rlike(_ENDS), F.regexp_extract(text, _TAIL, 1)).alias("tail"),
+        (~text.rlike(rf"[^A-Z0-9$=+*/{K.BLANK}-]")).alias("whole"),
+        F.when(
+            text.rlike(rf"(?:{K.VERBS})[{K.BLANK}]*\z"), F.nullif(F.regexp_extract(left_over, tail_verb, 1), F.lit(""))
+        ).alias("verb"),
+        F.nullif(F.regexp_extract(text, rf"^[{K.BLANK}]*(/[^{K.BLANK}{K.URL_STOP}]+)", 1), F.lit("")).alias("path"),
     )
-    linked = previous(edges, ["conv_key"], "ordinal", ["ends_cell", "ends_sign"]).select(
+    return previous(edges, ["conv_key"], "ordinal")
+
+
+def border_endpoints(linked: DataFrame) -> DataFrame:
+    return linked.filter(F.col("path").isNotNull() & F.col("prev.verb").isNotNull()).select(
         "conv_key",
-        "ordinal",
-        F.coalesce(
-            (F.col("prev.ends_cell") & F.col("starts_sign"))
-            | (F.col("prev.ends_sign") & F.col("starts_cell")),
-            F.lit(False),
-        ).alias("joins"),
-        F.col("prev.ordinal").alias("prev_ordinal"),
-    )
-    joins = linked.filter("joins")
-    members = (
-        joins.select("conv_key", F.col("prev_ordinal").alias("ordinal"), F.lit(False).alias("joins"))
-        .unionByName(joins.select("conv_key", "ordinal", "joins"))
-        .groupBy("conv_key", "ordinal")
-        .agg(F.max("joins").alias("joins"))
+        F.col("prev.ordinal").alias("ordinal"),
+        F.inline(
+            F.array(
+                fact(SRC_ENDPOINT, F.lit(2**31 - 1), "api", "endpoint", F.concat_ws(" ", "prev.verb", "path"))
+            )
+        ),
     )
+
+
+def border_formulas(linked: DataFrame) -> DataFrame:
+    """Formulas at the ends of messages, joined with the neighbour's end."""
+    edge = linked.filter(F.col("head").isNotNull() | F.col("tail").isNotNull())
+    piece = lambda sub, text, joins: F.struct(
+        F.lit(sub).alias("sub"), text.alias("piece"), joins.alias("joins")
+    )
+    meets = F.coalesce(F.col("head").isNotNull() & F.col("prev.tail").isNotNull(), F.lit(False))
+    whole = F.array(piece(0, F.coalesce("head", "tail"), meets))
+    ends = F.filter(
+        F.array(piece(0, F.col("head"), meets), piece(1, F.col("tail"), F.lit(False))),
+        lambda p: p["piece"].isNotNull(),
+    )
+    pieces = edge.select(
+        "conv_key", "ordinal", F.inline(F.when(F.col("whole"), whole).otherwise(ends))
+    ).withColumn("__block", block_of("ordinal"))
+    at = F.col("ordinal") * 2 + F.col("sub")
     chained = running(
-        members.withColumn("__block", block_of("ordinal")),
-        ["conv_key"],
-        ["__block"],
-        ["ordinal"],
-        maxima={"chain": F.when(~F.col("joins"), F.col("ordinal"))},
-    ).select("conv_key", "ordinal", "chain")
-    together = (
-        rows.join(chained, ["conv_key", "ordinal"])
-        .groupBy("conv_key", "chain")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("m"))
-        .select(
-            "conv_key",
-            F.col("chain").alias("ordinal"),
-            F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"),
-        )
+        pieces, ["conv_key"], ["__block"], ["ordinal", "sub"], maxima={"chain": F.when(~F.col("joins"), at)}
+    )
+    joined = chained.groupBy("conv_key", "chain").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "sub", "piece"))).alias("p")
+    )
+    text = F.array_join(F.transform("p", lambda x: x["piece"]), "\n")
+    hits = F.when(F.contains(text, F.lit("=")), T.find_all(text, K.FORMULA))
+    late = (F.col("chain") % 2) * 2**30
+    return joined.select(
+        "conv_key",
+        F.floor(F.col("chain") / 2).cast("bigint").alias("ordinal"),
+        F.inline(
+            F.transform(
+                hits, lambda h, i: fact(SRC_FORMULA, i + late, "constraint", "formula", T.drop_blanks(h))
+            )
+        ),
     )
 
-    def found(df: DataFrame) -> DataFrame:
-        return df.filter(F.contains(F.col("text"), F.lit("="))).select(
-            "conv_key", "ordinal", F.posexplode(T.find_all(F.col("text"), K.FORMULA)).alias("pos", "hit")
-        )
 
-    alone = found(rows).join(members.select("conv_key", "ordinal"), ["conv_key", "ordinal"], "left_anti")
-    items = _verbatim(
-        alone.unionByName(found(together)),
-        SRC_FORMULA,
-        "constraint",
-        F.lit("formula"),
-        T.drop_blanks(F.col("hit")),
-    )
-    return first_wins(items, ["conv_key", "value"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+def formulas(messages: DataFrame) -> DataFrame:
+    """Cell formulas of the conversation text, blanks removed, first of each."""
+    found = facts_in(messages, formula_facts).unionByName(border_formulas(borders(messages)))
+    return first_facts(found).select(*VERBATIM)
 
 
 def endpoints(messages: DataFrame) -> DataFrame:
     """VERB /path mentions; the verb may end one message and the path start the next."""
-    rows = _with_text(messages).select("conv_key", "ordinal", "text")
-    inside = rows.select(
-        "conv_key", "ordinal", F.posexplode(T.find_all(F.col("text"), K.ENDPOINT)).alias("pos", "hit")
-    ).select(
-        "conv_key",
-        "ordinal",
-        "pos",
-        F.regexp_extract("hit", K.edged(K.ENDPOINT), 1).alias("verb"),
-        F.regexp_extract("hit", K.edged(K.ENDPOINT), 2).alias("path"),
+    found = facts_in(messages, endpoint_facts).unionByName(border_endpoints(borders(messages)))
+    return first_facts(found).select(*VERBATIM)
+
+
+# -- patterns without blanks: one message at a time --------------------------------
+
+
+def fence_facts(text: Column) -> Column:
+    fenced = F.when(
+        F.contains(text, F.lit("```")),
+        F.arrays_zip(T.find_all(text, K.FENCE, 1).alias("lang"), T.find_all(text, K.FENCE, 2).alias("body")),
     )
-    tail_verb = K.edged(rf"\b({K.VERBS})[{K.BLANK}]*\z")
-    left_over = T.replace_pattern(F.col("text"), K.ENDPOINT, " ")
-    edges = rows.select(
-        "conv_key",
-        "ordinal",
-        F.when(
-            F.col("text").rlike(rf"(?:{K.VERBS})[{K.BLANK}]*\z"),
-            F.regexp_extract(left_over, tail_verb, 1),
-        ).otherwise(F.lit("")).alias("tail"),
-        F.regexp_extract("text", rf"^[{K.BLANK}]*(/[^{K.BLANK}{K.URL_STOP}]+)", 1).alias("head"),
-    )
-    across = (
-        previous(edges, ["conv_key"], "ordinal", ["tail"])
-        .filter((F.col("head") != "") & (F.col("prev.tail") != ""))
-        .select(
-            "conv_key",
-            F.col("prev.ordinal").alias("ordinal"),
-            F.lit(2**31 - 1).alias("pos"),
-            F.col("prev.tail").alias("verb"),
-            F.col("head").alias("path"),
-        )
+    label = lambda f: F.when(f["lang"] != "", F.concat(f["lang"], F.lit(" snippet"))).otherwise(F.lit("code snippet"))
+    found = F.transform(
+        fenced,
+        lambda f, i: fact(SRC_FENCE, i, "code", label(f), T.js_trim(f["body"]), F.nullif(f["lang"], F.lit(""))),
     )
-    items = _verbatim(
-        inside.unionByName(across),
-        SRC_ENDPOINT,
-        "api",
-        F.lit("endpoint"),
-        F.concat_ws(" ", "verb", "path"),
+    return F.filter(found, lambda f: F.length(f["value"]).between(K.FENCED_CODE_MIN, K.INLINE_CODE_MAX))
+
+
+def url_facts(text: Column) -> Column:
+    hits = F.when(F.contains(text, F.lit("://")), T.find_all(text, K.URL))
+    return F.transform(hits, lambda u, i: fact(SRC_URL, i, "api", "url", u))
+
+
+def generated_facts(text: Column) -> Column:
+    hits = F.when(F.contains(text, F.lit("/mnt/data/")), T.find_all(text, K.SANDBOX_FILE, 1))
+    name = lambda p: T.basename_of(p)
+    found = F.transform(
+        hits, lambda p, i: fact(SRC_FILE_GENERATED, i, CHAT_FILE, K.WHY_GENERATED, name(p), key=F.lower(name(p)))
     )
-    return first_wins(items, ["conv_key", "value"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+    return F.filter(found, lambda f: f["value"] != "")
 
 
-# -- patterns without blanks: one message at a time --------------------------------
+def mentioned_facts(text: Column) -> Column:
+    hits = F.when(F.contains(text, F.lit(".")), T.find_all(text, K.FILENAME, 1))
+    found = F.transform(
+        hits, lambda p, i: fact(SRC_FILE_REFERENCED, i, MENTIONED_FILE, K.WHY_REFERENCED, p, key=T.stem_of(p))
+    )
+    return F.filter(found, lambda f: ~T.is_sandbox_path(f["value"]) & ~T.looks_like_url(f["value"]))
 
 
 def fenced_code(messages: DataFrame) -> DataFrame:
-    fenced = messages.filter(F.contains(F.col("text"), F.lit("```"))).select(
-        "conv_key",
-        "ordinal",
-        F.posexplode(
-            F.arrays_zip(
-                T.find_all(F.col("text"), K.FENCE, 1).alias("lang"),
-                T.find_all(F.col("text"), K.FENCE, 2).alias("body"),
-            )
-        ).alias("pos", "f"),
-    )
-    items = _verbatim(
-        fenced,
-        SRC_FENCE,
-        "code",
-        F.when(F.col("f.lang") != "", F.concat("f.lang", F.lit(" snippet"))).otherwise(F.lit("code snippet")),
-        T.js_trim(F.col("f.body")),
-        F.nullif(F.col("f.lang"), F.lit("")),
-    ).filter(F.length("value").between(K.FENCED_CODE_MIN, K.INLINE_CODE_MAX))
-    return first_wins(items, ["conv_key", "value"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+    return first_facts(facts_in(messages, fence_facts)).select(*VERBATIM)
 
 
 def urls(messages: DataFrame) -> DataFrame:
-    found = messages.filter(F.contains(F.col("text"), F.lit("://"))).select(
-        "conv_key", "ordinal", F.posexplode(T.find_all(F.col("text"), K.URL)).alias("pos", "url")
-    )
-    items = _verbatim(found, SRC_URL, "api", F.lit("url"), F.col("url"))
-    return first_wins(items, ["conv_key", "value"], ["src", "ordinal", "pos"]).select(*VERBATIM)
+    return first_facts(facts_in(messages, url_facts)).select(*VERBATIM)
 
 
 def generated_files(messages: DataFrame) -> DataFrame:
-    found = messages.filter(F.contains(F.col("text"), F.lit("/mnt/data/"))).select(
-        "conv_key", "ordinal", F.posexplode(T.find_all(F.col("text"), K.SANDBOX_FILE, 1)).alias("pos", "path")
-    )
-    items = (
-        _files(found, SRC_FILE_GENERATED, T.basename_of(F.col("path")), F.lit(K.WHY_GENERATED), "chat")
-        .filter(F.col("name") != "")
-        .withColumn("key", F.lower("name"))
-    )
-    return first_wins(items, ["conv_key", "key"], ["src", "ordinal", "pos"]).select(*FILES)
+    return as_files(first_facts(facts_in(messages, generated_facts)))
 
 
-def referenced_files(
-    messages: DataFrame, artifacts: DataFrame | None = None, cap: int | None = K.REFERENCE_CAP
-) -> DataFrame:
-    """Filenames mentioned but not produced, first mention per stem, first ``cap``."""
-    found = messages.filter(F.contains(F.col("text"), F.lit("."))).select(
-        "conv_key", "ordinal", F.posexplode(T.find_all(F.col("text"), K.FILENAME, 1)).alias("pos", "path")
-    )
-    named = (
-        _files(found, SRC_FILE_REFERENCED, F.col("path"), F.lit(K.WHY_REFERENCED), "referenced")
-        .filter(~T.is_sandbox_path(F.col("name")) & ~T.looks_like_url(F.col("name")))
-        .withColumn("key", T.stem_of(F.col("name")))
-    )
-    firsts = first_wins(named, ["conv_key", "key"], ["src", "ordinal", "pos"])
+def first_mentions(facts: DataFrame, artifacts: DataFrame | None, cap: int | None) -> DataFrame:
+    """First ``cap`` mentioned files of a conversation that no artifact is named after."""
+    firsts = facts.filter(F.col("kind") == MENTIONED_FILE)
     if artifacts is not None:
         produced = (
             artifacts.filter(F.coalesce("filename", F.lit("")) != "")
@@ -352,42 +381,84 @@ def referenced_files(
         # row_number() <= cap is limited on the map side, before the exchange
         rank = F.row_number().over(Window.partitionBy("conv_key").orderBy("ordinal", "pos"))
         firsts = firsts.withColumn("__rank", rank).filter(F.col("__rank") <= cap)
-    return firsts.select(*FILES)
+    return as_files(firsts)
+
+
+def referenced_files(
+    messages: DataFrame, artifacts: DataFrame | None = None, cap: int | None = K.REFERENCE_CAP
+) -> DataFrame:
+    """Filenames mentioned but not produced, first mention per stem, first ``cap``."""
+    return first_mentions(first_facts(facts_in(messages, mentioned_facts)), artifacts, cap)
+
+
+def conversation_facts(
+    messages: DataFrame, artifacts: DataFrame | None = None, images: bool = True
+) -> DataFrame:
+    """Every fact of the conversations, in one pass over the messages.
+
+    One exchange on (conversation, kind, key) then keeps the first of each.
+    """
+    linked = borders(messages)
+    found = (
+        facts_in(
+            messages,
+            table_facts(),
+            formula_facts,
+            fence_facts,
+            url_facts,
+            endpoint_facts,
+            generated_facts,
+            mentioned_facts,
+        )
+        .unionByName(border_formulas(linked))
+        .unionByName(border_endpoints(linked))
+    )
+    if images:
+        found = found.unionByName(image_facts(messages))
+    if artifacts is not None:
+        found = found.unionByName(facts_in(artifacts, table_facts(SRC_TABLE_ARTIFACT), text="content")).unionByName(
+            inline_facts(artifacts)
+        )
+    return first_facts(found)
 
 
 # -- artifacts, files, the state line -----------------------------------------------
 
 
-def split_artifacts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Small code goes inline, everything delivered or long becomes a file."""
-    a = artifacts.withColumn("pos", F.lit(0))
-    binary = F.coalesce("binary", F.lit(False))
-    presented = F.coalesce("presented", F.lit(False))
-    as_file = (
-        binary
-        | presented
+def _goes_as_file() -> Column:
+    return (
+        F.coalesce("binary", F.lit(False))
+        | F.coalesce("presented", F.lit(False))
         | (F.length("content") > K.INLINE_CODE_MAX)
         | F.coalesce(F.col("msg_uuid") == "reconstructed", F.lit(False))
     )
-    inline = _verbatim(
-        a.filter(~as_file),
-        SRC_ARTIFACT_CODE,
-        "code",
-        F.coalesce("filename", "title", F.concat(F.lit("artifact "), "artifact_id")),
-        F.col("content"),
-        F.nullif(F.col("language"), F.lit("")),
+
+
+def inline_facts(artifacts: DataFrame) -> DataFrame:
+    label = F.coalesce("filename", "title", F.concat(F.lit("artifact "), "artifact_id"))
+    one = fact(SRC_ARTIFACT_CODE, F.lit(0), "code", label, F.col("content"), F.nullif("language", F.lit("")))
+    return artifacts.filter(~_goes_as_file()).select(
+        "conv_key", F.col("ordinal").cast("bigint").alias("ordinal"), F.inline(F.array(one))
     )
+
+
+def artifact_files(artifacts: DataFrame) -> DataFrame:
+    binary = F.coalesce("binary", F.lit(False))
+    presented = F.coalesce("presented", F.lit(False))
     fallback = F.concat(F.lit("artifact-"), "artifact_id")
-    name = F.when(binary, F.coalesce("filename", fallback)).otherwise(
-        F.coalesce("filename", "title", fallback)
-    )
+    name = F.when(binary, F.coalesce("filename", fallback)).otherwise(F.coalesce("filename", "title", fallback))
     why = (
         F.when(binary & presented, F.lit(K.WHY_BINARY_PRESENTED))
         .when(binary, F.lit(K.WHY_BINARY))
         .when(presented, F.lit(K.WHY_PRESENTED))
         .otherwise(F.lit(K.WHY_PRODUCED))
     )
-    return inline, _files(a.filter(as_file), SRC_FILE_ARTIFACT, name, why, "chat")
+    return _files(artifacts.filter(_goes_as_file()).withColumn("pos", F.lit(0)), SRC_FILE_ARTIFACT, name, why, "chat")
+
+
+def split_artifacts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Small code goes inline, everything delivered or long becomes a file."""
+    return inline_facts(artifacts).select(*VERBATIM), artifact_files(artifacts)
 
 
 def upload_files(uploads: DataFrame) -> DataFrame:
@@ -428,33 +499,31 @@ def dedupe_files_by_stem(files: DataFrame) -> DataFrame:
     return chat.select(*FILES).unionByName(free.select(*FILES))
 
 
-def listing_units(openings: DataFrame, names: DataFrame) -> DataFrame:
-    """Ordered text units (conv_key, src, ordinal, pos, text): the opening text,
-    the names of names(conv_key, src, ordinal, pos, name) after each other, a dot."""
-    first = names.groupBy("conv_key").agg(F.min(F.struct("src", "ordinal", "pos")).alias("f"))
-    start = first.select(
-        "conv_key",
-        F.col("f.src").alias("src"),
-        F.col("f.ordinal").alias("ordinal"),
-        F.col("f.pos").alias("pos"),
-        F.lit(True).alias("is_first"),
+# codes of the state line: opening, names after an own lead, names alone
+NOW_OPENING, NOW_NAMES, NOW_LISTED = 10, 11, 12
+NOW_RULES = {
+    NOW_OPENING: Rule(group=1),
+    NOW_NAMES: Rule(group=1, sep=", ", lead=" Files produced: ", close="."),
+    NOW_LISTED: Rule(group=1, sep=", ", close="."),
+}
+
+
+def name_units(files: DataFrame, code: int) -> DataFrame:
+    """Names of the produced files as text units."""
+    return files.filter(F.col("source") == "chat").select(
+        "conv_key", F.lit(code).alias("code"), "src", "ordinal", "pos", F.col("name").alias("text")
     )
-    edge = lambda df, src, text: df.select(
+
+
+def opening_units(openings: DataFrame) -> DataFrame:
+    """openings(conv_key, text) as the first text unit of the state line."""
+    return openings.select(
         "conv_key",
-        F.lit(src).alias("src"),
+        F.lit(NOW_OPENING).alias("code"),
+        F.lit(0).alias("src"),
         F.lit(0).cast("bigint").alias("ordinal"),
-        F.lit(0).cast("bigint").alias("pos"),
-        text.alias("text"),
-    )
-    listed = names.join(start, ["conv_key", "src", "ordinal", "pos"], "left").select(
-        "conv_key",
-        "src",
-        "ordinal",
-        "pos",
-        F.when(F.col("is_first"), F.col("name")).otherwise(F.concat(F.lit(", "), "name")).alias("text"),
-    )
-    return (
-        edge(openings, -1, F.col("text")).unionByName(listed).unionByName(edge(first, LAST_SRC, F.lit(".")))
+        F.lit(0).alias("pos"),
+        "text",
     )
 
 
@@ -463,30 +532,12 @@ def now_units(messages: DataFrame, files: DataFrame, conversations: DataFrame |
     counts = messages.groupBy("conv_key").agg(F.count("*").alias("n"))
     if conversations is not None:
         counts = conversations.select("conv_key").join(counts, "conv_key", "left").fillna(0, ["n"])
-    produced = files.filter(F.col("source") == "chat").select("conv_key", "src", "ordinal", "pos", "name")
-    some = produced.select("conv_key").distinct().withColumn("some", F.lit(True))
-    openings = counts.join(some, "conv_key", "left").select(
-        "conv_key",
-        F.concat(
-            F.lit("Captured this conversation ("),
-            F.col("n").cast("string"),
-            F.lit(" messages)."),
-            F.when(F.col("some"), F.lit(" Files produced: ")).otherwise(F.lit("")),
-        ).alias("text"),
-    )
-    return listing_units(openings, produced)
-
-
-def join_units(units: DataFrame, name: str) -> DataFrame:
-    """Text units -> (conv_key, part, text named ``name``)."""
-    cut = units.withColumn("__block", block_of("ordinal"))
-    return assemble(cut, ["conv_key"], ["src", "__block"], ["ordinal", "pos"], "text").withColumnRenamed(
-        "text", name
-    )
+    text = F.concat(F.lit("Captured this conversation ("), F.col("n").cast("string"), F.lit(" messages)."))
+    return opening_units(counts.withColumn("text", text)).unionByName(name_units(files, NOW_NAMES))
 
 
 def tier0_now(
     messages: DataFrame, files: DataFrame, conversations: DataFrame | None = None
 ) -> DataFrame:
     """(conv_key, part, now); one part unless the list of files is very long."""
-    return join_units(now_units(messages, files, conversations), "now")
+    return assemble(now_units(messages, files, conversations), NOW_RULES).withColumnRenamed("text", "now")

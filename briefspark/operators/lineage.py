@@ -7,8 +7,8 @@ the sorted artifacts of a conversation.  What keeps that stream small:
 
 * only word fingerprints travel, never the contents (they are joined back);
 * artifacts under three words can never merge and do not enter the stream;
-* of a run of artifacts with equal word sets only the last one enters, since
-  each of them would land on the slot of the one before.
+* of copies that follow each other only the last one enters, since each of them
+  would land on the slot of the one before.
 """
 
 from __future__ import annotations
@@ -17,18 +17,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
-from briefspark.operators.ordered import block_of, previous, running
+from briefspark.operators.ordered import block_of, previous
 
 
 def draft_similarity(artifacts: DataFrame) -> DataFrame:
     """Jaccard similarity of each artifact to the one before it in its conversation."""
     sets = artifacts.select("conv_key", "ordinal", T.token_set(F.col("content")).alias("tokens"))
-    linked = previous(sets, ["conv_key"], "ordinal", ["tokens"]).filter(F.col("prev").isNotNull())
+    linked = previous(sets, ["conv_key"], "ordinal").filter(F.col("prev").isNotNull())
     return linked.select(
         "conv_key",
         F.col("prev.ordinal").alias("prev_ordinal"),
@@ -81,47 +81,31 @@ def _slots(threshold: float):
 def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD) -> DataFrame:
     """artifacts(conv_key, ordinal, content, ..) -> kept rows, + slot.
 
-    ``slot`` is the ordinal at which the lineage first appeared: the order of the
-    result.
+    ``slot`` gives the order of the result: the ordinal at which the lineage first
+    appeared (the last one of a run of copies there).
     """
     tokens = T.token_set(F.col("content"))
     prints = artifacts.select(
         "conv_key",
         "ordinal",
-        F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t))).alias("tokens"),
+        F.transform(tokens, lambda t: F.xxhash64(t)).alias("tokens"),
+        F.xxhash64("content").alias("copy_of"),
+        F.length("content").alias("size"),
     )
-    worded = prints.filter(F.size("tokens") >= K.TOKEN_SET_MIN)
-    # keep the last of each run of equal word sets, remember where the run began
-    linked = previous(worded, ["conv_key"], "ordinal", ["tokens"])
-    runs = linked.withColumn(
-        "starts", F.coalesce(F.col("prev.tokens") != F.col("tokens"), F.lit(True))
-    ).select("conv_key", "ordinal", "tokens", "starts")
-    flipped = runs.withColumn("back", -F.col("ordinal"))
-    nxt = previous(flipped, ["conv_key"], "back", ["starts"]).withColumn(
-        "ends", F.coalesce(F.col("prev.starts"), F.lit(True))
+    # of copies that follow each other only the last goes on; runs are cut at block
+    # borders, which only keeps a few copies more
+    nxt = F.lead(F.struct("copy_of", "size")).over(
+        Window.partitionBy("conv_key", block_of("ordinal")).orderBy("ordinal")
     )
-    lasts = nxt.filter("ends").select("conv_key", "ordinal", "tokens", "starts")
-    # a run that is longer than one artifact: map its last ordinal to its first
-    begun = running(
-        runs.select("conv_key", "ordinal", "starts").withColumn("__block", block_of("ordinal")),
-        ["conv_key"],
-        ["__block"],
-        ["ordinal"],
-        maxima={"first": F.when(F.col("starts"), F.col("ordinal"))},
-    ).select("conv_key", "ordinal", "first")
     kept = (
-        lasts.select("conv_key", "ordinal", "tokens")
+        prints.withColumn("__next", nxt)
+        .filter((F.size("tokens") >= K.TOKEN_SET_MIN) & ~F.col("__next").eqNullSafe(F.struct("copy_of", "size")))
+        .select("conv_key", "ordinal", "tokens")
         .repartition("conv_key")
         .sortWithinPartitions("conv_key", "ordinal")
         .groupBy("conv_key")
-        .applyInPandas(
-            _slots(threshold),
-            schema=_schema(artifacts),
-        )
+        .applyInPandas(_slots(threshold), schema=_schema(artifacts))
     )
-    kept = kept.join(
-        begun.select("conv_key", F.col("ordinal").alias("slot"), "first"), ["conv_key", "slot"]
-    ).select("conv_key", "ordinal", F.col("first").alias("slot"))
     tiny = prints.filter(F.size("tokens") < K.TOKEN_SET_MIN).select(
         "conv_key", "ordinal", F.col("ordinal").alias("slot")
     )

@@ -265,6 +265,10 @@ def merge_fallback(merged: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
+def _numbered_item(item, name, cols):
+    return lambda x, i: item(name, i, *cols(x))
+
+
 def section_items(parsed: DataFrame) -> DataFrame:
     """Mini-briefs as long items (conv_key, chunk_ord, section, pos, a, b, c, d).
 
@@ -290,7 +294,7 @@ def section_items(parsed: DataFrame) -> DataFrame:
         F.col(f"{s}.now") != "", F.array(item("now", F.lit(0), F.col(f"{s}.now"), none, none, none))
     )
     lists = [
-        F.transform(F.col(f"{s}.{name}"), lambda x, i, name=name, cols=cols: item(name, i, *cols(x)))
+        F.transform(F.col(f"{s}.{name}"), _numbered_item(item, name, cols))
         for name, cols in columns.items()
     ]
     empty = F.filter(F.array(item("now", F.lit(0), F.lit(""), none, none, none)), lambda x: F.lit(False))

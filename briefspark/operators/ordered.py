@@ -11,10 +11,13 @@ conversation.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefspark.functions.text import js_rtrim
+
 BLOCK_BITS = 10
 PART_CHARS = 1 << 22
 
@@ -95,12 +98,14 @@ def running(
     return out.select(*df.columns, *final)
 
 
-def previous(
-    df: DataFrame, keys: Sequence[str], ordinal: str, carry: Sequence[str]
-) -> DataFrame:
-    """Add ``prev`` = struct(ordinal, carry) of the row before within the key."""
-    row = F.struct(ordinal, *carry)
-    cut = df.withColumn("__block", block_of(ordinal))
+def previous(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
+    """Add ``prev``: the row before within the key, as a struct of its columns.
+
+    Window and block tails read the same columns of the same rows, so both are
+    served by one exchange and the input is computed once.
+    """
+    row = F.struct(ordinal, *[c for c in df.columns if c not in (*keys, ordinal)])
+    cut = df.withColumn("__block", block_of(ordinal)).repartition(*keys, "__block")
     inner = Window.partitionBy(*keys, "__block").orderBy(ordinal)
     across = Window.partitionBy(*keys).orderBy("__block")
     local = cut.withColumn("__prev", F.lag(row).over(inner))
@@ -120,33 +125,119 @@ def dense_ordinal(df: DataFrame, keys: Sequence[str], ordinal: str, name: str) -
     return numbered.select(*df.columns, (F.col("__n") - 1).alias(name))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How the units of one code are put together.
+
+    ``sep`` goes between units, ``lead`` before the first unit of the code unless a
+    new group opens there, ``close`` after its last unit.  A group is a run of codes
+    under one ``heading``; ``end`` closes it and trims the blanks before.
+    """
+
+    group: int = 0
+    sep: str = ""
+    lead: str = ""
+    close: str = ""
+    heading: str = ""
+    end: str = ""
+
+
+UNIT = ["code", "src", "ordinal", "pos"]
+
+
+def text_blocks(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> DataFrame:
+    """units(conv_key, code, src, ordinal, pos, text) -> joined blocks of them.
+
+    (conv_key, code, src, block, text, lead, tail, chars, start): the texts of a
+    block joined, what goes before and after it, its length with both, and where
+    it starts in the whole text of the conversation.  Only one row per block takes
+    part in the window over a conversation.
+    """
+
+    def of(field: str) -> Column:
+        pairs = [F.lit(x) for code, rule in rules.items() for x in (code, getattr(rule, field))]
+        return F.create_map(*pairs)[F.col("code")]
+
+    piece = F.struct("ordinal", "pos", "text")
+    blocks = (
+        units.filter(F.length("text") > 0)
+        .withColumn("block", block_of("ordinal"))
+        .groupBy("conv_key", "code", "src", "block")
+        .agg(F.array_sort(F.collect_list(piece)).alias("__p"))
+        .select(
+            "conv_key",
+            "code",
+            "src",
+            "block",
+            F.call_function("array_join", F.transform("__p", lambda p: p["text"]), of("sep")).alias("text"),
+        )
+    )
+    place = Window.partitionBy("conv_key").orderBy("code", "src", "block")
+    before, after = F.lag("code").over(place), F.lead("code").over(place)
+    group_before, group_after = F.lag("group").over(place), F.lead("group").over(place)
+    opens = group_before.isNull() | (group_before != F.col("group"))
+    ends = group_after.isNull() | (group_after != F.col("group"))
+    code_ends = after.isNull() | (after != F.col("code"))
+    lead = (
+        F.when(group_before.isNull(), of("heading"))
+        .when(opens, F.concat(F.lit(gap), of("heading")))
+        .when(before != F.col("code"), of("lead"))
+        .otherwise(of("sep"))
+    )
+    tail = F.concat(
+        F.when(code_ends, of("close")).otherwise(F.lit("")), F.when(ends, of("end")).otherwise(F.lit(""))
+    )
+    trims = ends & (of("end") != "") & (of("close") == "")
+    narrow = blocks.select(
+        "conv_key",
+        "code",
+        "src",
+        "block",
+        of("group").alias("group"),
+        F.length("text").alias("__full"),
+        F.length(js_rtrim(F.col("text"))).alias("__cut"),
+    ).select(
+        "conv_key", "code", "src", "block", "__full", "__cut", lead.alias("lead"), tail.alias("tail"), trims.alias("__trims")
+    )
+    narrow = narrow.withColumn(
+        "chars",
+        (
+            F.length("lead") + F.when(F.col("__trims"), F.col("__cut")).otherwise(F.col("__full")) + F.length("tail")
+        ).cast("bigint"),
+    )
+    placed = narrow.select(
+        "conv_key",
+        "code",
+        "src",
+        "block",
+        "lead",
+        "tail",
+        "chars",
+        F.col("__trims").alias("trims"),
+        (F.sum("chars").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")).alias("start"),
+    )
+    return blocks.join(placed, ["conv_key", "code", "src", "block"])
+
+
 def assemble(
-    units: DataFrame,
-    keys: Sequence[str],
-    blocks: Sequence[str],
-    order: Sequence[str],
-    text: str,
-    part_chars: int = PART_CHARS,
+    units: DataFrame, rules: dict[int, Rule], gap: str = "", part_chars: int = PART_CHARS
 ) -> DataFrame:
-    """Concatenate text units in order -> (keys, part, text).
+    """Units in order as one text per conversation -> (conv_key, part, text).
 
-    A key whose text stays under ``part_chars`` gives exactly one row, part 0.
-    A longer one is cut between units into parts that read on from each other,
-    so no row and no task ever holds an unbounded text and nothing is dropped.
+    A conversation whose text stays under ``part_chars`` gives exactly one row,
+    part 0.  A longer one is cut between blocks into parts that read on from each
+    other, so no row and no task holds an unbounded text and nothing is dropped.
     """
-    sized = running(
-        units.filter(F.length(text) > 0),
-        keys,
-        blocks,
-        order,
-        sums={"__end": F.length(text).cast("bigint")},
-    )
-    start = F.col("__end") - F.length(text)
-    parted = sized.withColumn("part", F.floor(start / part_chars).cast("bigint"))
-    sort_key = [*blocks, *[o for o in order if o not in blocks]]
-    piece = F.struct(*sort_key, F.col(text).alias("__text"))
-    return parted.groupBy(*keys, "part").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["__text"]), ""
-        ).alias(text)
+    blocks = text_blocks(units, rules, gap)
+    body = F.when(F.col("trims"), js_rtrim(F.col("text"))).otherwise(F.col("text"))
+    whole = F.struct("code", "src", "block", F.concat("lead", body, "tail").alias("text"))
+    return (
+        blocks.select("conv_key", F.floor(F.col("start") / part_chars).cast("bigint").alias("part"), whole.alias("__p"))
+        .groupBy("conv_key", "part")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["text"]), "").alias("text"))
     )
+
+
+def total_chars(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> DataFrame:
+    """(conv_key, chars): length of what ``assemble`` would give, without building it."""
+    return text_blocks(units, rules, gap).groupBy("conv_key").agg(F.sum("chars").alias("chars"))

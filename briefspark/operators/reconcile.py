@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,14 @@ from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.operators.extract import (
     FILES,
+    NOW_LISTED,
+    NOW_RULES,
     VERBATIM,
     dedupe_files_by_stem,
-    join_units,
-    listing_units,
+    name_units,
+    opening_units,
 )
-from briefspark.operators.ordered import first_wins
+from briefspark.operators.ordered import assemble, first_wins
 
 MODEL_FIRST = 1_000  # order offset that puts added facts after the model's items
 
@@ -61,7 +64,7 @@ def table_overlap(a: Column, b: Column) -> Column:
 
 
 def _missing_tables(threshold: float):
-    def stream(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: list[frozenset] = []
         holders: dict[int, list[int]] = {}
         added = []
@@ -112,7 +115,7 @@ def guarantee_tables(model: DataFrame, deterministic: DataFrame, threshold: floa
         both.repartition("conv_key")
         .sortWithinPartitions("conv_key", "turn", "src", "ordinal", "pos")
         .groupBy("conv_key")
-        .applyInPandas(_missing_tables(threshold), f"conv_key {key}, src int, ordinal bigint, pos bigint")
+        .applyInPandas(_missing_tables(threshold), f"conv_key {key}, src int, ordinal bigint, pos int")
     )
     tables = deterministic.filter(F.col("kind") == "table").join(added, ["conv_key", "src", "ordinal", "pos"])
     return model.select(*VERBATIM).unionByName(
@@ -145,9 +148,10 @@ def count_units(now: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(" ", F.nullif(T.js_trim(F.col("now")), F.lit("")), listing))
         .alias("text"),
     )
-    return listing_units(openings, produced.join(short.select("conv_key"), "conv_key", "left_semi"))
+    listed = files.join(short.select("conv_key"), "conv_key", "left_semi")
+    return opening_units(openings).unionByName(name_units(listed, NOW_LISTED))
 
 
 def guarantee_count(now: DataFrame, files: DataFrame) -> DataFrame:
     """(conv_key, part, now): the state line that names every produced file."""
-    return join_units(count_units(now, files), "now")
+    return assemble(count_units(now, files), NOW_RULES).withColumnRenamed("text", "now")

@@ -7,25 +7,24 @@ a very long brief comes out in several parts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
-from briefspark.operators.ordered import assemble, block_of
-
-ORDER = ["section", "src", "ordinal", "pos"]
+from briefspark.operators.extract import NOW_OPENING, NOW_RULES
+from briefspark.operators.ordered import Rule, assemble, total_chars
 
 
 @dataclass
 class Brief:
     """meta(conv_key, conversation_id, title, captured_at, produced_by, complete,
-    unknown_count, notes), now_units and items, all keyed by conv_key.
+    unknown_count, notes) and the tables of its sections, all keyed by conv_key.
 
-    now: text units (src, ordinal, pos, text); decided(text, replaces), open(text),
+    now: text units (code, src, ordinal, pos, text); decided(text, replaces), open(text),
     rejected(idea, why), verbatim, files: each with (src, ordinal, pos);
     unknown(msg_ord, block_ord, msg_uuid, hint, preview).
     """
@@ -105,116 +104,108 @@ def brief_header(title: Column, produced_by: Column, captured_at: Column, brand:
     )
 
 
-def _section(df: DataFrame, number: int, text: Column, ordinal="ordinal", pos="pos", src: Column | str = "src") -> DataFrame:
+CODE = {name: 10 * (i + 1) for i, name in enumerate(K.SECTIONS)}
+BODY_RULES = {
+    code: Rule(group=code, sep=K.SECTIONS[name][1], heading=f"## {K.SECTIONS[name][0]}\n\n", end="\n")
+    for name, code in CODE.items()
+} | {
+    code: replace(rule, group=CODE["now"], heading="## Now\n\n", end="\n") for code, rule in NOW_RULES.items()
+}
+GAP = "\n"
+
+
+def _units(df: DataFrame, section: str, text: Column) -> DataFrame:
     return df.select(
         "conv_key",
-        F.lit(number).alias("section"),
-        (F.col(src) if isinstance(src, str) else src).cast("int").alias("src"),
-        F.col(ordinal).cast("bigint").alias("ordinal"),
-        F.col(pos).cast("bigint").alias("pos"),
+        F.lit(CODE[section]).alias("code"),
+        F.col("src").cast("int").alias("src"),
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        F.col("pos").cast("int").alias("pos"),
         text.alias("text"),
     )
 
 
 def body_units(brief: Brief) -> DataFrame:
-    """The body of a brief as ordered text units (conv_key, section, src, ordinal, pos, text)."""
+    """The items of a brief as text units (conv_key, code, src, ordinal, pos, text)."""
     c = F.col
+    opening = c("code") == NOW_OPENING
+    now = brief.now.withColumn(
+        "text", F.when(opening, F.regexp_replace("text", rf"^[{K.BLANK}]+", "")).otherwise(c("text"))
+    )
+    odd = brief.unknown.withColumns({"src": F.lit(0), "ordinal": c("msg_ord"), "pos": c("block_ord")})
     parts = [
-        _section(brief.now.filter(F.length("text") > 0), 1, c("text")),
-        _section(brief.decided, 2, render_decided(c("text"), c("replaces"))),
-        _section(brief.open, 3, F.concat(F.lit("- "), "text")),
-        _section(brief.rejected, 4, render_rejected(c("idea"), c("why"))),
-        _section(brief.verbatim, 5, render_item(c("kind"), c("label"), c("value"), c("language"))),
-        _section(brief.files, 6, render_file(c("name"), c("why"), c("source"))),
-        _section(
-            brief.unknown, 7, render_unknown(c("hint"), c("msg_uuid"), c("preview")), "msg_ord", "block_ord", F.lit(0)
-        ),
+        now.select("conv_key", "code", "src", "ordinal", "pos", "text"),
+        _units(brief.decided, "decided", render_decided(c("text"), c("replaces"))),
+        _units(brief.open, "open", F.concat(F.lit("- "), "text")),
+        _units(brief.rejected, "rejected", render_rejected(c("idea"), c("why"))),
+        _units(brief.verbatim, "verbatim", render_item(c("kind"), c("label"), c("value"), c("language"))),
+        _units(brief.files, "files", render_file(c("name"), c("why"), c("source"))),
+        _units(odd, "unknown", render_unknown(c("hint"), c("msg_uuid"), c("preview"))),
     ]
-    items = reduce(DataFrame.unionByName, parts)
-    place = F.struct("src", "ordinal", "pos")
-    # first and last item of each section, and the first section: a few rows each
-    ends = (
-        items.groupBy("conv_key", "section")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .withColumn("top", F.min("section").over(Window.partitionBy("conv_key")))
-    )
-    opens = ends.select(
-        "conv_key", "section", "first.src", "first.ordinal", "first.pos", (c("section") == c("top")).alias("is_top")
-    )
-    closes = ends.select(
-        "conv_key", "section", "last.src", "last.ordinal", "last.pos", F.lit(True).alias("closing")
-    )
-    key = ["conv_key", *ORDER]
-    marked = items.join(opens, key, "left").join(closes, key, "left")
-    pick = lambda i: F.create_map(*[F.lit(x) for n, v in K.SECTIONS.items() for x in (n, v[i])])[c("section")]
-    lead = F.when(
-        c("is_top").isNotNull(),
-        F.concat(F.when(c("is_top"), F.lit("")).otherwise(F.lit("\n")), F.lit("## "), pick(1), F.lit("\n\n")),
-    ).otherwise(pick(2))
-    text = F.when(c("closing"), F.concat(T.js_rtrim(c("text")), F.lit("\n"))).otherwise(c("text"))
-    start = F.when((c("section") == 1) & c("is_top").isNotNull(), F.regexp_replace(text, rf"^[{K.BLANK}]+", "")).otherwise(text)
-    return marked.select(*key, F.concat(lead, start).alias("text"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def render_body(brief: Brief) -> DataFrame:
     """(conv_key, part, body)."""
-    units = body_units(brief).withColumn("__block", block_of("ordinal"))
-    return assemble(units, ["conv_key"], ["section", "src", "__block"], ["ordinal", "pos"], "text").withColumnRenamed(
-        "text", "body"
-    )
-
+    return assemble(body_units(brief), BODY_RULES, GAP).withColumnRenamed("text", "body")
 
-def _framed(brief: Brief, opening: Column, closing: Column | None) -> DataFrame:
-    body = body_units(brief)
-    some = body.select("conv_key").distinct().withColumn("some", F.lit(True))
-    meta = brief.meta.withColumn("banner", honesty_banner(F.col("complete"), F.col("unknown_count"), F.col("notes")))
-    framed = meta.join(some, "conv_key", "left")
-
-    def edge(section, text):
-        zero = F.lit(0)
-        return framed.select(
-            "conv_key",
-            F.lit(section).alias("section"),
-            zero.alias("src"),
-            zero.cast("bigint").alias("ordinal"),
-            zero.cast("bigint").alias("pos"),
-            text.alias("text"),
-        )
 
-    head = F.concat(
-        opening,
-        F.when(F.col("banner") != "", F.concat(F.lit("\n"), "banner")).otherwise(F.lit("")),
-        F.when(F.col("some"), F.lit("\n")).otherwise(F.lit("")),
+def _opening(first: Column, banner: Column, body: Column) -> Column:
+    """Header or banner lines before the first part of a body."""
+    return F.concat(
+        first,
+        F.when(banner != "", F.concat(F.lit("\n"), banner)).otherwise(F.lit("")),
+        F.when(body != "", F.lit("\n")).otherwise(F.lit("")),
     )
-    out = edge(0, head).unionByName(body)
-    return out if closing is None else out.unionByName(edge(99, closing))
-
 
-def human_units(brief: Brief, brand: str = "briefspark") -> DataFrame:
-    header = brief_header(F.col("title"), F.col("produced_by"), F.col("captured_at"), brand)
-    return _framed(brief, header, None)
 
-
-def resume_units(brief: Brief) -> DataFrame:
-    return _framed(brief, F.lit(K.RESUME_HEADER), F.lit("\n" + K.RESUME_FOOTER))
-
-
-def _text_of(units: DataFrame, name: str) -> DataFrame:
-    cut = units.withColumn("__block", block_of("ordinal"))
-    return assemble(cut, ["conv_key"], ["section", "src", "__block"], ["ordinal", "pos"], "text").withColumnRenamed(
-        "text", name
+def _framed(meta: DataFrame, brand: str) -> DataFrame:
+    return meta.select(
+        "conv_key",
+        honesty_banner(F.col("complete"), F.col("unknown_count"), F.col("notes")).alias("banner"),
+        brief_header(F.col("title"), F.col("produced_by"), F.col("captured_at"), brand).alias("header"),
     )
 
 
 def render_brief(brief: Brief, brand: str = "briefspark") -> DataFrame:
-    """(conv_key, part, human_md, resume_prompt, resume_header, resume_footer)."""
-    human = _text_of(human_units(brief, brand), "human_md")
-    resume = _text_of(resume_units(brief), "resume_prompt")
-    return human.join(resume, ["conv_key", "part"], "full").select(
+    """(conv_key, part, human_md, resume_prompt, resume_header, resume_footer).
+
+    The body is put together once; both framings only add their edges to its first
+    and last part.
+    """
+    body = render_body(brief)
+    parts = body.groupBy("conv_key").agg(F.max("part").alias("last"))
+    joined = (
+        _framed(brief.meta, brand)
+        .join(body, "conv_key", "left")
+        .join(parts, "conv_key", "left")
+        .withColumn("part", F.coalesce("part", F.lit(0)))
+        .withColumn("body", F.coalesce("body", F.lit("")))
+    )
+    first = F.col("part") == 0
+    last = F.col("part") == F.coalesce("last", F.lit(0))
+    edge = lambda when, text: F.when(when, text).otherwise(F.lit(""))
+    c = F.col
+    return joined.select(
         "conv_key",
         "part",
-        "human_md",
-        "resume_prompt",
+        F.concat(edge(first, _opening(c("header"), c("banner"), c("body"))), "body").alias("human_md"),
+        F.concat(
+            edge(first, _opening(F.lit(K.RESUME_HEADER), c("banner"), c("body"))),
+            "body",
+            edge(last, F.lit("\n" + K.RESUME_FOOTER)),
+        ).alias("resume_prompt"),
         F.lit(K.RESUME_HEADER).alias("resume_header"),
         F.lit(K.RESUME_FOOTER).alias("resume_footer"),
     )
+
+
+def brief_chars(brief: Brief, brand: str = "briefspark") -> DataFrame:
+    """(conv_key, brief_chars): length of the human framing without building it."""
+    body = total_chars(body_units(brief), BODY_RULES, GAP)
+    edges = _framed(brief.meta, brand).join(body, "conv_key", "left")
+    some = F.when(F.col("chars") > 0, F.lit("x")).otherwise(F.lit(""))
+    opening = _opening(F.col("header"), F.col("banner"), some)
+    return edges.select(
+        "conv_key", (F.length(opening) + F.coalesce("chars", F.lit(0))).cast("bigint").alias("brief_chars")
+    )

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -168,7 +169,7 @@ def replay_files(events: DataFrame) -> DataFrame:
         .filter(F.coalesce("__tied", F.lit(False)) | ~F.col("__shell"))
     )
 
-    def stream(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         box = Sandbox()
         for pdf in batches:
             for at, name, call in zip(pdf["ord"], pdf["name"], pdf["input"]):
@@ -311,7 +312,7 @@ def replay_canvas(events: DataFrame) -> DataFrame:
     """
     key_type = dict(events.dtypes)["conv_key"]
 
-    def stream(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, first = None, None
         for pdf in batches:
             for at, recipient, body, kind in zip(pdf["ord"], pdf["recipient"], pdf["body"], pdf["doc_type"]):

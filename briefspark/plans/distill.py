@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def _collapsed(t: Transcript) -> DataFrame:
 def _empty(t: Transcript, ddl: str) -> DataFrame:
     key = dict(t.meta.dtypes)["conv_key"]
     return t.meta.sparkSession.createDataFrame(
-        [], f"conv_key {key}, src int, ordinal bigint, pos bigint, {ddl}"
+        [], f"conv_key {key}, src int, ordinal bigint, pos int, {ddl}"
     )
 
 
@@ -43,32 +44,26 @@ def _meta(t: Transcript, produced_by) -> DataFrame:
     )
 
 
-def tier0_facts(t: Transcript, has_artifacts: bool = True, cap: int = K.REFERENCE_CAP) -> tuple[DataFrame, DataFrame]:
-    """(verbatim, files): everything that must survive, without a model."""
-    m = t.messages
+def tier0_facts(
+    t: Transcript, has_artifacts: bool = True, cap: int = K.REFERENCE_CAP
+) -> tuple[DataFrame, DataFrame]:
+    """(verbatim, files): everything that must survive, without a model.
+
+    The messages are read once for all facts.  What was found is small next to the
+    chats and is used several times from here on, so it is kept.
+    """
     if has_artifacts:
-        a = _collapsed(t)
-        inline, produced = X.split_artifacts(a)
-        verbatim = X.dedupe_verbatim(
-            X.tables_verbatim(m, a),
-            X.latest_images(m),
-            X.formulas(m),
-            inline,
-            X.fenced_code(m),
-            X.urls(m),
-            X.endpoints(m),
-        )
-        files = X.dedupe_files_by_stem(
-            produced.unionByName(X.generated_files(m))
-            .unionByName(X.upload_files(t.uploads))
-            .unionByName(X.referenced_files(m, t.artifacts, cap))
+        a = keep(_collapsed(t), "kept_artifacts")
+        facts = keep(X.conversation_facts(t.messages, a), "facts")
+        files = X.artifact_files(a).unionByName(X.upload_files(t.uploads))
+        mentioned = X.first_mentions(facts, t.artifacts, cap)
+        produced = X.as_files(facts.filter(F.col("kind") == X.CHAT_FILE))
+        return X.as_verbatim(facts), X.dedupe_files_by_stem(
+            files.unionByName(produced).unionByName(mentioned)
         )
-        return verbatim, files
-    verbatim = X.dedupe_verbatim(
-        X.tables_verbatim(m), X.formulas(m), X.fenced_code(m), X.urls(m), X.endpoints(m)
-    )
-    files = X.dedupe_files_by_stem(X.generated_files(m).unionByName(X.referenced_files(m, None, cap)))
-    return verbatim, files
+    facts = keep(X.conversation_facts(t.messages, images=False), "facts")
+    produced = X.as_files(facts.filter(F.col("kind") == X.CHAT_FILE))
+    return X.as_verbatim(facts), X.dedupe_files_by_stem(produced.unionByName(X.first_mentions(facts, None, cap)))
 
 
 def distill_deterministic(t: Transcript, has_artifacts: bool = True, cap: int = K.REFERENCE_CAP) -> Brief:
@@ -110,7 +105,7 @@ def _items(sections: DataFrame) -> dict[str, DataFrame]:
             "conv_key",
             F.lit(0).alias("src"),
             F.lit(0).cast("bigint").alias("ordinal"),
-            F.col("pos").cast("bigint").alias("pos"),
+            F.col("pos").cast("int").alias("pos"),
             *[F.col("x")[c].alias(c) for c in columns],
         )
         for name, columns in fields.items()
@@ -135,7 +130,7 @@ def distill_with_model(
     back, so that no lost executor makes the model answer twice; the default
     checkpoints when the session names a checkpoint directory.
     """
-    save = save or _keep
+    save = save or keep
     base = distill_deterministic(t)
     verbatim, files = base.verbatim, base.files
     units = C.transcript_units(t.messages, t.artifacts)
@@ -204,10 +199,15 @@ def distill_with_model(
     )
 
 
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage in the shared checkpoint directory, where there is one."""
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Hold a result that several later steps read.
+
+    In the checkpoint directory the cluster names, where it names one: that also
+    cuts the lineage and survives lost executors.  Else as cached blocks, which
+    Spark recomputes when an executor with them is lost.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    return df.checkpoint() if folder else df.persist(StorageLevel.MEMORY_AND_DISK)

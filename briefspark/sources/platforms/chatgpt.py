@@ -28,7 +28,7 @@ DOCS = "array<struct<doc_id:string,name:string,type:string,content:string>>"
 
 def _text(content: Column) -> Column:
     parts = T.variant_list(content["parts"])
-    strings = F.filter(F.transform(parts, T.variant_text), lambda p: p.isNotNull())
+    strings = F.filter(F.transform(parts, lambda p: T.variant_text(p)), lambda p: p.isNotNull())
     kind = content["content_type"]
     return F.coalesce(
         F.when(kind.isin("text", "multimodal_text") & parts.isNotNull(), T.js_trim(F.array_join(strings, "\n"))),

@@ -443,9 +443,9 @@ def gemini_canvas_docs(spark, sf):
     """Each message as the canvas document of an answer, next to shorter strings."""
     rows = S.chats(spark, sf)
     doc = S.json_quote(F.col("text"))
-    nulls = ",".join(["null"] * 28)
+    nulls = "null," * 28
     inner = F.concat(
-        F.lit('[[[null,null,[["q"]],[[["rc",["a"],'), F.lit(nulls[5:]), F.lit('[["id",['), doc, F.lit('],"x"]]]]]]]]')
+        F.lit('[[[null,null,[["q"]],[[["rc",["a"],'), F.lit(nulls), F.lit('[["id",['), doc, F.lit('],"x"]]]]]]]]')
     )
     payloads = rows.select(
         F.expr("CAST(conv_id AS STRING) || '/' || CAST(turn AS STRING)").alias("conv_key"),

@@ -31,7 +31,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    """Register a query; its integer columns come out as BIGINT."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = f(spark, sf)
+        return df.select(
+            *[F.col(n).cast("bigint").alias(n) if t in ("int", "smallint") else F.col(n) for n, t in df.dtypes]
+        )
+
+    QUERIES[f.__name__] = run
     return f
 
 

@@ -73,6 +73,7 @@ def distill_deterministic(t: Transcript, has_artifacts: bool = True, cap: int =
     artifact, upload and image branches out of the plan.
     """
     verbatim, files = tier0_facts(t, has_artifacts, cap)
+    files = keep(files, "files")
     return Brief(
         meta=_meta(t, F.lit("deterministic")),
         now=X.now_units(t.messages, files, t.meta),
@@ -136,7 +137,7 @@ def distill_with_model(
     units = C.transcript_units(t.messages, t.artifacts)
     asked = M.complete_batch(chunk_prompts(units, chunk_prompt, max_chars), complete, partitions)
     parsed = save(M.parse_sections(asked), "mini_briefs")
-    modes = M.select_minibriefs(parsed)
+    modes = save(M.select_minibriefs(parsed), "brief_modes")
 
     good = parsed.filter(F.col("error").isNull())
     single = good.join(modes.filter(F.col("mode") == "single").select("conv_key"), "conv_key", "left_semi")
@@ -150,6 +151,7 @@ def distill_with_model(
     merged = save(M.parse_sections(M.complete_batch(several, complete, partitions)), "merged_briefs")
     resolved = M.merge_fallback(merged, parsed)
     final = single.select("conv_key", "sections", F.lit(None).cast("string").alias("note")).unionByName(resolved)
+    final = save(final, "resolved_briefs")
     items = _items(final)
 
     fallen = modes.filter(F.col("mode") == "deterministic").select("conv_key")
@@ -181,7 +183,7 @@ def distill_with_model(
         return modelled.unionByName(extracted.join(plain, "conv_key", "left_semi"))
 
     modelled_only = files.join(plain, "conv_key", "left_anti")
-    all_files = R.reconcile_files(modelled_only, items["files"])
+    all_files = save(R.reconcile_files(modelled_only, items["files"]), "reconciled_files")
     facts = verbatim.join(plain, "conv_key", "left_anti")
     kept = items["verbatim"].select(*X.VERBATIM)
     pictures = R.guarantee_images(kept, facts)

@@ -119,7 +119,7 @@ SELECT page AS conv_key, count(*) + count(*) FILTER (role = 'system') AS total_b
   count(*) FILTER (role = 'system') = 0 AS complete, count(DISTINCT turn % 2) AS uploads, 'Sheet_' || CAST(min(turn % 2) AS STRING) || '.csv' AS first_upload,
   count(*) FILTER (role = 'system') AS unknown, CASE WHEN count(*) FILTER (role = 'system') > 0 THEN '{{"type":"mystery","text":"odd"}}' END AS preview
 FROM chats GROUP BY page"""
-ORACLE["parity_report"] = f"WITH {CHATS} SELECT page AS conv_key, 7 AS platforms, true AS equal FROM chats WHERE {has_text('padded')} GROUP BY page"
+ORACLE["parity_report"] = f"WITH {CHATS} SELECT page AS conv_key, CAST(7 AS BIGINT) AS platforms, true AS equal FROM chats WHERE {has_text('padded')} GROUP BY page"
 
 # -- branches --------------------------------------------------------------------------------
 
@@ -143,10 +143,10 @@ KIND = "CASE shape WHEN 0 THEN 'text' WHEN 2 THEN 'artifact' WHEN 3 THEN 'tool'
 ORACLE["classify_blocks"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord, block_ord, {KIND} AS kind, CASE shape WHEN 6 THEN 'type:mystery' WHEN 7 THEN 'no-type' END AS hint,
   CASE WHEN shape >= 6 THEN CASE WHEN length({LINE}) > 200 THEN substr({LINE}, 1, 200) || '…' ELSE {LINE} END END AS preview FROM shapes"""
 ORACLE["display_content_artifacts"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord, block_ord, 'T' AS title, 'f_' || CAST(conv_key AS STRING) || '.md' AS filename, 'markdown' AS language, text AS content FROM shapes WHERE shape = 2"""
-ORACLE["ant_artifacts"] = """SELECT conv_id AS conv_key, turn AS ordinal, p AS pos, CASE p WHEN 0 THEN 'Doc' END AS title, CASE WHEN p = 0 AND turn % 2 = 0 THEN 'a.md' END AS filename,
+ORACLE["ant_artifacts"] = """SELECT conv_id AS conv_key, turn AS ordinal, CAST(p AS BIGINT) AS pos, CASE p WHEN 0 THEN 'Doc' END AS title, CASE WHEN p = 0 AND turn % 2 = 0 THEN 'a.md' END AS filename,
   CASE p WHEN 0 THEN 'text' END AS language, CASE p WHEN 0 THEN text ELSE 'x' END AS content FROM conversations, (VALUES (0), (1)) v(p)"""
 ORACLE["strip_artifact_tags"] = "SELECT conv_id AS conv_key, turn AS ordinal, 'before  and  after' AS text FROM conversations"
-ORACLE["search_context"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord, block_ord, o AS ord, CASE o WHEN 0 THEN 'source' ELSE 'image' END AS kind,
+ORACLE["search_context"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord, block_ord, CAST(o AS BIGINT) AS ord, CASE o WHEN 0 THEN 'source' ELSE 'image' END AS kind,
   CASE o WHEN 0 THEN 'Page' WHEN 1 THEN 'Pic ' || CAST(conv_key AS STRING) ELSE 'Thumb' END AS title, url || CASE o WHEN 0 THEN '' WHEN 1 THEN '/a.PNG?s=1' ELSE '/t' END AS url
   FROM shapes, (VALUES (0), (1), (2)) v(o) WHERE shape = 4"""
 ORACLE["citations"] = f"WITH {SHAPES} SELECT DISTINCT conv_key, msg_ord, url, 'First' AS title FROM shapes WHERE shape = 0"
@@ -233,7 +233,7 @@ def first(source: str, keys: str, order: str = "ordinal, pos") -> str:
 
 
 ORACLE["tables_verbatim"] = f"""WITH {TABLES}, every AS (SELECT 0 AS src, * FROM tables UNION ALL SELECT 1, t.* FROM tables t JOIN seeded s USING (conv_key, ordinal) WHERE s.role = 'assistant')
-SELECT conv_key, src, ordinal, value FROM {first('every', 'conv_key, ' + squeeze('value'), 'src, ordinal, pos')} WHERE length({squeeze('value')}) >= 12"""
+SELECT conv_key, CAST(src AS BIGINT) AS src, ordinal, value FROM {first('every', 'conv_key, ' + squeeze('value'), 'src, ordinal, pos')} WHERE length({squeeze('value')}) >= 12"""
 ORACLE["table_cells"] = f"""WITH {TABLES}, rows_ AS (SELECT conv_key, ordinal, pos, string_split(value, chr(10)) AS ls FROM tables),
 body AS (SELECT conv_key, ordinal, pos, ls[1] AS head, unnest(ls[3:]) AS line, generate_subscripts(ls[3:], 1) - 1 AS row_no FROM rows_),
 cells AS (SELECT *, list_transform(string_split(trim(line, '|'), '|'), lambda c: trim(c)) AS cs, list_transform(string_split(trim(head, '|'), '|'), lambda c: trim(c)) AS hs FROM body)
@@ -275,7 +275,7 @@ files AS (SELECT * FROM f_made UNION ALL SELECT * FROM mentions), {DEDUPED} SELE
 NOW = """'Captured this conversation (' || CAST(n AS STRING) || ' messages).' || coalesce(' Files produced: ' || names || '.', '')"""
 NOWS = f"""counts AS (SELECT conv_key, count(*) AS n FROM seeded GROUP BY 1), made AS (SELECT conv_key, string_agg(name, ', ' ORDER BY src, ordinal, pos) AS names FROM f_made GROUP BY 1),
 nows AS (SELECT conv_key, {NOW} AS now FROM counts LEFT JOIN made USING (conv_key))"""
-ORACLE["tier0_now"] = f"WITH {FACTS}, {NOWS} SELECT conv_key, 0 AS part, now FROM nows"
+ORACLE["tier0_now"] = f"WITH {FACTS}, {NOWS} SELECT conv_key, CAST(0 AS BIGINT) AS part, now FROM nows"
 
 ART_FIELDS = """CASE turn % 3 WHEN 0 THEN 'out_' || CAST(turn AS STRING) || '.md' WHEN 1 THEN 'plan.pdf' END AS filename, 'Draft ' || CAST(turn AS STRING) AS title,
   CASE WHEN turn % 2 = 0 THEN 'markdown' END AS language, turn % 3 = 1 AS is_binary, turn % 4 = 2 AS presented, turn % 4 = 1 AS rebuilt"""
@@ -299,7 +299,7 @@ UNIT = "'### ' || CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END
 ORACLE["render_transcript"] = f"""WITH RECURSIVE {SEEDED}, {KEPT}, a AS (SELECT *, {ART_FIELDS} FROM lineage),
 units AS (SELECT conv_key, 0 AS src, ordinal, {UNIT} AS unit FROM seeded UNION ALL
   SELECT conv_key, 1, slot, '### Artifact: ' || coalesce(filename, title) || coalesce(' (' || language || ')', '') || chr(10) || '```' || chr(10) || content || chr(10) || '```' FROM a)
-SELECT conv_key, 0 AS part, string_agg(unit, chr(10) || chr(10) ORDER BY src, ordinal) AS full_text FROM units GROUP BY 1"""
+SELECT conv_key, CAST(0 AS BIGINT) AS part, string_agg(unit, chr(10) || chr(10) ORDER BY src, ordinal) AS full_text FROM units GROUP BY 1"""
 ORACLE["chunk_transcript"] = f"""WITH RECURSIVE {SEEDED}, u AS (SELECT conv_key, {UNIT} AS unit, length({UNIT}) + 2 AS cost, row_number() OVER (PARTITION BY conv_key ORDER BY ordinal) AS n FROM seeded),
 fold AS (SELECT conv_key, n, unit, cost AS load, CAST(0 AS BIGINT) AS chunk FROM u WHERE n = 1
   UNION ALL SELECT u.conv_key, u.n, u.unit, CASE WHEN load + cost > 1500 THEN cost ELSE load + cost END, CASE WHEN load + cost > 1500 THEN chunk + 1 ELSE chunk END FROM fold f JOIN u ON u.conv_key = f.conv_key AND u.n = f.n + 1)
@@ -309,8 +309,8 @@ SELECT conv_key, chunk AS chunk_ord, string_agg(unit, chr(10) || chr(10) ORDER B
 
 ORACLE["complete_batch"] = "SELECT conv_id AS conv_key, turn AS chunk_ord, CASE WHEN length(text) % 7 <> 0 THEN 'echo ' || text END AS output, CASE WHEN length(text) % 7 = 0 THEN 'RuntimeError: refused' END AS error FROM conversations"
 ORACLE["parse_sections"] = f"""SELECT conv_id AS conv_key, turn AS chunk_ord, CASE WHEN turn % 5 = 3 THEN {q(K.NOTE_NO_OBJECT)} END AS error,
-  CASE WHEN turn % 5 <> 3 THEN 'State of turn ' || CAST(turn AS STRING) END AS now, CASE WHEN turn % 5 <> 3 THEN 1 END AS n_decided, CASE WHEN turn % 5 <> 3 THEN 2 END AS n_open,
-  CASE turn % 5 WHEN 3 THEN NULL WHEN 2 THEN 0 ELSE 2 END AS n_verbatim, CASE WHEN turn % 5 <> 3 THEN 'use Plan ' || CAST((turn + 1) % 2 AS STRING) END AS idea,
+  CASE WHEN turn % 5 <> 3 THEN 'State of turn ' || CAST(turn AS STRING) END AS now, CASE WHEN turn % 5 <> 3 THEN CAST(1 AS BIGINT) END AS n_decided, CASE WHEN turn % 5 <> 3 THEN CAST(2 AS BIGINT) END AS n_open,
+  CASE turn % 5 WHEN 3 THEN NULL WHEN 2 THEN CAST(0 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS n_verbatim, CASE WHEN turn % 5 <> 3 THEN 'use Plan ' || CAST((turn + 1) % 2 AS STRING) END AS idea,
   CASE WHEN turn % 5 NOT IN (2, 3) THEN 'constraint' END AS kind, CASE WHEN turn % 5 NOT IN (2, 3) THEN text END AS value, CASE WHEN turn % 5 NOT IN (2, 3) THEN 'chat' END AS source FROM conversations"""
 MODES = "modes AS (SELECT conv_id AS conv_key, count(*) AS chunks, count(*) FILTER (turn % 5 <> 3) AS parsed_chunks FROM conversations GROUP BY 1)"
 ORACLE["select_minibriefs"] = f"WITH {MODES} SELECT *, CASE parsed_chunks WHEN 0 THEN 'deterministic' WHEN 1 THEN 'single' ELSE 'merge' END AS mode FROM modes"
@@ -356,7 +356,7 @@ SELECT doc_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE round({OVER.for
 ORACLE["guarantee_count"] = f"""WITH {FACTS}, files AS (SELECT conv_key, src, ordinal, pos, name FROM f_made UNION ALL SELECT conv_id, 2, turn, 0, 'part_' || CAST(turn AS STRING) || '.md' FROM conversations WHERE role = 'assistant'),
 nows AS (SELECT DISTINCT conv_id AS conv_key, CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' Made PART_1.md and part_2.md ' END AS now FROM conversations),
 v AS (SELECT conv_key, now, count(name) AS n, bool_and(contains(lower(now), lower(name))) AS named, string_agg(name, ', ' ORDER BY src, ordinal, pos) AS names FROM nows LEFT JOIN files USING (conv_key) GROUP BY 1, 2)
-SELECT conv_key, 0 AS part, CASE WHEN n >= 2 AND NOT named THEN CASE WHEN now = '' THEN '' ELSE trim(now) || ' ' END || 'Files produced in this chat (' || CAST(n AS STRING) || '): ' || names || '.' ELSE now END AS now FROM v WHERE n >= 2 AND NOT named OR now <> ''"""
+SELECT conv_key, CAST(0 AS BIGINT) AS part, CASE WHEN n >= 2 AND NOT named THEN CASE WHEN now = '' THEN '' ELSE trim(now) || ' ' END || 'Files produced in this chat (' || CAST(n AS STRING) || '): ' || names || '.' ELSE now END AS now FROM v WHERE n >= 2 AND NOT named OR now <> ''"""
 
 # -- rendering ---------------------------------------------------------------------------------------------------
 
@@ -398,14 +398,14 @@ bodies AS (SELECT conv_key, coalesce(n_verb, 0) AS n_verb, coalesce(n_files, 0)
   FROM nows LEFT JOIN verb USING (conv_key) LEFT JOIN attach USING (conv_key) LEFT JOIN odd USING (conv_key)),
 framed AS (SELECT *, CASE WHEN n_odd > 0 THEN {banner('n_odd')} || {NL} ELSE '' END || body AS inner_,
   '# Handoff brief, Chat ' || CAST(conv_key AS STRING) || {NL} || {NL} || '_briefspark · schema v1 · produced by deterministic · generated 2026-06-26._' || {NL} AS head FROM bodies)"""
-ORACLE["render_body"] = f"WITH {BRIEF} SELECT conv_key, 0 AS part, body FROM bodies"
-ORACLE["render_brief"] = f"""WITH {BRIEF} SELECT conv_key, 0 AS part, head || {NL} || inner_ AS human_md, {q(K.RESUME_HEADER)} || {NL} || inner_ || {NL} || {q(K.RESUME_FOOTER)} AS resume_prompt FROM framed"""
+ORACLE["render_body"] = f"WITH {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, body FROM bodies"
+ORACLE["render_brief"] = f"""WITH {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, head || {NL} || inner_ AS human_md, {q(K.RESUME_HEADER)} || {NL} || inner_ || {NL} || {q(K.RESUME_FOOTER)} AS resume_prompt FROM framed"""
 
 # -- evaluation -----------------------------------------------------------------------------------------------------
 
 CARD = f"""{BRIEF}, sizes AS (SELECT conv_key, sum(length({UNIT})) + 2 * (count(*) - 1) AS full_chars FROM seeded GROUP BY 1),
 card AS (SELECT conv_key AS id, CAST(full_chars AS BIGINT) AS full_chars, length(head || {NL} || inner_) AS brief_chars, 1 - length(head || {NL} || inner_) / full_chars AS reduction, n_odd = 0 AS integrity_complete,
-  0 AS decided, 0 AS open, 0 AS rejected, n_verb AS verbatim, n_files AS files FROM framed JOIN sizes USING (conv_key))"""
+  CAST(0 AS BIGINT) AS decided, CAST(0 AS BIGINT) AS open, CAST(0 AS BIGINT) AS rejected, n_verb AS verbatim, n_files AS files FROM framed JOIN sizes USING (conv_key))"""
 ORACLE["brief_metrics"] = f"WITH {CARD} SELECT id, full_chars, brief_chars, round(reduction, 6) AS reduction, integrity_complete, decided, open, rejected, verbatim, files FROM card"
 ORACLE["scorecard_markdown"] = f"""WITH {CARD} SELECT id, '| ' || CAST(id AS STRING) || ' | ' || CAST(full_chars AS STRING) || '→' || CAST(brief_chars AS STRING) || ' (−' || CAST(CAST(floor(reduction * 100 + 0.5) AS BIGINT) AS STRING) || '%) | ' ||
   CASE WHEN integrity_complete THEN '✓' ELSE '⚠ partial' END || ' | 0/0/0/' || CAST(verbatim AS STRING) || '/' || CAST(files AS STRING) || ' | ,  |' AS line FROM card"""

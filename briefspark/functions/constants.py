@@ -38,10 +38,11 @@ FENCE = r"```([0-9A-Za-z_.+-]*)\n([\s\S]*?)```"
 URL = rf"\bhttps?://[^{BLANK}{URL_STOP}]+"
 VERBS = "GET|POST|PUT|PATCH|DELETE"
 ENDPOINT = rf"\b({VERBS})[{BLANK}]+(/[^{BLANK}{URL_STOP}]+)"
-FILENAME = (
-    r"\b([0-9A-Za-z_./-]+\.(?:ts|tsx|js|jsx|py|rb|go|rs|java|kt|c|cpp|h|cs|php"
-    r"|swift|sql|json|ya?ml|toml|md|txt|env|sh|html|css|scss))\b"
+FILE_ENDING = (
+    r"\.(?:ts|tsx|js|jsx|py|rb|go|rs|java|kt|c|cpp|h|cs|php"
+    r"|swift|sql|json|ya?ml|toml|md|txt|env|sh|html|css|scss)"
 )
+FILENAME = rf"\b([0-9A-Za-z_./-]+{FILE_ENDING})\b"
 CELL = r"[A-Z]{1,3}\$?[0-9]{1,4}"
 FORMULA = (
     rf"(?:\b{CELL}[{BLANK}]*=[{BLANK}]*|=[{BLANK}]*){CELL}"

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A Column used n times in an expression is n copies of its tree; inside a lambda
+    each of them is evaluated for every element.  Binding it to the variable of a
+    one-element transform keeps both the plan and the work small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     """Strip Unicode blanks on both sides; Spark's trim only strips U+0020."""
     return F.regexp_replace(c, rf"^[{K.BLANK}]+|[{K.BLANK}]+\z", "")
@@ -111,21 +123,25 @@ def common_subject(labels: Column) -> Column:
         F.transform(labels, js_trim),
         lambda x: (F.length(x) > 0) & (F.lower(x) != "image"),
     )
-    words = F.transform(clean, lambda x: F.split(x, rf"[{K.BLANK}]+"))
-    first = F.get(words, F.lit(0))
-    places = F.sequence(F.lit(0), F.greatest(F.size(first), F.lit(1)) - 1)
-    differs = F.filter(
-        places,
-        lambda i: ~F.forall(
-            words, lambda w: F.lower(F.get(w, i)).eqNullSafe(F.lower(F.get(first, i)))
-        ),
-    )
-    shared = F.coalesce(F.array_min(differs), F.size(first))
-    return (
-        F.when(F.coalesce(F.size(clean), F.lit(0)) == 0, F.lit("image"))
-        .when((F.size(clean) > 1) & (shared >= 2), F.array_join(F.slice(first, F.lit(1), F.greatest(shared, F.lit(0))), " "))
-        .otherwise(F.get(clean, F.lit(0)))
-    )
+
+    def shared_words(words: Column) -> Column:
+        first = F.get(words, F.lit(0))
+        differs = F.filter(
+            F.sequence(F.lit(0), F.size(first) - 1),
+            lambda i: ~F.forall(words, lambda w: F.lower(F.get(w, i)).eqNullSafe(F.lower(F.get(first, i)))),
+        )
+        return F.slice(first, F.lit(1), F.coalesce(F.array_min(differs), F.size(first)))
+
+    def choose(kept: Column) -> Column:
+        words = F.transform(kept, lambda x: F.split(x, rf"[{K.BLANK}]+"))
+        prefix = F.when(F.size(kept) > 1, let(words, shared_words))
+        return F.when(F.size(kept) == 0, F.lit("image")).otherwise(
+            F.coalesce(
+                let(prefix, lambda p: F.when(F.size(p) >= 2, F.array_join(p, " "))), F.get(kept, F.lit(0))
+            )
+        )
+
+    return let(clean, choose)
 
 
 def image_subject(labels: Column, from_search: Column) -> Column:
@@ -143,22 +159,23 @@ def compact_json(text: Column) -> Column:
 
 def one_line_preview(text: Column) -> Column:
     line = js_trim(F.regexp_replace(text, rf"[{K.BLANK}]+", " "))
-    return F.when(
-        F.length(line) > K.PREVIEW_CHARS,
-        F.concat(F.substring(line, 1, K.PREVIEW_CHARS), F.lit("…")),
-    ).otherwise(line)
+    cut = lambda x: F.when(
+        F.length(x) > K.PREVIEW_CHARS, F.concat(F.substring(x, 1, K.PREVIEW_CHARS), F.lit("…"))
+    ).otherwise(x)
+    return let(line, cut)
 
 
 def variant_text(v: Column, path: str = "$") -> Column:
     """The string at the path, NULL for any other JSON type."""
-    leaf = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(leaf) == "STRING", F.try_variant_get(leaf, "$", "string"))
+    return let(
+        F.try_variant_get(v, path, "variant"),
+        lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")),
+    )
 
 
 def variant_field(v: Column, path: str) -> Column:
     """The value at the path with JSON null folded into SQL NULL."""
-    leaf = F.try_variant_get(v, path, "variant")
-    return F.when(~F.is_variant_null(leaf), leaf)
+    return let(F.try_variant_get(v, path, "variant"), lambda x: F.when(~F.is_variant_null(x), x))
 
 
 def variant_list(v: Column, path: str = "$") -> Column:
@@ -166,42 +183,47 @@ def variant_list(v: Column, path: str = "$") -> Column:
 
 
 def variant_truthy(v: Column, path: str = "$") -> Column:
-    leaf = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(leaf)
-    return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean"))
-        .when(kind == "STRING", F.length(F.try_variant_get(leaf, "$", "string")) > 0)
-        .when(
-            kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(True)
+
+    def test(p: Column) -> Column:
+        leaf, kind = p["x"], p["kind"]
+        return (
+            F.when(kind == "VOID", F.lit(False))
+            .when(kind == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean"))
+            .when(kind == "STRING", F.length(F.try_variant_get(leaf, "$", "string")) > 0)
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(True))
+            .otherwise(F.try_variant_get(leaf, "$", "double") != 0)
         )
-        .otherwise(F.try_variant_get(leaf, "$", "double") != 0),
-        F.lit(False),
+
+    typed = let(
+        F.try_variant_get(v, path, "variant"),
+        lambda x: F.struct(x.alias("x"), F.schema_of_variant(x).alias("kind")),
     )
+    return F.coalesce(let(typed, test), F.lit(False))
 
 
 def source_lines(pairs: Column) -> Column:
     """Array of (title, url) -> the block of source lines, empty when none."""
     lines = F.transform(pairs, lambda p: F.concat(F.lit("- "), p["title"], F.lit(": "), p["url"]))
-    return F.when(
-        F.coalesce(F.size(pairs), F.lit(0)) > 0,
-        F.concat(F.lit("\n\nSources:\n"), F.array_join(lines, "\n")),
-    ).otherwise(F.lit(""))
+    joined = F.nullif(F.array_join(lines, "\n"), F.lit(""))
+    return F.coalesce(F.concat(F.lit("\n\nSources:\n"), joined), F.lit(""))
 
 
 def first_per_url(pairs: Column) -> Column:
     """Keep the first pair of each url, in order."""
-    urls = F.transform(pairs, lambda p: p["url"])
-    return F.filter(pairs, lambda p, i: F.array_position(urls, p["url"]) == i + 1)
+    return let(
+        pairs,
+        lambda ps: F.filter(ps, lambda p, i: F.array_position(F.transform(ps, lambda x: x["url"]), p["url"]) == i + 1),
+    )
 
 
 def last_title_per_url(pairs: Column) -> Column:
     """Keep each url at its first place with the title seen last."""
-    urls = F.array_distinct(F.transform(pairs, lambda p: p["url"]))
-    return F.transform(
-        urls,
-        lambda u: F.struct(
-            F.element_at(F.filter(pairs, lambda p: p["url"] == u), -1)["title"].alias("title"),
-            u.alias("url"),
+    return let(
+        pairs,
+        lambda ps: F.transform(
+            F.array_distinct(F.transform(ps, lambda p: p["url"])),
+            lambda u: F.struct(
+                F.element_at(F.filter(ps, lambda p: p["url"] == u), -1)["title"].alias("title"), u.alias("url")
+            ),
         ),
     )

@@ -32,46 +32,61 @@ def block_type(v: Column) -> Column:
     return F.coalesce(T.variant_text(v, "$.type"), F.lit(""))
 
 
-def display_artifact(raw: Column, v: Column) -> Column:
-    """The artifact shown by a tool call: struct(title, filename, language, content)."""
-    shown = F.try_variant_get(v, "$.input.display_content", "variant")
-    as_text = T.variant_text(shown)
-    held = F.when(as_text.isNotNull(), F.try_parse_json(as_text)).otherwise(shown)
-    code = F.coalesce(T.variant_field(held, "$.code"), T.variant_field(held, "$.content"))
-    raw_code = F.coalesce(
-        F.get_json_object(raw, "$.input.display_content.code"),
-        F.get_json_object(raw, "$.input.display_content.content"),
-    )
-    content = F.coalesce(
-        T.variant_text(code),
-        F.when(as_text.isNotNull(), as_text).otherwise(F.coalesce(T.compact_json(raw_code), F.lit(""))),
-    )
-    filename = F.nullif(T.variant_text(held, "$.filename"), F.lit(""))
-    return F.when(
-        (block_type(v) == "tool_use") & filename.isNotNull(),
-        F.struct(
-            T.variant_text(held, "$.title").alias("title"),
-            filename.alias("filename"),
-            T.variant_text(held, "$.language").alias("language"),
-            content.alias("content"),
+def _held(v: Column) -> Column:
+    """struct(held, as_text): what a tool call displays, as a JSON object."""
+    return T.let(
+        F.try_variant_get(v, "$.input.display_content", "variant"),
+        lambda shown: T.let(
+            T.variant_text(shown),
+            lambda text: F.struct(
+                F.when(text.isNotNull(), F.try_parse_json(text)).otherwise(shown).alias("held"),
+                text.alias("as_text"),
+            ),
         ),
     )
 
 
+def display_artifact(raw: Column, v: Column) -> Column:
+    """The artifact shown by a tool call: struct(title, filename, language, content)."""
+
+    def content(h: Column) -> Column:
+        code = F.coalesce(T.variant_field(h["held"], "$.code"), T.variant_field(h["held"], "$.content"))
+        raw_code = F.coalesce(
+            F.get_json_object(raw, "$.input.display_content.code"),
+            F.get_json_object(raw, "$.input.display_content.content"),
+            F.lit(""),
+        )
+        return F.coalesce(T.variant_text(code), h["as_text"], T.compact_json(raw_code))
+
+    def shape(h: Column) -> Column:
+        filename = F.nullif(T.variant_text(h["held"], "$.filename"), F.lit(""))
+        return T.let(
+            filename,
+            lambda name: F.when(
+                name.isNotNull(),
+                F.struct(
+                    T.variant_text(h["held"], "$.title").alias("title"),
+                    name.alias("filename"),
+                    T.variant_text(h["held"], "$.language").alias("language"),
+                    content(h).alias("content"),
+                ),
+            ),
+        )
+
+    return F.when(block_type(v) == "tool_use", T.let(_held(v), shape))
+
+
 def has_display_artifact(v: Column) -> Column:
-    shown = F.try_variant_get(v, "$.input.display_content", "variant")
-    as_text = T.variant_text(shown)
-    held = F.when(as_text.isNotNull(), F.try_parse_json(as_text)).otherwise(shown)
-    return F.coalesce(F.length(T.variant_text(held, "$.filename")) > 0, F.lit(False))
+    return T.let(_held(v), lambda h: F.coalesce(F.length(T.variant_text(h["held"], "$.filename")) > 0, F.lit(False)))
 
 
 def block_kind(v: Column) -> Column:
-    kind = block_type(v)
-    return (
-        F.when(kind == "text", F.lit("text"))
+    return T.let(
+        block_type(v),
+        lambda kind: F.when(kind == "text", F.lit("text"))
         .when(kind == "tool_use", F.when(has_display_artifact(v), F.lit("artifact")).otherwise(F.lit("tool")))
         .when(kind.isin(*K.NOISE_BLOCKS), F.lit("tool-noise"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.lit("unknown")),
     )
 
 
@@ -93,7 +108,7 @@ def block_citations(v: Column) -> Column:
         ),
     )
     http = F.filter(cites, lambda c: F.coalesce(c["url"].rlike("(?i)^https?://"), F.lit(False)))
-    return F.coalesce(http, F.array().cast(PAIR))
+    return F.coalesce(http.cast(PAIR), F.array().cast(PAIR))
 
 
 def image_label(v: Column) -> Column:
@@ -158,6 +173,9 @@ def search_finds(blocks: pd.Series) -> pd.Series:
     return blocks.map(find)
 
 
+search_finds = search_finds.asNondeterministic()
+
+
 def search_input(raws: Column, kinds: Column) -> Column:
     """The JSON list that ``search_finds`` reads; NULL when no block is a search result."""
     asked = F.filter(

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefspark.functions import text as T
 from briefspark.operators.ordered import block_of, dense_ordinal, last_wins, running
 
 FOLD_NODES = 2_000
@@ -25,30 +26,34 @@ def walk(ids: Column, parents: Column, leaf: Column) -> Column:
     The last entry of a repeated id counts, a missing parent ends the walk, a
     repeated node ends it too.  NULL when the leaf is missing or unknown.
     """
-    size = F.size(ids)
-    backwards = F.reverse(ids)
-
-    def place(key: Column) -> Column:  # 1-based place of the last such id, 0 if none
-        found = F.array_position(backwards, key)
-        return F.when(F.coalesce(found, F.lit(0)) > 0, size - found + 1).otherwise(F.lit(0)).cast("int")
-
-    # After as many steps as there are nodes any cycle has closed, so the
-    # distinct places in order are the walk up to the first repetition.
-    path = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        F.array(place(leaf)),
-        lambda acc, _: F.when(
-            (F.element_at(acc, -1) == 0)
-            | (F.array_position(acc, F.element_at(acc, -1)) < F.size(acc)),
-            acc,
-        ).otherwise(
-            F.concat(acc, F.array(place(F.get(parents, F.element_at(acc, -1) - 1))))
+
+    def place(backwards: Column, key: Column) -> Column:  # place of the last such id, -1 if none
+        found = F.coalesce(F.array_position(backwards, key), F.lit(0)).cast("int")
+        return T.let(found, lambda p: F.when(p > 0, F.size(backwards) - p).otherwise(F.lit(-1)))
+
+    def follow(s: Column) -> Column:
+        """s: struct(up, start); after as many steps as there are nodes any cycle has
+        closed, so the distinct places in order are the walk up to a repetition."""
+        up = s["up"]
+        path = F.aggregate(
+            up,
+            F.array(s["start"]),
+            lambda acc, _: T.let(
+                F.element_at(acc, -1),
+                lambda at: F.when(at < 0, acc).otherwise(F.concat(acc, F.array(F.get(up, at)))),
+            ),
+        )
+        return F.when(
+            s["start"] >= 0, F.reverse(F.array_distinct(F.filter(path, lambda p: p >= 0)))
+        )
+
+    return T.let(
+        F.reverse(ids),
+        lambda back: T.let(
+            F.struct(F.transform(parents, lambda p: place(back, p)).alias("up"), place(back, leaf).alias("start")),
+            follow,
         ),
     )
-    found = F.array_distinct(F.filter(path, lambda p: p > 0))
-    return F.when(
-        place(leaf) > 0, F.transform(F.reverse(found), lambda p: p - 1)
-    )
 
 
 def active_branch(nodes: DataFrame, leaf: DataFrame, fold_nodes: int = FOLD_NODES) -> DataFrame:

@@ -64,9 +64,11 @@ def facts_in(messages: DataFrame, *finders, text: str = "text") -> DataFrame:
     """
     c = F.col(text)
     found = finders[0](c) if len(finders) == 1 else F.concat(*[F.coalesce(f(c), F.array().cast(FACT)) for f in finders])
+    # outer, then filtered: for the inner form the optimizer adds a filter on the
+    # size of the array, which would run every pattern twice
     return messages.select(
-        "conv_key", F.col("ordinal").cast("bigint").alias("ordinal"), F.inline(found)
-    )
+        "conv_key", F.col("ordinal").cast("bigint").alias("ordinal"), F.inline_outer(found)
+    ).filter(F.col("kind").isNotNull())
 
 
 def first_facts(facts: DataFrame) -> DataFrame:
@@ -130,8 +132,8 @@ def markdown_tables(text: Column) -> Column:
 
 def extract_tables(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.filter(F.contains(F.col(text), F.lit("|"))).select(
-        "conv_key", "ordinal", F.posexplode(markdown_tables(F.col(text))).alias("pos", "table")
-    )
+        "conv_key", "ordinal", F.posexplode_outer(markdown_tables(F.col(text))).alias("pos", "table")
+    ).filter(F.col("table").isNotNull())
 
 
 def table_facts(src: int = SRC_TABLE_MESSAGE):
@@ -157,11 +159,13 @@ def table_cells(tables: DataFrame, table: str = "table") -> DataFrame:
     lines = F.filter(F.split(T.js_trim(F.col(table)), "\n"), lambda x: F.contains(x, F.lit("|")))
 
     def cells(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\|"), T.js_trim)
-        skip = F.when(F.get(parts, F.lit(0)) == "", F.lit(1)).otherwise(F.lit(0))
-        cut = F.slice(parts, skip + 1, F.size(parts))
-        last = F.when((F.size(cut) > 0) & (F.get(cut, F.size(cut) - 1) == ""), F.lit(1)).otherwise(F.lit(0))
-        return F.slice(cut, F.lit(1), F.size(cut) - last)
+        skip = lambda p: F.slice(p, F.when(F.get(p, F.lit(0)) == "", F.lit(2)).otherwise(F.lit(1)), F.size(p))
+        last = lambda c: F.slice(
+            c,
+            F.lit(1),
+            F.size(c) - F.when(F.get(c, F.size(c) - 1) == "", F.lit(1)).otherwise(F.lit(0)),
+        )
+        return T.let(T.let(F.transform(F.split(line, r"\|"), T.js_trim), skip), last)
 
     keep = [c for c in tables.columns if c != table]
     shaped = tables.select(*keep, lines.alias("__lines")).filter(
@@ -347,7 +351,7 @@ def generated_facts(text: Column) -> Column:
 
 
 def mentioned_facts(text: Column) -> Column:
-    hits = F.when(F.contains(text, F.lit(".")), T.find_all(text, K.FILENAME, 1))
+    hits = F.when(text.rlike(K.FILE_ENDING), T.find_all(text, K.FILENAME, 1))
     found = F.transform(
         hits, lambda p, i: fact(SRC_FILE_REFERENCED, i, MENTIONED_FILE, K.WHY_REFERENCED, p, key=T.stem_of(p))
     )

@@ -13,16 +13,14 @@ the sorted artifacts of a conversation.  What keeps that stream small:
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
-from briefspark.operators.ordered import block_of, previous
+from briefspark.operators.ordered import block_of, fold_sorted, previous
 
 
 def draft_similarity(artifacts: DataFrame) -> DataFrame:
@@ -37,45 +35,39 @@ def draft_similarity(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _slots(threshold: float):
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: list[frozenset] = []  # word set of the current version of each slot
-        rows: list[tuple] = []  # (slot ordinal, ordinal of the current version)
-        holders: dict[int, set[int]] = defaultdict(set)  # word -> slots that have it
-        key = None
-        for pdf in batches:
-            for conv, ordinal, tokens in zip(pdf["conv_key"], pdf["ordinal"], pdf["tokens"]):
-                key = conv
-                words = frozenset(int(t) for t in tokens)
-                shared: dict[int, int] = defaultdict(int)
-                for w in words:
-                    for s in holders.get(w, ()):
-                        shared[s] += 1
-                home = min(
-                    (s for s, n in shared.items() if n / (len(words) + len(sets[s]) - n) >= threshold),
-                    default=None,
-                )
-                if home is None:
-                    home = len(sets)
-                    sets.append(words)
-                    rows.append((ordinal, ordinal))
-                else:
-                    for w in sets[home]:
-                        holders[w].discard(home)
-                    sets[home] = words
-                    rows[home] = (rows[home][0], ordinal)
-                for w in words:
-                    holders[w].add(home)
-        if rows:
-            yield pd.DataFrame(
-                {
-                    "conv_key": [key] * len(rows),
-                    "slot": [r[0] for r in rows],
-                    "ordinal": [r[1] for r in rows],
-                }
-            )
-
-    return stream
+class _Slots:
+    """The kept versions of one conversation, with the slots that hold each word."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.sets: list[frozenset] = []
+        self.kept: list[tuple] = []  # (slot ordinal, ordinal of the current version)
+        self.holders: dict[int, set[int]] = defaultdict(set)
+
+    def _home(self, words: frozenset) -> int | None:
+        shared = Counter(s for w in words for s in self.holders.get(w, ()))
+        alike = [
+            s for s, n in shared.items() if n / (len(words) + len(self.sets[s]) - n) >= self.threshold
+        ]
+        return min(alike, default=None)
+
+    def add(self, ordinal, tokens) -> None:
+        words = frozenset(tokens.tolist())
+        home = self._home(words)
+        if home is None:
+            home = len(self.sets)
+            self.sets.append(words)
+            self.kept.append((ordinal, ordinal))
+        else:
+            for w in self.sets[home]:
+                self.holders[w].discard(home)
+            self.sets[home] = words
+            self.kept[home] = (self.kept[home][0], ordinal)
+        for w in words:
+            self.holders[w].add(home)
+
+    def rows(self) -> list[tuple]:
+        return self.kept
 
 
 def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD) -> DataFrame:
@@ -97,15 +89,12 @@ def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOL
     nxt = F.lead(F.struct("copy_of", "size")).over(
         Window.partitionBy("conv_key", block_of("ordinal")).orderBy("ordinal")
     )
-    kept = (
+    worded = (
         prints.withColumn("__next", nxt)
         .filter((F.size("tokens") >= K.TOKEN_SET_MIN) & ~F.col("__next").eqNullSafe(F.struct("copy_of", "size")))
         .select("conv_key", "ordinal", "tokens")
-        .repartition("conv_key")
-        .sortWithinPartitions("conv_key", "ordinal")
-        .groupBy("conv_key")
-        .applyInPandas(_slots(threshold), schema=_schema(artifacts))
     )
+    kept = fold_sorted(worded, ["conv_key"], ["ordinal"], _schema(artifacts), lambda: _Slots(threshold))
     tiny = prints.filter(F.size("tokens") < K.TOKEN_SET_MIN).select(
         "conv_key", "ordinal", F.col("ordinal").alias("slot")
     )

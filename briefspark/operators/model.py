@@ -104,6 +104,9 @@ def repaired_json(texts: pd.Series) -> pd.Series:
     return texts.map(repair)
 
 
+repaired_json = repaired_json.asNondeterministic()
+
+
 def _object_text(text: Column) -> Column:
     """From the first opening to the last closing brace; "" when there is none."""
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
@@ -119,7 +122,9 @@ def _sections(v: Column) -> Column:
     def optional(x: Column, name: str) -> Column:
         return F.nullif(text(x, name), F.lit(""))
 
-    kind = lambda x: F.when(text(x, "kind").isin(*K.VERBATIM_KINDS), text(x, "kind")).otherwise(F.lit("constraint"))
+    kind = lambda x: T.let(
+        text(x, "kind"), lambda k: F.when(k.isin(*K.VERBATIM_KINDS), k).otherwise(F.lit("constraint"))
+    )
     source = lambda x: F.when(text(x, "source") == "referenced", F.lit("referenced")).otherwise(F.lit("chat"))
     return F.struct(
         F.coalesce(T.variant_text(v, "$.now"), F.lit("")).alias("now"),
@@ -168,34 +173,45 @@ def parse_sections(outputs: DataFrame) -> DataFrame:
     """outputs(.., output, error) -> + sections, parse error kept in ``error``.
 
     The first fenced body is read when there is one, else the whole text; when
-    the fence holds no JSON the whole text is tried too.  Only rows that Spark
-    cannot parse go through Python, which repairs truncated JSON.
+    the fence holds no JSON the whole text is tried too.  Only the texts that Spark
+    cannot parse are sent to Python, which repairs truncated JSON.
     """
     trimmed = T.js_trim(F.coalesce("output", F.lit("")))
-    fence = F.regexp_extract(trimmed, rf"```(?:json)?[{K.BLANK}]*([\s\S]*?)```", 1)
-    shaped = (
-        outputs.withColumn("__fenced", _object_text(fence))
-        .withColumn("__whole", _object_text(trimmed))
-        .withColumn("__text", F.when(F.col("__fenced") != "", F.col("__fenced")).otherwise(F.col("__whole")))
-        .withColumn("__v", F.coalesce(F.try_parse_json("__text"), F.try_parse_json("__whole")))
+    fence = lambda t: F.regexp_extract(t, rf"```(?:json)?[{K.BLANK}]*([\s\S]*?)```", 1)
+    texts = T.let(
+        trimmed,
+        lambda t: F.struct(_object_text(fence(t)).alias("fenced"), _object_text(t).alias("whole")),
     )
-    clean = shaped.filter(F.col("__v").isNotNull() | (F.col("__text") == ""))
-    broken = shaped.filter(F.col("__v").isNull() & (F.col("__text") != "")).withColumn(
-        "__v", F.try_parse_json(repaired_json("__text"))
+    chosen = T.let(
+        texts,
+        lambda t: T.let(
+            F.when(t["fenced"] != "", t["fenced"]).otherwise(t["whole"]),
+            lambda text: F.struct(
+                text.alias("text"), F.coalesce(F.try_parse_json(text), F.try_parse_json(t["whole"])).alias("v")
+            ),
+        ),
     )
-    both = clean.unionByName(broken)
-    failed = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("__text") == "", F.lit(K.NOTE_NO_OBJECT))
-        .when(F.col("__v").isNull(), F.lit(K.NOTE_BAD_JSON))
-        .when(_has_null_item(F.col("__v")), F.lit("null item in a section"))
+    tried = outputs.withColumn("__t", chosen)
+    broken = F.when(F.col("__t.v").isNull() & (F.col("__t.text") != ""), F.col("__t.text"))
+    mended = tried.withColumn("__fix", repaired_json(broken))
+
+    def check(v: Column) -> Column:
+        return (
+            F.when(F.col("error").isNotNull(), F.col("error"))
+            .when(F.col("__t.text") == "", F.lit(K.NOTE_NO_OBJECT))
+            .when(v.isNull(), F.lit(K.NOTE_BAD_JSON))
+            .when(_has_null_item(v), F.lit("null item in a section"))
+        )
+
+    result = T.let(
+        F.coalesce("__t.v", F.try_parse_json("__fix")),
+        lambda v: T.let(
+            check(v),
+            lambda e: F.struct(e.alias("error"), F.when(e.isNull(), _sections(v)).alias("sections")),
+        ),
     )
     keep = [c for c in outputs.columns if c != "error"]
-    return (
-        both.withColumn("error", failed)
-        .withColumn("sections", F.when(F.col("error").isNull(), _sections(F.col("__v"))))
-        .select(*keep, "error", "sections")
-    )
+    return mended.withColumn("__r", result).select(*keep, "__r.error", "__r.sections")
 
 
 # -- one result per conversation ----------------------------------------------------------
@@ -300,8 +316,8 @@ def section_items(parsed: DataFrame) -> DataFrame:
     empty = F.filter(F.array(item("now", F.lit(0), F.lit(""), none, none, none)), lambda x: F.lit(False))
     every = F.concat(F.coalesce(now, empty), *lists)
     return (
-        parsed.filter(F.col(s).isNotNull())
-        .select("conv_key", "chunk_ord", F.explode(every).alias("i"))
+        parsed.select("conv_key", "chunk_ord", F.explode_outer(every).alias("i"))
+        .filter(F.col("i").isNotNull())
         .select("conv_key", "chunk_ord", "i.section", "i.pos", "i.a", "i.b", "i.c", "i.d")
     )
 

@@ -10,9 +10,11 @@ conversation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,44 @@ def dense_ordinal(df: DataFrame, keys: Sequence[str], ordinal: str, name: str) -
     return numbered.select(*df.columns, (F.col("__n") - 1).alias(name))
 
 
+def fold_sorted(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    schema: str,
+    make: Callable[[], Any],
+) -> DataFrame:
+    """An ordered fold per key, for rules that depend on everything before.
+
+    ``make()`` gives a state with ``add(*other columns)`` and ``rows()``, a list of
+    tuples that follow the keys in ``schema``.  Rows of a partition are read sorted
+    and as a stream, many keys per batch; only the state of one key is in memory.
+    """
+    columns = [*keys, *[c for c in df.columns if c not in keys]]
+    names = [part.split()[0] for part in schema.split(",")]
+    width = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, out = None, None, []
+        for pdf in batches:
+            for row in zip(*(pdf[c] for c in columns)):
+                if key != row[:width]:
+                    if state is not None:
+                        out.extend(key + r for r in state.rows())
+                    key, state = row[:width], make()
+                state.add(*row[width:])
+            if out:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out = []
+        if state is not None:
+            out.extend(key + r for r in state.rows())
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    arranged = df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return arranged.mapInPandas(run, schema)
+
+
 @dataclass(frozen=True)
 class Rule:
     """How the units of one code are put together.

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections import Counter, defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from briefspark.operators.extract import (
     name_units,
     opening_units,
 )
-from briefspark.operators.ordered import assemble, first_wins
+from briefspark.operators.ordered import assemble, first_wins, fold_sorted
 
 MODEL_FIRST = 1_000  # order offset that puts added facts after the model's items
 
@@ -63,31 +61,28 @@ def table_overlap(a: Column, b: Column) -> Column:
     )
 
 
-def _missing_tables(threshold: float):
-    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: list[frozenset] = []
-        holders: dict[int, list[int]] = {}
-        added = []
-        for pdf in batches:
-            for src, ordinal, pos, model, tokens in zip(
-                pdf["src"], pdf["ordinal"], pdf["pos"], pdf["is_model"], pdf["tokens"]
-            ):
-                words = frozenset(int(t) for t in tokens)
-                if not model:
-                    shared: dict[int, int] = {}
-                    for w in words:
-                        for k in holders.get(w, ()):
-                            shared[k] = shared.get(k, 0) + 1
-                    if any(n / min(len(words), len(known[k])) >= threshold for k, n in shared.items()):
-                        continue
-                    added.append((key[0], src, ordinal, pos))
-                for w in words:
-                    holders.setdefault(w, []).append(len(known))
-                known.append(words)
-        if added:
-            yield pd.DataFrame(added, columns=["conv_key", "src", "ordinal", "pos"])
-
-    return stream
+class _Covered:
+    """Token sets of the tables a conversation has, and which extracted ones it lacked."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.known: list[frozenset] = []
+        self.holders: dict[int, list[int]] = defaultdict(list)
+        self.added: list[tuple] = []
+
+    def add(self, turn, src, ordinal, pos, tokens) -> None:
+        words = frozenset(tokens.tolist())
+        if turn == 1:
+            shared = Counter(k for w in words for k in self.holders.get(w, ()))
+            if any(n / min(len(words), len(self.known[k])) >= self.threshold for k, n in shared.items()):
+                return
+            self.added.append((src, ordinal, pos))
+        for w in words:
+            self.holders[w].append(len(self.known))
+        self.known.append(words)
+
+    def rows(self) -> list[tuple]:
+        return self.added
 
 
 def guarantee_tables(model: DataFrame, deterministic: DataFrame, threshold: float = K.TABLE_OVERLAP) -> DataFrame:
@@ -99,23 +94,22 @@ def guarantee_tables(model: DataFrame, deterministic: DataFrame, threshold: floa
     """
     key = dict(deterministic.dtypes)["conv_key"]
 
-    def prints(df: DataFrame, is_model: bool) -> DataFrame:
+    def prints(df: DataFrame, turn: int) -> DataFrame:
         return df.filter(F.col("kind") == "table").select(
             "conv_key",
+            F.lit(turn).alias("turn"),
             "src",
             "ordinal",
             "pos",
-            F.lit(is_model).alias("is_model"),
             F.transform(T.overlap_tokens(F.col("value")), lambda t: F.xxhash64(t)).alias("tokens"),
-            F.lit(0 if is_model else 1).alias("turn"),
         )
 
-    both = prints(model, True).unionByName(prints(deterministic, False))
-    added = (
-        both.repartition("conv_key")
-        .sortWithinPartitions("conv_key", "turn", "src", "ordinal", "pos")
-        .groupBy("conv_key")
-        .applyInPandas(_missing_tables(threshold), f"conv_key {key}, src int, ordinal bigint, pos int")
+    added = fold_sorted(
+        prints(model, 0).unionByName(prints(deterministic, 1)),
+        ["conv_key"],
+        ["turn", "src", "ordinal", "pos"],
+        f"conv_key {key}, src int, ordinal bigint, pos int",
+        lambda: _Covered(threshold),
     )
     tables = deterministic.filter(F.col("kind") == "table").join(added, ["conv_key", "src", "ordinal", "pos"])
     return model.select(*VERBATIM).unionByName(

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +19,7 @@ from pyspark.sql.types import StringType
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
-from briefspark.operators.ordered import first_wins, last_wins
+from briefspark.operators.ordered import first_wins, fold_sorted, last_wins
 
 STAMP_BITS = 20
 
@@ -136,7 +134,7 @@ def _call(text) -> dict:
 
 
 STATE = (
-    "conv_key {key}, path string, content string, place bigint, write_ord bigint, manifest_ord bigint"
+    "conv_key {key}, __group string, path string, content string, place bigint, write_ord bigint, manifest_ord bigint"
 )
 
 
@@ -169,25 +167,26 @@ def replay_files(events: DataFrame) -> DataFrame:
         .filter(F.coalesce("__tied", F.lit(False)) | ~F.col("__shell"))
     )
 
-    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        box = Sandbox()
-        for pdf in batches:
-            for at, name, call in zip(pdf["ord"], pdf["name"], pdf["input"]):
-                box.apply(int(at), name, _call(call))
-        rows = box.state()
-        if rows:
-            out = pd.DataFrame(rows).assign(conv_key=key[0])
-            yield out[["conv_key", "path", "content", "place", "write_ord", "manifest_ord"]].astype(
-                {"place": "Int64", "write_ord": "Int64", "manifest_ord": "Int64"}
-            )
-
-    return (
-        routed.select("conv_key", "__group", "ord", "name", "input")
-        .repartition("conv_key", "__group")
-        .sortWithinPartitions("conv_key", "__group", "ord")
-        .groupBy("conv_key", "__group")
-        .applyInPandas(stream, STATE.format(key=key_type))
+    folded = fold_sorted(
+        routed.select("conv_key", "__group", "ord", "name", "input"),
+        ["conv_key", "__group"],
+        ["ord"],
+        STATE.format(key=key_type),
+        _SandboxFold,
     )
+    return folded.drop("__group")
+
+
+class _SandboxFold:
+    def __init__(self) -> None:
+        self.box = Sandbox()
+
+    def add(self, at, name, call) -> None:
+        self.box.apply(int(at), name, _call(call))
+
+    def rows(self) -> list[tuple]:
+        names = ("path", "content", "place", "write_ord", "manifest_ord")
+        return [tuple(entry[n] for n in names) for entry in self.box.state()]
 
 
 def choose_deliverables(state: DataFrame) -> DataFrame:
@@ -312,30 +311,32 @@ def replay_canvas(events: DataFrame) -> DataFrame:
     """
     key_type = dict(events.dtypes)["conv_key"]
 
-    def stream(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, first = None, None
-        for pdf in batches:
-            for at, recipient, body, kind in zip(pdf["ord"], pdf["recipient"], pdf["body"], pdf["doc_type"]):
-                doc = edit_canvas(doc, recipient, body, kind)
-                first = int(at) if first is None and doc is not None else first
-        if doc is not None:
-            yield pd.DataFrame(
-                [(key[0], first, key[1], doc["name"], doc["type"], doc["content"])],
-                columns=["conv_key", "first_ord", "doc_id", "name", "doc_type", "content"],
-            )
-
-    keyed = events.withColumn("doc_id", F.coalesce("doc_id", F.lit("default")))
-    return (
-        keyed.repartition("conv_key", "doc_id")
-        .sortWithinPartitions("conv_key", "doc_id", "ord")
-        .groupBy("conv_key", "doc_id")
-        .applyInPandas(
-            stream,
-            f"conv_key {key_type}, first_ord bigint, doc_id string, name string, doc_type string, content string",
-        )
+    keyed = events.select(
+        "conv_key", F.coalesce("doc_id", F.lit("default")).alias("doc_id"), "ord", "recipient", "body", "doc_type"
+    )
+    return fold_sorted(
+        keyed,
+        ["conv_key", "doc_id"],
+        ["ord"],
+        f"conv_key {key_type}, doc_id string, first_ord bigint, name string, doc_type string, content string",
+        _CanvasFold,
     )
 
 
+class _CanvasFold:
+    def __init__(self) -> None:
+        self.doc, self.first = None, None
+
+    def add(self, at, recipient, body, doc_type) -> None:
+        self.doc = edit_canvas(self.doc, recipient, body, doc_type)
+        if self.first is None and self.doc is not None:
+            self.first = int(at)
+
+    def rows(self) -> list[tuple]:
+        d = self.doc
+        return [] if d is None else [(self.first, d["name"], d["type"], d["content"])]
+
+
 # -- the same folds for a payload that is one row ------------------------------------------
 
 
@@ -352,6 +353,9 @@ def sandbox_state_json(events: pd.Series) -> pd.Series:
     return events.map(fold)
 
 
+sandbox_state_json = sandbox_state_json.asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def canvas_docs_json(events: pd.Series) -> pd.Series:
     """JSON list of canvas events of one payload -> JSON list of documents."""
@@ -366,3 +370,6 @@ def canvas_docs_json(events: pd.Series) -> pd.Series:
         return json.dumps([{"doc_id": k, **d} for k, d in docs.items()])
 
     return events.map(fold)
+
+
+canvas_docs_json = canvas_docs_json.asNondeterministic()

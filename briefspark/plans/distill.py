@@ -93,7 +93,6 @@ def chunk_prompts(units: DataFrame, make_prompt, max_chars: int = K.CHUNK_CHARS)
 
 
 def _items(sections: DataFrame) -> dict[str, DataFrame]:
-    s = sections.filter(F.col("sections").isNotNull())
     fields = {
         "decided": ["text", "replaces"],
         "open": ["text"],
@@ -102,7 +101,9 @@ def _items(sections: DataFrame) -> dict[str, DataFrame]:
         "files": ["name", "why", "source"],
     }
     return {
-        name: s.select("conv_key", F.posexplode(f"sections.{name}").alias("pos", "x")).select(
+        name: sections.select("conv_key", F.posexplode_outer(f"sections.{name}").alias("pos", "x"))
+        .filter(F.col("x").isNotNull())
+        .select(
             "conv_key",
             F.lit(0).alias("src"),
             F.lit(0).cast("bigint").alias("ordinal"),

@@ -27,11 +27,10 @@ DOCS = "array<struct<doc_id:string,name:string,type:string,content:string>>"
 
 
 def _text(content: Column) -> Column:
-    parts = T.variant_list(content["parts"])
-    strings = F.filter(F.transform(parts, lambda p: T.variant_text(p)), lambda p: p.isNotNull())
+    strings = F.filter(F.transform(T.variant_list(content["parts"]), lambda p: T.variant_text(p)), lambda p: p.isNotNull())
     kind = content["content_type"]
     return F.coalesce(
-        F.when(kind.isin("text", "multimodal_text") & parts.isNotNull(), T.js_trim(F.array_join(strings, "\n"))),
+        F.when(kind.isin("text", "multimodal_text"), T.js_trim(F.array_join(strings, "\n"))),
         F.when(kind == "text", T.js_trim(T.variant_text(content["text"]))),
         F.lit(""),
     )
@@ -51,8 +50,10 @@ def _sources(meta: Column) -> Column:
     )
 
     def pair(x: Column) -> Column:
-        url = F.nullif(T.variant_text(x, "$.url"), F.lit(""))
-        return F.struct(F.coalesce(T.variant_text(x, "$.title"), url).alias("title"), url.alias("url"))
+        return T.let(
+            F.nullif(T.variant_text(x, "$.url"), F.lit("")),
+            lambda url: F.struct(F.coalesce(T.variant_text(x, "$.title"), url).alias("title"), url.alias("url")),
+        )
 
     pairs = F.filter(F.transform(F.concat(items, cited), pair), lambda p: p["url"].isNotNull())
     return T.source_lines(T.last_title_per_url(pairs))
@@ -90,7 +91,7 @@ def normalize_chatgpt(payloads: DataFrame) -> Transcript:
     branched = parsed.withColumn("at", F.coalesce(places, by_time)).withColumn(
         "seen",
         F.filter(
-            F.transform("at", lambda i: F.get("nodes", i)["value"]),
+            T.let(F.col("nodes"), lambda ns: F.transform("at", lambda i: F.get(ns, i)["value"])),
             lambda n: n["message"].isNotNull()
             & ~T.variant_truthy(n["message"]["metadata"], "$.is_visually_hidden_from_conversation")
             & F.coalesce(n["message"]["author"]["role"] != "system", F.lit(True)),
@@ -128,7 +129,7 @@ def normalize_chatgpt(payloads: DataFrame) -> Transcript:
     edited = shaped.filter(F.size("events") > 0).select(
         "conv_key", F.from_json(canvas_docs_json(F.to_json("events")), DOCS).alias("docs")
     )
-    artifacts = explode_artifacts(
+    artifacts = lambda: explode_artifacts(
         edited,
         F.transform(
             "docs",

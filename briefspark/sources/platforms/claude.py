@@ -40,7 +40,7 @@ def _branch(payloads: DataFrame) -> DataFrame:
         F.transform("all", lambda m: m["parent_message_uuid"]),
         F.nullif(F.col("p.current_leaf_message_uuid"), F.lit("")),
     )
-    walked = F.transform(places, lambda i: F.get("all", i))
+    walked = T.let(F.col("all"), lambda every: F.transform(places, lambda i: F.get(every, i)))
     return parsed.withColumn("on", F.coalesce(walked, F.col("all")))
 
 
@@ -50,10 +50,12 @@ def _messages_type() -> str:
 
 def _blocks(content: Column) -> Column:
     """array<struct(raw, v)> of a content list; NULL when it is no list or empty."""
-    raws = F.from_json(F.when(content.startswith("["), content), "array<string>")
-    return F.when(
-        F.size(raws) > 0,
-        F.transform(raws, lambda r: F.struct(r.alias("raw"), F.try_parse_json(r).alias("v"))),
+    return T.let(
+        F.from_json(F.when(content.startswith("["), content), "array<string>"),
+        lambda raws: F.when(
+            F.size(raws) > 0,
+            F.transform(raws, lambda r: F.struct(r.alias("raw"), F.try_parse_json(r).alias("v"))),
+        ),
     )
 
 
@@ -66,12 +68,17 @@ def _joined_text(blocks: Column, flat: Column) -> Column:
 
 
 def _artifacts_of(m: Column) -> Column:
-    blocks = _blocks(m["content"])
+    return T.let(_blocks(m["content"]), lambda blocks: _artifacts_in(m, blocks))
+
+
+def _artifacts_in(m: Column, blocks: Column) -> Column:
     shown = F.filter(
         F.transform(blocks, lambda b: B.display_artifact(b["raw"], b["v"])), lambda a: a.isNotNull()
     )
-    text = _joined_text(blocks, m["text"])
-    tagged = F.when(F.contains(text, F.lit("<antArtifact")), B.tag_artifacts(text))
+    tagged = T.let(
+        _joined_text(blocks, m["text"]),
+        lambda text: F.when(F.contains(text, F.lit("<antArtifact")), B.tag_artifacts(text)),
+    )
 
     def full(fmt):
         return lambda a: artifact(
@@ -118,13 +125,14 @@ def claude_blocks(payloads: DataFrame) -> DataFrame:
     """blocks(conv_key, msg_ord, msg_uuid, block_ord, raw) on the active branch."""
     return (
         _branch(payloads)
-        .select("conv_key", F.posexplode("on").alias("msg_ord", "m"))
+        .select("conv_key", F.posexplode_outer("on").alias("msg_ord", "m"))
         .select(
             "conv_key",
             F.col("msg_ord").cast("bigint").alias("msg_ord"),
             F.col("m.uuid").alias("msg_uuid"),
-            F.posexplode(_blocks(F.col("m.content"))).alias("block_ord", "b"),
+            F.posexplode_outer(_blocks(F.col("m.content"))).alias("block_ord", "b"),
         )
+        .filter(F.col("b").isNotNull())
         .select("conv_key", "msg_ord", "msg_uuid", F.col("block_ord").cast("bigint").alias("block_ord"), "b.raw")
     )
 
@@ -162,7 +170,8 @@ def claude_tool_events(payloads: DataFrame) -> DataFrame:
 def _messages(branch: DataFrame) -> DataFrame:
     rows = (
         branch.filter("ok")
-        .select("conv_key", F.posexplode("on").alias("ordinal", "m"))
+        .select("conv_key", F.posexplode_outer("on").alias("ordinal", "m"))
+        .filter(F.col("m").isNotNull())
         .withColumn("blocks", _blocks(F.col("m.content")))
         .withColumn("kinds", F.transform("blocks", lambda b: B.block_type(b["v"])))
         .withColumn("joined", _joined_text(F.col("blocks"), F.col("m.text")))
@@ -216,42 +225,35 @@ def _messages(branch: DataFrame) -> DataFrame:
     )
 
 
-def normalize_claude(payloads: DataFrame) -> Transcript:
-    branch = _branch(payloads)
-    every = F.flatten(
+def _integrity(branch: DataFrame) -> DataFrame:
+    counted = branch.filter("ok").select(
+        "conv_key", F.transform(_every_block(), lambda b: B.block_kind(b["v"])).alias("kinds")
+    )
+    return counted.select(
+        "conv_key",
+        F.coalesce(F.size("kinds"), F.lit(0)).cast("bigint").alias("total_blocks"),
+        F.coalesce(F.size(F.filter("kinds", lambda k: k != "unknown")), F.lit(0)).cast("bigint").alias("classified_blocks"),
+    ).withColumn("complete", F.col("total_blocks") == F.col("classified_blocks"))
+
+
+def _every_block() -> Column:
+    """All blocks of the branch; a flat text counts as one text block."""
+    flat = F.struct(F.lit("{}").alias("raw"), F.try_parse_json(F.lit('{"type":"text"}')).alias("v"))
+    return F.flatten(
         F.transform(
             "on",
             lambda m: F.coalesce(
                 _blocks(m["content"]),
-                F.when(
-                    T.variant_text(m["text"]).isNotNull(),
-                    F.array(
-                        F.struct(
-                            F.lit("{}").alias("raw"), F.try_parse_json(F.lit('{"type":"text"}')).alias("v")
-                        )
-                    ),
-                ),
+                F.when(T.variant_text(m["text"]).isNotNull(), F.array(flat)),
                 F.array().cast("array<struct<raw:string,v:variant>>"),
             ),
         )
     )
-    counted = branch.filter("ok").select(
-        "conv_key", F.transform(every, lambda b: B.block_kind(b["v"])).alias("kinds")
-    )
-    integrity = counted.select(
-        "conv_key",
-        F.coalesce(F.size("kinds"), F.lit(0)).cast("bigint").alias("total_blocks"),
-        F.coalesce(F.size(F.filter("kinds", lambda k: k != "unknown")), F.lit(0)).cast("bigint").alias("classified_blocks"),
-    ).withColumn("complete", F.col("total_blocks") == F.col("classified_blocks"))
 
-    unknown = (
-        B.classify_blocks(claude_blocks(payloads))
-        .filter(F.col("kind") == "unknown")
-        .select("conv_key", "msg_ord", "block_ord", "msg_uuid", "hint", "preview")
-    )
 
+def _artifacts(branch: DataFrame) -> DataFrame:
     events = F.transform(
-        F.filter(every, lambda b: B.block_kind(b["v"]) == "tool"),
+        F.filter(_every_block(), lambda b: B.block_kind(b["v"]) == "tool"),
         lambda b: F.struct(
             F.coalesce(T.variant_text(b["v"], "$.name"), F.lit("")).alias("name"),
             F.get_json_object(b["raw"], "$.input").alias("input"),
@@ -260,30 +262,33 @@ def normalize_claude(payloads: DataFrame) -> Transcript:
     with_artifacts = branch.filter("ok").filter(
         F.contains(F.col("payload"), F.lit("tool_use")) | F.contains(F.col("payload"), F.lit("<antArtifact"))
     )
-    state = F.from_json(sandbox_state_json(F.to_json("events")), STATE)
     made = (
         with_artifacts.select(
-            "conv_key",
-            F.flatten(F.transform("on", _artifacts_of)).alias("inline"),
-            events.alias("events"),
+            "conv_key", F.flatten(F.transform("on", _artifacts_of)).alias("inline"), events.alias("events")
         )
-        .withColumn("state", state)
+        .withColumn("state", F.from_json(sandbox_state_json(F.to_json("events")), STATE))
         .select("conv_key", F.concat("inline", deliverables_of(F.col("state")).cast(ARTIFACT)).alias("arts"))
     )
-    files = B.uploads(claude_attachments(payloads))
+    return explode_artifacts(made, F.col("arts"))
+
+
+def normalize_claude(payloads: DataFrame) -> Transcript:
+    branch = _branch(payloads)
     return Transcript(
-        meta=branch.filter("ok").select(
+        meta=lambda: branch.filter("ok").select(
             "conv_key",
             F.col("p.uuid").alias("conversation_id"),
             title_or(T.variant_text(F.col("p.name")), K.UNTITLED).alias("title"),
             "captured_at",
         ),
-        messages=_messages(branch),
-        artifacts=explode_artifacts(made, F.col("arts")),
-        uploads=files,
-        integrity=integrity,
-        unknown=unknown,
-        errors=branch.select(
+        messages=lambda: _messages(branch),
+        artifacts=lambda: _artifacts(branch),
+        uploads=lambda: B.uploads(claude_attachments(payloads)),
+        integrity=lambda: _integrity(branch),
+        unknown=lambda: B.classify_blocks(claude_blocks(payloads))
+        .filter(F.col("kind") == "unknown")
+        .select("conv_key", "msg_ord", "block_ord", "msg_uuid", "hint", "preview"),
+        errors=lambda: branch.select(
             "conv_key",
             F.when(F.col("payload").isNull(), F.lit("no payload"))
             .when(~F.col("ok"), F.lit("payload is not valid JSON"))

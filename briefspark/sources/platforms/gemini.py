@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
@@ -21,21 +21,28 @@ from briefspark.sources.transcript import (
 )
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def longest_strings(blocks: pd.Series) -> pd.Series:
-    """The longest string in the nested lists of each JSON text (first of equals)."""
+def _longest(text: str) -> str:
+    """The longest string in the nested lists of a JSON text (first of equals)."""
+    best, todo = "", [json.loads(text)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            best = x if len(x) > len(best) else best
+        elif isinstance(x, list):
+            todo.extend(reversed(x))
+    return best
 
-    def longest(text):
-        best, todo = "", [json.loads(text)]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                best = x if len(x) > len(best) else best
-            elif isinstance(x, list):
-                todo.extend(reversed(x))
-        return best
 
-    return blocks.map(lambda texts: [longest(t) for t in texts])
+def _with_docs(df: DataFrame) -> DataFrame:
+    """df(conv_key, n, canvas) -> (conv_key, n, docs): the longest string of each block."""
+    key = dict(df.dtypes)["conv_key"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs = [[_longest(t) for t in ([] if c is None else c)] for c in pdf["canvas"]]
+            yield pd.DataFrame({"conv_key": pdf["conv_key"], "n": pdf["n"], "docs": docs})
+
+    return df.mapInPandas(read, f"conv_key {key}, n bigint, docs array<string>")
 
 
 def _text(v: Column, path: str) -> Column:
@@ -43,10 +50,11 @@ def _text(v: Column, path: str) -> Column:
 
 
 def _candidate_text(c: Column) -> Column:
-    primary = _text(c, "$[1][0]")
-    card = _text(c, "$[22][0]")
-    return F.when((primary != "") & ~primary.startswith(K.GEMINI_CARD), primary).otherwise(
-        F.coalesce(F.nullif(card, F.lit("")), primary)
+    return T.let(
+        _text(c, "$[1][0]"),
+        lambda primary: F.when((primary != "") & ~primary.startswith(K.GEMINI_CARD), primary).otherwise(
+            F.coalesce(F.nullif(_text(c, "$[22][0]"), F.lit("")), primary)
+        ),
     )
 
 
@@ -79,14 +87,19 @@ def normalize_gemini(payloads: DataFrame) -> Transcript:
     ).withColumn("ok", F.col("root").isNotNull())
 
     def turn(t: Column) -> Column:
-        drafts = T.variant_list(t, "$[3][0]")
-        spoken = F.filter(
-            drafts,
-            lambda c: F.schema_of_variant(c).startswith("ARRAY") & (_candidate_text(c) != ""),
-        )
-        return F.struct(
-            _text(t, "$[2][0][0]").alias("asked"),
-            F.coalesce(F.get(spoken, F.lit(0)), F.get(drafts, F.lit(0))).alias("candidate"),
+        def pick(drafts: Column) -> Column:
+            spoken = F.filter(drafts, lambda c: F.schema_of_variant(c).startswith("ARRAY") & (_candidate_text(c) != ""))
+            return F.coalesce(F.get(spoken, F.lit(0)), F.get(drafts, F.lit(0)))
+
+        return T.let(
+            T.let(T.variant_list(t, "$[3][0]"), pick),
+            lambda chosen: F.struct(
+                _text(t, "$[2][0][0]").alias("asked"),
+                F.coalesce(_candidate_text(chosen), F.lit("")).alias("said"),
+                F.when(
+                    T.variant_truthy(chosen, "$[30]"), F.to_json(F.try_variant_get(chosen, "$[30]", "variant"))
+                ).alias("canvas"),
+            ),
         )
 
     turns = parsed.withColumn(
@@ -101,7 +114,7 @@ def normalize_gemini(payloads: DataFrame) -> Transcript:
                     "turns",
                     lambda t: F.array(
                         message(none, F.lit("human"), t["asked"]),
-                        message(none, F.lit("assistant"), F.coalesce(_candidate_text(t["candidate"]), F.lit(""))),
+                        message(none, F.lit("assistant"), t["said"]),
                     ),
                 )
             ),
@@ -109,45 +122,34 @@ def normalize_gemini(payloads: DataFrame) -> Transcript:
         ),
     ).withColumn(
         "canvas",
-        F.transform(
-            F.filter("turns", lambda t: T.variant_truthy(t["candidate"], "$[30]")),
-            lambda t: F.to_json(F.try_variant_get(t["candidate"], "$[30]", "variant")),
-        ),
+        F.filter(F.transform("turns", lambda t: t["canvas"]), lambda c: c.isNotNull()),
     )
-    with_docs = shaped.filter(F.size("canvas") > 0).select(
-        "conv_key", longest_strings("canvas").alias("docs")
-    )
-    docs = F.filter(
-        F.transform(
-            F.filter("docs", lambda d: F.length(d) > K.CANVAS_DOC_MIN), T.js_trim
-        ),
-        lambda d: d != "",
+    n = F.coalesce(F.size("msgs"), F.lit(0)).cast("bigint").alias("n")
+    kept = F.filter(
+        F.transform(F.filter("docs", lambda d: F.length(d) > K.CANVAS_DOC_MIN), T.js_trim), lambda d: d != ""
     )
-    artifacts = explode_artifacts(
-        with_docs,
-        F.transform(
-            docs,
+
+    # Python runs for these tables only, and only when they are asked for
+    def artifacts() -> DataFrame:
+        held = _with_docs(shaped.filter(F.size("canvas") > 0).select("conv_key", n, "canvas"))
+        made = F.transform(
+            kept,
             lambda d, i: artifact(
                 F.concat(F.lit("gemini-canvas-"), (i + 1).cast("string"), F.lit(".md")),
                 d,
                 msg_uuid=F.lit("gemini-canvas"),
                 presented=F.lit(True),
             ),
-        ),
-    )
-    # Python runs for this table only, and only when it is asked for
-    n_docs = F.coalesce(F.size(docs), F.lit(0))
-    total = (F.size("msgs") + n_docs).cast("bigint")
-    integrity = (
-        shaped.filter("ok")
-        .select("conv_key", "msgs", longest_strings(F.coalesce("canvas", F.array().cast("array<string>"))).alias("docs"))
-        .select(
-            "conv_key",
-            F.coalesce(total, F.lit(0)).alias("total_blocks"),
-            F.coalesce(total, F.lit(0)).alias("classified_blocks"),
-            F.lit(True).alias("complete"),
         )
-    )
+        return explode_artifacts(held, made)
+
+    def integrity() -> DataFrame:
+        held = _with_docs(shaped.filter("ok").select("conv_key", n, "canvas"))
+        total = (F.col("n") + F.size(kept)).cast("bigint")
+        return held.select(
+            "conv_key", total.alias("total_blocks"), total.alias("classified_blocks"), F.lit(True).alias("complete")
+        )
+
     return bundle(
         shaped,
         messages=renumber(F.col("msgs"), "gm"),

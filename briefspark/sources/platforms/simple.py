@@ -144,11 +144,13 @@ def normalize_perplexity(payloads: DataFrame) -> Transcript:
     )
 
     def source(s: Column) -> Column:
-        plain = T.variant_text(s)
-        url = F.coalesce(plain, T.variant_text(F.coalesce(T.variant_field(s, "$.url"), T.variant_field(s, "$.link"))))
+        link = F.coalesce(T.variant_field(s, "$.url"), T.variant_field(s, "$.link"))
         title = F.coalesce(T.variant_field(s, "$.title"), T.variant_field(s, "$.name"))
-        shown = F.coalesce(T.variant_text(title), F.to_json(title), url)
-        return F.struct(shown.alias("title"), url.alias("url"))
+        shown = T.let(title, lambda t: F.coalesce(T.variant_text(t), F.to_json(t)))
+        return T.let(
+            F.coalesce(T.variant_text(s), T.variant_text(link)),
+            lambda url: F.struct(F.coalesce(shown, url).alias("title"), url.alias("url")),
+        )
 
     def entry(m: Column) -> Column:
         asked = T.js_trim(F.coalesce(T.variant_text(m, "$.query"), F.lit("")))

@@ -7,7 +7,7 @@ and asking for one table prunes the work of the others.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
 
+NO_ARTIFACTS = (
+    "ordinal bigint, artifact_id string, title string, filename string, language string, content string,"
+    " format string, msg_uuid string, binary boolean, presented boolean"
+)
 MESSAGE = "array<struct<msg_uuid:string,role:string,text:string,images:array<string>,created_at:string>>"
 ARTIFACT = (
     "array<struct<title:string,filename:string,language:string,content:string,format:string,"
@@ -23,30 +27,41 @@ ARTIFACT = (
 )
 
 
-@dataclass
 class Transcript:
     """meta(conv_key, conversation_id, title, captured_at), messages, artifacts,
-    uploads, integrity, unknown, errors: all keyed by conv_key."""
+    uploads, integrity, unknown, errors: all keyed by conv_key.
 
-    meta: DataFrame
-    messages: DataFrame
-    artifacts: DataFrame
-    uploads: DataFrame
-    integrity: DataFrame
-    unknown: DataFrame
-    errors: DataFrame
+    A table may be given as a function that makes it; it is then made when it is
+    first asked for.
+    """
 
     TABLES = ("meta", "messages", "artifacts", "uploads", "integrity", "unknown", "errors")
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        if set(tables) != set(self.TABLES):
+            raise TypeError(f"a transcript consists of {', '.join(self.TABLES)}")
+        self._makers = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self.TABLES:
+            raise AttributeError(name)
+        made = self._makers[name]
+        table = made if isinstance(made, DataFrame) else made()
+        setattr(self, name, table)
+        return table
+
     @staticmethod
     def union(parts: list["Transcript"]) -> "Transcript":
-        return Transcript(
-            *[reduce(DataFrame.unionByName, [getattr(p, t) for p in parts]) for t in Transcript.TABLES]
-        )
+        def one(name: str) -> Callable[[], DataFrame]:
+            return lambda: reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
+
+        return Transcript(**{name: one(name) for name in Transcript.TABLES})
 
 
 def explode_messages(df: DataFrame, messages: Column) -> DataFrame:
-    return df.select("conv_key", F.posexplode(messages.cast(MESSAGE)).alias("ordinal", "m")).select(
+    return df.select("conv_key", F.posexplode_outer(messages.cast(MESSAGE)).alias("ordinal", "m")).filter(
+        F.col("m").isNotNull()
+    ).select(
         "conv_key",
         F.col("ordinal").cast("bigint").alias("ordinal"),
         "m.msg_uuid",
@@ -58,7 +73,9 @@ def explode_messages(df: DataFrame, messages: Column) -> DataFrame:
 
 
 def explode_artifacts(df: DataFrame, artifacts: Column) -> DataFrame:
-    return df.select("conv_key", F.posexplode(artifacts.cast(ARTIFACT)).alias("ordinal", "a")).select(
+    return df.select("conv_key", F.posexplode_outer(artifacts.cast(ARTIFACT)).alias("ordinal", "a")).filter(
+        F.col("a").isNotNull()
+    ).select(
         "conv_key",
         F.col("ordinal").cast("bigint").alias("ordinal"),
         F.concat(F.lit("artifact-"), (F.col("ordinal") + 1).cast("string")).alias("artifact_id"),
@@ -117,10 +134,10 @@ def bundle(
     messages: Column,
     conversation_id: Column,
     title: Column,
-    artifacts: DataFrame | None = None,
+    artifacts: DataFrame | Callable[[], DataFrame] | None = None,
     artifact_count: Column | None = None,
     uploads: DataFrame | None = None,
-    integrity: DataFrame | None = None,
+    integrity: DataFrame | Callable[[], DataFrame] | None = None,
     unknown: DataFrame | None = None,
 ) -> Transcript:
     """A transcript from a parsed payload table (conv_key, captured_at, payload, ok)."""
@@ -130,32 +147,29 @@ def bundle(
     key = dict(parsed.dtypes)["conv_key"]
     empty = lambda ddl: spark.createDataFrame([], f"conv_key {key}, {ddl}")
     return Transcript(
-        meta=parsed.filter("ok").select(
+        meta=lambda: parsed.filter("ok").select(
             "conv_key",
             conversation_id.alias("conversation_id"),
             title.alias("title"),
             F.col("captured_at"),
         ),
-        messages=explode_messages(parsed.filter("ok"), messages),
-        artifacts=empty(
-            "ordinal bigint, artifact_id string, title string, filename string, language string, content string,"
-            " format string, msg_uuid string, binary boolean, presented boolean"
-        )
+        messages=lambda: explode_messages(parsed.filter("ok"), messages),
+        artifacts=(lambda: empty(NO_ARTIFACTS))
         if artifacts is None
         else artifacts,
-        uploads=empty("ordinal bigint, name string, type string") if uploads is None else uploads,
-        integrity=parsed.filter("ok").select(
+        uploads=(lambda: empty("ordinal bigint, name string, type string")) if uploads is None else uploads,
+        integrity=(lambda: parsed.filter("ok").select(
             "conv_key",
             total.alias("total_blocks"),
             total.alias("classified_blocks"),
             F.lit(True).alias("complete"),
-        )
+        ))
         if integrity is None
         else integrity,
-        unknown=empty("msg_ord bigint, block_ord bigint, msg_uuid string, hint string, preview string")
+        unknown=(lambda: empty("msg_ord bigint, block_ord bigint, msg_uuid string, hint string, preview string"))
         if unknown is None
         else unknown,
-        errors=parsed.select(
+        errors=lambda: parsed.select(
             "conv_key",
             F.when(F.col("payload").isNull(), F.lit("no payload"))
             .when(~F.col("ok"), F.lit("payload is not valid JSON"))
@@ -198,17 +212,14 @@ def normalize_simple(messages: DataFrame, meta: DataFrame | None = None) -> Tran
     return Transcript(
         meta=meta.withColumn("title", title_or(F.col("title"), K.UNTITLED)),
         messages=numbered,
-        artifacts=empty(
-            "ordinal bigint, artifact_id string, title string, filename string, language string, content string,"
-            " format string, msg_uuid string, binary boolean, presented boolean"
-        ),
-        uploads=empty("ordinal bigint, name string, type string"),
+        artifacts=lambda: empty(NO_ARTIFACTS),
+        uploads=lambda: empty("ordinal bigint, name string, type string"),
         integrity=counted.select(
             "conv_key",
             "total_blocks",
             F.col("total_blocks").alias("classified_blocks"),
             F.lit(True).alias("complete"),
         ),
-        unknown=empty("msg_ord bigint, block_ord bigint, msg_uuid string, hint string, preview string"),
+        unknown=lambda: empty("msg_ord bigint, block_ord bigint, msg_uuid string, hint string, preview string"),
         errors=counted.filter("total_blocks = 0").select("conv_key", F.lit("no messages parsed").alias("error")),
     )

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
@@ -340,27 +340,33 @@ class _CanvasFold:
 # -- the same folds for a payload that is one row ------------------------------------------
 
 
-@F.pandas_udf(StringType())
-def sandbox_state_json(events: pd.Series) -> pd.Series:
+def _with_fold(df: DataFrame, column: str, name: str, fold: Callable[[str | None], str]) -> DataFrame:
+    """df + ``name``: the fold of the JSON text in ``column``, row by row in Arrow batches."""
+    ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{name: [fold(text) for text in pdf[column]]})
+
+    return df.mapInPandas(run, ddl)
+
+
+def with_sandbox_state(df: DataFrame, column: str, name: str) -> DataFrame:
     """JSON list of {name, input} of one payload -> JSON list of state entries."""
 
-    def fold(text):
+    def fold(text: str | None) -> str:
         box = Sandbox()
         for at, e in enumerate(json.loads(text) if text else []):
             box.apply(at, e.get("name"), _call(e.get("input")))
         return json.dumps(box.state())
 
-    return events.map(fold)
+    return _with_fold(df, column, name, fold)
 
 
-sandbox_state_json = sandbox_state_json.asNondeterministic()
-
-
-@F.pandas_udf(StringType())
-def canvas_docs_json(events: pd.Series) -> pd.Series:
+def with_canvas_docs(df: DataFrame, column: str, name: str) -> DataFrame:
     """JSON list of canvas events of one payload -> JSON list of documents."""
 
-    def fold(text):
+    def fold(text: str | None) -> str:
         docs: dict[str, dict] = {}
         for e in json.loads(text) if text else []:
             key = e.get("doc_id") or "default"
@@ -369,7 +375,4 @@ def canvas_docs_json(events: pd.Series) -> pd.Series:
                 docs[key] = doc
         return json.dumps([{"doc_id": k, **d} for k, d in docs.items()])
 
-    return events.map(fold)
-
-
-canvas_docs_json = canvas_docs_json.asNondeterministic()
+    return _with_fold(df, column, name, fold)

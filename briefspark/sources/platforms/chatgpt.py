@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from briefspark.functions import text as T
 from briefspark.operators.branch import walk
-from briefspark.operators.replay import canvas_docs_json
+from briefspark.operators.replay import with_canvas_docs
 from briefspark.sources.transcript import (
     Transcript,
     artifact,
@@ -126,13 +126,11 @@ def normalize_chatgpt(payloads: DataFrame) -> Transcript:
             ),
         ),
     )
-    edited = shaped.filter(F.size("events") > 0).select(
-        "conv_key", F.from_json(canvas_docs_json(F.to_json("events")), DOCS).alias("docs")
-    )
+    edited = shaped.filter(F.size("events") > 0).select("conv_key", F.to_json("events").alias("events"))
     artifacts = lambda: explode_artifacts(
-        edited,
+        with_canvas_docs(edited, "events", "docs"),
         F.transform(
-            "docs",
+            F.from_json("docs", DOCS),
             lambda d: artifact(
                 T.canvas_filename(d["name"], d["type"]),
                 d["content"],

@@ -9,7 +9,7 @@ from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.operators import blocks as B
 from briefspark.operators.branch import walk
-from briefspark.operators.replay import sandbox_state_json
+from briefspark.operators.replay import with_sandbox_state
 from briefspark.sources.transcript import (
     ARTIFACT,
     Transcript,
@@ -264,10 +264,17 @@ def _artifacts(branch: DataFrame) -> DataFrame:
     )
     made = (
         with_artifacts.select(
-            "conv_key", F.flatten(F.transform("on", _artifacts_of)).alias("inline"), events.alias("events")
+            "conv_key",
+            F.to_json(F.flatten(F.transform("on", _artifacts_of))).alias("inline"),
+            F.to_json(events).alias("events"),
         )
-        .withColumn("state", F.from_json(sandbox_state_json(F.to_json("events")), STATE))
-        .select("conv_key", F.concat("inline", deliverables_of(F.col("state")).cast(ARTIFACT)).alias("arts"))
+    )
+    made = with_sandbox_state(made, "events", "state").select(
+        "conv_key",
+        F.concat(
+            F.from_json("inline", ARTIFACT),
+            T.let(F.from_json("state", STATE), deliverables_of).cast(ARTIFACT),
+        ).alias("arts"),
     )
     return explode_artifacts(made, F.col("arts"))
 

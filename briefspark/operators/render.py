@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
-from briefspark.functions import text as T
 from briefspark.operators.extract import NOW_OPENING, NOW_RULES
 from briefspark.operators.ordered import Rule, assemble, total_chars
 

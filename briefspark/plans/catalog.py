@@ -24,7 +24,6 @@ from briefspark.sources import pages as PG
 from briefspark.sources import payloads as PL
 from briefspark.sources import sinks as SK
 from briefspark.sources import store as ST
-from briefspark.sources.platforms import claude as CL
 from briefspark.sources.transcript import Transcript, normalize_simple
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

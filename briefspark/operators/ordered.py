@@ -103,8 +103,8 @@ def running(
 def previous(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """Add ``prev``: the row before within the key, as a struct of its columns.
 
-    Window and block tails read the same columns of the same rows, so both are
-    served by one exchange and the input is computed once.
+    The input is read twice, for the rows and for the last row of each block; give
+    narrow rows.
     """
     row = F.struct(ordinal, *[c for c in df.columns if c not in (*keys, ordinal)])
     cut = df.withColumn("__block", block_of(ordinal)).repartition(*keys, "__block")

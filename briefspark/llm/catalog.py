@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from briefspark.llm import chat
+from briefspark.llm import chat, maxscore
 
 QUERIES = {
     "op3_prefix_targets": chat.query,
+    "op7_maxscore": maxscore.query,
 }
 ORACLE = {
     "op3_prefix_targets": chat.SQL,
+    "op7_maxscore": maxscore.SQL,
 }

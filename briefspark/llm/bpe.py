@@ -133,7 +133,15 @@ class MergeAutomaton:
             self.add_gadget(k, model["vocab"][u], model["vocab"][v], model["vocab"][u + v])
         # only a token that merges make can stand in their output
         self.arc_of = {x: i for x, i in self.arc_of.items() if i in self.halves or len(x) == 1}
-        self.prefixes = {x[:n] for x in self.arc_of for n in range(1, len(x))}
+        self.longest = max(map(len, self.arc_of))
+        self.labels_tree: dict = {}  # byte -> (node, arc whose label ends here)
+        for label, arc in sorted(self.arc_of.items()):  # a prefix comes before what goes on
+            node = self.labels_tree
+            for byte in label[:-1]:
+                if byte not in node:
+                    node[byte] = ({}, None)
+                node = node[byte][0]
+            node[label[-1]] = ({}, arc)
         self.ends = Recent(lambda arc: self.end_of(*arc), ARCS)
         self.words = Recent(lambda word: self.path(word.encode()), WORDS)
         self.added = added
@@ -160,15 +168,15 @@ class MergeAutomaton:
 
     def starting(self, word: bytes, at: int) -> list[tuple[int, int]]:
         """(end, arc) of the labels that the word has at this place, shorter ones first."""
-        found, end = [], at
-        while end < len(word):
-            end += 1
-            piece = word[at:end]
-            arc = self.arc_of.get(piece)
-            if arc is not None:
-                found.append((end, arc))
-            if piece not in self.prefixes:
+        found, node = [], self.labels_tree
+        for byte in word[at : at + self.longest]:
+            hop = node.get(byte)
+            if hop is None:
                 break
+            node, arc = hop
+            at += 1
+            if arc is not None:
+                found.append((at, arc))
         return found
 
     def path(self, word: bytes) -> tuple[int, ...]:
@@ -178,21 +186,24 @@ class MergeAutomaton:
         from which no arc leads on is closed for good.
         """
         arcs: list[int] = []
-        places, open_arcs, closed = [0], [self.starting(word, 0)], set()
+        places, waiting, closed = [0], [self.starting(word, 0)], set()
+        ends, size = self.ends, len(word)
         while True:
-            if not open_arcs[-1]:
+            options, last = waiting[-1], arcs[-1] if arcs else None
+            while options:
+                end, arc = options.pop()
+                if end not in closed and (last is None or ends[last, arc] == NEVER):
+                    break
+            else:
                 closed.add(places.pop())
-                open_arcs.pop()
+                waiting.pop()
                 arcs.pop()
                 continue
-            end, arc = open_arcs[-1].pop()
-            if end in closed or (arcs and self.ends[arcs[-1], arc] != NEVER):
-                continue
             arcs.append(arc)
-            if end == len(word):
+            if end == size:
                 return tuple(arcs)
             places.append(end)
-            open_arcs.append(self.starting(word, end))
+            waiting.append(self.starting(word, end))
 
     def split(self, text: str) -> list[str]:
         if self.common.search(text) is None:

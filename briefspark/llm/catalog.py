@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from briefspark.llm import chat, maxscore
+from briefspark.llm import bpe, chat, maxscore
 
 QUERIES = {
     "op3_prefix_targets": chat.query,
     "op7_maxscore": maxscore.query,
+    "op9_bpe_automaton": bpe.query,
 }
 ORACLE = {
     "op3_prefix_targets": chat.SQL,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore
+from briefspark.llm import bpe, chat, maxscore, mincut
 
 QUERIES = {
     "op3_prefix_targets": chat.query,
     "op7_maxscore": maxscore.query,
     "op9_bpe_automaton": bpe.query,
+    "op10_mincut_text": mincut.query,
 }
 ORACLE = {
     "op3_prefix_targets": chat.SQL,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut
+from briefspark.llm import bpe, chat, maxscore, mincut, packing
 
 QUERIES = {
+    "op2_sum_of_squares": packing.query,
     "op3_prefix_targets": chat.query,
     "op7_maxscore": maxscore.query,
     "op9_bpe_automaton": bpe.query,

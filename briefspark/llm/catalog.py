@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut, packing
+from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash
 
 QUERIES = {
     "op2_sum_of_squares": packing.query,
     "op3_prefix_targets": chat.query,
+    "op5_prefix_hash": prefixhash.query,
     "op7_maxscore": maxscore.query,
     "op9_bpe_automaton": bpe.query,
     "op10_mincut_text": mincut.query,

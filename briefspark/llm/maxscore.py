@@ -1,21 +1,21 @@
 """MaxScore: exact top-k inner products over an inverted index in shards.
 
-A vector of integers is a document, a (dimension, sign) pair is a term, and the size of the
-component is the weight; a posting list holds the vectors whose component has that sign.
-For a query, the terms of its own signs add to the score and those of the other signs
-subtract from it, so the bound of a term is |query weight| times the largest weight in its
-list.  Per query and shard, vectors are taken in blocks of ascending id:
-
-1. The terms are put in order of their bounds.  Those at the small end whose bounds
-   together stay at or below the threshold (the k-th best score so far) are non-essential:
-   a vector in none of the other, essential, lists cannot get among the best.
-2. The essential lists are traversed, and what their weights add is summed.
+A vector of integers is a document and a dimension is a term with a posting list in every
+shard: the components of the shard's vectors, and the largest value of either sign.  The bound
+of a term for a query is the most that it can add: weight times largest value of that sign.
+Per query block and shard, vectors are taken in steps of ascending id:
+
+1. The terms of each query are put in order of their bounds.  Those at the small end whose
+   bounds together stay within SLACK of the threshold (the k-th best score so far) are
+   non-essential: a vector to which the essential terms add nothing cannot get among the best.
+2. The essential lists are traversed, which gives partial scores.
 3. Non-essential terms are looked up for the candidates, largest bound first; a candidate
-   leaves as soon as its sum plus the bounds that are left cannot beat the threshold.
-4. Survivors get the subtracting terms as well, and the k best are kept.
+   leaves as soon as its partial score plus the bounds that are left cannot beat the threshold.
+4. The k best of the old and the new scores are kept.
 
 As ids ascend, a later vector that only ties with the threshold cannot win (ties go to the
-smaller id).  Shards are independent; their k best are merged by rank.
+smaller id).  Without a threshold yet, all terms are essential.  Lists are dense arrays and a
+step handles many queries at once.  Shards are independent; their k best are merged by rank.
 
 Queries and vectors meet in blocks: every shard is read by every block of QUERY_BLOCK
 queries, so neither side is broadcast and nothing is sent to the driver but two counts.
@@ -28,8 +28,6 @@ lengths than the query's take no part in its search; fewer than k candidates giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,74 +37,74 @@ from briefspark.llm.common import small_batches, table
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
-#: Vectors of a shard that are scored between two looks at the threshold.
+#: Vectors of a shard, and queries, that are scored between two looks at the threshold.
 STEP_ROWS = 2048
+STEP_QUERIES = 512
+#: The part of the threshold that the non-essential terms may add together (at most 1).
+SLACK = 0.25
 
 
 class Shard:
-    """The posting lists of one shard: per step and (dimension, sign) the rows and weights."""
+    """The posting lists of one shard in steps of ascending ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, rows = ids[order], vectors[order]
-        self.steps = []
-        for start in range(0, len(rows), STEP_ROWS):
-            part = np.ascontiguousarray(rows[start : start + STEP_ROWS].T)  # by dimension
-            lists = []
-            for sign in (1, -1):
-                weights = [np.where(line * sign > 0, line * sign, 0) for line in part]
-                lists.append(
-                    [(at := np.flatnonzero(w), w[at], int(w.max(initial=0))) for w in weights]
-                )
-            self.steps.append((start, part, lists))
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and row places of the k best, ties to the smaller id."""
-        scores, places = np.empty(0, np.int64), np.empty(0, np.int64)
-        for start, part, lists in self.steps:
-            size = part.shape[1]
-            threshold = int(scores[k - 1]) if len(scores) >= k else None
-            terms = []
-            for d in np.flatnonzero(query):
-                weight = int(query[d])
-                rows, weights, largest = lists[0 if weight > 0 else 1][d]
-                terms.append((abs(weight) * largest, d, abs(weight), rows, weights))
-            terms.sort(key=lambda t: t[0])
-            spare, first = 0, 0  # bounds of the non-essential terms, and how many these are
-            if threshold is not None:
-                while first < len(terms) and spare + terms[first][0] <= threshold:
-                    spare += terms[first][0]
-                    first += 1
-                if first == len(terms):
-                    continue
-            total = np.zeros(size, np.int64)
-            seen = np.zeros(size, bool)
-            for _, _, weight, rows, weights in terms[first:]:
-                total[rows] += weight * weights
-                seen[rows] = True
-            if threshold is None or threshold < 0:
-                seen[:] = True  # a vector without any shared sign can still be among the best
-            alive = np.flatnonzero(seen & (self.ids[start : start + size] != query_id))
-            added = total[alive]
-            for bound, d, _, _, _ in reversed(terms[:first]):
-                if threshold is not None:
-                    stays = added + spare > threshold
-                    alive, added = alive[stays], added[stays]
-                spare -= bound
-                added = added + np.maximum(int(query[d]) * part[d, alive], 0)
-            for d in np.flatnonzero(query):
-                if threshold is not None:
-                    stays = added > threshold
-                    alive, added = alive[stays], added[stays]
-                added = added + np.minimum(int(query[d]) * part[d, alive], 0)
-            if threshold is not None:
-                stays = added > threshold
-                alive, added = alive[stays], added[stays]
-            scores = np.concatenate([scores, added])
-            places = np.concatenate([places, alive + start])
-            order = np.argsort(-scores, kind="stable")[:k]  # stable: earlier, smaller ids first
-            scores, places = scores[order], places[order]
-        return scores, places
+        self.ids, lists = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.steps = [
+            (start, np.ascontiguousarray(lists[:, start : start + STEP_ROWS]))
+            for start in range(0, len(ids), STEP_ROWS)
+        ]
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(place of the query, score, place of the vector) of the k best of each query."""
+        none = np.empty(0, np.int64)
+        of, scores, places = none, none, none
+        threshold = np.full(len(queries), -np.inf)
+        for start, lists in self.steps:
+            most, least = np.maximum(lists.max(1), 0), np.minimum(lists.min(1), 0)
+            bounds = np.maximum(queries * most, queries * least)
+            by_bound = np.argsort(bounds, axis=1, kind="stable")
+            summed = np.cumsum(np.take_along_axis(bounds, by_bound, 1), axis=1)
+            spared = (summed <= SLACK * threshold[:, None]).sum(1)  # non-essential terms
+            spare = np.where(spared > 0, np.take_along_axis(summed, np.maximum(spared - 1, 0)[:, None], 1)[:, 0], 0)
+            place = np.argsort(by_bound, axis=1)  # of each term in its query's order
+            essential = np.where(place >= spared[:, None], queries, 0)
+            partial = essential @ lists
+            partial[query_ids[:, None] == self.ids[None, start : start + lists.shape[1]]] = -np.inf
+            if np.isinf(threshold).any():
+                rows, at = _first_best(partial, k)
+            else:
+                rows, at = np.nonzero(partial + spare[:, None] > threshold[:, None])
+            found, left = partial[rows, at], spare[rows]
+            for step in range(int(spared.max(initial=0)), 0, -1):
+                due = spared[rows] >= step  # queries with that many non-essential terms
+                term = by_bound[rows, step - 1]
+                found = found + np.where(due, queries[rows, term] * lists[term, at], 0)
+                left = left - np.where(due, bounds[rows, term], 0)
+                stays = found + left > threshold[rows]
+                rows, at, found, left = rows[stays], at[stays], found[stays], left[stays]
+            stays = found > threshold[rows]
+            of = np.concatenate([of, rows[stays]])
+            scores = np.concatenate([scores, found[stays].astype(np.int64)])
+            places = np.concatenate([places, at[stays] + start])
+            order = np.lexsort((places, -scores, of))
+            of, scores, places = of[order], scores[order], places[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            of, scores, places = of[rank < k], scores[rank < k], places[rank < k]
+            last = np.flatnonzero(rank[rank < k] == k - 1)
+            threshold[of[last]] = scores[last]
+        return of, scores, places
+
+
+def _first_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each row (ties: the first ones); -inf takes no part."""
+    rows, size = scores.shape
+    if size <= k:
+        return np.nonzero(scores > -np.inf)
+    border = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    tied = scores == border
+    room = k - (scores > border).sum(1, keepdims=True)
+    return np.nonzero(((scores > border) | tied & (np.cumsum(tied, 1) <= room)) & (scores > -np.inf))
 
 
 def integer_vector(embedding: Column, scale: int) -> Column:
@@ -133,20 +131,17 @@ def max_score(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     found = vectors.select("vec_id", "terms", place(shards).alias("shard"), every(blocks).alias("block"))
 
     def search(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = {name: [] for name in ("query_id", "vec_id", "score")}
-        if len(asked) and len(found):
-            lengths = found["terms"].map(len)
-            for length, part in found.groupby(lengths):
-                shard = Shard(part["vec_id"].to_numpy(np.int64), np.stack(part["terms"].to_numpy()))
-                wanted = asked[asked["terms"].map(len) == length]
-                for query_id, terms in zip(wanted["vec_id"], wanted["terms"]):
-                    scores, places = shard.best(int(query_id), np.asarray(terms), k)
-                    out["query_id"].append(np.full(len(scores), query_id, np.int64))
-                    out["vec_id"].append(shard.ids[places])
-                    out["score"].append(scores)
-        return pd.DataFrame(
-            {n: np.concatenate(v) if v else np.empty(0, np.int64) for n, v in out.items()}
-        )
+        out = [pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "vec_id", "score")})]
+        for length, part in found.groupby(found["terms"].map(len)) if len(asked) and len(found) else ():
+            # exact in doubles; sums beyond 2^53 would need vectors of length 2^26
+            shard = Shard(part["vec_id"].to_numpy(np.int64), np.stack(part["terms"].to_numpy()).astype(float))
+            wanted = asked[asked["terms"].map(len) == length]
+            for start in range(0, len(wanted), STEP_QUERIES):
+                some = wanted.iloc[start : start + STEP_QUERIES]
+                ids = some["vec_id"].to_numpy(np.int64)
+                of, scores, places = shard.best(ids, np.stack(some["terms"].to_numpy()).astype(float), k)
+                out.append(pd.DataFrame({"query_id": ids[of], "vec_id": shard.ids[places], "score": scores}))
+        return pd.concat(out)
 
     best = (
         asked.groupBy("shard", "block")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash
+from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, warc
 
 QUERIES = {
+    "op1_warc_merge": warc.query,
     "op2_sum_of_squares": packing.query,
     "op3_prefix_targets": chat.query,
     "op5_prefix_hash": prefixhash.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_mincut_text": mincut.query,
 }
 ORACLE = {
+    "op1_warc_merge": warc.SQL,
     "op3_prefix_targets": chat.SQL,
     "op7_maxscore": maxscore.SQL,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, warc
+from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, simhash, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
     "op2_sum_of_squares": packing.query,
     "op3_prefix_targets": chat.query,
     "op5_prefix_hash": prefixhash.query,
+    "op6_simhash_pivots": simhash.query,
     "op7_maxscore": maxscore.query,
     "op9_bpe_automaton": bpe.query,
     "op10_mincut_text": mincut.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, simhash, warc
+from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_prefix_hash": prefixhash.query,
     "op6_simhash_pivots": simhash.query,
     "op7_maxscore": maxscore.query,
+    "op8_block_anchors": substrings.query,
     "op9_bpe_automaton": bpe.query,
     "op10_mincut_text": mincut.query,
 }
@@ -18,4 +19,5 @@ ORACLE = {
     "op1_warc_merge": warc.SQL,
     "op3_prefix_targets": chat.SQL,
     "op7_maxscore": maxscore.SQL,
+    "op8_block_anchors": substrings.SQL,
 }

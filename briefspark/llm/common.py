@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that reach a Python worker at once; texts may be long, so far fewer than Spark's default.
 BATCH_ROWS = 512
@@ -60,3 +61,14 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 def partitions(spark: SparkSession) -> int:
     """The number of partitions that the session deals shuffles out to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that hash partitioning by it deals there."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        numbers = spark.range(size).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
+        found = {r["p"]: r["label"] for r in numbers.groupBy("p").agg(F.min("id").alias("label")).collect()}
+        size *= 2
+    return [int(found[p]) for p in range(n)]

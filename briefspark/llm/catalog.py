@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
+from briefspark.llm import bpe, chat, language, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
     "op2_sum_of_squares": packing.query,
     "op3_prefix_targets": chat.query,
+    "op4_rank_order": language.query,
     "op5_prefix_hash": prefixhash.query,
     "op6_simhash_pivots": simhash.query,
     "op7_maxscore": maxscore.query,

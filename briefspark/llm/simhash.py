@@ -25,9 +25,8 @@ after; a hot fingerprint is one row in all that lies between.
 similarity of 0.8 or more.  At that similarity whole fingerprints differ by some 10 bits, so
 candidates come from VIEWS small fingerprints, each the SimHash of 4 shingles that the document
 samples by smallest hashes: a pair at 0.8 shares a given one with probability 0.41, at
-least one of 20 in all but 3 of 100,000 cases.  A bucket links its members to its most
-connected member and to the one before, since copies are closer to their original than to
-each other.  Pairs are discarded by the pivot distances of the whole fingerprints and verified
+least one of 20 in all but 3 of 100,000 cases.  A bucket offers each member its most connected
+member and one at random, since copies are closer to their original than to each other.  Pairs are discarded by the pivot distances of the whole fingerprints and verified
 by exact Jaccard similarity.  Documents of equal words are one representative throughout.
 
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other;
@@ -229,6 +228,164 @@ def components_of(documents: DataFrame, words: int = 3) -> DataFrame:
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- near-duplicates of 0.8 and more -------------------------------------------
+
+FEATURES = "uid long, doc_id long, digest binary, fp long, views array<long>"
+
+
+def sampling(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of n orders of the 64-bit numbers."""
+    numbers = [xxhash.xxh64_intdigest(b"order %d" % i, SEED) for i in range(2 * n)]
+    return np.array(numbers[:n], np.uint64) | np.uint64(1), np.array(numbers[n:], np.uint64)
+
+
+FACTORS, OFFSETS = sampling(VIEWS * SAMPLED)
+
+
+def view_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of the SAMPLED shingles that come first in each view's orders."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    chosen = np.zeros(len(FACTORS), np.uint64)
+    for start in range(0, len(hashes), 4096):
+        part = hashes[start : start + 4096]
+        order = (part[None, :] ^ OFFSETS[:, None]) * FACTORS[:, None]
+        at = order.argmin(1)
+        low = order[np.arange(len(at)), at]
+        chosen = np.where(low < least, part[at], chosen)
+        least = np.minimum(least, low)
+    bits = np.unpackbits(chosen.astype("<u8").view(np.uint8).reshape(VIEWS, SAMPLED, 8), axis=2, bitorder="little")
+    views = np.packbits(2 * bits.sum(1, dtype=np.int64) > SAMPLED, axis=1, bitorder="little").view("<u8").ravel()
+    return views ^ OFFSETS[:VIEWS]  # so that the keys of different views do not meet
+
+
+def features(documents: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text) -> a row of FEATURES each; uid is a hash of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, fps, views = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = np.unique(shingle_hashes(text or "", words))
+                spoken = b" ".join((text or "").encode().lower().split())
+                digests.append(xxhash.xxh3_128_digest(spoken))
+                fps.append(majority(hashes))
+                views.append(view_fingerprints(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["uid", "doc_id", "digest", "fp", "views"])
+
+    return map_batches(documents.select("uid", "doc_id", "text"), run, FEATURES)
+
+
+def candidates(rows: DataFrame, radius: int = FAR) -> DataFrame:
+    """(uid, fp, views) -> distinct (a, b), a < b, that pass the pivot table.
+
+    In every bucket of equal view fingerprints, members meet the one that shares most buckets
+    with others (the likely original) and one at random.
+    """
+    views = rows.select("uid", "fp", F.explode("views").alias("key"))
+    shared = views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = views.join(shared, "key")
+    weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
+    members = kept(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
+    centres = members.groupBy("key").agg(
+        F.max(F.struct("weight", "uid", "fp")).alias("most"),
+        F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp")).alias("any"),
+    )
+    both = F.array(*[F.struct(f"{c}.uid", f"{c}.fp") for c in ("most", "any")])
+    met = (
+        members.join(centres, "key")
+        .select("uid", "fp", F.explode(both).alias("c"))
+        .filter(F.col("uid") != F.col("c.uid"))
+    )
+    own, other = F.struct("uid", "fp"), F.struct("c.uid", "c.fp")
+    pairs = met.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).distinct()
+
+    def discard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.concatenate([batch.column(n).to_numpy() for n in (2, 3)]).view(np.uint64)
+            one = np.arange(batch.num_rows)
+            near = close_pairs(fps, pivot_table(fps), one, one + batch.num_rows, radius)
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    flat = pairs.select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"))
+    return map_batches(flat, discard, "a long, b long")
+
+
+def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    """(uid, text) -> (uid, shingles): 32 bits of every distinct shingle's hash, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [
+                np.unique((shingle_hashes(t or "", words) >> np.uint64(32)).astype("<u4")).tobytes()
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["uid", "shingles"])
+
+    return map_batches(documents.select("uid", "text"), run, "uid long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose sets have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(one, "<u4"), np.frombuffer(two, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    of = lambda end: sets.select(F.col("uid").alias(end), F.col("shingles").alias(f"{end}_set"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set")
+    return map_batches(joined, run, "a long, b long")
+
+
+def with_uid(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("uid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text) -> (uid, doc_id, group_id, n_links, stays) for every document.
+
+    group_id: the smallest doc_id of the group; n_links: verified links of the document's
+    text to other texts; stays: true for the one document that stands for the group (rows
+    that repeat both doc_id and text share their uid, and so all of this).
+    """
+    docs = with_uid(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = kept(features(docs, words))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
+    first = found.groupBy("digest").agg(F.min(order).alias("first"))
+    texts = kept(first.select("digest", "first", F.col("first.uid").alias("uid")))
+    pairs = kept(candidates(found.select("uid", "fp", "views").join(texts.select("uid"), "uid")))
+    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    sets = kept(shingle_sets(docs.join(ends, "uid").dropDuplicates(["uid"]), words))
+    near = kept(verified(pairs, sets, similarity))
+    rooted = texts.join(components(near).withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "root", F.coalesce("root", "uid")
+    )
+    groups = rooted.groupBy("root").agg(F.min("first").alias("stands"))
+    degree = (
+        near.select(F.col("a").alias("uid"))
+        .union(near.select(F.col("b").alias("uid")))
+        .groupBy("uid")
+        .agg(F.count("*").alias("n_links"))
+    )
+    by_text = (
+        rooted.join(groups, "root")
+        .join(degree, "uid", "left")
+        .select("digest", "stands", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    )
+    return found.select("uid", "doc_id", "digest").join(by_text, "digest").select(
+        "uid",
+        "doc_id",
+        F.col("stands.doc_id").alias("group_id"),
+        "n_links",
+        (F.col("uid") == F.col("stands.uid")).alias("stays"),
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

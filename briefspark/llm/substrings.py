@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from briefspark.llm.common import labels, map_batches, partitions, table
 
@@ -303,10 +304,10 @@ def kept_words(text: str | None, places: list[bytes] | None, window: int) -> tup
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, block: int = BLOCK, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept, uid).
+    """(doc_id, text, ..) -> (doc_id, n_words, n_removed, kept_sha256, kept, row).
 
     ``kept``: the text without its repeats: unchanged if there are none, else the words that
-    stay, joined by one space.  ``uid``: hash of doc_id and text.
+    stay, joined by one space.  ``row``: the other columns of the document, as a struct.
     """
     if window < 2 * block - 1:
         raise ValueError("a window has to hold a whole block: window >= 2 * block - 1")
@@ -317,10 +318,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block: int = BLOC
         doc_id.alias("doc_id"),
         F.xxhash64(doc_id, "text").alias("uid"),
         "text",
+        F.struct(F.lit(None).cast("int"), *[documents[c] for c in documents.columns if c not in ("doc_id", "text")]).alias("row"),
     )
     dealt = docs.repartition(parts, "uid")
     grouped = lambda rows, name: rows.groupBy("uid").agg(F.collect_list("places").alias(name))
-    hits = grouped(hit_anchors(probe_rows(docs, block, buckets, chunk_words), parts), "hits")
+    hits = grouped(hit_anchors(probe_rows(docs.select("uid", "text"), block, buckets, chunk_words), parts), "hits")
     # both joins read the same columns of ``dealt``, so that they share its exchange
     first = F.coalesce("doc_id", F.lit(FIRST_ID))
     marked = dealt.join(hits, "uid").select(first.alias("k"), "uid", "hits", "text")
@@ -336,15 +338,18 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block: int = BLOC
                 for column, value in zip(out, row):
                     column.append(value)
             columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.record_batch([batch.column(0), *columns, batch.column(1)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "uid"])
+            yield pa.record_batch([batch.column(0), *columns, batch.column(1)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row"])
 
-    whole = dealt.join(found, "uid", "left").select("doc_id", "uid", "places", "text")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, uid long"
-    return map_batches(whole, run, schema)
+    whole = dealt.join(found, "uid", "left").select("doc_id", "row", "places", "text")
+    schema = T.StructType(whole.schema.fields[:1])
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string")):
+        schema = schema.add(name, kind)
+    return map_batches(whole, run, schema.add(whole.schema["row"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "uid")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(documents).drop("kept", "row")
 
 
 SQL = r"""

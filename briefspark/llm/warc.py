@@ -50,13 +50,15 @@ RECORD_END = "\r\n\r\n"
 # -- writing ------------------------------------------------------------------
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of SHA-1 without Python: 5 hex digits make 4 letters."""
+def base32_of(sha: Column) -> Column:
+    """Upper-case base32 of a digest in 40 hex digits: 5 of these make 4 letters.
+
+    ``sha`` is used 8 times: make it a column first, not the hash expression itself.
+    """
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    digest = F.sha1(payload)
     out = []
     for group in range(8):
-        number = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
+        number = F.conv(F.substring(sha, 5 * group + 1, 5), 16, 10).cast("int")
         for shift in (15, 10, 5, 0):
             out.append(F.substring(F.lit(letters), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)))
     return F.concat(*out)
@@ -73,10 +75,10 @@ def records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         payload.alias("payload"),
-        base32_sha1(payload).alias("digest"),
+        F.sha1(payload).alias("sha"),
     )
-    newest = pages.groupBy("digest").agg(F.max("page_id").alias("newest"))
-    marked = pages.join(newest, "digest")
+    newest = pages.groupBy("sha").agg(F.max("page_id").alias("newest"))
+    marked = pages.join(newest, "sha")
     size = F.length("payload")
     revisit = (F.col("page_id") < F.col("newest")) | (F.col("page_id").isNull() & F.col("newest").isNotNull())
     revisit = revisit & (size >= min_bytes)
@@ -96,7 +98,7 @@ def records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
         line("WARC-Record-ID: <", record_uri(F.col("page_id")), ">"),
         line("WARC-Date: ", time),
         line("WARC-Target-URI: ", uri),
-        line("WARC-Payload-Digest: sha1:", F.col("digest")),
+        line("WARC-Payload-Digest: sha1:", base32_of(F.col("sha"))),
         F.when(
             revisit,
             F.concat(

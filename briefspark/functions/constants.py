@@ -15,7 +15,6 @@ TOKEN_SET_MIN = 3
 LINEAGE_THRESHOLD = 0.5
 TABLE_OVERLAP = 0.8
 CHUNK_CHARS = 16_000
-REFERENCE_CAP = 25
 PREVIEW_CHARS = 200
 SLUG_CHARS = 60
 VERDICT_NOTE_CHARS = 120

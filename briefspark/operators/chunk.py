@@ -166,14 +166,8 @@ def chunk_numbers(units: DataFrame, max_chars: int = K.CHUNK_CHARS, block_chunks
                 {"conv_key": pdf["conv_key"], "block": pdf["block"], "load": loads, "base": bases}
             )
 
-    several = (
-        units.groupBy("conv_key")
-        .agg(F.sum(cost).alias("chars"))
-        .filter(F.col("chars") > max_chars * block_chunks)
-    )
     entries = (
-        blocks.join(several.select("conv_key"), "conv_key", "left_semi")
-        .select("conv_key", "block", summary(F.transform("u", lambda x: x["cost"])).alias("pieces"))
+        blocks.select("conv_key", "block", summary(F.transform("u", lambda x: x["cost"])).alias("pieces"))
         .repartition("conv_key")
         .sortWithinPartitions("conv_key", "block")
         .groupBy("conv_key")

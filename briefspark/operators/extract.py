@@ -371,7 +371,7 @@ def generated_files(messages: DataFrame) -> DataFrame:
 
 
 def first_mentions(facts: DataFrame, artifacts: DataFrame | None, cap: int | None) -> DataFrame:
-    """First ``cap`` mentioned files of a conversation that no artifact is named after."""
+    """Mentioned files that no artifact is named after (the first ``cap``, if given)."""
     firsts = facts.filter(F.col("kind") == MENTIONED_FILE)
     if artifacts is not None:
         produced = (
@@ -389,16 +389,18 @@ def first_mentions(facts: DataFrame, artifacts: DataFrame | None, cap: int | Non
 
 
 def referenced_files(
-    messages: DataFrame, artifacts: DataFrame | None = None, cap: int | None = K.REFERENCE_CAP
+    messages: DataFrame, artifacts: DataFrame | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Filenames mentioned but not produced, first mention per stem, first ``cap``."""
+    """Filenames mentioned but not produced, first mention per stem; with ``cap``, the
+    first so many of each conversation."""
     return first_mentions(first_facts(facts_in(messages, mentioned_facts)), artifacts, cap)
 
 
 def conversation_facts(
     messages: DataFrame, artifacts: DataFrame | None = None, images: bool = True
 ) -> DataFrame:
-    """Every fact of the conversations, in one pass over the messages.
+    """Every fact of the conversations, in one pass over the messages; images=False
+    is for messages without such a column.
 
     One exchange on (conversation, kind, key) then keeps the first of each.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ VERBATIM = ["conv_key", "kind", "label", "value", "language"]
 FILES = ["conv_key", "name", "source"]
 
 
-def _seeded_transcript(spark: SparkSession, sf: str, with_artifacts: bool = True) -> Transcript:
+def _seeded_transcript(spark: SparkSession, sf: str) -> Transcript:
     m = S.seeded(spark, sf)
     simple = normalize_simple(m.select("conv_key", "ordinal", "role", "text"))
     chats = S.chats(spark, sf)
@@ -76,7 +77,7 @@ def _seeded_transcript(spark: SparkSession, sf: str, with_artifacts: bool = True
     ).withColumn("complete", F.col("total_blocks") == F.col("classified_blocks"))
     return Transcript(
         meta=meta,
-        messages=m.drop("images") if not with_artifacts else m,
+        messages=m,
         artifacts=S.artifacts(spark, sf),
         uploads=uploads,
         integrity=integrity,
@@ -563,7 +564,7 @@ def generated_files(spark, sf):
 
 @query
 def referenced_files(spark, sf):
-    return X.referenced_files(S.seeded(spark, sf), cap=2).select("conv_key", "ordinal", "name", "source")
+    return X.referenced_files(S.seeded(spark, sf)).select("conv_key", "ordinal", "name", "source")
 
 
 @query
@@ -814,8 +815,8 @@ def honesty_banner(spark, sf):
 
 
 def _brief(spark, sf):
-    t = _seeded_transcript(spark, sf, with_artifacts=False)
-    return t, P.distill_deterministic(t, has_artifacts=False)
+    t = _seeded_transcript(spark, sf)
+    return t, P.distill_deterministic(t)
 
 
 @query
@@ -833,7 +834,7 @@ def render_brief(spark, sf):
 
 def _scorecard(spark, sf):
     t, brief = _brief(spark, sf)
-    return V.brief_metrics(C.transcript_units(t.messages), brief)
+    return V.brief_metrics(C.transcript_units(t.messages, t.artifacts), brief)
 
 
 @query
@@ -905,6 +906,7 @@ def _model_brief(spark, sf):
     return RD.render_brief(brief).select("conv_key", "part", "human_md")
 
 
-def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:
-    """Flagship: chats -> facts -> rendered handoff briefs."""
-    return render_brief(spark, sf)
+def entry(spark: SparkSession, sf: str | None = None) -> DataFrame:
+    """Flagship: chats -> facts -> rendered handoff briefs of a folder of tables
+    (by default the one that BRIEFSPARK_SF_DIR names)."""
+    return render_brief(spark, sf or os.environ.get("BRIEFSPARK_SF_DIR", "/root/testdata/sf0.001"))

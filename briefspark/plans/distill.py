@@ -44,35 +44,26 @@ def _meta(t: Transcript, produced_by) -> DataFrame:
     )
 
 
-def tier0_facts(
-    t: Transcript, has_artifacts: bool = True, cap: int = K.REFERENCE_CAP
-) -> tuple[DataFrame, DataFrame]:
+def tier0_facts(t: Transcript, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(verbatim, files): everything that must survive, without a model.
 
     The messages are read once for all facts.  What was found is small next to the
-    chats and is used several times from here on, so it is kept.
+    chats and is used several times from here on, so it is kept.  ``cap`` limits the
+    mentioned files of a conversation to its first ones; by default all are listed.
     """
-    if has_artifacts:
-        a = keep(_collapsed(t), "kept_artifacts")
-        facts = keep(X.conversation_facts(t.messages, a), "facts")
-        files = X.artifact_files(a).unionByName(X.upload_files(t.uploads))
-        mentioned = X.first_mentions(facts, t.artifacts, cap)
-        produced = X.as_files(facts.filter(F.col("kind") == X.CHAT_FILE))
-        return X.as_verbatim(facts), X.dedupe_files_by_stem(
-            files.unionByName(produced).unionByName(mentioned)
-        )
-    facts = keep(X.conversation_facts(t.messages, images=False), "facts")
+    a = keep(_collapsed(t), "kept_artifacts")
+    facts = keep(X.conversation_facts(t.messages, a), "facts")
+    files = X.artifact_files(a).unionByName(X.upload_files(t.uploads))
+    mentioned = X.first_mentions(facts, t.artifacts, cap)
     produced = X.as_files(facts.filter(F.col("kind") == X.CHAT_FILE))
-    return X.as_verbatim(facts), X.dedupe_files_by_stem(produced.unionByName(X.first_mentions(facts, None, cap)))
-
+    return X.as_verbatim(facts), X.dedupe_files_by_stem(
+        files.unionByName(produced).unionByName(mentioned)
+    )
 
-def distill_deterministic(t: Transcript, has_artifacts: bool = True, cap: int = K.REFERENCE_CAP) -> Brief:
-    """Transcript -> brief without a model.
 
-    ``has_artifacts=False`` is for flat chats (messages only): it leaves the
-    artifact, upload and image branches out of the plan.
-    """
-    verbatim, files = tier0_facts(t, has_artifacts, cap)
+def distill_deterministic(t: Transcript, cap: int | None = None) -> Brief:
+    """Transcript -> brief without a model."""
+    verbatim, files = tier0_facts(t, cap)
     files = keep(files, "files")
     return Brief(
         meta=_meta(t, F.lit("deterministic")),

@@ -52,7 +52,7 @@ def sandbox(x: str) -> str:
 
 
 BINARY = "(" + ", ".join(q(x) for x in K.BINARY_EXTENSIONS) + ")"
-CHATS = f"""chats AS (SELECT conv_id, turn, role, text, CAST(conv_id AS STRING) || '-' || CAST(turn // {1 << S.PAGE_BITS} AS STRING) AS page,
+CHATS = f"""chats AS (SELECT conv_id, turn, role, text, CAST(conv_id AS STRING) AS page,
     {S.PADDED_TEXT} AS padded FROM conversations)"""
 SEEDED = f"seeded AS (SELECT conv_id AS conv_key, turn AS ordinal, {S.ROLE} AS role, {S.SEEDED_TEXT} AS text FROM conversations)"
 URLS = f"chat_urls AS (SELECT conv_id, turn, {S.CHAT_URL} AS url FROM conversations)"
@@ -260,7 +260,7 @@ ORACLE["fenced_code"] = f"WITH {FACTS} SELECT conv_key, ordinal, label, value, l
 ORACLE["urls"] = f"WITH {FACTS} SELECT conv_key, ordinal, kind, label, value FROM f_urls"
 ORACLE["endpoints"] = f"WITH {FACTS} SELECT conv_key, ordinal, kind, label, value FROM f_ends"
 ORACLE["generated_files"] = f"WITH {FACTS} SELECT conv_key, ordinal, name, why, source FROM f_made"
-ORACLE["referenced_files"] = f"WITH {FACTS} SELECT conv_key, ordinal, name, source FROM f_named QUALIFY row_number() OVER (PARTITION BY conv_key ORDER BY ordinal, pos) <= 2"
+ORACLE["referenced_files"] = f"WITH {FACTS} SELECT conv_key, ordinal, name, source FROM f_named"
 ORACLE["dedupe_verbatim"] = f"""WITH {FACTS}, every AS (SELECT * FROM f_urls UNION ALL SELECT * FROM f_ends UNION ALL SELECT * FROM f_formulas UNION ALL SELECT * FROM f_fences)
 SELECT conv_key, kind, label, value, language FROM {first('every', 'conv_key, kind, value', 'src, ordinal, pos')}"""
 DEDUPED = """chat AS (SELECT * FROM files WHERE source = 'chat' QUALIFY row_number() OVER (PARTITION BY conv_key, lower(name) ORDER BY src, ordinal, pos) = 1),
@@ -284,21 +284,23 @@ WHY = f"CASE WHEN is_binary AND presented THEN {q(K.WHY_BINARY_PRESENTED)} WHEN
 ORACLE["split_artifacts"] = f"""WITH {ARTIFACTS}, a AS (SELECT *, {ART_FIELDS} FROM arts)
 SELECT conv_key, ordinal, CASE WHEN {AS_FILE} THEN 'file' ELSE 'inline' END AS way, coalesce(filename, title) AS name, CASE WHEN {AS_FILE} THEN {WHY} ELSE content END AS detail FROM a"""
 FULL = f"""{FACTS}, {KEPT}, {LAST_IMAGES}, kept_arts AS (SELECT *, {ART_FIELDS} FROM lineage)"""
-ORACLE["distill_deterministic_verbatim"] = f"""WITH RECURSIVE {FULL}, every AS (SELECT * FROM f_tables UNION ALL SELECT conv_key, 2, ordinal, pos, 'image', 'image shown', value, NULL FROM images UNION ALL SELECT * FROM f_formulas
-  UNION ALL SELECT conv_key, 4, slot, 0, 'code', coalesce(filename, title), content, language FROM kept_arts WHERE NOT {AS_FILE} UNION ALL SELECT * FROM f_fences UNION ALL SELECT * FROM f_urls UNION ALL SELECT * FROM f_ends)
-SELECT conv_key, kind, label, value, language FROM {first('every', 'conv_key, kind, value', 'src, ordinal, pos')}"""
-ORACLE["distill_deterministic_files"] = f"""WITH RECURSIVE {FULL}, stems AS (SELECT DISTINCT conv_id AS conv_key, CASE turn % 3 WHEN 0 THEN 'out_' || CAST(turn AS STRING) ELSE 'plan' END AS stem FROM conversations WHERE role = 'assistant' AND turn % 3 < 2),
-named AS (SELECT conv_key, src, ordinal, pos, name, why, source FROM f_named f WHERE NOT EXISTS (SELECT 1 FROM stems s WHERE s.conv_key = f.conv_key AND s.stem = f.stem) QUALIFY row_number() OVER (PARTITION BY conv_key ORDER BY ordinal, pos) <= 25),
+VERBATIM = f"""every AS (SELECT * FROM f_tables UNION ALL SELECT conv_key, 2, ordinal, pos, 'image', 'image shown', value, NULL FROM images UNION ALL SELECT * FROM f_formulas
+  UNION ALL SELECT conv_key, 4, slot, 0, 'code', coalesce(filename, title), content, language FROM kept_arts WHERE NOT {AS_FILE} UNION ALL SELECT * FROM f_fences UNION ALL SELECT * FROM f_urls UNION ALL SELECT * FROM f_ends),
+items AS {first('every', 'conv_key, kind, value', 'src, ordinal, pos')}"""
+ALL_FILES = f"""stems AS (SELECT DISTINCT conv_id AS conv_key, CASE turn % 3 WHEN 0 THEN 'out_' || CAST(turn AS STRING) ELSE 'plan' END AS stem FROM conversations WHERE role = 'assistant' AND turn % 3 < 2),
+named AS (SELECT conv_key, src, ordinal, pos, name, why, source FROM f_named f WHERE NOT EXISTS (SELECT 1 FROM stems s WHERE s.conv_key = f.conv_key AND s.stem = f.stem)),
 files AS (SELECT conv_key, 0 AS src, slot AS ordinal, 0 AS pos, coalesce(filename, title) AS name, {WHY} AS why, 'chat' AS source FROM kept_arts WHERE {AS_FILE} UNION ALL SELECT * FROM f_made
   UNION ALL SELECT conv_id, 2, turn, 0, 'Sheet_' || CAST(turn AS STRING) || '.csv', {q(K.WHY_UPLOADED)}, 'referenced' FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM named),
-{DEDUPED} SELECT conv_key, name, why, source FROM listed"""
+{DEDUPED}"""
+ORACLE["distill_deterministic_verbatim"] = f"WITH RECURSIVE {FULL}, {VERBATIM} SELECT conv_key, kind, label, value, language FROM items"
+ORACLE["distill_deterministic_files"] = f"WITH RECURSIVE {FULL}, {ALL_FILES} SELECT conv_key, name, why, source FROM listed"
 
 # -- transcript text --------------------------------------------------------------------------------------
 
 UNIT = "'### ' || CASE WHEN role = 'assistant' THEN 'Assistant' ELSE 'User' END || chr(10) || text"
-ORACLE["render_transcript"] = f"""WITH RECURSIVE {SEEDED}, {KEPT}, a AS (SELECT *, {ART_FIELDS} FROM lineage),
-units AS (SELECT conv_key, 0 AS src, ordinal, {UNIT} AS unit FROM seeded UNION ALL
-  SELECT conv_key, 1, slot, '### Artifact: ' || coalesce(filename, title) || coalesce(' (' || language || ')', '') || chr(10) || '```' || chr(10) || content || chr(10) || '```' FROM a)
+UNITS = f"""units AS (SELECT conv_key, 0 AS src, ordinal, {UNIT} AS unit FROM seeded UNION ALL
+  SELECT conv_key, 1, slot, '### Artifact: ' || coalesce(filename, title) || coalesce(' (' || language || ')', '') || chr(10) || '```' || chr(10) || content || chr(10) || '```' FROM kept_arts)"""
+ORACLE["render_transcript"] = f"""WITH RECURSIVE {SEEDED}, {KEPT}, kept_arts AS (SELECT *, {ART_FIELDS} FROM lineage), {UNITS}
 SELECT conv_key, CAST(0 AS BIGINT) AS part, string_agg(unit, chr(10) || chr(10) ORDER BY src, ordinal) AS full_text FROM units GROUP BY 1"""
 ORACLE["chunk_transcript"] = f"""WITH RECURSIVE {SEEDED}, u AS (SELECT conv_key, {UNIT} AS unit, length({UNIT}) + 2 AS cost, row_number() OVER (PARTITION BY conv_key ORDER BY ordinal) AS n FROM seeded),
 fold AS (SELECT conv_key, n, unit, cost AS load, CAST(0 AS BIGINT) AS chunk FROM u WHERE n = 1
@@ -386,11 +388,10 @@ def section(title: str, body: str) -> str:
     return f"'## {title}' || {NL} || {NL} || {body} || {NL}"
 
 
-BRIEF = f"""{FACTS}, {NOWS},
-items AS (SELECT * FROM f_tables UNION ALL SELECT * FROM f_formulas UNION ALL SELECT * FROM f_fences UNION ALL SELECT * FROM f_urls UNION ALL SELECT * FROM f_ends),
-verb AS (SELECT conv_key, count(*) AS n_verb, string_agg({item('kind', 'label', 'value', 'language')}, {NL} || {NL} ORDER BY src, ordinal, pos) AS verb FROM {first('items', 'conv_key, kind, value', 'src, ordinal, pos')} GROUP BY 1),
-named AS (SELECT conv_key, src, ordinal, pos, name, why, source FROM f_named QUALIFY row_number() OVER (PARTITION BY conv_key ORDER BY ordinal, pos) <= 25),
-files AS (SELECT * FROM f_made UNION ALL SELECT * FROM named), {DEDUPED},
+BRIEF = f"""{FULL}, {VERBATIM}, {ALL_FILES},
+counts AS (SELECT conv_key, count(*) AS n FROM seeded GROUP BY 1), made AS (SELECT conv_key, string_agg(name, ', ' ORDER BY src, ordinal, pos) AS names FROM listed WHERE source = 'chat' GROUP BY 1),
+nows AS (SELECT conv_key, {NOW} AS now FROM counts LEFT JOIN made USING (conv_key)),
+verb AS (SELECT conv_key, count(*) AS n_verb, string_agg({item('kind', 'label', 'value', 'language')}, {NL} || {NL} ORDER BY src, ordinal, pos) AS verb FROM items GROUP BY 1),
 attach AS (SELECT conv_key, count(*) AS n_files, string_agg('- `' || name || '`, ' || why || ' _(' || source || ')_', {NL} ORDER BY src, ordinal, pos) AS attach FROM listed GROUP BY 1),
 odd AS (SELECT conv_id AS conv_key, count(*) AS n_odd, string_agg('- `type:mystery` (message message-): {{"type":"mystery"}}', {NL}) AS odd FROM conversations WHERE role = 'system' GROUP BY 1),
 bodies AS (SELECT conv_key, coalesce(n_verb, 0) AS n_verb, coalesce(n_files, 0) AS n_files, coalesce(n_odd, 0) AS n_odd, concat_ws({NL}, {section('Now', 'now')}, CASE WHEN verb IS NOT NULL THEN {section('Verbatim, keep exact', 'verb')} END,
@@ -398,18 +399,18 @@ bodies AS (SELECT conv_key, coalesce(n_verb, 0) AS n_verb, coalesce(n_files, 0)
   FROM nows LEFT JOIN verb USING (conv_key) LEFT JOIN attach USING (conv_key) LEFT JOIN odd USING (conv_key)),
 framed AS (SELECT *, CASE WHEN n_odd > 0 THEN {banner('n_odd')} || {NL} ELSE '' END || body AS inner_,
   '# Handoff brief, Chat ' || CAST(conv_key AS STRING) || {NL} || {NL} || '_briefspark · schema v1 · produced by deterministic · generated 2026-06-26._' || {NL} AS head FROM bodies)"""
-ORACLE["render_body"] = f"WITH {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, body FROM bodies"
-ORACLE["render_brief"] = f"""WITH {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, head || {NL} || inner_ AS human_md, {q(K.RESUME_HEADER)} || {NL} || inner_ || {NL} || {q(K.RESUME_FOOTER)} AS resume_prompt FROM framed"""
+ORACLE["render_body"] = f"WITH RECURSIVE {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, body FROM bodies"
+ORACLE["render_brief"] = f"""WITH RECURSIVE {BRIEF} SELECT conv_key, CAST(0 AS BIGINT) AS part, head || {NL} || inner_ AS human_md, {q(K.RESUME_HEADER)} || {NL} || inner_ || {NL} || {q(K.RESUME_FOOTER)} AS resume_prompt FROM framed"""
 
 # -- evaluation -----------------------------------------------------------------------------------------------------
 
-CARD = f"""{BRIEF}, sizes AS (SELECT conv_key, sum(length({UNIT})) + 2 * (count(*) - 1) AS full_chars FROM seeded GROUP BY 1),
+CARD = f"""{BRIEF}, {UNITS}, sizes AS (SELECT conv_key, sum(length(unit)) + 2 * (count(*) - 1) AS full_chars FROM units GROUP BY 1),
 card AS (SELECT conv_key AS id, CAST(full_chars AS BIGINT) AS full_chars, length(head || {NL} || inner_) AS brief_chars, 1 - length(head || {NL} || inner_) / full_chars AS reduction, n_odd = 0 AS integrity_complete,
   CAST(0 AS BIGINT) AS decided, CAST(0 AS BIGINT) AS open, CAST(0 AS BIGINT) AS rejected, n_verb AS verbatim, n_files AS files FROM framed JOIN sizes USING (conv_key))"""
-ORACLE["brief_metrics"] = f"WITH {CARD} SELECT id, full_chars, brief_chars, round(reduction, 6) AS reduction, integrity_complete, decided, open, rejected, verbatim, files FROM card"
-ORACLE["scorecard_markdown"] = f"""WITH {CARD} SELECT id, '| ' || CAST(id AS STRING) || ' | ' || CAST(full_chars AS STRING) || '→' || CAST(brief_chars AS STRING) || ' (−' || CAST(CAST(floor(reduction * 100 + 0.5) AS BIGINT) AS STRING) || '%) | ' ||
+ORACLE["brief_metrics"] = f"WITH RECURSIVE {CARD} SELECT id, full_chars, brief_chars, round(reduction, 6) AS reduction, integrity_complete, decided, open, rejected, verbatim, files FROM card"
+ORACLE["scorecard_markdown"] = f"""WITH RECURSIVE {CARD} SELECT id, '| ' || CAST(id AS STRING) || ' | ' || CAST(full_chars AS STRING) || '→' || CAST(brief_chars AS STRING) || ' (−' || CAST(CAST(floor(reduction * 100 + 0.5) AS BIGINT) AS STRING) || '%) | ' ||
   CASE WHEN integrity_complete THEN '✓' ELSE '⚠ partial' END || ' | 0/0/0/' || CAST(verbatim AS STRING) || '/' || CAST(files AS STRING) || ' | ,  |' AS line FROM card"""
-ORACLE["corpus_summary"] = f"""WITH {CARD}, {URLS}, plat AS (SELECT conv_id AS id, min({platform_case()}) AS platform FROM chat_urls GROUP BY 1)
+ORACLE["corpus_summary"] = f"""WITH RECURSIVE {CARD}, {URLS}, plat AS (SELECT conv_id AS id, min({platform_case()}) AS platform FROM chat_urls GROUP BY 1)
 SELECT platform, count(*) AS conversations, CAST(sum(full_chars) AS BIGINT) AS full_chars, CAST(sum(brief_chars) AS BIGINT) AS brief_chars FROM card JOIN plat USING (id) GROUP BY ROLLUP (platform)"""
 ORACLE["parse_verdict"] = """SELECT conv_id, turn, turn % 4 IN (0, 3) AS same_move, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN '' WHEN 2 THEN 'judge output did not parse: ' || substr(text, 1, 120) ELSE role END AS reasoning FROM conversations"""
 ORACLE["pass_rate"] = "SELECT count(*) AS n, count(*) FILTER (turn % 4 IN (0, 3)) AS passed, round(count(*) FILTER (turn % 4 IN (0, 3)) / count(*), 6) AS rate FROM conversations"

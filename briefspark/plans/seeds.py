@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE_BITS = 9  # a chat longer than 512 turns is exported in pages
-
 # -- shared expressions ---------------------------------------------------------
 
 SEEDED_TEXT = """text || CASE turn % 6
@@ -214,13 +212,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_of_chats(spark: SparkSession, sf_dir: str, padded: bool = True, flat_roles: bool = False) -> DataFrame:
-    """One row per exported page of a chat: conv_key and its turns in order.
-
-    An export document is bounded: a long chat becomes several pages.
-    """
+    """One row per chat, however long: conv_key and its turns in order."""
     role = "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END" if flat_roles else "role"
     rows = chats(spark, sf_dir).select(
-        F.expr(f"CAST(conv_id AS STRING) || '-' || CAST(shiftright(turn, {PAGE_BITS}) AS STRING)").alias("conv_key"),
+        F.expr("CAST(conv_id AS STRING)").alias("conv_key"),
         "conv_id",
         "turn",
         F.expr(role).alias("role"),

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
+from briefspark.functions.strings import read_json, valid
 from briefspark.operators.ordered import first_wins
 
 PAIR = "array<struct<title:string,url:string>>"
@@ -157,6 +158,14 @@ def _finds(content) -> list[tuple[str, str, str]]:
     return out
 
 
+def _content(text: str | None):
+    """The lists and objects of a content; None for what cannot be read."""
+    try:
+        return read_json(text, strict=False) if text else None
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(FOUND)
 def search_finds(blocks: pd.Series) -> pd.Series:
     """JSON list of {at, content} -> what each content holds, with its ``at``."""
@@ -165,9 +174,9 @@ def search_finds(blocks: pd.Series) -> pd.Series:
         if not text:
             return []
         return [
-            {"at": b["at"], "kind": k, "title": t, "url": u}
+            {"at": b["at"], "kind": k, "title": valid(t), "url": valid(u)}
             for b in json.loads(text)
-            for k, t, u in _finds(json.loads(b["content"]) if b.get("content") else None)
+            for k, t, u in _finds(_content(b.get("content")))
         ]
 
     return blocks.map(find)
@@ -177,14 +186,19 @@ search_finds = search_finds.asNondeterministic()
 
 
 def search_input(raws: Column, kinds: Column) -> Column:
-    """The JSON list that ``search_finds`` reads; NULL when no block is a search result."""
+    """The JSON list that ``search_finds`` reads; NULL when no block is a search result.
+
+    A content that is a string is no result, also if the string looks like JSON.
+    """
+
+    def held(raw: Column, kind: Column) -> Column:
+        found = F.try_variant_get(F.try_parse_json(raw), "$.content", "variant")
+        nested = F.schema_of_variant(found).rlike("^(ARRAY|OBJECT)")
+        return F.when(kind.isin(*K.SEARCH_BLOCKS) & nested, F.get_json_object(raw, "$.content"))
+
     asked = F.filter(
-        F.transform(
-            raws,
-            lambda r, i: F.struct(i.alias("at"), F.get_json_object(r, "$.content").alias("content"), F.get(kinds, i).alias("kind")),
-        ),
-        lambda x: x["kind"].isin(*K.SEARCH_BLOCKS)
-        & F.coalesce(x["content"].rlike(r"^[\[{]"), F.lit(False)),
+        F.transform(raws, lambda r, i: F.struct(i.alias("at"), held(r, F.get(kinds, i)).alias("content"))),
+        lambda x: x["content"].isNotNull(),
     )
     return F.when(F.size(asked) > 0, F.to_json(asked))
 

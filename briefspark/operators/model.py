@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
+from briefspark.functions.strings import read_json
 from briefspark.operators.ordered import first_wins, last_wins
 
 SECTIONS = (
@@ -82,13 +83,6 @@ def close_truncated(text: str) -> str | None:
     return text[:cut] + "".join("}" if c == "{" else "]" for c in reversed(open_at_cut))
 
 
-def _strict(text: str):
-    def reject(name):
-        raise ValueError(name)
-
-    return json.loads(text, parse_constant=reject)
-
-
 @F.pandas_udf(StringType())
 def repaired_json(texts: pd.Series) -> pd.Series:
     """Canonical JSON of texts that Spark could not read, NULL when beyond repair."""
@@ -96,7 +90,7 @@ def repaired_json(texts: pd.Series) -> pd.Series:
     def repair(text):
         for candidate in (text, close_truncated(text) if text else None):
             try:
-                return json.dumps(_strict(candidate)) if candidate else None
+                return json.dumps(read_json(candidate)) if candidate else None
             except ValueError:
                 continue
         return None
@@ -172,24 +166,15 @@ def _has_null_item(v: Column) -> Column:
 def parse_sections(outputs: DataFrame) -> DataFrame:
     """outputs(.., output, error) -> + sections, parse error kept in ``error``.
 
-    The first fenced body is read when there is one, else the whole text; when
-    the fence holds no JSON the whole text is tried too.  Only the texts that Spark
-    cannot parse are sent to Python, which repairs truncated JSON.
+    The first fenced body is read when there is one, else the whole text: an answer
+    whose fence holds no object has none.  Only the texts that Spark cannot parse are
+    sent to Python, which repairs truncated JSON.
     """
     trimmed = T.js_trim(F.coalesce("output", F.lit("")))
-    fence = lambda t: F.regexp_extract(t, rf"```(?:json)?[{K.BLANK}]*([\s\S]*?)```", 1)
-    texts = T.let(
-        trimmed,
-        lambda t: F.struct(_object_text(fence(t)).alias("fenced"), _object_text(t).alias("whole")),
-    )
+    fence = rf"```(?:json)?[{K.BLANK}]*([\s\S]*?)```"
+    body = T.let(trimmed, lambda t: F.when(t.rlike(fence), F.regexp_extract(t, fence, 1)).otherwise(t))
     chosen = T.let(
-        texts,
-        lambda t: T.let(
-            F.when(t["fenced"] != "", t["fenced"]).otherwise(t["whole"]),
-            lambda text: F.struct(
-                text.alias("text"), F.coalesce(F.try_parse_json(text), F.try_parse_json(t["whole"])).alias("v")
-            ),
-        ),
+        _object_text(body), lambda text: F.struct(text.alias("text"), F.try_parse_json(text).alias("v"))
     )
     tried = outputs.withColumn("__t", chosen)
     broken = F.when(F.col("__t.v").isNull() & (F.col("__t.text") != ""), F.col("__t.text"))

@@ -14,11 +14,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
+from briefspark.functions.strings import read_json, valid
 from briefspark.operators.ordered import first_wins, fold_sorted, last_wins
 
 STAMP_BITS = 20
@@ -86,7 +88,7 @@ class Sandbox:
 
         def field(key):
             value = call.get(key)
-            return value if isinstance(value, str) else None
+            return valid(value) if isinstance(value, str) else None
 
         command, path = field("command"), field("path")
         target = absolute(self.cwd, path) if path else None
@@ -99,10 +101,11 @@ class Sandbox:
                 self.write(target, self.text[target].replace(old, field("new_str") or "", 1))
         elif target and "insert" in (name, command):
             at = call.get("insert_line")
-            at = int(at) if isinstance(at, (int, float)) and not isinstance(at, bool) else 0
+            at = at if isinstance(at, (int, float)) and not isinstance(at, bool) else 0
             new = field("insert_text")
             lines = self.text.get(target, "").split("\n")
-            lines.insert(max(at, 0), (field("new_str") or "") if new is None else new)
+            at = int(min(max(at, 0), len(lines)))  # a place beyond the end, or infinite, appends
+            lines.insert(at, (field("new_str") or "") if new is None else new)
             self.write(target, "\n".join(lines))
         elif name in ("bash_tool", "bash") or command == "bash":
             self.shell(command or "")
@@ -110,7 +113,7 @@ class Sandbox:
             listed = call.get("filepaths")
             listed = call.get("file_paths") if listed is None else listed
             if isinstance(listed, list):
-                self.manifest = [absolute("/", p) for p in listed if isinstance(p, str)]
+                self.manifest = [absolute("/", valid(p)) for p in listed if isinstance(p, str)]
 
     def state(self) -> list[dict]:
         """One entry per live file, then one per manifest entry."""
@@ -127,7 +130,7 @@ class Sandbox:
 
 def _call(text) -> dict:
     try:
-        value = json.loads(text) if isinstance(text, str) else {}
+        value = read_json(text) if isinstance(text, str) else {}
     except ValueError:
         value = {}
     return value if isinstance(value, dict) else {}
@@ -264,31 +267,43 @@ def _js_replacement(template: str):
     return build
 
 
-def _js_pattern(pattern: str) -> re.Pattern:
-    """Python form of a JS pattern: named groups, no inline dotall, ASCII classes."""
+#: Seconds that one pattern of an edit may take; an edit beyond that is skipped.
+PATTERN_SECONDS = 10
+_ATOM = re.compile(r"\\.|\[\^?(?:\\.|[^\]\\])*\]|(?P<own>\(\?(?:>|P|\(|#|[a-zA-Z-]+[:)])|(?:[*+?]|\{\d+(?:,\d*)?\})\+)|.", re.DOTALL)
+
+
+def _js_pattern(pattern: str) -> regex.Pattern:
+    """Python form of a JS pattern: named groups, no inline dotall, ASCII classes.
+
+    What only Python would accept (possessive loops, atomic groups, inline flags) is an
+    error, as it is in JS.
+    """
+    if any(atom.group("own") for atom in _ATOM.finditer(pattern)):
+        raise regex.error("not valid in JS", pattern)
     named = re.sub(r"\(\?<(?![=!])", "(?P<", pattern)
     named = re.sub(r"\\k<([^>]*)>", r"(?P=\1)", named)
     named = re.sub(r"(?<!\\)((?:\\\\)*)\$(?=$|\)|\|)", r"\1\\Z", named)
     named = named.replace("[^]", r"[\s\S]")
-    return re.compile(named, re.ASCII)
+    re.compile(named, re.ASCII)  # stricter than what runs it
+    return regex.compile(named, regex.ASCII | regex.V0)
 
 
 def edit_canvas(doc: dict | None, recipient: str, payload_text: str | None, doc_type: str | None) -> dict | None:
     """The canvas document after one create or update event."""
     try:
-        payload = json.loads("{}" if payload_text is None else payload_text)
+        payload = read_json("{}" if payload_text is None else payload_text)
     except ValueError:
         return doc
     if not isinstance(payload, dict):
         return doc
     if "create_textdoc" in recipient:
-        text = {k: payload.get(k) if isinstance(payload.get(k), str) else None for k in ("name", "content")}
+        text = {k: valid(payload[k]) if isinstance(payload.get(k), str) else None for k in ("name", "content")}
         kind = payload.get("type")
         kind = doc_type if kind is None else kind
         return {
             "name": "canvas" if text["name"] is None else text["name"],
             "content": text["content"] or "",
-            "type": kind or None,
+            "type": valid(kind) if isinstance(kind, str) and kind else None,
         }
     if "update_textdoc" in recipient and doc is not None:
         updates = payload.get("updates")
@@ -297,9 +312,12 @@ def edit_canvas(doc: dict | None, recipient: str, payload_text: str | None, doc_
                 try:
                     found = _js_pattern(u["pattern"])
                     doc["content"] = found.sub(
-                        _js_replacement(u["replacement"]), doc["content"], count=0 if u.get("multiple") else 1
+                        _js_replacement(valid(u["replacement"])),
+                        doc["content"],
+                        count=0 if u.get("multiple") else 1,
+                        timeout=PATTERN_SECONDS,
                     )
-                except (re.error, IndexError):
+                except (re.error, regex.error, IndexError, OverflowError, RecursionError, TimeoutError):
                     continue
     return doc
 

@@ -651,6 +651,7 @@ def _answer_json(spark, sf):
         F.when(F.expr("turn % 5 = 0"), F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nbye")))
         .when(F.expr("turn % 5 = 1"), F.concat(F.lit("Sure. "), body, F.lit(" Done.")))
         .when(F.expr("turn % 5 = 2"), cut)
+        .when(F.expr("turn % 5 = 3 AND conv_id % 2 = 0"), F.concat(F.lit("See "), body, F.lit("\n```json\nnone here\n```")))
         .when(F.expr("turn % 5 = 3"), F.lit("no object at all"))
         .otherwise(body)
         .alias("output"),

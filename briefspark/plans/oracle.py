@@ -148,7 +148,7 @@ ORACLE["ant_artifacts"] = """SELECT conv_id AS conv_key, turn AS ordinal, CAST(p
 ORACLE["strip_artifact_tags"] = "SELECT conv_id AS conv_key, turn AS ordinal, 'before  and  after' AS text FROM conversations"
 ORACLE["search_context"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord, block_ord, CAST(o AS BIGINT) AS ord, CASE o WHEN 0 THEN 'source' ELSE 'image' END AS kind,
   CASE o WHEN 0 THEN 'Page' WHEN 1 THEN 'Pic ' || CAST(conv_key AS STRING) ELSE 'Thumb' END AS title, url || CASE o WHEN 0 THEN '' WHEN 1 THEN '/a.PNG?s=1' ELSE '/t' END AS url
-  FROM shapes, (VALUES (0), (1), (2)) v(o) WHERE shape = 4"""
+  FROM shapes, (VALUES (0), (1), (2)) v(o) WHERE shape = 4 AND conv_key % 3 <> 0"""
 ORACLE["citations"] = f"WITH {SHAPES} SELECT DISTINCT conv_key, msg_ord, url, 'First' AS title FROM shapes WHERE shape = 0"
 ORACLE["image_subject"] = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Chart of ' || role ELSE 'Chart of' END || CASE WHEN turn % 3 = 0 THEN ' (image search)' ELSE '' END AS subject FROM conversations"""
 ORACLE["assemble_messages"] = f"""WITH {SHAPES} SELECT conv_key, msg_ord AS ordinal, {trim("text || chr(10) || chr(10) || 'Sources:' || chr(10) || '- First: ' || url")} AS text FROM shapes WHERE shape = 0"""

@@ -169,6 +169,15 @@ def block_json() -> Column:
                 )
             ),
         )
+        .when(
+            (shape == 4) & (F.col("conv_id") % 3 == 0),
+            F.to_json(
+                F.struct(
+                    F.lit("tool_result").alias("type"),
+                    F.concat(F.lit('[{"title":"In a string","url":"'), url, F.lit('"}] see note')).alias("content"),
+                )
+            ),
+        )
         .when(
             shape == 4,
             F.to_json(

@@ -120,9 +120,12 @@ def messages_from_pages(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for page, html in zip(pdf["page_id"], pdf["html"]):
-                found = page_messages(html)
+                try:
+                    found, problem = page_messages(html), "no conversation found on this page"
+                except (AssertionError, RecursionError) as broken:  # html.parser on broken declarations
+                    found, problem = [], f"page cannot be read: {str(broken)[:100]}"
                 if len(found) < 2:
-                    rows.append((page, None, None, None, "no conversation found on this page"))
+                    rows.append((page, None, None, None, problem))
                 else:
                     rows.extend((page, i, role, text, None) for i, (role, text) in enumerate(found))
             yield pd.DataFrame(rows, columns=["page_id", "ordinal", "role", "text", "error"]).astype(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from briefspark.functions.strings import read_json, valid
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.sources.transcript import (
@@ -23,14 +23,17 @@ from briefspark.sources.transcript import (
 
 def _longest(text: str) -> str:
     """The longest string in the nested lists of a JSON text (first of equals)."""
-    best, todo = "", [json.loads(text)]
+    try:
+        best, todo = "", [read_json(text)]
+    except ValueError:
+        return ""
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             best = x if len(x) > len(best) else best
         elif isinstance(x, list):
             todo.extend(reversed(x))
-    return best
+    return valid(best)
 
 
 def _with_docs(df: DataFrame) -> DataFrame:

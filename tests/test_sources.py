@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from briefspark.functions import constants as K
 from briefspark.operators import branch as BR
 from briefspark.operators import model as M
 from briefspark.operators import replay as RP
@@ -161,8 +162,12 @@ def test_parse_salvage_and_null_items(spark):
     assert [d.text for d in out[0].sections.decided] == ["a", "b"]
     assert out[1].error == "null item in a section" and out[1].sections is None
     assert out[2].error and out[2].sections is None
+    # the fence is what counts, and it holds no object
+    assert out[3].error == K.NOTE_NO_OBJECT and out[3].sections is None
     # a model image is read as a constraint: the parser knows no image kind
-    assert out[3].sections.now == "" and out[3].sections.verbatim[0].kind == "constraint"
+    bare = [(0, odd.replace("```json\nnot here```", ""), None)]
+    out = M.parse_sections(spark.createDataFrame(bare, "id int, output string, error string")).collect()
+    assert out[0].sections.now == "" and out[0].sections.verbatim[0].kind == "constraint"
 
 
 def test_pages_by_container_and_alternation():

@@ -14,12 +14,14 @@ a smaller doc_id, or earlier in a document of the same one.  All words that repe
 3. Documents drop the words that their repeats cover.
 
 Shuffles.  Tasks take documents in chunks and send, to each bucket of hashes, one row per
-chunk: probes need no place, so they are distinct, sorted and stored as gaps (3 to 4 bytes
+chunk: probes need no place, so they are distinct, sorted and stored as gaps (2 to 3 bytes
 each); an anchor that its chunk itself repeats is a hit at once and is not sent, nor are
 windows that are not the first of their chunk.  So a passage that is in a third of all
-documents is one entry per chunk and bucket.  Probe hashes are cut to 40 bits within a
-bucket: a chance hit costs an extension that finds nothing.  The texts are dealt out by
-document once; both steps that need them read the same exchange.
+documents is one entry per chunk and bucket.  Probe hashes are cut to 32 bits within a
+bucket: a chance hit costs an extension that finds nothing.  Windows are told apart by 96 bits.
+Answers go back as one row per bucket and range of documents and are merged to one row per
+document.  The texts are dealt out by document once; both steps that need them read the same
+exchange.
 
 Defined cases: null text has no words; rows of one doc_id are parts of one document that are
 ordered by start, and exact copies of a row do not repeat each other; a null doc_id comes before
@@ -41,11 +43,12 @@ from pyspark.sql import types as T
 from briefspark.llm.common import labels, map_batches, partitions, table
 
 WINDOW, BLOCK = 20, 10
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 3 << 19
 #: Different words whose hashes a worker remembers.
 WORDS = 1 << 18
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-KEPT_BITS = 40
+#: Bits of a probe's hash within its bucket.  Buckets hold some 10^6 probes at any size of input.
+KEPT_BITS = 32
 FIRST_ID = -(1 << 63)
 
 
@@ -142,12 +145,14 @@ def probe_rows(documents: DataFrame, block: int, buckets: list[int], chunk_words
                 start.append(np.arange(len(h), dtype=np.int32))
             h = mixed(np.concatenate(found))
             owner, start = np.concatenate(owner), np.concatenate(start)
-            kept = h >> np.uint64(64 - KEPT_BITS)
             bucket = (h & np.uint64((1 << 24) - 1)) % np.uint64(n)
-            order = np.lexsort((kept, bucket))
-            kept, bucket, owner, start = kept[order], bucket[order], owner[order], start[order]
+            h = bucket << np.uint64(KEPT_BITS) | h >> np.uint64(64 - KEPT_BITS)
+            order = np.argsort(h)
+            h, owner, start = h[order], owner[order], start[order]
+            bucket, kept = h >> np.uint64(KEPT_BITS), h & np.uint64((1 << KEPT_BITS) - 1)
             new = np.ones(len(kept), bool)
-            new[1:] = (np.diff(kept) != 0) | (np.diff(bucket) != 0)
+            new[1:] = h[1:] != h[:-1]
+            del h, order
             firsts = np.flatnonzero(new)
             count = np.diff(np.append(firsts, len(kept)))
             often = np.repeat(count > 1, count)
@@ -176,42 +181,90 @@ def probe_rows(documents: DataFrame, block: int, buckets: list[int], chunk_words
     return map_batches(documents.select("uid", "text"), run, PROBES)
 
 
-def _by_owner(owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((place, owner))
-    owner, place = owner[order], place[order]
-    firsts = np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
-    lists = [x.astype("<i4").tobytes() for x in np.split(place, firsts[1:])] if len(owner) else []
-    return pa.record_batch([pa.array(owner[firsts]), pa.array(lists, pa.binary())], ["uid", "places"])
+ANSWERS = "bucket int, uids binary, counts binary, places binary"
 
 
-def hit_anchors(probes: DataFrame, parts: int) -> DataFrame:
-    """-> (uid, places): starts of the blocks that another place repeats; rows may share a uid."""
+def answers(uid: np.ndarray, place: np.ndarray, buckets: list[int]) -> pa.RecordBatch:
+    """Places of documents, one row for each range of documents that has any."""
+    to = uid.view(np.uint64) % np.uint64(len(buckets))
+    order = np.lexsort((uid, to))
+    uid, place, to = uid[order], place[order], to[order]
+    ends = _bounds(to, len(buckets))
+    columns: list[list] = [[] for _ in range(4)]
+    for b in range(len(buckets)):
+        own = uid[ends[b] : ends[b + 1]]
+        if len(own):
+            uids, counts = np.unique(own, return_counts=True)
+            row = buckets[b], uids.tobytes(), counts.astype("<i4").tobytes(), place[ends[b] : ends[b + 1]].astype("<i4").tobytes()
+            for column, value in zip(columns, row):
+                column.append(value)
+    return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "uids", "counts", "places"])
+
+
+def merged(rows: DataFrame, parts: int, runs: bool) -> DataFrame:
+    """ANSWERS -> (uid, places), one row per document: places in order, or with ``runs``
+    the first place and the length of each run of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, places = [], []
+        for batch in batches:
+            for uid, count, place in zip(*(batch.column(n).to_pylist() for n in (1, 2, 3))):
+                uids.append(np.repeat(np.frombuffer(uid, np.int64), np.frombuffer(count, "<i4")))
+                places.append(np.frombuffer(place, "<i4"))
+        if not uids:
+            return
+        uid, place = np.concatenate(uids), np.concatenate(places)
+        order = np.lexsort((place, uid))
+        uid, place = uid[order], place[order]
+        new = np.ones(len(uid), bool)
+        new[1:] = uid[1:] != uid[:-1]
+        if runs:
+            first = new.copy()
+            first[1:] |= place[1:] > place[:-1] + 1
+            at = np.flatnonzero(first)
+            last = np.append(at[1:], len(place)) - 1
+            uid, new = uid[at], new[at]
+            place = np.stack([place[at], place[last] - place[at] + 1], axis=1).astype("<i4")
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(uid))
+        for part in range(0, len(begin), 4096):
+            some = slice(part, part + 4096)
+            lists = [place[a:b].tobytes() for a, b in zip(begin[some], end[some])]
+            yield pa.record_batch([pa.array(uid[begin[some]]), pa.array(lists, pa.binary())], ["uid", "places"])
+
+    return map_batches(rows.repartition(parts, "bucket"), run, HITS)
+
+
+def hit_anchors(probes: DataFrame, parts: int, buckets: list[int]) -> DataFrame:
+    """-> ANSWERS: starts of the blocks that another place repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list]] = {}
         for batch in batches:
             for bucket, once, often, anchors, owners, places, *local in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _by_owner(np.frombuffer(local[0], np.int64), np.frombuffer(local[1], np.int32))
-                lists = held.setdefault(bucket, [[] for _ in range(5)])
-                own = from_gaps(once), from_gaps(often), from_gaps(anchors), np.frombuffer(owners, np.int64), np.frombuffer(places, np.int32)
+                lists = held.setdefault(bucket, [[] for _ in range(7)])
+                own = (
+                    from_gaps(once), from_gaps(often), from_gaps(anchors), np.frombuffer(owners, np.int64), np.frombuffer(places, np.int32),
+                    np.frombuffer(local[0], np.int64), np.frombuffer(local[1], np.int32),
+                )
                 for kept, value in zip(lists, own):
                     kept.append(value)
         for bucket in list(held):
-            once, often, anchors, owners, places = map(np.concatenate, held.pop(bucket))
-            seen, count = np.unique(np.concatenate([once, often, often]), return_counts=True)
-            hit = np.isin(anchors, seen[count > 1])
-            yield _by_owner(owners[hit], places[hit])
+            once, often, anchors, owners, places, local_owners, local_places = map(np.concatenate, held.pop(bucket))
+            every = np.concatenate([once, often, often])
+            every.sort()
+            repeated = every[1:][every[1:] == every[:-1]]
+            hit = np.isin(anchors, repeated)
+            yield answers(np.concatenate([owners[hit], local_owners]), np.concatenate([places[hit], local_places]), buckets)
 
-    return map_batches(probes.repartition(parts, "bucket"), run, HITS)
+    return map_batches(probes.repartition(parts, "bucket"), run, ANSWERS)
 
 
 # -- 2: extension -------------------------------------------------------------
 
-SPANS = "bucket int, one binary, two binary, keys binary, uids binary, starts binary, local_uids binary, local_starts binary"
-
-
-def _joined(lists: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(lists or []), "<i4"))
+SPANS = (
+    "bucket int, one binary, two binary, docs binary, starts binary, keys binary, uids binary, local_uids binary, local_starts binary"
+)
 
 
 def around(places: np.ndarray, n_words: int, block: int, window: int) -> np.ndarray:
@@ -233,9 +286,12 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
             for k, uid, hits, words in rows:
                 if len(words) < window:
                     continue
-                at = around(_joined(hits), len(words), block, window)
+                at = around(np.frombuffer(hits, "<i4"), len(words), block, window)
                 h = hashes.of(words)
-                own = rolling(h, window, FACTORS[0])[at], rolling(h, window, FACTORS[1])[at], np.full(len(at), k, np.int64), np.full(len(at), uid, np.int64), at.astype(np.int32)
+                own = (
+                    rolling(h, window, FACTORS[0])[at], (mixed(rolling(h, window, FACTORS[1])[at]) >> np.uint64(32)).astype(np.uint32),
+                    np.full(len(at), k, np.int64), np.full(len(at), uid, np.int64), at.astype(np.int32),
+                )
                 for held, value in zip(parts, own):
                     held.append(value)
             if not parts[0]:
@@ -252,10 +308,14 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
             least = (key == key[firsts][group]) & (start == start[firsts][group])
             sent, local = np.flatnonzero(least), np.flatnonzero(~least)
             sent_ends, local_ends = _bounds(bucket[sent], n), _bounds(bucket[local], n)
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(9)]
             for b in range(n):
                 s, l = sent[sent_ends[b] : sent_ends[b + 1]], local[local_ends[b] : local_ends[b + 1]]
-                row = (buckets[b], *(x[s].tobytes() for x in (one, two, key, uid, start)), uid[l].tobytes(), start[l].tobytes())
+                uids, doc_at, doc = np.unique(uid[s], return_index=True, return_inverse=True)
+                row = (
+                    buckets[b], one[s].tobytes(), two[s].tobytes(), doc.astype(np.uint32).tobytes(), start[s].tobytes(),
+                    key[s][doc_at].tobytes(), uids.tobytes(), uid[l].tobytes(), start[l].tobytes(),
+                )
                 for column, value in zip(columns, row):
                     column.append(value)
             names = [x.split()[0] for x in SPANS.split(", ")]
@@ -264,41 +324,45 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
     return map_batches(marked.select("k", "uid", "hits", "text"), run, SPANS)
 
 
-def repeats(windows: DataFrame, parts: int) -> DataFrame:
-    """-> (uid, places): starts of the windows that are repeats; rows may share a uid."""
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
+def repeats(windows: DataFrame, parts: int, buckets: list[int]) -> DataFrame:
+    """-> ANSWERS: starts of the windows that are repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list]] = {}
         for batch in batches:
-            for bucket, *data in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _by_owner(np.frombuffer(data[5], np.int64), np.frombuffer(data[6], np.int32))
-                for kept, kind, value in zip(held.setdefault(bucket, [[] for _ in kinds]), kinds, data):
-                    kept.append(np.frombuffer(value, kind))
+            for bucket, one, two, doc, start, key, uid, *local in zip(*(c.to_pylist() for c in batch.columns)):
+                doc = np.frombuffer(doc, np.uint32)
+                own = (
+                    np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint32), np.frombuffer(key, np.int64)[doc], np.frombuffer(uid, np.int64)[doc],
+                    np.frombuffer(start, np.int32), np.frombuffer(local[0], np.int64), np.frombuffer(local[1], np.int32),
+                )
+                for kept, value in zip(held.setdefault(bucket, [[] for _ in own]), own):
+                    kept.append(value)
         for bucket in list(held):
-            one, two, key, uid, start = map(np.concatenate, held.pop(bucket))
+            one, two, key, uid, start, local_uid, local_start = map(np.concatenate, held.pop(bucket))
             order = np.lexsort((start, key, two, one))
             one, two, key, uid, start = (x[order] for x in (one, two, key, uid, start))
             new = np.ones(len(one), bool)
-            new[1:] = (np.diff(one) != 0) | (np.diff(two) != 0)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             firsts, group = np.flatnonzero(new), np.cumsum(new) - 1
             later = (key != key[firsts][group]) | (start != start[firsts][group])
-            yield _by_owner(uid[later], start[later])
+            yield answers(np.concatenate([uid[later], local_uid]), np.concatenate([start[later], local_start]), buckets)
 
-    return map_batches(windows.repartition(parts, "bucket"), run, HITS)
+    return map_batches(windows.repartition(parts, "bucket"), run, ANSWERS)
 
 
 # -- 3: documents -------------------------------------------------------------
 
 
-def kept_words(text: str | None, places: list[bytes] | None, window: int) -> tuple[int, list[bytes]]:
-    """(number of words, the words that no repeat covers)."""
-    words, starts = words_of(text), _joined(places)
-    if not len(starts):
+def kept_words(text: str | None, runs: bytes | None, window: int) -> tuple[int, list[bytes]]:
+    """(number of words, the words that no repeat covers); runs: of starts of repeats."""
+    words = words_of(text)
+    if not runs:
         return len(words), words
+    starts, lengths = np.frombuffer(runs, "<i4").reshape(-1, 2).T
     edges = np.zeros(len(words) + 1, np.int32)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, starts + lengths - 1 + window, -1)
     covered = np.cumsum(edges)[:-1] > 0
     return len(words), [w for w, c in zip(words, covered) if not c]
 
@@ -321,12 +385,13 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block: int = BLOC
         F.struct(F.lit(None).cast("int"), *[documents[c] for c in documents.columns if c not in ("doc_id", "text")]).alias("row"),
     )
     dealt = docs.repartition(parts, "uid")
-    grouped = lambda rows, name: rows.groupBy("uid").agg(F.collect_list("places").alias(name))
-    hits = grouped(hit_anchors(probe_rows(docs.select("uid", "text"), block, buckets, chunk_words), parts), "hits")
+    probes = probe_rows(docs.select("uid", "text"), block, buckets, chunk_words)
+    hits = merged(hit_anchors(probes, parts, buckets), parts, runs=False).withColumnRenamed("places", "hits")
     # both joins read the same columns of ``dealt``, so that they share its exchange
     first = F.coalesce("doc_id", F.lit(FIRST_ID))
     marked = dealt.join(hits, "uid").select(first.alias("k"), "uid", "hits", "text")
-    found = grouped(repeats(window_rows(marked, block, window, buckets, chunk_words), parts), "places")
+    windows = window_rows(marked, block, window, buckets, chunk_words)
+    found = merged(repeats(windows, parts, buckets), parts, runs=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -879,8 +879,14 @@ def pass_rate(spark, sf):
 
 @query
 def distill_with_model(spark, sf):
-    """The whole model way with a fixed stand-in model; rows of the final state line."""
-    return _model_brief(spark, sf)
+    """The whole model way with a fixed stand-in model: the rendered briefs."""
+    return RD.render_brief(_model_brief(spark, sf)).select("conv_key", "part", "human_md")
+
+
+@query
+def model_modes(spark, sf):
+    """Who produced each brief of the model way, and what fell back."""
+    return _model_brief(spark, sf).meta.select("conv_key", "produced_by", F.array_join("notes", " ").alias("notes"))
 
 
 def stand_in_model(prompt: str) -> str:
@@ -896,7 +902,7 @@ def stand_in_model(prompt: str) -> str:
 
 def _model_brief(spark, sf):
     t = _seeded_transcript(spark, sf)
-    brief = P.distill_with_model(
+    return P.distill_with_model(
         t,
         stand_in_model,
         "stand-in",
@@ -904,7 +910,6 @@ def _model_brief(spark, sf):
         lambda outputs: F.concat(F.lit("MERGE "), F.array_join(outputs, "\n")),
         max_chars=1500,
     )
-    return RD.render_brief(brief).select("conv_key", "part", "human_md")
 
 
 def entry(spark: SparkSession, sf: str | None = None) -> DataFrame:

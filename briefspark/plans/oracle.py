@@ -414,3 +414,35 @@ ORACLE["corpus_summary"] = f"""WITH RECURSIVE {CARD}, {URLS}, plat AS (SELECT co
 SELECT platform, count(*) AS conversations, CAST(sum(full_chars) AS BIGINT) AS full_chars, CAST(sum(brief_chars) AS BIGINT) AS brief_chars FROM card JOIN plat USING (id) GROUP BY ROLLUP (platform)"""
 ORACLE["parse_verdict"] = """SELECT conv_id, turn, turn % 4 IN (0, 3) AS same_move, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN '' WHEN 2 THEN 'judge output did not parse: ' || substr(text, 1, 120) ELSE role END AS reasoning FROM conversations"""
 ORACLE["pass_rate"] = "SELECT count(*) AS n, count(*) FILTER (turn % 4 IN (0, 3)) AS passed, round(count(*) FILTER (turn % 4 IN (0, 3)) / count(*), 6) AS rate FROM conversations"
+
+# -- the model way with the stand-in model ------------------------------------------------------------------------
+
+MODELLED = f"""{BRIEF}, {UNITS},
+unit_no AS (SELECT conv_key, unit, length(unit) + 2 AS cost, row_number() OVER (PARTITION BY conv_key ORDER BY src, ordinal) AS n FROM units),
+cut AS (SELECT conv_key, n, unit, cost AS load, CAST(0 AS BIGINT) AS chunk FROM unit_no WHERE n = 1
+  UNION ALL SELECT u.conv_key, u.n, u.unit, CASE WHEN load + cost > 1500 THEN cost ELSE load + cost END, CASE WHEN load + cost > 1500 THEN chunk + 1 ELSE chunk END FROM cut f JOIN unit_no u ON u.conv_key = f.conv_key AND u.n = f.n + 1),
+asked AS (SELECT conv_key, chunk, 'CHUNK ' || string_agg(unit, chr(10) || chr(10) ORDER BY n) AS prompt FROM cut GROUP BY 1, 2),
+answered AS (SELECT conv_key, chunk, contains(prompt, '| key | value |') AND length(prompt) % 5 = 0 AS bad, count(*) OVER (PARTITION BY conv_key) AS chunks FROM asked),
+modes AS (SELECT conv_key, CASE count(*) FILTER (NOT bad) WHEN 0 THEN 'deterministic' WHEN 1 THEN 'single' ELSE 'merge' END AS mode,
+  concat_ws(' ', string_agg('Chunk ' || CAST(chunk + 1 AS STRING) || '/' || CAST(chunks AS STRING) || ' did not parse ({K.NOTE_NO_OBJECT}); its raw model output was kept out of the merge.', ' ' ORDER BY chunk) FILTER (bad),
+    CASE WHEN count(*) FILTER (NOT bad) = 0 THEN {q(K.NOTE_NO_CHUNK)} END) AS notes FROM answered GROUP BY 1),
+said AS (SELECT conv_key, mode, notes, CASE mode WHEN 'single' THEN 'One chunk.' WHEN 'merge' THEN 'Merged.' END AS now FROM modes),
+listing AS (SELECT conv_key, count(*) AS n, bool_and(contains(lower(now), lower(name))) AS all_named, string_agg(name, ', ' ORDER BY src, ordinal, pos) AS names FROM said JOIN listed USING (conv_key) WHERE source = 'chat' GROUP BY 1),
+tab AS (SELECT conv_key, src, ordinal, pos, {lap('value')} AS toks, row_number() OVER (PARTITION BY conv_key ORDER BY src, ordinal, pos) AS n FROM items WHERE kind = 'table'),
+tabs AS (SELECT conv_key, n, [toks] AS known, true AS added FROM tab WHERE n = 1 UNION ALL
+  SELECT conv_key, n, CASE WHEN hit THEN known ELSE list_append(known, toks) END, NOT hit FROM (
+    SELECT t.conv_key, t.n, t.toks, f.known, len(list_filter(f.known, lambda k: {OVER.format(a='k', b='t.toks')} >= 0.8)) > 0 AS hit FROM tabs f JOIN tab t ON t.conv_key = f.conv_key AND t.n = f.n + 1)),
+lacking AS (SELECT i.* FROM items i LEFT JOIN tab t ON t.conv_key = i.conv_key AND t.src = i.src AND t.ordinal = i.ordinal AND t.pos = i.pos AND i.kind = 'table'
+  LEFT JOIN tabs f ON f.conv_key = t.conv_key AND f.n = t.n WHERE i.kind = 'image' OR i.kind = 'table' AND f.added),
+model_verb AS (SELECT conv_key, string_agg({item('kind', 'label', 'value', 'language')}, {NL} || {NL} ORDER BY src, ordinal, pos) AS verb FROM lacking GROUP BY 1),
+model_bodies AS (SELECT s.conv_key, mode, notes, coalesce(n_odd, 0) AS n_odd, concat_ws({NL},
+   {section('Now', "CASE WHEN mode = 'deterministic' THEN d.now WHEN l.n >= 2 AND NOT l.all_named THEN s.now || ' Files produced in this chat (' || CAST(l.n AS STRING) || '): ' || l.names || '.' ELSE s.now END")},
+   CASE WHEN mode = 'merge' THEN {section('Decided', "'- Keep the plan'")} END, CASE WHEN mode = 'single' THEN {section('Open', "'- Next step'")} END,
+   CASE WHEN mode = 'deterministic' AND v.verb IS NOT NULL THEN {section('Verbatim, keep exact', 'v.verb')} WHEN mode <> 'deterministic' AND m.verb IS NOT NULL THEN {section('Verbatim, keep exact', 'm.verb')} END,
+   CASE WHEN attach IS NOT NULL THEN {section('Bring these for full context', 'attach')} END, CASE WHEN odd IS NOT NULL THEN {section('Raw, could not parse (review these)', 'odd')} END) AS body
+  FROM said s JOIN nows d USING (conv_key) LEFT JOIN listing l USING (conv_key) LEFT JOIN verb v USING (conv_key) LEFT JOIN model_verb m USING (conv_key) LEFT JOIN attach USING (conv_key) LEFT JOIN odd USING (conv_key)),
+model_framed AS (SELECT *, 'stand-in' || CASE WHEN mode = 'deterministic' THEN ' (fallback: deterministic)' ELSE '' END AS produced_by FROM model_bodies)"""
+ORACLE["distill_with_model"] = f"""WITH RECURSIVE {MODELLED} SELECT conv_key, CAST(0 AS BIGINT) AS part,
+  '# Handoff brief, Chat ' || CAST(conv_key AS STRING) || {NL} || {NL} || '_briefspark · schema v1 · produced by ' || produced_by || ' · generated 2026-06-26._' || {NL} || {NL}
+  || CASE WHEN n_odd > 0 THEN {banner('n_odd')} || {NL} ELSE '' END || CASE WHEN notes <> '' THEN '> ⚠️ **Distiller fell back** in places: ' || notes || {NL} ELSE '' END || body AS human_md FROM model_framed"""
+ORACLE["model_modes"] = f"WITH RECURSIVE {MODELLED} SELECT conv_key, produced_by, notes FROM model_framed"

@@ -35,6 +35,54 @@ def draft_similarity(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def similar_drafts(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD) -> DataFrame:
+    """(conv_key, ordinal_a, ordinal_b, sim): all pairs of a conversation's artifacts, of three
+    words or more each, with at least that Jaccard similarity.
+
+    Sets that are so alike share a word among the first n - ceil(threshold * n) + 1 of each,
+    in any fixed order of words.  With the rarest words first, few sets meet at a word; the
+    pairs that meet are verified.  Artifacts of equal word sets are one set throughout and
+    come as pairs with the first of them only.
+    """
+    sets = artifacts.select("conv_key", "ordinal", T.token_set(F.col("content")).alias("tokens")).filter(
+        F.size("tokens") >= K.TOKEN_SET_MIN
+    )
+    keyed = sets.withColumn("tokens", F.array_sort("tokens")).withColumn("set_key", F.xxhash64("tokens"))
+    firsts = keyed.groupBy("conv_key", "set_key").agg(F.min(F.struct("ordinal", "tokens")).alias("f"))
+    firsts = firsts.select("conv_key", "set_key", F.col("f.ordinal").alias("ordinal"), F.col("f.tokens").alias("tokens"))
+    words = firsts.select("conv_key", "ordinal", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
+    often = words.groupBy("conv_key", "word").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("conv_key", "ordinal").orderBy("often", "word"))
+    heads = (
+        words.join(often, ["conv_key", "word"])
+        .filter("often > 1")
+        .withColumn("place", place)
+        .filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+        .select("conv_key", "word", "ordinal", "n")
+    )
+    one = heads.withColumnsRenamed({"ordinal": "ordinal_a", "n": "n_a"})
+    two = heads.withColumnsRenamed({"ordinal": "ordinal_b", "n": "n_b"})
+    sizes_allow = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    met = (
+        one.join(two, ["conv_key", "word"])
+        .filter((F.col("ordinal_a") < F.col("ordinal_b")) & sizes_allow)
+        .select("conv_key", "ordinal_a", "ordinal_b")
+        .distinct()
+    )
+    of = lambda end: firsts.select("conv_key", F.col("ordinal").alias(f"ordinal_{end}"), F.col("tokens").alias(end))
+    near = (
+        met.join(of("a"), ["conv_key", "ordinal_a"])
+        .join(of("b"), ["conv_key", "ordinal_b"])
+        .select("conv_key", "ordinal_a", "ordinal_b", T.jaccard(F.col("a"), F.col("b")).alias("sim"))
+        .filter(F.col("sim") >= threshold)
+    )
+    same = keyed.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_b")).join(
+        firsts.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_a")), ["conv_key", "set_key"]
+    )
+    equal = same.filter("ordinal_a < ordinal_b").select("conv_key", "ordinal_a", "ordinal_b", F.lit(1.0).alias("sim"))
+    return near.unionByName(equal)
+
+
 class _Slots:
     """The kept versions of one conversation, with the slots that hold each word."""
 

@@ -504,6 +504,12 @@ def draft_similarity(spark, sf):
     return sims.select("conv_key", "prev_ordinal", "ordinal", F.round("sim", 6).alias("sim"))
 
 
+@query
+def similar_drafts(spark, sf):
+    pairs = D.similar_drafts(S.artifacts(spark, sf))
+    return pairs.select("conv_key", "ordinal_a", "ordinal_b", F.round("sim", 6).alias("sim"))
+
+
 @query
 def collapse_lineage(spark, sf):
     return D.collapse_lineage(S.artifacts(spark, sf)).select("conv_key", "slot", "ordinal", "content")
@@ -848,6 +854,15 @@ def scorecard_markdown(spark, sf):
     return SK.scorecard_markdown(_scorecard(spark, sf))
 
 
+@query
+def scorecard_document(spark, sf):
+    verdicts = V.parse_verdict(_verdicts(spark, sf)).filter("turn = conv_id % 5")
+    judged = _scorecard(spark, sf).join(
+        verdicts.select(F.col("conv_id").alias("id"), "same_move", "reasoning"), "id", "left"
+    )
+    return SK.scorecard_document(judged, "stand-in")
+
+
 @query
 def corpus_summary(spark, sf):
     platforms = S.chats(spark, sf).select(F.col("conv_id").alias("conv_key"), F.expr(f"{S.CHAT_URL} AS url")).groupBy("conv_key").agg(

@@ -204,6 +204,10 @@ fold AS (SELECT conv_key, n, [{{'slot': ordinal, 'ord': ordinal, 'toks': toks}}]
 last_fold AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY conv_key ORDER BY n DESC) = 1),
 kept_rows AS (SELECT conv_key, unnest(kept) AS k FROM last_fold),
 lineage AS (SELECT r.conv_key, r.k.slot AS slot, r.k.ord AS ordinal, a.content, a.turn FROM kept_rows r JOIN arts a ON a.conv_key = r.conv_key AND a.ordinal = r.k.ord)"""
+ORACLE["similar_drafts"] = f"""WITH {ARTIFACTS}, t AS (SELECT conv_key, ordinal, {tokens('content')} AS toks FROM arts), s AS (SELECT *, list_sort(toks) AS st, len(toks) AS n FROM t WHERE len(toks) >= 3),
+f AS (SELECT *, min(ordinal) OVER (PARTITION BY conv_key, st) AS head FROM s)
+SELECT a.conv_key, a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, round({SIM.format(a='a.toks', b='b.toks')}, 6) AS sim FROM f a JOIN f b ON a.conv_key = b.conv_key AND a.ordinal < b.ordinal
+WHERE a.ordinal = a.head AND (b.ordinal = b.head OR b.head = a.head) AND {SIM.format(a='a.toks', b='b.toks')} >= 0.5"""
 ORACLE["collapse_lineage"] = f"WITH RECURSIVE {KEPT} SELECT conv_key, slot, ordinal, content FROM lineage"
 
 # -- extraction ----------------------------------------------------------------------------------------------
@@ -410,6 +414,14 @@ card AS (SELECT conv_key AS id, CAST(full_chars AS BIGINT) AS full_chars, length
 ORACLE["brief_metrics"] = f"WITH RECURSIVE {CARD} SELECT id, full_chars, brief_chars, round(reduction, 6) AS reduction, integrity_complete, decided, open, rejected, verbatim, files FROM card"
 ORACLE["scorecard_markdown"] = f"""WITH RECURSIVE {CARD} SELECT id, '| ' || CAST(id AS STRING) || ' | ' || CAST(full_chars AS STRING) || '→' || CAST(brief_chars AS STRING) || ' (−' || CAST(CAST(floor(reduction * 100 + 0.5) AS BIGINT) AS STRING) || '%) | ' ||
   CASE WHEN integrity_complete THEN '✓' ELSE '⚠ partial' END || ' | 0/0/0/' || CAST(verbatim AS STRING) || '/' || CAST(files AS STRING) || ' | ,  |' AS line FROM card"""
+ORACLE["scorecard_document"] = f"""WITH RECURSIVE {CARD}, verdicts AS (SELECT conv_id AS id, turn % 4 IN (0, 3) AS same_move, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN '' WHEN 2 THEN 'judge output did not parse: ' || substr(text, 1, 120) ELSE role END AS reasoning FROM conversations WHERE turn = conv_id % 5),
+j AS (SELECT * FROM card LEFT JOIN verdicts USING (id))
+SELECT CAST(part AS BIGINT) AS part, CAST(place AS BIGINT) AS place, '' AS id, line FROM (VALUES (0, 0, '# briefspark eval scorecard'), (0, 1, ''), (0, 2, 'Mode: **full judgement** (model: `stand-in`).'), (0, 3, ''),
+  (0, 4, '| Fixture | Full→Brief size | Integrity | Decided/Open/Rejected/Verbatim/Files | Same next move? |'), (0, 5, '|---|---|---|---|---|'), (2, 0, ''), (3, 0, ''), (3, 1, '## Judge reasoning'), (3, 2, '')) v(part, place, line)
+UNION ALL SELECT 1, 0, CAST(id AS STRING), '| ' || CAST(id AS STRING) || ' | ' || CAST(full_chars AS STRING) || '→' || CAST(brief_chars AS STRING) || ' (−' || CAST(CAST(floor(reduction * 100 + 0.5) AS BIGINT) AS STRING) || '%) | ' ||
+  CASE WHEN integrity_complete THEN '✓' ELSE '⚠ partial' END || ' | 0/0/0/' || CAST(verbatim AS STRING) || '/' || CAST(files AS STRING) || ' | ' || CASE WHEN same_move IS NULL THEN ', ' WHEN same_move THEN '✅ yes' ELSE '❌ no' END || ' |' FROM j
+UNION ALL SELECT 2, 1, '', '**Same-next-move pass rate: ' || CAST(count(*) FILTER (same_move) AS STRING) || '/' || CAST(count(*) AS STRING) || '**' FROM j
+UNION ALL SELECT 4, 0, CAST(id AS STRING), '- **' || CAST(id AS STRING) || '**: ' || reasoning FROM j WHERE same_move IS NOT NULL"""
 ORACLE["corpus_summary"] = f"""WITH RECURSIVE {CARD}, {URLS}, plat AS (SELECT conv_id AS id, min({platform_case()}) AS platform FROM chat_urls GROUP BY 1)
 SELECT platform, count(*) AS conversations, CAST(sum(full_chars) AS BIGINT) AS full_chars, CAST(sum(brief_chars) AS BIGINT) AS brief_chars FROM card JOIN plat USING (id) GROUP BY ROLLUP (platform)"""
 ORACLE["parse_verdict"] = """SELECT conv_id, turn, turn % 4 IN (0, 3) AS same_move, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN '' WHEN 2 THEN 'judge output did not parse: ' || substr(text, 1, 120) ELSE role END AS reasoning FROM conversations"""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from briefspark.functions import text as T
 
+SCORECARD_TITLE = "# briefspark eval scorecard"
+SCORECARD_JUDGED = "Mode: **full judgement** (model: `{}`)."
+SCORECARD_UNJUDGED = "Mode: **shape + size only** (no model)."
 SCORECARD_HEAD = (
     "| Fixture | Full→Brief size | Integrity | Decided/Open/Rejected/Verbatim/Files | Same next move? |",
     "|---|---|---|---|---|",
@@ -68,16 +71,46 @@ def scorecard_markdown(scorecard: DataFrame) -> DataFrame:
     return have.select("id", scorecard_row(F.col("reduction")).alias("line"))
 
 
-def write_scorecard(scorecard: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``path``/json holds the entries, ``path``/markdown the summary table.
+def scorecard_document(scorecard: DataFrame, judge: str | None = None) -> DataFrame:
+    """(part, place, id, line): the whole summary; ordered by these, the lines are the document.
 
-    The summary is written in order by range partitioning, head lines first, so
-    the files read one after the other are the document.
+    ``judge`` names the model whose verdicts (same_move, reasoning; NULL where it gave
+    none) the scorecard holds; they add a pass rate and the reasons.
     """
-    scorecard.write.mode(mode).json(f"{path}/json")
     spark = scorecard.sparkSession
-    head = spark.createDataFrame([(0, i, "", t) for i, t in enumerate(SCORECARD_HEAD)], "a int, b int, id string, line string")
-    rows = scorecard_markdown(scorecard).select(
-        F.lit(1).alias("a"), F.lit(0).alias("b"), F.col("id").cast("string").alias("id"), "line"
+    columns = "part int, place int, id string, line string"
+
+    def fixed(part: int, lines: list[str]) -> DataFrame:
+        return spark.createDataFrame([(part, n, "", line) for n, line in enumerate(lines)], columns)
+
+    def of_rows(part: int, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), F.lit(0).alias("place"), F.col("id").cast("string").alias("id"), "line")
+
+    mode = SCORECARD_JUDGED.format(judge) if judge else SCORECARD_UNJUDGED
+    out = fixed(0, [SCORECARD_TITLE, "", mode, "", *SCORECARD_HEAD]).unionByName(of_rows(1, scorecard_markdown(scorecard)))
+    if judge is None:
+        return out
+    counts = scorecard.agg(F.count_if("same_move").alias("passed"), F.count("*").alias("n"))
+    rate = F.concat(
+        F.lit("**Same-next-move pass rate: "), F.col("passed").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("**")
+    )
+    passed = counts.select(F.lit(2).alias("part"), F.lit(1).alias("place"), F.lit("").alias("id"), rate.alias("line"))
+    reason = F.concat(F.lit("- **"), F.col("id").cast("string"), F.lit("**: "), F.coalesce("reasoning", F.lit("")))
+    reasons = scorecard.filter(F.col("same_move").isNotNull()).select("id", reason.alias("line"))
+    return (
+        out.unionByName(fixed(2, [""]))
+        .unionByName(passed)
+        .unionByName(fixed(3, ["", "## Judge reasoning", ""]))
+        .unionByName(of_rows(4, reasons))
     )
-    head.unionByName(rows).orderBy("a", "b", "id").select("line").write.mode(mode).text(f"{path}/markdown")
+
+
+def write_scorecard(scorecard: DataFrame, path: str, judge: str | None = None, mode: str = "overwrite") -> None:
+    """``path``/json holds the entries, ``path``/markdown the summary.
+
+    The summary is written in order by range partitioning, so the files read one
+    after the other are the document.
+    """
+    scorecard.write.mode(mode).json(f"{path}/json")
+    document = scorecard_document(scorecard, judge).orderBy("part", "place", "id")
+    document.select("line").write.mode(mode).text(f"{path}/markdown")

@@ -1,9 +1,10 @@
 """Language identification by rank-order n-gram profiles.
 
-A profile is the list of the PROFILE most frequent n-grams of 1 to LONGEST letters of words
-padded with a blank, most frequent first.  The distance of a document to a language is the sum,
-over the n-grams of the document's profile, of how far each is out of place in the language's
-profile; an n-gram that is not in it counts PROFILE.  The nearest language wins.
+A profile is the list of the PROFILE most frequent n-grams of 1 to LONGEST characters of
+words (runs of letters, lower case, a blank at either end), most frequent first.  The distance
+of a document to a language is the sum, over the n-grams of the document's profile, of how far
+each is out of place in the language's profile; an n-gram that is not in it counts PROFILE.
+The nearest language wins.
 
 The score is 1 minus the distance to the nearest language over the greatest possible one.
 
@@ -14,78 +15,95 @@ for each language, reach the driver and go back with the tasks.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is a text of
 which no n-gram is in any profile, and everything if there is nothing to learn from; equal
-counts rank by first appearance in a document, by the n-gram in a language; equal distances go
-to the language that comes first; repeated rows and null ids stay (a null id is not held
-out); columns other than doc_id, text and lang are ignored.
+counts rank by the n-gram's number; equal distances go to the language that comes first;
+repeated rows and null ids stay (a null id is not held out); columns other than doc_id, text
+and lang are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briefspark.llm.bpe import Recent
 from briefspark.llm.common import map_batches, table
 
 PROFILE, LONGEST = 300, 3
 TRAIN_DOCS = 2000
 UNDECIDED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-WORDS = 1 << 16
-
-
-def ngrams_of(word: str) -> tuple[str, ...]:
-    padded = f" {word} "
-    return tuple(
-        padded[a : a + n]
-        for n in range(1, LONGEST + 1)
-        for a in range(len(padded) - n + 1)
-        if n > 1 or padded[a] != " "
-    )
-
-
-def counts_of(text: str, known: Recent) -> Counter:
-    """The n-grams of a whole text, in the order of their first appearance."""
-    return Counter(chain.from_iterable(map(known.__getitem__, LETTERS.findall(text.lower()))))
-
-
-def profile_of(counts: Counter) -> list[str]:
-    return [g for g, _ in sorted(counts.items(), key=itemgetter(1), reverse=True)[:PROFILE]]
+#: Bits of a character in the number of an n-gram; 1 stands for the blank.
+BITS, BLANK = 21, 1
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def ngrams_of(text: str) -> np.ndarray:
+    """The n-grams of all words of a text as numbers: characters in BITS bits each."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    known = letters()[codes]
+    if not known.any():
+        return np.empty(0, np.int64)
+    line = np.full(len(codes) + 2, BLANK, np.int64)
+    line[1:-1] = np.where(known, codes.astype(np.int64) + BLANK + 1, BLANK)
+    line = line[np.append(True, (line[1:] != BLANK) | (line[:-1] != BLANK))]  # one blank between words
+    found = [line[line != BLANK]]
+    for n in range(2, LONGEST + 1):
+        gram = line[: len(line) - n + 1].copy()
+        inside = np.ones(len(gram), bool)  # a blank only at the ends
+        for k in range(1, n):
+            part = line[k : len(line) - n + 1 + k]
+            gram = gram << BITS | part
+            if k < n - 1:
+                inside &= part != BLANK
+        found.append(gram[inside])
+    return np.concatenate(found)
+
+
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(ngrams_of(text), return_counts=True)
+
+
+def profile_of(text: str) -> np.ndarray:
+    """The PROFILE most frequent n-grams of a whole text, equal counts by number."""
+    ngrams, counts = counts_of(text)
+    if len(counts) > PROFILE:
+        often = counts >= np.partition(counts, len(counts) - PROFILE)[len(counts) - PROFILE]
+        ngrams, counts = ngrams[often], counts[often]
+    return ngrams[np.lexsort((ngrams, -counts))[:PROFILE]]
 
 
 class Profiles:
     """The places of n-grams in the profiles of all languages."""
 
-    def __init__(self, ranked: dict[str, list[str]]):
+    def __init__(self, ranked: dict[str, list[int]]):
         self.languages = sorted(ranked)
-        self.places: dict[str, list[int]] = {}
+        self.ngrams = np.array(sorted({g for profile in ranked.values() for g in profile}), np.int64)
+        self.places = np.full((len(self.ngrams), len(ranked)), -1, np.int64)
         for n, language in enumerate(self.languages):
-            for place, ngram in enumerate(ranked[language]):
-                self.places.setdefault(ngram, [-1] * len(self.languages))[n] = place
-
-    def nearest(self, profile: list[str]) -> tuple[str, float]:
-        total, known = [0] * len(self.languages), False
-        for place, ngram in enumerate(profile):
-            found = self.places.get(ngram)
-            if found is None:
-                for n in range(len(total)):
-                    total[n] += PROFILE
-                continue
-            known = True
-            for n, other in enumerate(found):
-                total[n] += PROFILE if other < 0 else abs(place - other)
-        if not known:
+            rows = np.searchsorted(self.ngrams, ranked[language])
+            self.places[rows, n] = np.arange(len(rows))
+
+    def nearest(self, profile: np.ndarray) -> tuple[str, float]:
+        if not len(profile) or not len(self.ngrams):
+            return UNDECIDED, 0.0
+        rows = np.minimum(np.searchsorted(self.ngrams, profile), len(self.ngrams) - 1)
+        known = self.ngrams[rows] == profile
+        if not known.any():
             return UNDECIDED, 0.0
-        least = min(range(len(total)), key=total.__getitem__)
-        return self.languages[least], 1 - total[least] / (PROFILE * len(profile))
+        places = np.where(known[:, None], self.places[rows], -1)
+        apart = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(rows))[:, None])).sum(0)
+        least = int(apart.argmin())
+        return self.languages[least], 1 - int(apart[least]) / (PROFILE * len(profile))
 
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
@@ -98,16 +116,18 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
     picked = labelled.filter(pick).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Recent(ngrams_of, WORDS), {}
+        counts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(counts_of(text or "", known))
+                held = counts.setdefault(lang, Counter())
+                for ngram, n in zip(*(x.tolist() for x in counts_of(text or ""))):
+                    held[ngram] += n
         rows = [(lang, g, n) for lang, found in counts.items() for g, n in found.items()]
         columns = list(zip(*rows)) or [(), (), ()]
-        kinds = (pa.string(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "ngram", "n"])
 
-    totals = map_batches(picked, count, "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    totals = map_batches(picked, count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
     first = F.struct((-F.col("n")).alias("n"), "ngram")
     merged = totals.select("lang", F.pmod(F.xxhash64("ngram"), F.lit(8)).alias("part"), first.alias("r"))
     # the best of each part, then of all parts: no task sorts a whole language
@@ -122,12 +142,8 @@ def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
     documents = documents.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Recent(ngrams_of, WORDS)
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                profile = profile_of(counts_of(text or "", known))
-                found.append(profiles.nearest(profile) if profile else (UNDECIDED, 0.0))
+            found = [profiles.nearest(profile_of(t or "")) for t in batch.column("text").to_pylist()]
             names, scores = zip(*found) if found else ((), ())
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.record_batch([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])

@@ -1,5 +1,9 @@
+from collections import Counter
+
+import numpy as np
+
 from briefspark.llm import language
-from tests.llm.cases import documents
+from tests.llm.cases import documents, prose
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,10 +31,34 @@ def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in language.predict(documents(spark), profiles).collect()} == {"und"}
 
 
-def test_profile_is_the_most_frequent_and_distance_is_out_of_place():
-    known = language.Recent(language.ngrams_of, 10)
-    profile = language.profile_of(language.counts_of("aa aa ab", known))
-    assert profile[0] == "a" and set(profile) >= {" a", "a ", "aa", " aa", "aa "}
-    p = language.Profiles({"x": ["a", "b", "c"], "y": ["c", "b", "a"]})
-    lang, score = p.nearest(["a", "b", "q"])
+def spelt(ngram: int) -> str:
+    out = ""
+    while ngram:
+        code = ngram & ((1 << language.BITS) - 1)
+        out = (" " if code == language.BLANK else chr(code - 2)) + out
+        ngram >>= language.BITS
+    return out
+
+
+def plain_ngrams(text: str) -> list[str]:
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    padded = [f" {w} " for w in words]
+    return [p[a : a + n] for p in padded for n in (1, 2, 3) for a in range(len(p) - n + 1) if p[a : a + n] != " "]
+
+
+def test_profile_against_plain_counting():
+    for seed in range(20):
+        text = prose(seed, 200) + "X_y2z " + "".join(chr(0x3041 + (seed * k) % 80) for k in range(90)) + "\U0001f600a"
+        counts = Counter(plain_ngrams(text))
+        ngrams, times = language.counts_of(text)
+        assert {spelt(g): n for g, n in zip(ngrams.tolist(), times.tolist())} == counts
+        profile = [spelt(g) for g in language.profile_of(text).tolist()]
+        assert [counts[g] for g in profile] == sorted(counts.values(), reverse=True)[:300]
+
+
+def test_distance_is_out_of_place():
+    number = {c: ord(c) + 2 for c in "abcq"}
+    p = language.Profiles({"x": [number[c] for c in "abc"], "y": [number[c] for c in "cba"]})
+    lang, score = p.nearest(np.array([number[c] for c in "abq"]))
     assert lang == "x" and score == 1 - (0 + 0 + 300) / 900
+    assert p.nearest(np.array([number["q"]])) == ("und", 0.0)

@@ -67,7 +67,7 @@ RULES = {0: Rule(sep="\n\n"), 1: Rule(sep="\n\n", lead="\n\n")}
 def render_transcript(units: DataFrame) -> DataFrame:
     """Units joined by a blank line -> (conv_key, part, text)."""
     coded = units.select("conv_key", F.col("src").alias("code"), "src", "ordinal", F.lit(0).alias("pos"), "text")
-    return assemble(coded, RULES)
+    return assemble(coded, RULES).drop("last")
 
 
 def transcript_chars(units: DataFrame) -> DataFrame:

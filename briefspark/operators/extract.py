@@ -546,4 +546,4 @@ def tier0_now(
     messages: DataFrame, files: DataFrame, conversations: DataFrame | None = None
 ) -> DataFrame:
     """(conv_key, part, now); one part unless the list of files is very long."""
-    return assemble(now_units(messages, files, conversations), NOW_RULES).withColumnRenamed("text", "now")
+    return assemble(now_units(messages, files, conversations), NOW_RULES).select("conv_key", "part", F.col("text").alias("now"))

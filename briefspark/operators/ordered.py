@@ -190,8 +190,9 @@ def text_blocks(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> Data
 
     (conv_key, code, src, block, text, lead, tail, chars, start): the texts of a
     block joined, what goes before and after it, its length with both, and where
-    it starts in the whole text of the conversation.  Only one row per block takes
-    part in the window over a conversation.
+    it (``start``) and the last block (``last_start``) start in the whole text of the
+    conversation.  Only one narrow row per block takes part in the windows over a
+    conversation.
     """
 
     def of(field: str) -> Column:
@@ -256,25 +257,31 @@ def text_blocks(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> Data
         F.col("__trims").alias("trims"),
         (F.sum("chars").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("chars")).alias("start"),
     )
+    placed = placed.withColumn("last_start", F.max("start").over(Window.partitionBy("conv_key")))
     return blocks.join(placed, ["conv_key", "code", "src", "block"])
 
 
 def assemble(
     units: DataFrame, rules: dict[int, Rule], gap: str = "", part_chars: int = PART_CHARS
 ) -> DataFrame:
-    """Units in order as one text per conversation -> (conv_key, part, text).
+    """Units in order as one text per conversation -> (conv_key, part, text, last).
 
     A conversation whose text stays under ``part_chars`` gives exactly one row,
     part 0.  A longer one is cut between blocks into parts that read on from each
     other, so no row and no task holds an unbounded text and nothing is dropped.
+    ``last`` is the number of the conversation's last part.
     """
     blocks = text_blocks(units, rules, gap)
     body = F.when(F.col("trims"), js_rtrim(F.col("text"))).otherwise(F.col("text"))
     whole = F.struct("code", "src", "block", F.concat("lead", body, "tail").alias("text"))
+    part = lambda start: F.floor(F.col(start) / part_chars).cast("bigint")
     return (
-        blocks.select("conv_key", F.floor(F.col("start") / part_chars).cast("bigint").alias("part"), whole.alias("__p"))
+        blocks.select("conv_key", part("start").alias("part"), part("last_start").alias("last"), whole.alias("__p"))
         .groupBy("conv_key", "part")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["text"]), "").alias("text"))
+        .agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda p: p["text"]), "").alias("text"),
+            F.max("last").alias("last"),
+        )
     )
 
 

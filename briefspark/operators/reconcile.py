@@ -148,4 +148,4 @@ def count_units(now: DataFrame, files: DataFrame) -> DataFrame:
 
 def guarantee_count(now: DataFrame, files: DataFrame) -> DataFrame:
     """(conv_key, part, now): the state line that names every produced file."""
-    return assemble(count_units(now, files), NOW_RULES).withColumnRenamed("text", "now")
+    return assemble(count_units(now, files), NOW_RULES).select("conv_key", "part", F.col("text").alias("now"))

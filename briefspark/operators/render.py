@@ -146,6 +146,10 @@ def body_units(brief: Brief) -> DataFrame:
 
 def render_body(brief: Brief) -> DataFrame:
     """(conv_key, part, body)."""
+    return _body(brief).drop("last")
+
+
+def _body(brief: Brief) -> DataFrame:
     return assemble(body_units(brief), BODY_RULES, GAP).withColumnRenamed("text", "body")
 
 
@@ -172,12 +176,9 @@ def render_brief(brief: Brief, brand: str = "briefspark") -> DataFrame:
     The body is put together once; both framings only add their edges to its first
     and last part.
     """
-    body = render_body(brief)
-    parts = body.groupBy("conv_key").agg(F.max("part").alias("last"))
     joined = (
         _framed(brief.meta, brand)
-        .join(body, "conv_key", "left")
-        .join(parts, "conv_key", "left")
+        .join(_body(brief), "conv_key", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("body", F.coalesce("body", F.lit("")))
     )

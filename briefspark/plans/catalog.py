@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ VERBATIM = ["conv_key", "kind", "label", "value", "language"]
 FILES = ["conv_key", "name", "source"]
 
 
+MIXED = ("huggingface", "deepseek", "grok", "perplexity", "chatgpt", "gemini", "claude")
+
+
+def _mixed(spark: SparkSession, sf: str) -> Transcript:
+    """One export of chats of all platforms, dealt out by conv_id."""
+    make = {
+        "huggingface": S.hf_payloads, "deepseek": S.deepseek_payloads, "grok": S.grok_payloads, "perplexity": S.perplexity_payloads,
+        "chatgpt": S.chatgpt_payloads, "gemini": S.gemini_payloads, "claude": S.claude_payloads,
+    }
+    pages = S.pages_of_chats(spark, sf)
+    parts = [make[name](pages.filter(F.col("conv_key").cast("bigint") % len(MIXED) == n)) for n, name in enumerate(MIXED)]
+    return PL.normalize(PL.with_routes(reduce(DataFrame.unionByName, parts)))
+
+
 def _seeded_transcript(spark: SparkSession, sf: str) -> Transcript:
     m = S.seeded(spark, sf)
     simple = normalize_simple(m.select("conv_key", "ordinal", "role", "text"))
@@ -106,6 +121,16 @@ def conversation_id_from_url(spark, sf):
     )
 
 
+@query
+def normalize_mixed_messages(spark, sf):
+    return _flat(_mixed(spark, sf).messages)
+
+
+@query
+def normalize_mixed_meta(spark, sf):
+    return _mixed(spark, sf).meta.select("conv_key", "conversation_id", "title", "captured_at")
+
+
 @query
 def payload_errors(spark, sf):
     """The page table as a table of payloads: each page text is a bad document and

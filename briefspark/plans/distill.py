@@ -44,14 +44,17 @@ def _meta(t: Transcript, produced_by) -> DataFrame:
     )
 
 
-def tier0_facts(t: Transcript, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def tier0_facts(
+    t: Transcript, cap: int | None = None, collapsed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(verbatim, files): everything that must survive, without a model.
 
     The messages are read once for all facts.  What was found is small next to the
     chats and is used several times from here on, so it is kept.  ``cap`` limits the
     mentioned files of a conversation to its first ones; by default all are listed.
+    ``collapsed`` is for callers that have the artifacts without stale drafts already.
     """
-    a = keep(_collapsed(t), "kept_artifacts")
+    a = keep(_collapsed(t), "kept_artifacts") if collapsed is None else collapsed
     facts = keep(X.conversation_facts(t.messages, a), "facts")
     files = X.artifact_files(a).unionByName(X.upload_files(t.uploads))
     mentioned = X.first_mentions(facts, t.artifacts, cap)
@@ -61,9 +64,9 @@ def tier0_facts(t: Transcript, cap: int | None = None) -> tuple[DataFrame, DataF
     )
 
 
-def distill_deterministic(t: Transcript, cap: int | None = None) -> Brief:
+def distill_deterministic(t: Transcript, cap: int | None = None, collapsed: DataFrame | None = None) -> Brief:
     """Transcript -> brief without a model."""
-    verbatim, files = tier0_facts(t, cap)
+    verbatim, files = tier0_facts(t, cap, collapsed)
     files = keep(files, "files")
     return Brief(
         meta=_meta(t, F.lit("deterministic")),
@@ -124,9 +127,10 @@ def distill_with_model(
     checkpoints when the session names a checkpoint directory.
     """
     save = save or keep
-    base = distill_deterministic(t)
+    collapsed = keep(_collapsed(t), "kept_artifacts")
+    base = distill_deterministic(t, collapsed=collapsed)
     verbatim, files = base.verbatim, base.files
-    units = C.transcript_units(t.messages, t.artifacts)
+    units = C.transcript_units(t.messages, collapsed, collapsed=True)
     asked = M.complete_batch(chunk_prompts(units, chunk_prompt, max_chars), complete, partitions)
     parsed = save(M.parse_sections(asked), "mini_briefs")
     modes = save(M.select_minibriefs(parsed), "brief_modes")

@@ -458,3 +458,16 @@ ORACLE["distill_with_model"] = f"""WITH RECURSIVE {MODELLED} SELECT conv_key, CA
   '# Handoff brief, Chat ' || CAST(conv_key AS STRING) || {NL} || {NL} || '_briefspark · schema v1 · produced by ' || produced_by || ' · generated 2026-06-26._' || {NL} || {NL}
   || CASE WHEN n_odd > 0 THEN {banner('n_odd')} || {NL} ELSE '' END || CASE WHEN notes <> '' THEN '> ⚠️ **Distiller fell back** in places: ' || notes || {NL} ELSE '' END || body AS human_md FROM model_framed"""
 ORACLE["model_modes"] = f"WITH RECURSIVE {MODELLED} SELECT conv_key, produced_by, notes FROM model_framed"
+
+# -- all platforms in one table -------------------------------------------------------------------------------------
+
+MIXED = {  # conversation id and title that each platform's chats get
+    "hf": ("'huggingface-chat'", "'Chat'"), "deepseek": ("'deepseek'", "'DeepSeek chat'"), "grok": ("'grok'", "'Talk'"), "perplexity": ("conv_key", "'Thread'"),
+    "chatgpt": ("conv_key", "'Chat'"), "gemini": ("'gemini'", "'Gemini conversation'"), "claude": ("conv_key", "'Talk'"),
+}
+ORACLE["normalize_mixed_messages"] = " UNION ALL ".join(
+    f"SELECT conv_key, ordinal, role, text FROM ({ORACLE[f'normalize_{name}']}) WHERE CAST(conv_key AS BIGINT) % {len(MIXED)} = {n}" for n, name in enumerate(MIXED)
+)
+ORACLE["normalize_mixed_meta"] = "WITH c AS (SELECT DISTINCT conv_id, CAST(conv_id AS STRING) AS conv_key FROM conversations) " + " UNION ALL ".join(
+    f"SELECT conv_key, {ident} AS conversation_id, {title} AS title, '2026-06-26T00:00:00Z' AS captured_at FROM c WHERE conv_id % {len(MIXED)} = {n}" for n, (ident, title) in enumerate(MIXED.values())
+)

@@ -89,8 +89,24 @@ def read_payloads(
     return with_routes(raw).select("conv_key", "platform", "url", "captured_at", "payload")
 
 
+def by_platform(payloads: DataFrame, path: str) -> DataFrame:
+    """Payloads as a table at ``path``, partitioned by platform.
+
+    A normalizer asks for the payloads of its platform only: from this table it reads
+    those files and no others, so a mixed table is read once and not once for each
+    platform.
+    """
+    payloads.write.partitionBy("platform").parquet(path)
+    columns = "conv_key", "platform", "url", "captured_at", "payload"
+    return payloads.sparkSession.read.schema(payloads.select(*columns).schema).parquet(path).select(*columns)
+
+
 def normalize(payloads: DataFrame) -> Transcript:
-    """Every payload through the normalizer of its platform, as one transcript."""
+    """Every payload through the normalizer of its platform, as one transcript.
+
+    Each platform reads the payloads with a filter on ``platform``; give a table that
+    is partitioned by it (``by_platform``) where payloads are many and mixed.
+    """
     return Transcript.union(
         [f(payloads.filter(F.col("platform") == name)) for name, f in NORMALIZERS.items()]
     )

@@ -182,3 +182,15 @@ def test_read_payloads_from_lines(spark, tmp_path):
     t = PL.normalize(p)
     assert talk(t.messages) == [("human", "hi")]
     assert t.errors.count() == 1 and p.select(F.countDistinct("conv_key")).first()[0] == 2
+
+
+def test_mixed_platforms_from_one_table(spark, tmp_path):
+    rows = [
+        ("a", "huggingface", None, None, json.dumps({"messages": [{"from": "user", "content": "one"}]})),
+        ("b", "deepseek", None, None, json.dumps({"messages": [{"role": "user", "content": "two"}]})),
+        ("c", "generic", None, None, "{}"),
+    ]
+    table = PL.by_platform(spark.createDataFrame(rows, PAYLOAD), str(tmp_path / "payloads"))
+    assert sorted(r["text"] for r in PL.normalize(table).messages.collect()) == ["one", "two"]
+    plan = table.filter("platform = 'grok'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(platform" in plan

@@ -81,21 +81,37 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article articlebody main content body post entry story".split())
 
 
-def _marks(attributes: str, inside: bool) -> tuple[bool, bool]:
+#: Words that speak against an element also where it is called article or main.
+NEVER_MAIN = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended".split())
+#: First words of names that say what a page has, not what the element is.
+HAS = frozenset("has with no non not without is js wp".split())
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+
+
+def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether the attributes speak for boilerplate, for content; inside: of an article,
     whose own header may hold its headline."""
     bad = good = False
-    for name, value in MARKS.findall(attributes):
-        low = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower()
-        if name.lower() in ("hidden", "aria-hidden"):
-            bad = bad or "true" in low or name.lower() == "hidden"
+    for field, value in MARKS.findall(attributes):
+        field = field.lower()
+        if field in ("hidden", "aria-hidden"):
+            bad = bad or field == "hidden" or "true" in value.lower()
             continue
-        words = set(WORDS.findall(low))
-        bad = bad or bool(words & BAD_WORDS - ({"header", "head"} if inside else set()))
-        good = good or bool(words & GOOD_WORDS)
-    if re.search(r"(?i)(?:^|\s)hidden(?:\s|$)|display\s*:\s*none", attributes):
+        for token in value.strip("\"'").split():
+            words = WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", token).lower())
+            if not words or len(words) > 1 and words[0] in HAS:
+                continue
+            against = BAD_WORDS & set(words)
+            if name in GOOD_ELEMENTS:
+                against &= NEVER_MAIN
+            if inside:
+                against -= {"header", "head"}
+            bad = bad or bool(against)
+            good = good or not GOOD_WORDS.isdisjoint(words)
+    if not bad and "idden" in attributes and re.search(r"(?i)(?:^|\s)hidden(?:\s|$)", QUOTED.sub('""', attributes)):
         bad = True
-    return bad, good
+    return bad or UNSHOWN.search(attributes) is not None, good
 
 
 class Element:
@@ -106,11 +122,11 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         inside = parent.good if parent else False
         marked = attributes and name not in ("html", "body")
-        bad, good = _marks(attributes, inside) if marked else (False, False)
+        bad, good = _marks(name, attributes, inside) if marked else (False, False)
         named_good = name in GOOD_ELEMENTS
         # a header inside an article may hold its headline; elsewhere it is the page's
         kind = name in BAD_ELEMENTS and not (name == "header" and inside)
-        self.bad = (parent.bad if parent else False) or kind or (bad and not named_good)
+        self.bad = (parent.bad if parent else False) or kind or bad
         self.good = not self.bad and (inside or named_good or (good and not bad))
 
 

@@ -34,6 +34,14 @@ def test_page_without_article_element():
     assert m.main_text(page) == "\n".join(["Headline", *paragraphs[:2], "Short one.", *paragraphs[2:]])
 
 
+def test_names_that_only_say_what_a_page_has():
+    text = prose(3, 40) + "."
+    for wrapper in ('<div class="page has-sidebar no-comments">', '<main class="with-sidebar">', '<article class="post sidebar-left">', '<div title="a hidden gem">'):
+        assert m.main_text(f"<body>{wrapper}<p>{text}</p></body>") == text, wrapper
+    for wrapper in ('<article class="comment">', '<div class="readerComments">', '<div hidden>', '<div style="display: none">', '<div role="navigation">', '<ul id="main-menu">'):
+        assert m.main_text(f"<body><article><p>{text}</p></article>{wrapper}<p>{text}</p></body>") == text, wrapper
+
+
 def test_long_page_is_whole():
     paragraphs = [prose(n, 30) for n in range(3000)]
     page = "<article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article><footer>end</footer>"

@@ -203,12 +203,16 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, int]:
     )
     shares = [n / parts for n in range(1, parts)] or [0.5]
     borders = docs.agg(F.percentile_approx("k", shares, 100 * parts)).first()[0] or []
-    ranges = F.array(*[F.lit(x) for x in sorted(set(borders))]).cast("array<long>")
-    docs = docs.withColumn("range", F.size(F.filter(ranges, lambda x: x < F.col("k"))))
+    borders = sorted(set(borders))
+    table_of = lambda values, kind: F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>")
+    docs = docs.withColumn("range", F.size(F.filter(table_of(borders, "long"), lambda x: x < F.col("k"))))
     heads = sorted((r["range"], r["k"]) for r in docs.groupBy("range").agg(F.min("k").alias("k")).collect())
-    before = [(k, heads[n - 1][0]) for n, (_, k) in enumerate(heads)]
-    lender = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map().cast("map<long,int>")
-    to = F.get(F.map_values(F.map_filter(lender, lambda k, _: k == F.col("k"))), F.lit(0)) if before else F.lit(None).cast("int")
+    first: list[int | None] = [None] * (len(borders) + 1)
+    before: list[int | None] = [None] * (len(borders) + 1)
+    for n, (number, k) in enumerate(heads):
+        first[number], before[number] = k, heads[n - 1][0]
+    is_head = F.get(table_of(first, "long"), F.col("range")) == F.col("k")
+    to = F.when(is_head, F.get(table_of(before, "int"), F.col("range")))
     places = F.array(
         F.struct(F.col("range").alias("at"), F.lit(False).alias("borrowed")),
         F.struct(to.alias("at"), F.lit(True).alias("borrowed")),

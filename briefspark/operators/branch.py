@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefspark.functions import text as T
-from briefspark.operators.ordered import block_of, dense_ordinal, last_wins, running
+from briefspark.operators.ordered import block_of, checkpoint_folder, dense_ordinal, last_wins, running
 
 FOLD_NODES = 2_000
 
@@ -149,7 +149,7 @@ def _doubling(keys: DataFrame, large: DataFrame, leaf: DataFrame, deepest: int)
     reached = tree.join(
         leaf.select("conv_key", F.col("leaf").alias("node")), ["conv_key", "node"], "left_semi"
     ).select("conv_key", "node", F.lit(0).cast("bigint").alias("depth"))
-    can_cut = bool(keys.sparkSession.sparkContext.getCheckpointDir())
+    can_cut = bool(checkpoint_folder(keys.sparkSession))
     for k in range(math.ceil(math.log2(deepest + 1)) + 1):
         ahead = reached.join(jump, ["conv_key", "node"]).select(
             "conv_key", F.col("to").alias("node"), (F.col("depth") + 2**k).alias("depth")

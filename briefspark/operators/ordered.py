@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefspark.functions.text import js_rtrim
@@ -24,6 +24,16 @@ BLOCK_BITS = 10
 PART_CHARS = 1 << 22
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The checkpoint directory of the session: the one that the configuration names, or
+    the one that was set on the context."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
 def block_of(ordinal: str | Column) -> Column:
     col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     return F.shiftright(col.cast("bigint"), BLOCK_BITS)

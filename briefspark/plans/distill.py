@@ -14,6 +14,7 @@ from briefspark.operators import extract as X
 from briefspark.operators import model as M
 from briefspark.operators import reconcile as R
 from briefspark.operators.lineage import collapse_lineage
+from briefspark.operators.ordered import checkpoint_folder
 from briefspark.operators.render import Brief
 from briefspark.sources.transcript import Transcript
 
@@ -124,9 +125,12 @@ def distill_with_model(
     from Columns (``outputs``: the raw mini-briefs of a conversation in order).
     ``save(df, name)`` should write the model outputs to a table and read them
     back, so that no lost executor makes the model answer twice; the default
-    checkpoints when the session names a checkpoint directory.
+    checkpoints, so it needs a checkpoint directory.
     """
-    save = save or keep
+    if save is None:
+        if not checkpoint_folder(t.meta.sparkSession):
+            raise ValueError("model answers have to be saved: give `save` or set spark.checkpoint.dir")
+        save = keep
     collapsed = keep(_collapsed(t), "kept_artifacts")
     base = distill_deterministic(t, collapsed=collapsed)
     verbatim, files = base.verbatim, base.files
@@ -198,14 +202,12 @@ def distill_with_model(
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Hold a result that several later steps read.
+    """Hold a result that several later steps read (``name`` is for savers that write tables).
 
-    In the checkpoint directory the cluster names, where it names one: that also
-    cuts the lineage and survives lost executors.  Else as cached blocks, which
-    Spark recomputes when an executor with them is lost.
+    In the checkpoint directory, where the session has one: that also cuts the
+    lineage and survives lost executors.  Else as cached blocks, which Spark
+    recomputes when an executor with them is lost.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if folder else df.persist(StorageLevel.MEMORY_AND_DISK)
+    if checkpoint_folder(df.sparkSession):
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from briefspark.llm.common import kept
 
 
-def _to_least(edges: DataFrame, with_self: bool) -> DataFrame:
+def _to_least(edges: DataFrame) -> DataFrame:
     """Every neighbour v of u gets u's least neighbour (or u) as its new neighbour.
 
-    The least is pre-aggregated; a hub makes a skewed join of narrow rows, which Spark splits.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = edges.join(least, "u").select("v", "m")
-    if with_self:
-        out = out.union(least)
+    least = _least(edges)
+    out = edges.join(least, "u").select("v", "m").union(least)
     return out.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least of a node and its neighbours, pre-aggregated.
+
+    It is kept, so that the join on u has an exchange of its own on either side: only
+    then does Spark split the rows of a hub.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return kept(least.select("u", F.least("u", "m").alias("m")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) of longs -> (node, root): every node that has a link to another, and the least
     node that it can reach.  Repeated links, links in both directions and to itself are fine.
@@ -36,14 +43,13 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(least, "u")
+            both.join(_least(both), "u")
             .filter("v > u and v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        edges = kept(_to_least(large, with_self=True))
+        edges = kept(_to_least(large))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

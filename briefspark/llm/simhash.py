@@ -223,7 +223,9 @@ def components_of(documents: DataFrame, words: int = 3) -> DataFrame:
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(first)).select(F.col("node").alias("fp"), "root")
     rooted = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # kept, like other small sides of joins below: the join then has an exchange on either side,
+    # and only so can Spark split a hot key
+    ids = kept(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -283,13 +285,15 @@ def candidates(rows: DataFrame, radius: int = FAR) -> DataFrame:
     with others (the likely original) and one at random.
     """
     views = rows.select("uid", "fp", F.explode("views").alias("key"))
-    shared = views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = kept(views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     members = views.join(shared, "key")
     weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
     members = kept(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
-    centres = members.groupBy("key").agg(
-        F.max(F.struct("weight", "uid", "fp")).alias("most"),
-        F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp")).alias("any"),
+    centres = kept(
+        members.groupBy("key").agg(
+            F.max(F.struct("weight", "uid", "fp")).alias("most"),
+            F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp")).alias("any"),
+        )
     )
     both = F.array(*[F.struct(f"{c}.uid", f"{c}.fp") for c in ("most", "any")])
     met = (
@@ -365,14 +369,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     rooted = texts.join(components(near).withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "root", F.coalesce("root", "uid")
     )
-    groups = rooted.groupBy("root").agg(F.min("first").alias("stands"))
+    groups = kept(rooted.groupBy("root").agg(F.min("first").alias("stands")))
     degree = (
         near.select(F.col("a").alias("uid"))
         .union(near.select(F.col("b").alias("uid")))
         .groupBy("uid")
         .agg(F.count("*").alias("n_links"))
     )
-    by_text = (
+    by_text = kept(
         rooted.join(groups, "root")
         .join(degree, "uid", "left")
         .select("digest", "stands", F.coalesce("n_links", F.lit(0)).alias("n_links"))

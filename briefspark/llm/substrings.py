@@ -124,6 +124,14 @@ def _bounds(values: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(values, np.arange(n + 1))
 
 
+def _by_document(at: np.ndarray, uid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``at`` dealt out to n buckets by document: what is decided already must not
+    follow its hash, or a passage of many documents makes one heavy bucket."""
+    to = uid[at].view(np.uint64) % np.uint64(n)
+    order = np.argsort(to, kind="stable")
+    return at[order], _bounds(to[order], n)
+
+
 # -- 1: anchors ---------------------------------------------------------------
 
 PROBES = "bucket int, once binary, often binary, anchors binary, owners binary, places binary, local_owners binary, local_places binary"
@@ -158,9 +166,10 @@ def probe_rows(documents: DataFrame, block: int, buckets: list[int], chunk_words
             often = np.repeat(count > 1, count)
             anchor = start % block == 0
             local, sent = anchor & often, anchor & ~often
-            once_cut, often_cut, sent_cut, local_cut = (
-                (at := np.flatnonzero(mask), _bounds(bucket[at], n)) for mask in (new & ~often, new & often, sent, local)
+            once_cut, often_cut, sent_cut = (
+                (at := np.flatnonzero(mask), _bounds(bucket[at], n)) for mask in (new & ~often, new & often, sent)
             )
+            local_cut = _by_document(np.flatnonzero(local), owner, n)
 
             def part(cut, b, values):
                 at, ends = cut
@@ -306,8 +315,9 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
             group = np.cumsum(new) - 1
             firsts = np.flatnonzero(new)
             least = (key == key[firsts][group]) & (start == start[firsts][group])
-            sent, local = np.flatnonzero(least), np.flatnonzero(~least)
-            sent_ends, local_ends = _bounds(bucket[sent], n), _bounds(bucket[local], n)
+            sent = np.flatnonzero(least)
+            sent_ends = _bounds(bucket[sent], n)
+            local, local_ends = _by_document(np.flatnonzero(~least), uid, n)
             columns: list[list] = [[] for _ in range(9)]
             for b in range(n):
                 s, l = sent[sent_ends[b] : sent_ends[b + 1]], local[local_ends[b] : local_ends[b + 1]]

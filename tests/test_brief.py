@@ -99,7 +99,8 @@ def test_sinks(chat, tmp_path, spark):
     card = V.brief_metrics(C.transcript_units(chat.messages), brief)
     SK.write_scorecard(card, str(tmp_path / "card"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "card" / "markdown")).collect()]
-    assert lines[0].startswith("| Fixture") and any(" 0/0/0/2/3 " in x for x in lines)
+    assert lines[0].startswith("# ") and lines[2].startswith("Mode: **shape + size only**")
+    assert lines[4].startswith("| Fixture") and any(" 0/0/0/2/3 " in x for x in lines[6:])
 
 
 def test_flat_plan_has_no_python_worker(chat):

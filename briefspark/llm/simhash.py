@@ -25,9 +25,12 @@ after; a hot fingerprint is one row in all that lies between.
 similarity of 0.8 or more.  At that similarity whole fingerprints differ by some 10 bits, so
 candidates come from VIEWS small fingerprints, each the SimHash of 4 shingles that the document
 samples by smallest hashes: a pair at 0.8 shares a given one with probability 0.41, at
-least one of 20 in all but 3 of 100,000 cases.  A bucket offers each member its most connected
+least one of 20 in all but 3 of 100,000 cases.  First a bucket offers each member its most connected
 member and one at random, since copies are closer to their original than to each other.  Pairs are discarded by the pivot distances of the whole fingerprints and verified
-by exact Jaccard similarity.  Documents of equal words are one representative throughout.
+by exact Jaccard similarity.  Then all members of buckets that still hold several components
+meet at shared shingles, rarest first (``prefix_pairs``): that finds every pair of theirs
+at 0.8, so no pair of a bucket is left out unless it is in one component already.
+Documents of equal words are one representative throughout.
 
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence; repeated rows and null ids are documents of
@@ -55,6 +58,8 @@ PAIRWISE = 1024
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
 VIEWS, SAMPLED = 20, 4
+#: Documents of a shared shingle that meet in one piece; more are dealt out in blocks.
+BLOCK = 1024
 #: Bits by which whole fingerprints of documents at 0.8 may differ (0.151 x 64 expected).
 FAR = 28
 
@@ -278,17 +283,22 @@ def features(documents: DataFrame, words: int) -> DataFrame:
     return map_batches(documents.select("uid", "doc_id", "text"), run, FEATURES)
 
 
-def candidates(rows: DataFrame, radius: int = FAR) -> DataFrame:
-    """(uid, fp, views) -> distinct (a, b), a < b, that pass the pivot table.
-
-    In every bucket of equal view fingerprints, members meet the one that shares most buckets
-    with others (the likely original) and one at random.
-    """
+def buckets(rows: DataFrame) -> DataFrame:
+    """(uid, fp, views) -> (key, uid, fp, weight): the members of every bucket of equal view
+    fingerprints; weight: how many members the buckets of a document have."""
     views = rows.select("uid", "fp", F.explode("views").alias("key"))
     shared = kept(views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     members = views.join(shared, "key")
     weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
-    members = kept(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
+    return kept(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
+
+
+def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
+    """Buckets -> distinct (a, b), a < b, that pass the pivot table.
+
+    In every bucket, members meet the one that shares most buckets with others (the likely
+    original) and one at random; ``unsettled`` has the members that this does not settle.
+    """
     centres = kept(
         members.groupBy("key").agg(
             F.max(F.struct("weight", "uid", "fp")).alias("most"),
@@ -315,6 +325,16 @@ def candidates(rows: DataFrame, radius: int = FAR) -> DataFrame:
     return map_batches(flat, discard, "a long, b long")
 
 
+def unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(uid, root) of the members of all buckets of three and more that links have not made
+    one component."""
+    roots = components(near).select(F.col("node").alias("uid"), "root")
+    rooted = kept(members.select("key", "uid").join(roots, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")))
+    spread = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = kept(spread.filter("n > 2 and lo <> hi").select("key"))
+    return kept(rooted.join(several, "key").select("uid", "root").distinct())
+
+
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     """(uid, text) -> (uid, shingles): 32 bits of every distinct shingle's hash, sorted."""
 
@@ -329,6 +349,111 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     return map_batches(documents.select("uid", "text"), run, "uid long, shingles binary")
 
 
+def meeting_pairs(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(lesser uid, greater uid) of the rows of equal (token, i, j), next to each other, whose
+    roots differ and that can be similar if they share nothing before that token."""
+    new = np.zeros(len(rows), bool)
+    for name in ("token", "i", "j"):
+        new[1:] |= rows[name][1:] != rows[name][:-1]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts, len(rows))[np.searchsorted(starts, np.arange(len(rows)), "right")]
+    left, size = rows["size"] - rows["place"], rows["size"]
+    ones, twos, step, at = [], [], 1, np.arange(len(rows))
+    while len(at := at[at + step < ends[at]]):
+        to = at + step
+        can = np.minimum(left[at], left[to]) * (1 + similarity) >= similarity * (size[at] + size[to]) - 1e-6
+        can &= rows["root"][at] != rows["root"][to]
+        ones.append(rows["uid"][at[can]])
+        twos.append(rows["uid"][to[can]])
+        step += 1
+    one, two = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ones, twos))
+    return np.minimum(one, two), np.maximum(one, two)
+
+
+def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(uid, shingles), (uid, root) -> distinct (a, b), a < b: a superset of the pairs of that
+    Jaccard similarity whose roots differ.
+
+    The shingles of a document are ordered by the number of documents that have them, rare
+    ones first; similar documents share one within the first 1 - similarity of either, and
+    at the first that they share enough must be left on both sides.  What a template gives
+    to all its documents comes last and is mostly not reached.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+            uids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            every = np.concatenate(found) if found else np.empty(0, np.int32)
+            yield pa.record_batch([pa.array(every, pa.int32()), pa.array(uids, pa.int64())], ["token", "uid"])
+
+    spelt = map_batches(sets, tokens, "token int, uid long")
+    shared = kept(spelt.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    lists = spelt.join(shared, "token").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("found"))
+    sizes = sets.select("uid", (F.octet_length("shingles") / 4).cast("int").alias("size"))
+    weights = kept(roots.groupBy("root").agg(F.count("*").alias("weight")))
+    known = roots.join(weights, "root").join(sizes, "uid")
+    alone = F.col("size") - F.size("found")  # shingles of no other document come first
+    reached = F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1 - alone
+    prefixes = kept(
+        lists.join(known, "uid")
+        .filter(reached > 0)
+        .select("uid", "root", "weight", "size", alone.alias("alone"), F.posexplode(F.slice("found", F.lit(1), reached.cast("int"))).alias("at", "f"))
+        .select(F.col("f.token").alias("token"), "uid", "root", "weight", "size", (F.col("alone") + F.col("at")).alias("place"))
+    )
+    # the greatest component of a shingle's documents meets the others, never itself
+    greatest = prefixes.groupBy("token").agg(
+        F.max(F.struct("weight", "root")).alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    greatest = kept(greatest.filter("lo <> hi").select("token", F.col("g.root").alias("most")))
+    in_most = F.col("root") == F.col("most")
+    here = kept(prefixes.join(greatest, "token").select("token", "uid", "root", "size", "place", in_most.alias("in_most")))
+    blocks = lambda of: F.ceil(F.sum(of.cast("int")) / BLOCK).cast("int")
+    counts = kept(here.groupBy("token").agg(blocks(F.col("in_most")).alias("of_most"), blocks(~F.col("in_most")).alias("of_rest")))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    tile = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    most_tiles = F.transform(upto("of_rest"), lambda b: tile(b, -1 - own("of_most")))
+    rest_tiles = F.concat(
+        F.transform(upto("of_most"), lambda b: tile(own("of_rest"), -1 - b)),
+        F.transform(upto("of_rest"), lambda b: tile(F.least(b, own("of_rest")), F.greatest(b, own("of_rest")))),
+    )
+    dealt = (
+        here.join(counts, "token")
+        .withColumn("t", F.explode(F.when(F.col("in_most"), most_tiles).otherwise(rest_tiles)))
+        .select("token", "t.i", "t.j", "uid", "root", "size", "place")
+    )
+    names = [("token", np.int32), ("i", np.int32), ("j", np.int32), ("uid", np.int64), ("root", np.int64), ("size", np.int64), ("place", np.int64)]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def met(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x) for x in meeting_pairs(rows, similarity)], ["a", "b"])
+
+        for batch in batches:
+            rows = np.empty(batch.num_rows, names)
+            for name, column in zip(rows.dtype.names, batch.columns):
+                rows[name] = column.to_numpy()
+            held.append(rows)
+            waiting += len(rows)
+            if waiting < COUNT_ROWS:
+                continue
+            rows = np.concatenate(held)
+            differ = np.flatnonzero((rows["token"] != rows["token"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1]))
+            begin = int(differ[-1]) + 1 if len(differ) else 0
+            if begin:
+                yield met(rows[:begin])
+            held, waiting = [rows[begin:]], len(rows) - begin
+        if waiting:
+            yield met(np.concatenate(held))
+
+    by = ["token", "i", "j"]
+    sorted_rows = dealt.repartition(partitions(sets.sparkSession), *by).sortWithinPartitions(*by)
+    return map_batches(sorted_rows, meet, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose sets have at least that Jaccard similarity."""
 
@@ -362,10 +487,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     first = found.groupBy("digest").agg(F.min(order).alias("first"))
     texts = kept(first.select("digest", "first", F.col("first.uid").alias("uid")))
-    pairs = kept(candidates(found.select("uid", "fp", "views").join(texts.select("uid"), "uid")))
+    members = buckets(found.select("uid", "fp", "views").join(texts.select("uid"), "uid"))
+    pairs = kept(candidates(members))
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    sets = kept(shingle_sets(docs.join(ends, "uid").dropDuplicates(["uid"]), words))
-    near = kept(verified(pairs, sets, similarity))
+    texts_of = lambda uids: shingle_sets(docs.join(uids, "uid").dropDuplicates(["uid"]), words)
+    near = kept(verified(pairs, kept(texts_of(ends)), similarity))
+    rest = unsettled(members, near)
+    rest_sets = kept(texts_of(rest.select("uid")))
+    near = kept(near.union(verified(kept(prefix_pairs(rest_sets, rest, similarity)), rest_sets, similarity)).distinct())
     rooted = texts.join(components(near).withColumnRenamed("node", "uid"), "uid", "left").withColumn(
         "root", F.coalesce("root", "uid")
     )

@@ -92,6 +92,46 @@ def test_near_duplicates(spark):
         assert got[i]["group_id"] == rows[r][0] and got[i]["stays"] == (i == rows[r][0])
 
 
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[n : n + 5]) for n in range(max(1, len(words) - 4))}
+
+
+def groups_of(rows, got):
+    """The groups by brute force, and the groups found: each as the least doc_id of a document's."""
+    sets = [shingles_of(t) for _, t in rows]
+    linked = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return [rows[r][0] for r in least_reachable(len(rows), linked)], [got[i] for i, _ in rows]
+
+
+def family(pairs, template=170, shared=10, own=20):
+    """Pairs of similar documents out of one template that makes no two others similar."""
+    head = [f"t{k}" for k in range(template)]
+    return [(2 * p + q, " ".join([*head, *(f"s{p}-{k}" for k in range(shared)), *(f"o{p}-{q}-{k}" for k in range(own))])) for p in range(pairs) for q in (0, 1)]
+
+
+def test_pairs_of_a_template_family(spark):
+    rows = family(300)
+    got = {r["doc_id"]: r["group_id"] for r in s.near_duplicates(documents(spark, rows)).collect()}
+    want, found = groups_of(rows, got)
+    assert len(set(want)) == 300 and found == want
+
+
+def test_meeting_at_rare_shingles_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 8)  # so that crowded shingles are dealt out in blocks
+    rng = np.random.default_rng(3)
+    rows = family(25) + [(1000 + n, f"{family(1)[0][1]} {' '.join(f'x{n}-{k}' for k in range(n % 40))}") for n in range(80)]
+    rows += [(2000 + n, " ".join(f"v{k}" for k in rng.integers(0, 3, rng.integers(1, 60)))) for n in range(40)]
+    docs = spark.createDataFrame(rows, "uid long, text string")
+    sets = {r["uid"]: set(np.frombuffer(r["shingles"], "<u4").tolist()) for r in s.shingle_sets(docs, 5).collect()}
+    for root in (F.col("uid"), F.when(F.col("uid") < 1040, F.lit(0)).otherwise(F.col("uid"))):
+        roots = docs.select("uid", root.cast("long").alias("root"))
+        of = {r["uid"]: r["root"] for r in roots.collect()}
+        want = {(a, b) for a, b in combinations(sorted(sets), 2) if of[a] != of[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        pairs = [(r["a"], r["b"]) for r in s.prefix_pairs(s.shingle_sets(docs, 5), roots, 0.8).collect()]
+        assert want and want <= set(pairs) and len(pairs) == len(set(pairs)) and all(of[a] != of[b] for a, b in pairs)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(5, prose(1, 50)), (5, prose(1, 50)), (None, prose(1, 50)), (None, None), (3, None)]
     got = s.near_duplicates(documents(spark, rows)).collect()

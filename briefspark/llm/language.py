@@ -13,6 +13,13 @@ doc_id picks among those with a language; so the model is learned from a bounded
 are counted in tasks and added up per (language, n-gram); only the profiles, PROFILE n-grams
 for each language, reach the driver and go back with the tasks.
 
+Limits (``limits``): what scores and leads tell is learned from a bounded sample of the labelled
+documents that are held out and nearest to the language of their label.  A text is in no learned
+language if its score lies more than SPREADS standard deviations below their mean; scores that
+lie as far out themselves (junk) do not count.  A label is wrong if another language leads
+it by more than half of what the right one leads the others by on average.  Texts of fewer than
+JUDGED n-grams are too short to judge, and fewer than LEAST_DOCS documents set no limit.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is a text of
 which no n-gram is in any profile, and everything if there is nothing to learn from; equal
 counts rank by the n-gram's number; equal distances go to the language that comes first;
@@ -25,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +45,8 @@ from briefspark.llm.common import map_batches, table
 PROFILE, LONGEST = 300, 3
 TRAIN_DOCS = 2000
 UNDECIDED = "und"
+#: See limits; a word of n letters has 3 n + 1 n-grams.
+SPREADS, JUDGED, LEAST_DOCS = 5, 8, 30
 #: Bits of a character in the number of an n-gram; 1 stands for the blank.
 BITS, BLANK = 21, 1
 
@@ -93,27 +103,40 @@ class Profiles:
             rows = np.searchsorted(self.ngrams, ranked[language])
             self.places[rows, n] = np.arange(len(rows))
 
-    def nearest(self, profile: np.ndarray) -> tuple[str, float]:
+    def scores(self, profile: np.ndarray) -> np.ndarray | None:
+        """The score of every language; none if no n-gram is in any profile."""
         if not len(profile) or not len(self.ngrams):
-            return UNDECIDED, 0.0
+            return None
         rows = np.minimum(np.searchsorted(self.ngrams, profile), len(self.ngrams) - 1)
         known = self.ngrams[rows] == profile
         if not known.any():
-            return UNDECIDED, 0.0
+            return None
         places = np.where(known[:, None], self.places[rows], -1)
         apart = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(rows))[:, None])).sum(0)
-        least = int(apart.argmin())
-        return self.languages[least], 1 - int(apart[least]) / (PROFILE * len(profile))
+        return 1 - apart / (PROFILE * len(profile))
 
+    def nearest(self, profile: np.ndarray) -> tuple[str, float]:
+        scores = self.scores(profile)
+        if scores is None:
+            return UNDECIDED, 0.0
+        return self.languages[int(scores.argmax())], float(scores.max())
 
-def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """(doc_id, text, lang) with a language each -> profiles."""
+
+def sampled(labelled: DataFrame, docs: int) -> DataFrame | None:
+    """(lang, text) of so many documents of each language on average; none if there are none."""
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return Profiles({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs / n))])
     pick = (F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)) < share[F.col("lang")]
-    picked = labelled.filter(pick).select("lang", "text")
+    return labelled.filter(pick).select("lang", "text")
+
+
+def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
+    """(doc_id, text, lang) with a language each -> profiles."""
+    picked = sampled(labelled, train_docs)
+    if picked is None:
+        return Profiles({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -162,6 +185,78 @@ def learned_from(documents: DataFrame) -> Profiles:
     return learn(train.filter(F.col("lang").isNotNull()))
 
 
+class Limits(NamedTuple):
+    """The least score of a learned language, and the greatest lead over a right label."""
+
+    score: float = 0.0
+    lead: float = 1.0
+
+
+def limits(documents: DataFrame, profiles: Profiles) -> Limits:
+    """Limits from the labelled documents that are held out; counts of rounded scores and a
+    sum of leads reach the driver."""
+    labelled = documents.select("doc_id", "text", "lang").filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    picked = sampled(labelled, TRAIN_DOCS)
+    if picked is None:
+        return Limits()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                profile = profile_of(text or "")
+                scores = profiles.scores(profile) if len(profile) >= JUDGED else None
+                if scores is None or lang not in profiles.languages:
+                    continue
+                own = profiles.languages.index(lang)
+                if own != scores.argmax():
+                    continue
+                others = np.delete(scores, own)
+                found.append((round(float(scores[own]), 3), float(scores[own] - others.max()) if len(others) else 1.0))
+            columns = [pa.array(x, pa.float64()) for x in (list(zip(*found)) or [(), ()])]
+            yield pa.record_batch(columns, ["score", "lead"])
+
+    measured = map_batches(picked, measure, "score double, lead double")
+    table = measured.groupBy("score").agg(F.count("*").alias("n"), F.sum("lead").alias("lead")).collect()
+    score, n, lead = (np.array([r[c] for r in table], float) for c in ("score", "n", "lead"))
+    if n.sum() < LEAST_DOCS:
+        return Limits()
+    least, within = -np.inf, np.ones(len(n), bool)
+    while True:
+        mean = np.average(score[within], weights=n[within])
+        bound = mean - SPREADS * np.sqrt(np.average((score[within] - mean) ** 2, weights=n[within]))
+        if bound <= least:
+            break
+        least, within = bound, score >= bound - 1e-9
+    return Limits(max(0.0, float(least)), max(0.0, float(lead[within].sum() / n[within].sum())) / 2)
+
+
+def identify(documents: DataFrame, profiles: Profiles, limit: Limits) -> DataFrame:
+    """The documents in a learned language, with ``lang`` filled in or put right."""
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay, langs = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                profile = profile_of(text or "")
+                scores = profiles.scores(profile)
+                if scores is None or len(profile) >= JUDGED and scores.max() < limit.score:
+                    stay.append(False)
+                    continue
+                stay.append(True)
+                best = int(scores.argmax())
+                if lang in profiles.languages and len(profile) >= JUDGED:
+                    wrong = scores[best] - scores[profiles.languages.index(lang)] > limit.lead
+                    lang = profiles.languages[best] if wrong else lang
+                langs.append(profiles.languages[best] if lang is None else lang)
+            rows = batch.filter(pa.array(stay, pa.bool_()))
+            columns = [pa.array(langs, pa.string()) if name == "lang" else rows.column(name) for name in names]
+            yield pa.record_batch(columns, names)
+
+    return map_batches(documents, run, documents.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return predict(documents.select("doc_id", "text"), learned_from(documents)).select(

@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from briefspark.llm import substrings
 from tests.llm.cases import CLASHING, documents, prose
@@ -28,6 +32,30 @@ def test_language_stage_drops_only_what_has_no_language(spark):
     assert all(not any(c.isalpha() for c in r["text"] or "") for r in gone) and any(r["doc_id"] == 9000 for r in gone)
 
 
+def test_language_stage_rejects_foreign_texts_and_noise_and_rights_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*pipeline.COLUMNS)
+    clean = docs.filter("n_chars > 1000 and doc_id % 5 = 0").orderBy("doc_id").limit(60)
+    other = F.when(F.col("lang") == "en", "de").otherwise("en")
+    wrong = clean.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", other.alias("lang"), "source", "n_chars")
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(40)) for _ in range(10)]
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    ]
+    planted = [(2_000_000 + n, text, "en" if n % 2 else None) for n, text in enumerate(noise + foreign)]
+    short = [(3_000_000, "the", None), (3_000_001, "a", "en")]
+    added = spark.createDataFrame([(*r, None, None) for r in planted + short], docs.schema)
+    got = {r["doc_id"]: r["lang"] for r in stage(spark, "language_id", docs.union(wrong).union(added)).collect()}
+    assert not [n for n, *_ in planted if n in got]
+    assert got[3_000_000] in ("de", "en", "es", "fr") and got[3_000_001] == "en"
+    before = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sum(got.get(n) == lang for n, lang in before.items()) >= len(before) - 2
+    righted = [got.get(r["doc_id"] + 1_000_000) == r["lang"] for r in clean.collect()]
+    assert len(righted) == 60 and sum(righted) >= 58
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     docs = documents(spark, rows())
     got = stage(spark, "near_dedup", docs)

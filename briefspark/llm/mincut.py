@@ -14,8 +14,10 @@
 4. The maximum flow (shortest augmenting paths) saturates a minimum cut: blocks on the
    source side are content.
 
-A block that stands inside an element that can hold no main text gets a cost that no
-smoothness outweighs, so neighbours pull at unclear blocks only.
+A block that stands inside an element that can hold no main text (nav, aside, footer, what is
+hidden ..) gets a cost that no smoothness outweighs.  Names of classes and ids, and forms, are
+doubts of bounded cost, which long text, sentences and neighbours can outweigh; a doubt about
+an element that holds most of the page's text, and all that stands in articles, is void.
 
 Text: character references are decoded, white space inside a block (line breaks too) becomes
 one space, blocks are trimmed and joined by a line feed.  Nothing else is dropped.
@@ -68,7 +70,11 @@ SENTENCE = re.compile(r"[.!?。！？…](?=\s|$)")
 
 #: Costs, in units of doubt: FIRM outweighs any smoothness a block can have.
 FIRM = 10_000
-BAD_ELEMENTS = frozenset("nav header footer aside form dialog menu fieldset search".split())
+BAD_ELEMENTS = frozenset("nav header footer aside dialog menu search".split())
+DOUBTFUL_ELEMENTS = frozenset("form fieldset".split())
+BAD_ROLES = frozenset("navigation complementary contentinfo banner search dialog menu menubar".split())
+#: Doubts by names: the whole name or a word of NEVER_MAIN; a word among others.
+STRONG, WEAK = 400, 180
 GOOD_ELEMENTS = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner banners "
@@ -89,45 +95,71 @@ QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether the attributes speak for boilerplate, for content; inside: of an article,
-    whose own header may hold its headline."""
-    bad = good = False
+#: A class that shows from some width on what the class ``hidden`` hides below it.
+RESPONSIVE = re.compile(r"\S+:(?:block|flex|grid|inline\S*|table\S*|contents)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _marks(name: str, attributes: str, inside: bool) -> tuple[int, bool, bool, bool]:
+    """(doubt, whether a word of NEVER_MAIN or anything but an id makes it, good) by attributes;
+    inside: of an article, whose own header may hold its headline."""
+    doubt, never, kept, good = 0, False, True, False
     for field, value in MARKS.findall(attributes):
         field = field.lower()
         if field in ("hidden", "aria-hidden"):
-            bad = bad or field == "hidden" or "true" in value.lower()
+            if field == "hidden" or "true" in value.lower():
+                doubt = FIRM
             continue
-        for token in value.strip("\"'").split():
+        tokens = value.strip("\"'").split()
+        shown = field == "class" and any(RESPONSIVE.fullmatch(t) for t in tokens)
+        for token in tokens:
             words = WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", token).lower())
-            if not words or len(words) > 1 and words[0] in HAS:
+            if not words or len(words) > 1 and words[0] in HAS or shown and token == "hidden":
                 continue
+            good = good or not GOOD_WORDS.isdisjoint(words)
+            if field == "role" and token.lower() in BAD_ROLES and name not in GOOD_ELEMENTS and not (inside and token.lower() == "banner"):
+                doubt = FIRM
             against = BAD_WORDS & set(words)
             if name in GOOD_ELEMENTS:
                 against &= NEVER_MAIN
             if inside:
                 against -= {"header", "head"}
-            bad = bad or bool(against)
-            good = good or not GOOD_WORDS.isdisjoint(words)
-    if not bad and "idden" in attributes and re.search(r"(?i)(?:^|\s)hidden(?:\s|$)", QUOTED.sub('""', attributes)):
-        bad = True
-    return bad or UNSHOWN.search(attributes) is not None, good
+            if not against or field == "id" and name in HEADINGS:  # an anchor, spelt as the heading
+                continue
+            unlikely = bool(against & NEVER_MAIN)
+            if field == "id" and inside and (len(words) > 1 or not unlikely):
+                doubt = max(doubt, WEAK)
+                continue
+            doubt = max(doubt, STRONG if unlikely or 2 * len(against) > len(words) else WEAK)
+            never, kept = never or unlikely, False
+    if "idden" in attributes and re.search(r"(?i)(?:^|\s)hidden(?:\s|$)", QUOTED.sub('""', attributes)):
+        doubt = FIRM
+    if UNSHOWN.search(attributes):
+        doubt = FIRM
+    return doubt, never, kept, good
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "bad", "good")
+    __slots__ = ("name", "parent", "depth", "bad", "good", "doubt", "never", "doubted", "held", "held_good")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         inside = parent.good if parent else False
         marked = attributes and name not in ("html", "body")
-        bad, good = _marks(name, attributes, inside) if marked else (False, False)
-        named_good = name in GOOD_ELEMENTS
+        doubt, self.never, kept, good = _marks(name, attributes, inside) if marked else (0, False, True, False)
+        if name in DOUBTFUL_ELEMENTS and doubt < STRONG:
+            doubt, kept = STRONG, False
         # a header inside an article may hold its headline; elsewhere it is the page's
         kind = name in BAD_ELEMENTS and not (name == "header" and inside)
-        self.bad = (parent.bad if parent else False) or kind or bad
-        self.good = not self.bad and (inside or named_good or (good and not bad))
+        self.bad = (parent.bad if parent else False) or kind or doubt == FIRM
+        self.doubt = 0 if self.bad else doubt
+        above = parent.doubted if parent else None
+        #: the innermost element in doubt, this one or around it
+        self.doubted = self if self.doubt else above
+        named_good = name in GOOD_ELEMENTS or good and not above
+        self.good = not self.bad and kept and (inside or named_good and not self.doubt)
+        self.held = self.held_good = 0
 
 
 class Block:
@@ -135,7 +167,7 @@ class Block:
 
     def __init__(self, element: Element, text: str, linked: int):
         self.element, self.text, self.linked = element, text, linked
-        self.heading = element.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        self.heading = element.name in HEADINGS
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -235,11 +267,39 @@ def read_blocks(page: str) -> list[Block]:
     return blocks
 
 
+def _doubted(block: Block) -> Iterator[Element]:
+    """The elements in doubt around a block, from inside out."""
+    at = block.element.doubted
+    while at is not None:
+        yield at
+        at = at.parent.doubted if at.parent else None
+
+
+def weigh(blocks: list[Block]) -> None:
+    """Clears doubts about elements that hold most of the page's text and all of its articles."""
+    total = total_good = 0
+    seen: dict[int, Element] = {}
+    for block in blocks:
+        if block.element.bad:
+            continue
+        chars = len(block.text)
+        total += chars
+        total_good += chars * block.element.good
+        for e in _doubted(block):
+            seen[id(e)] = e
+            e.held += chars
+            e.held_good += chars * block.element.good
+    for e in seen.values():
+        if 2 * e.held > total and e.held_good == total_good and (not e.never or 2 * e.held_good > e.held):
+            e.doubt = 0
+
+
 def costs(block: Block) -> tuple[int, int]:
     """(cost of the label content, cost of the label boilerplate)."""
     if block.element.bad:
         return FIRM, 0
-    as_content, as_boilerplate = 20, 20
+    doubt = max((e.doubt for e in _doubted(block)), default=0)
+    as_content, as_boilerplate = 20 + doubt, 20
     if block.element.good:
         as_boilerplate += 120
     chars = len(block.text)
@@ -249,6 +309,8 @@ def costs(block: Block) -> tuple[int, int]:
     else:
         as_boilerplate += min(chars, 200) // 4
         as_boilerplate += 20 * min(3, len(SENTENCE.findall(block.text)))
+        if doubt:
+            as_boilerplate += min(max(chars - 200, 0), 3200) // 8
     if block.element.name in ("p", "pre", "blockquote") or block.heading:
         as_boilerplate += 25
     if chars < 25 and not block.heading and not block.element.good:
@@ -336,6 +398,7 @@ def main_text(page: str | None) -> str:
         return ""
     if len(blocks) == 1 and "<" not in page:
         return blocks[0].text
+    weigh(blocks)
     pairs = [costs(b) for b in blocks]
     side = min_cut([b for _, b in pairs], [a for a, _ in pairs], smoothness(blocks))
     return "\n".join(b.text for b, content in zip(blocks, side) if content)

@@ -42,6 +42,22 @@ def test_names_that_only_say_what_a_page_has():
         assert m.main_text(f"<body><article><p>{text}</p></article>{wrapper}<p>{text}</p></body>") == text, wrapper
 
 
+def test_names_are_doubts_that_text_outweighs():
+    one, two, three = (prose(n, 40) + ". And more of it. The end." for n in (5, 6, 7))
+    for inner, heading in [('<h2 id="discussion">', "Discussion"), ('<h2 id="how-to-search">', "How to search")]:
+        page = f"<body><nav><a href=/>Home</a></nav><article><p>{one}</p>{inner}{heading}</h2><p>{two}</p></article><footer>end</footer></body>"
+        assert m.main_text(page) == "\n".join([one, heading, two]), inner
+    for inner in ('<section id="related-work">', '<div class="hidden md:block">'):
+        page = f"<body><article><p>{one}</p>{inner}<p>{two}</p></{inner[1:].split()[0]}><p>{three}</p></article></body>"
+        assert m.main_text(page) == "\n".join([one, two, three]), inner
+    for wrapper in ('<div class="right-sidebar">', '<div class="layout sidebar-right">', '<div class="sidebar">', "<form>"):
+        page = f"<body>{wrapper}<nav><a href=/>Home</a></nav><main><article><p>{one}</p><p>{two}</p></article></main><aside>Side.</aside></{wrapper[1:5].rstrip(' >')}></body>"
+        assert m.main_text(page) == "\n".join([one, two]), wrapper
+    assert m.main_text(f"<body><form><p>{one}</p><p>{two}</p></form></body>") == "\n".join([one, two])
+    comments = "".join(f"<p>{prose(n, 30)}.</p>" for n in range(20))
+    assert m.main_text(f'<body><article><p>{one}</p></article><div id="comments">{comments}</div></body>') == one
+
+
 def test_long_page_is_whole():
     paragraphs = [prose(n, 30) for n in range(3000)]
     page = "<article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article><footer>end</footer>"

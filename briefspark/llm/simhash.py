@@ -325,10 +325,9 @@ def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
     return map_batches(flat, discard, "a long, b long")
 
 
-def unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(uid, root) of the members of all buckets of three and more that links have not made
     one component."""
-    roots = components(near).select(F.col("node").alias("uid"), "root")
     rooted = kept(members.select("key", "uid").join(roots, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")))
     spread = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     several = kept(spread.filter("n > 2 and lo <> hi").select("key"))
@@ -492,12 +491,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     texts_of = lambda uids: shingle_sets(docs.join(uids, "uid").dropDuplicates(["uid"]), words)
     near = kept(verified(pairs, kept(texts_of(ends)), similarity))
-    rest = unsettled(members, near)
+    roots = kept(components(near).select(F.col("node").alias("uid"), "root"))
+    rest = unsettled(members, roots)
     rest_sets = kept(texts_of(rest.select("uid")))
-    near = kept(near.union(verified(kept(prefix_pairs(rest_sets, rest, similarity)), rest_sets, similarity)).distinct())
-    rooted = texts.join(components(near).withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "root", F.coalesce("root", "uid")
-    )
+    more = kept(verified(prefix_pairs(rest_sets, rest, similarity), rest_sets, similarity))
+    if not more.isEmpty():  # no links, no new components
+        near = kept(near.union(more).distinct())
+        roots = components(near).select(F.col("node").alias("uid"), "root")
+    rooted = texts.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     groups = kept(rooted.groupBy("root").agg(F.min("first").alias("stands")))
     degree = (
         near.select(F.col("a").alias("uid"))

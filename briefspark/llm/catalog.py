@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, chat, language, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
+from briefspark.llm import bpe, bytepairs, chat, language, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_block_anchors": substrings.query,
     "op9_bpe_automaton": bpe.query,
     "op10_mincut_text": mincut.query,
+    "op11_byte_pairs": bytepairs.query,
 }
 ORACLE = {
     "op1_warc_merge": warc.SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, bytepairs, chat, language, maxscore, mincut, packing, prefixhash, simhash, substrings, warc
+from briefspark.llm import bpe, bytepairs, chat, language, maxscore, mincut, packing, prefixhash, resampling, simhash, substrings, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_bpe_automaton": bpe.query,
     "op10_mincut_text": mincut.query,
     "op11_byte_pairs": bytepairs.query,
+    "op12_importance_resampling": resampling.query,
 }
 ORACLE = {
     "op1_warc_merge": warc.SQL,
     "op3_prefix_targets": chat.SQL,
     "op7_maxscore": maxscore.SQL,
     "op8_block_anchors": substrings.SQL,
+    "op12_importance_resampling": resampling.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from briefspark.llm import bpe, bytepairs, chat, language, maxscore, mincut, packing, prefixhash, resampling, simhash, substrings, warc
+from briefspark.llm import bpe, bytepairs, chat, divergence, language, maxscore, mincut, packing, prefixhash, resampling, simhash, substrings, warc
 
 QUERIES = {
     "op1_warc_merge": warc.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mincut_text": mincut.query,
     "op11_byte_pairs": bytepairs.query,
     "op12_importance_resampling": resampling.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLE = {
     "op1_warc_merge": warc.SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op7_maxscore": maxscore.SQL,
     "op8_block_anchors": substrings.SQL,
     "op12_importance_resampling": resampling.SQL,
+    "op13_source_divergence": divergence.SQL,
 }

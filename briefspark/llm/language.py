@@ -18,11 +18,13 @@ documents that are held out and nearest to the language of their label.  A text
 language if its score lies more than SPREADS standard deviations below their mean; scores that
 lie as far out themselves (junk) do not count.  A label is wrong if another language leads
 it by more than half of what the right one leads the others by on average.  Texts of fewer than
-JUDGED n-grams are too short to judge, and fewer than LEAST_DOCS documents set no limit.
+JUDGED n-grams (two short words) are too short to judge, in whatever script, and stay; longer ones in
+a script that was not learned score 0 and go.  Fewer than LEAST_DOCS documents set no limit.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0, as is a text of
-which no n-gram is in any profile, and everything if there is nothing to learn from; equal
-counts rank by the n-gram's number; equal distances go to the language that comes first;
+Defined cases: a null text or one without a letter is ``und`` with score 0, as is everything if
+there is nothing to learn from; a text of which no n-gram is in any profile is equally far from
+all languages and has score 0; equal counts rank by the n-gram's number; equal distances go to the
+language that comes first;
 repeated rows and null ids stay (a null id is not held out); columns other than doc_id, text
 and lang are ignored.
 """
@@ -46,7 +48,7 @@ PROFILE, LONGEST = 300, 3
 TRAIN_DOCS = 2000
 UNDECIDED = "und"
 #: See limits; a word of n letters has 3 n + 1 n-grams.
-SPREADS, JUDGED, LEAST_DOCS = 5, 8, 30
+SPREADS, JUDGED, LEAST_DOCS = 5, 24, 30
 #: Bits of a character in the number of an n-gram; 1 stands for the blank.
 BITS, BLANK = 21, 1
 
@@ -104,13 +106,11 @@ class Profiles:
             self.places[rows, n] = np.arange(len(rows))
 
     def scores(self, profile: np.ndarray) -> np.ndarray | None:
-        """The score of every language; none if no n-gram is in any profile."""
+        """The score of every language; none without a letter, or if nothing was learned."""
         if not len(profile) or not len(self.ngrams):
             return None
         rows = np.minimum(np.searchsorted(self.ngrams, profile), len(self.ngrams) - 1)
         known = self.ngrams[rows] == profile
-        if not known.any():
-            return None
         places = np.where(known[:, None], self.places[rows], -1)
         apart = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(rows))[:, None])).sum(0)
         return 1 - apart / (PROFILE * len(profile))

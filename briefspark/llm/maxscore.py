@@ -15,15 +15,16 @@ Per query block and shard, vectors are taken in steps of ascending id:
 
 As ids ascend, a later vector that only ties with the threshold cannot win (ties go to the
 smaller id).  Without a threshold yet, all terms are essential.  Lists are dense arrays and a
-step handles many queries at once.  Shards are independent; their k best are merged by rank.
+step handles many queries at once: a query whose bounds together stay within its threshold
+passes over the step, and a list that is essential to none of the others is not traversed.  Shards are independent; their k best are merged by rank.
 
 Queries and vectors meet in blocks: every shard is read by every block of QUERY_BLOCK
 queries, so neither side is broadcast and nothing is sent to the driver but two counts.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
-part, nor do rows of a null id; exact repeats of a row count once; rows that share an id but
-not the vector are all candidates (the query takes the smallest of them); vectors of other
-lengths than the query's take no part in its search; fewer than k candidates give them all.
+part, nor do rows of a null id; every row is a candidate, repeats too (they are searched once,
+with their number); of rows that share an id, the query takes the smallest vector; vectors of
+other lengths than the query's take no part in its search; fewer than k candidates give them all.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, lists = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.order, self.ids, lists = order, ids[order], np.ascontiguousarray(vectors[order].T)
         self.steps = [
             (start, np.ascontiguousarray(lists[:, start : start + STEP_ROWS]))
             for start in range(0, len(ids), STEP_ROWS)
@@ -63,28 +64,36 @@ class Shard:
         for start, lists in self.steps:
             most, least = np.maximum(lists.max(1), 0), np.minimum(lists.min(1), 0)
             bounds = np.maximum(queries * most, queries * least)
+            goes_on = np.flatnonzero(bounds.sum(1) > threshold)  # the others: no vector of the step can win
+            if not len(goes_on):
+                continue
+            bounds, asked, limit = bounds[goes_on], queries[goes_on], threshold[goes_on]
             by_bound = np.argsort(bounds, axis=1, kind="stable")
             summed = np.cumsum(np.take_along_axis(bounds, by_bound, 1), axis=1)
-            spared = (summed <= SLACK * threshold[:, None]).sum(1)  # non-essential terms
+            started = np.isfinite(limit)
+            allowed = np.where(started, SLACK * np.where(started, limit, 0), -1)
+            spared = (summed <= allowed[:, None]).sum(1)  # non-essential terms
             spare = np.where(spared > 0, np.take_along_axis(summed, np.maximum(spared - 1, 0)[:, None], 1)[:, 0], 0)
             place = np.argsort(by_bound, axis=1)  # of each term in its query's order
-            essential = np.where(place >= spared[:, None], queries, 0)
-            partial = essential @ lists
-            partial[query_ids[:, None] == self.ids[None, start : start + lists.shape[1]]] = -np.inf
-            if np.isinf(threshold).any():
-                rows, at = _first_best(partial, k)
-            else:
-                rows, at = np.nonzero(partial + spare[:, None] > threshold[:, None])
+            essential = np.where(place >= spared[:, None], asked, 0)
+            used = np.flatnonzero(essential.any(0))  # lists that no query needs are not traversed
+            partial = essential[:, used] @ lists[used]
+            partial[query_ids[goes_on][:, None] == self.ids[None, start : start + lists.shape[1]]] = -np.inf
+            rows, at = np.nonzero((partial + spare[:, None] > limit[:, None]) & started[:, None])
+            if not started.all():  # without a threshold all terms are essential, so the scores are whole
+                new = np.flatnonzero(~started)
+                first, where = _first_best(partial[new], k)
+                rows, at = np.append(rows, new[first]), np.append(at, where)
             found, left = partial[rows, at], spare[rows]
             for step in range(int(spared.max(initial=0)), 0, -1):
                 due = spared[rows] >= step  # queries with that many non-essential terms
                 term = by_bound[rows, step - 1]
-                found = found + np.where(due, queries[rows, term] * lists[term, at], 0)
+                found = found + np.where(due, asked[rows, term] * lists[term, at], 0)
                 left = left - np.where(due, bounds[rows, term], 0)
-                stays = found + left > threshold[rows]
+                stays = found + left > limit[rows]
                 rows, at, found, left = rows[stays], at[stays], found[stays], left[stays]
-            stays = found > threshold[rows]
-            of = np.concatenate([of, rows[stays]])
+            stays = found > limit[rows]
+            of = np.concatenate([of, goes_on[rows[stays]]])
             scores = np.concatenate([scores, found[stays].astype(np.int64)])
             places = np.concatenate([places, at[stays] + start])
             order = np.lexsort((places, -scores, of))
@@ -122,34 +131,37 @@ def max_score(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(vec_id, terms array<long>) twice -> (query_id, rank, vec_id, score)."""
     small_batches(vectors)
     queries = queries.groupBy("vec_id").agg(F.min("terms").alias("terms"))
-    vectors = vectors.select("vec_id", "terms").distinct()
+    vectors = vectors.groupBy("vec_id", "terms").agg(F.count("*").alias("copies"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("vec_id", "terms", place(blocks).alias("block"), every(shards).alias("shard"))
-    found = vectors.select("vec_id", "terms", place(shards).alias("shard"), every(blocks).alias("block"))
+    spread = F.pmod(F.xxhash64("vec_id", "terms"), F.lit(shards)).cast("int")  # so that an id of many vectors splits
+    found = vectors.select("vec_id", "terms", "copies", spread.alias("shard"), every(blocks).alias("block"))
 
     def search(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "vec_id", "score")})]
+        out = [pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "vec_id", "score", "copies")})]
         for length, part in found.groupby(found["terms"].map(len)) if len(asked) and len(found) else ():
             # exact in doubles; sums beyond 2^53 would need vectors of length 2^26
+            copies = part["copies"].to_numpy(np.int64)
             shard = Shard(part["vec_id"].to_numpy(np.int64), np.stack(part["terms"].to_numpy()).astype(float))
             wanted = asked[asked["terms"].map(len) == length]
             for start in range(0, len(wanted), STEP_QUERIES):
                 some = wanted.iloc[start : start + STEP_QUERIES]
                 ids = some["vec_id"].to_numpy(np.int64)
                 of, scores, places = shard.best(ids, np.stack(some["terms"].to_numpy()).astype(float), k)
-                out.append(pd.DataFrame({"query_id": ids[of], "vec_id": shard.ids[places], "score": scores}))
+                out.append(pd.DataFrame({"query_id": ids[of], "vec_id": shard.ids[places], "score": scores, "copies": copies[shard.order[places]]}))
         return pd.concat(out)
 
     best = (
         asked.groupBy("shard", "block")
         .cogroup(found.groupBy("shard", "block"))
-        .applyInPandas(search, "query_id long, vec_id long, score long")
+        .applyInPandas(search, "query_id long, vec_id long, score long, copies long")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(
+    copy = F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int")))
+    return best.select("query_id", "vec_id", "score", copy.alias("copy")).withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 

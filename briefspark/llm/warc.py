@@ -15,7 +15,8 @@ dealt out to several ranges.  The slices of a range, one from each archive,
 are merged by a loser tree into the globally ordered capture history.  A slice is one row of
 a few binary-free columns; payloads do not move.
 
-Captures need a time; where the table has none, it is BEGIN plus id seconds.
+Captures need a time; where the table has none, it is BEGIN plus id seconds, the id taken modulo
+SPAN (of equal times, the smaller id comes first).
 
 Defined cases: null html is an empty payload, a null url an empty one; a null id is written as
 such, sorts first, and is never the response of others; rows of equal payload and equal,
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from briefspark.llm.common import kept, map_batches, partitions, shared_dir, table
 
 BEGIN = "2020-01-01T00:00:00Z"
+#: Times of captures without one lie within so many seconds (136 years) from BEGIN.
+SPAN = 1 << 32
 ARCHIVE_RECORDS = 4096
 #: Keys per range, about, in the sample from which range borders are taken.
 SAMPLE = 64
@@ -84,7 +87,7 @@ def records(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     revisit = revisit & (size >= min_bytes)
     line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("\r\n"))
     time = F.date_format(
-        F.timestamp_seconds(F.unix_timestamp(F.lit(BEGIN).cast("timestamp")) + F.coalesce("page_id", F.lit(0))),
+        F.timestamp_seconds(F.unix_timestamp(F.lit(BEGIN).cast("timestamp")) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))),
         "yyyy-MM-dd'T'HH:mm:ss'Z'",
     )
     uri = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")

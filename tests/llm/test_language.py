@@ -22,6 +22,9 @@ def test_awkward_rows(spark):
     for key in [(1, None), (2, ""), (3, " \t\n"), (14, "12 34 %%%"), (None, None)]:
         assert (got[key]["lang_pred"], got[key]["score"]) == ("und", 0.0)
     assert got[(5, "other text of one id")]["lang_pred"] in profiles.languages
+    others = ["漢字だけ", "مرحبا بالعالم", "हिन्दी भाषा", "ᄒᆞᆫ글 한국어", "𝒜𝓑 𐍈", "😀 漢字 ё ١٢٣ 中文", "漢"]
+    for r in language.predict(documents(spark, list(enumerate(others))), profiles).collect():
+        assert r["lang_pred"] in profiles.languages and r["score"] == 0
 
 
 def test_nothing_to_learn_from(spark):
@@ -61,4 +64,5 @@ def test_distance_is_out_of_place():
     p = language.Profiles({"x": [number[c] for c in "abc"], "y": [number[c] for c in "cba"]})
     lang, score = p.nearest(np.array([number[c] for c in "abq"]))
     assert lang == "x" and score == 1 - (0 + 0 + 300) / 900
-    assert p.nearest(np.array([number["q"]])) == ("und", 0.0)
+    assert p.nearest(np.array([number["q"]])) == ("x", 0.0)  # equally far from both
+    assert p.nearest(np.array([], np.int64)) == ("und", 0.0)

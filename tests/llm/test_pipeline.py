@@ -45,11 +45,12 @@ def test_language_stage_rejects_foreign_texts_and_noise_and_rights_labels(spark)
         "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
     ]
     planted = [(2_000_000 + n, text, "en" if n % 2 else None) for n, text in enumerate(noise + foreign)]
-    short = [(3_000_000, "the", None), (3_000_001, "a", "en")]
+    planted += [(2_500_000, "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。", None)]
+    short = [(3_000_000, "the", None), (3_000_001, "a", "en"), (3_000_002, "漢字 ё", "en")]
     added = spark.createDataFrame([(*r, None, None) for r in planted + short], docs.schema)
     got = {r["doc_id"]: r["lang"] for r in stage(spark, "language_id", docs.union(wrong).union(added)).collect()}
     assert not [n for n, *_ in planted if n in got]
-    assert got[3_000_000] in ("de", "en", "es", "fr") and got[3_000_001] == "en"
+    assert got[3_000_000] in ("de", "en", "es", "fr") and got[3_000_001] == got[3_000_002] == "en"
     before = {r["doc_id"]: r["lang"] for r in docs.collect()}
     assert sum(got.get(n) == lang for n, lang in before.items()) >= len(before) - 2
     righted = [got.get(r["doc_id"] + 1_000_000) == r["lang"] for r in clean.collect()]

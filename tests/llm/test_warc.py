@@ -14,7 +14,7 @@ from tests.llm.cases import CLASHING, prose
 ROWS = [
     (1, "http://a/\r\nx", None), (2, None, ""), (3, "http://www.b.com:8080/P?q=1", None), (None, "http://[bad", "\r\n\r\nWARC/1.1\r\n"),
     (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (4, "u", "é\r\n\r\nWARC/1.1\r\n"), (1, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "é\r\n\r\nWARC/1.1\r\n"),
-    (9, "http://x.org/long", prose(4, 40_000)),
+    (9, "http://x.org/long", prose(4, 40_000)), (2**62, "http://x.org/long", "far"), (-5, "http://x.org/long", "below"), (2**63 - 1, "u", "far"), (-(2**63), "u", "least"),
 ]
 
 

@@ -16,22 +16,24 @@
 
 A block that stands inside an element that can hold no main text (nav, aside, footer, what is
 hidden ..) gets a cost that no smoothness outweighs.  Names of classes and ids, and forms, are
-doubts of bounded cost, which long text, sentences and neighbours can outweigh; a doubt about
-an element that holds most of the page's text, and all that stands in articles, is void.
+doubts of bounded cost, which long text, sentences and neighbours can outweigh, but for names that
+say nothing else than comment, advert or notice: these hold no main text.  A doubt about an
+element that holds most of the page's text, and all that stands in articles, is void.
 
 Text: character references are decoded, white space inside a block (line breaks too) becomes
 one space, blocks are trimmed and joined by a line feed.  Nothing else is dropped.
 
 Defined cases: null, empty and text-free pages give an empty text; a page without any tag is
 one block of content; broken markup is read as far as it goes, an unclosed ``script`` or comment
-swallows the rest; repeated rows stay; columns other than page_id, url and html are ignored.
+swallows the rest, a tag that never ends is text, elements nested beyond DEEPEST are side by side;
+reading takes time in proportion to the page; repeated rows stay; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,11 +60,14 @@ ENDS = {
 BOUNDARY = frozenset("ul ol dl menu table html body".split())
 ENDS_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "dd", "dt", "li"} | {"p", "li", "dd", "dt"}
 
-TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+#: A comment, or the start of a tag up to the end of its name.
+OPENING = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)",
     re.DOTALL,
 )
+QUOTE_OR_END = re.compile("[\"'>]")
+#: Elements deeper than this are side by side, as in browsers.
+DEEPEST = 512
 MARKS = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -75,6 +80,8 @@ DOUBTFUL_ELEMENTS = frozenset("form fieldset".split())
 BAD_ROLES = frozenset("navigation complementary contentinfo banner search dialog menu menubar".split())
 #: Doubts by names: the whole name or a word of NEVER_MAIN; a word among others.
 STRONG, WEAK = 400, 180
+#: Characters of a block that is short if another one of the page is long.
+SHORT, LONG = 25, 80
 GOOD_ELEMENTS = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion banner banners "
@@ -88,7 +95,12 @@ GOOD_WORDS = frozenset("article articlebody main content body post entry story".
 
 
 #: Words that speak against an element also where it is called article or main.
-NEVER_MAIN = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies related recommended".split())
+NEVER_MAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo comment comments commentlist disqus reply replies "
+    "related recommended alert notice notices cookie cookies consent gdpr newsletter popup modal".split()
+)
+#: Words of names that only say that an element holds something.
+HOLDERS = frozenset("list thread section block area box wrapper wrap container item items body text content unit slot inner outer group".split())
 #: First words of names that say what a page has, not what the element is.
 HAS = frozenset("has with no non not without is js wp".split())
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -100,10 +112,10 @@ RESPONSIVE = re.compile(r"\S+:(?:block|flex|grid|inline\S*|table\S*|contents)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[int, bool, bool, bool]:
-    """(doubt, whether a word of NEVER_MAIN or anything but an id makes it, good) by attributes;
-    inside: of an article, whose own header may hold its headline."""
-    doubt, never, kept, good = 0, False, True, False
+def _marks(name: str, attributes: str, inside: bool) -> tuple[int, bool, bool, bool, bool]:
+    """(doubt, whether a word of NEVER_MAIN makes it, whether a name says nothing else, whether only
+    ids make it, good) by attributes; inside: of an article, whose own header may hold its headline."""
+    doubt, never, firm, kept, good = 0, False, False, True, False
     for field, value in MARKS.findall(attributes):
         field = field.lower()
         if field in ("hidden", "aria-hidden"):
@@ -132,22 +144,58 @@ def _marks(name: str, attributes: str, inside: bool) -> tuple[int, bool, bool, b
                 continue
             doubt = max(doubt, STRONG if unlikely or 2 * len(against) > len(words) else WEAK)
             never, kept = never or unlikely, False
+            firm = firm or unlikely and BAD_WORDS.issuperset(w for w in words if w not in HOLDERS)
     if "idden" in attributes and re.search(r"(?i)(?:^|\s)hidden(?:\s|$)", QUOTED.sub('""', attributes)):
         doubt = FIRM
     if UNSHOWN.search(attributes):
         doubt = FIRM
-    return doubt, never, kept, good
+    return doubt, never, firm, kept, good
+
+
+class Tags:
+    """The tags of a page in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end_of(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag: the next one outside quotes.  A quote that is never
+        closed is none, and if all are inside quotes, the next one ends the tag."""
+        page, begin = self.page, at
+        while found := QUOTE_OR_END.search(page, at):
+            quote, at = found[0], found.end()
+            if quote == ">":
+                return at - 1
+            if at <= self.last[quote]:
+                at = page.index(quote, at) + 1
+        return page.index(">", begin)
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it ends an element, name, attributes) of the next tag or comment."""
+        found = OPENING.search(self.page, at)
+        if found is None:
+            return None
+        if found[2] is None:
+            return found.start(), found.end(), False, None, ""
+        if found.end() > self.last[">"]:  # no tag ends any more; a comment may still come
+            found = re.compile("<[!?]").search(self.page, found.start())
+            return self.after(found.start()) if found else None
+        end = self.end_of(found.end())
+        return found.start(), end + 1, bool(found[1]), found[2].lower(), self.page[found.end() : end]
 
 
 class Element:
-    __slots__ = ("name", "parent", "depth", "bad", "good", "doubt", "never", "doubted", "held", "held_good")
+    __slots__ = ("name", "parent", "owner", "depth", "bad", "good", "doubt", "never", "firm", "doubted", "held", "held_good")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
+        #: the nearest block element
+        self.owner = self if name in BLOCKS or parent is None else parent.owner
         self.depth = parent.depth + 1 if parent else 0
         inside = parent.good if parent else False
         marked = attributes and name not in ("html", "body")
-        doubt, self.never, kept, good = _marks(name, attributes, inside) if marked else (0, False, True, False)
+        doubt, self.never, self.firm, kept, good = _marks(name, attributes, inside) if marked else (0, False, False, True, False)
         if name in DOUBTFUL_ELEMENTS and doubt < STRONG:
             doubt, kept = STRONG, False
         # a header inside an article may hold its headline; elsewhere it is the page's
@@ -178,14 +226,14 @@ def read_blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = unseen = links = 0
     at, size = 0, len(page)
+    tags, opened = Tags(page), Counter()  # open elements of each name
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                owner = next(e for e in reversed(stack) if e.name in BLOCKS or e is root)
-                blocks.append(Block(owner, text, linked))
+                blocks.append(Block(stack[-1].owner, text, linked))
             parts.clear()
             linked = 0
 
@@ -194,6 +242,7 @@ def read_blocks(page: str) -> list[Block]:
         if stack[-1].name in BLOCKS:
             flush()
         gone = stack.pop()
+        opened[gone.name] -= 1
         unseen -= gone.name in UNSEEN
         links -= gone.name == "a"
 
@@ -206,22 +255,21 @@ def read_blocks(page: str) -> list[Block]:
                 linked += len(shown.strip())
 
     while at < size:
-        tag = TAG.search(page, at)
+        tag = tags.after(at)
         if tag is None:
             text(page[at:])
             break
-        text(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
+        start, end, ends, name, attributes = tag
+        text(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if tag[1]:
+        if ends:
             if name == "br":
                 text(" ")
-            elif name == "p" and not any(e.name == "p" for e in stack):
+            elif name == "p" and not opened["p"]:
                 flush()
-            else:
+            elif opened[name]:
                 for n in range(len(stack) - 1, 0, -1):
                     if stack[n].name == name:
                         while len(stack) > n:
@@ -235,7 +283,7 @@ def read_blocks(page: str) -> list[Block]:
                         break
             continue
         closes = ENDS.get(name, ())
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             for n in range(len(stack) - 1, 0, -1):
                 if stack[n].name == "p":
                     while len(stack) > n:
@@ -243,7 +291,7 @@ def read_blocks(page: str) -> list[Block]:
                     break
                 if stack[n].name in BLOCKS or stack[n].name in UNSEEN:
                     break
-        if closes:
+        if any(opened[c] for c in closes):
             for n in range(len(stack) - 1, 0, -1):
                 if stack[n].name in closes:
                     while len(stack) > n:
@@ -254,13 +302,16 @@ def read_blocks(page: str) -> list[Block]:
             flush()
         elif name == "br":
             text(" ")
-        if name in VOID or tag[3].endswith("/") and name not in BLOCKS and name not in UNSEEN:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in UNSEEN:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
+            closed = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            at = closed.end() if closed else size
             continue
-        stack.append(Element(name, stack[-1], tag[3]))
+        if len(stack) > DEEPEST:
+            pop()
+        stack.append(Element(name, stack[-1], attributes))
+        opened[name] += 1
         unseen += name in UNSEEN
         links += name == "a"
     flush()
@@ -294,18 +345,18 @@ def weigh(blocks: list[Block]) -> None:
             e.doubt = 0
 
 
-def costs(block: Block) -> tuple[int, int]:
-    """(cost of the label content, cost of the label boilerplate)."""
-    if block.element.bad:
+def costs(block: Block, longest: int = LONG) -> tuple[int, int]:
+    """(cost of the label content, cost of the label boilerplate); ``longest``: of the page's blocks."""
+    if block.element.bad or any(e.firm and e.doubt for e in _doubted(block)):
         return FIRM, 0
     doubt = max((e.doubt for e in _doubted(block)), default=0)
-    as_content, as_boilerplate = 20 + doubt, 20
+    as_content, as_boilerplate = 20 + doubt, 21  # what nothing speaks against is content
     if block.element.good:
         as_boilerplate += 120
     chars = len(block.text)
     share = block.linked / chars
     if share > 0.5:
-        as_content += int(160 * share)
+        as_content += int((80 if block.element.good else 160) * share)
     else:
         as_boilerplate += min(chars, 200) // 4
         as_boilerplate += 20 * min(3, len(SENTENCE.findall(block.text)))
@@ -313,7 +364,7 @@ def costs(block: Block) -> tuple[int, int]:
             as_boilerplate += min(max(chars - 200, 0), 3200) // 8
     if block.element.name in ("p", "pre", "blockquote") or block.heading:
         as_boilerplate += 25
-    if chars < 25 and not block.heading and not block.element.good:
+    if chars < SHORT and longest >= LONG and not block.heading and not block.element.good:
         as_content += 40
     if not block.element.good and re.match(r"(?i)\s*(?:©|\(c\) |copyright\b|all rights reserved)", block.text):
         as_content += 200
@@ -399,7 +450,8 @@ def main_text(page: str | None) -> str:
     if len(blocks) == 1 and "<" not in page:
         return blocks[0].text
     weigh(blocks)
-    pairs = [costs(b) for b in blocks]
+    longest = max(len(b.text) for b in blocks)
+    pairs = [costs(b, longest) for b in blocks]
     side = min_cut([b for _, b in pairs], [a for a, _ in pairs], smoothness(blocks))
     return "\n".join(b.text for b, content in zip(blocks, side) if content)
 

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -92,3 +93,40 @@ def test_table(spark):
     got = sorted(map(tuple, m.extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert m.extract(pages.limit(0)).count() == 0
+
+
+def test_short_pages_are_kept():
+    for page, text in [
+        ("<p>a &amp; b &nbsp; c &lt;x&gt; &#8364;</p>", "a & b c <x> €"),
+        ("<p>A</p>", "A"),
+        ("<p>if a < b then c > d</p>", "if a < b then c > d"),
+        ("<div><div><span>one short text</span></div></div>", "one short text"),
+        ('<article><p>See</p><ul><li><a href="x">first link</a><li><a href="y">second link</a></ul></article>', "See\nfirst link\nsecond link"),
+    ]:
+        assert m.main_text(page) == text
+
+
+def test_adverts_comments_and_notices_go_at_any_length():
+    article = "<article>" + "".join(f"<p>Paragraph {n} of the article says something of its own, at length.</p>" for n in range(6)) + "</article>"
+    long = "<p>" + "Buy this now, it is cheap and good. " * 125 + "</p>"
+    for unwanted in (
+        f'<main>{article}<div class="advert">{long}</div></main>',
+        f'<main>{article}</main><div class="comment">{long}</div>',
+        f'{article}<div id="disqus_thread"><article>{long}</article></div>',
+        f'{article}<div class="alert alert-info">{long[:330]}</p></div>',
+        f'<div class="cookie-notice">{long[:600]}</p></div><main>{article}</main>',
+    ):
+        got = m.main_text(f"<html><body>{unwanted}</body></html>")
+        assert "Buy" not in got and got.count("Paragraph") == 6
+    wrapped = m.main_text(f'<body><div class="comments-enabled"><div class="ad">{article}</div></div></body>')
+    assert wrapped.count("Paragraph") == 6
+
+
+def test_broken_markup_takes_linear_time():
+    size = 200_000
+    for part in ("<a ", "<a href='", '<a b="', '<a b=">', "<i>", "<i><b></u>", "<div>", "<li>", "<p><i></b>", "<!-", "</a", '<a "\'>'):
+        page = "start " + part * (size // len(part)) + " end</b> <p>text</p>"
+        begin = time.perf_counter()
+        m.main_text(page)
+        assert time.perf_counter() - begin < 4, part
+    assert m.main_text("<p>text <a ") == "text <a" and m.main_text("<p>x <a b='y>z</a> w") == "x z w"

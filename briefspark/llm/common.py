@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder, read back: computed once, safe when an executor is lost.
+
+    Unlike a checkpoint it does not keep the order of rows, and it has the size of its files.  A
+    checkpoint keeps the size that Spark estimates, the product of both sides of each join: in a loop of
+    joins the number of its digits doubles every round, until the driver's memory is full.
+    """
+    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder: computed once, safe when an executor is lost."""
     place, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefspark.llm.common import kept
+from briefspark.llm.common import saved
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
@@ -20,11 +20,11 @@ def _to_least(edges: DataFrame) -> DataFrame:
 def _least(edges: DataFrame) -> DataFrame:
     """(u, m): the least of a node and its neighbours, pre-aggregated.
 
-    It is kept, so that the join on u has an exchange of its own on either side: only
+    It is saved, so that the join on u has an exchange of its own on either side: only
     then does Spark split the rows of a hub.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return kept(least.select("u", F.least("u", "m").alias("m")))
+    return saved(least.select("u", F.least("u", "m").alias("m")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones; the rounds end when the table, told by a count and a sum of hashes, stays
     the same.  Only these two numbers reach the driver; each round is checkpointed.
     """
-    edges = kept(
+    edges = saved(
         links.filter("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
@@ -49,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        edges = kept(_to_least(large))
+        edges = saved(_to_least(large))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

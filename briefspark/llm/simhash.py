@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefspark.llm.common import kept, map_batches, partitions, table
+from briefspark.llm.common import map_batches, partitions, saved, table
 from briefspark.llm.components import components
 
 SEED = 42
@@ -224,13 +224,13 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components_of(documents: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id)."""
-    docs = kept(fingerprints(documents, words))
+    docs = saved(fingerprints(documents, words))
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(first)).select(F.col("node").alias("fp"), "root")
     rooted = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # kept, like other small sides of joins below: the join then has an exchange on either side,
+    # saved, like other small sides of joins below: the join then has an exchange on either side,
     # and only so can Spark split a hot key
-    ids = kept(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    ids = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -287,10 +287,10 @@ def buckets(rows: DataFrame) -> DataFrame:
     """(uid, fp, views) -> (key, uid, fp, weight): the members of every bucket of equal view
     fingerprints; weight: how many members the buckets of a document have."""
     views = rows.select("uid", "fp", F.explode("views").alias("key"))
-    shared = kept(views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    shared = saved(views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     members = views.join(shared, "key")
     weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
-    return kept(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
+    return saved(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
 
 
 def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
@@ -299,7 +299,7 @@ def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
     In every bucket, members meet the one that shares most buckets with others (the likely
     original) and one at random; ``unsettled`` has the members that this does not settle.
     """
-    centres = kept(
+    centres = saved(
         members.groupBy("key").agg(
             F.max(F.struct("weight", "uid", "fp")).alias("most"),
             F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp")).alias("any"),
@@ -328,10 +328,10 @@ def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(uid, root) of the members of all buckets of three and more that links have not made
     one component."""
-    rooted = kept(members.select("key", "uid").join(roots, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")))
+    rooted = saved(members.select("key", "uid").join(roots, "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("root")))
     spread = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    several = kept(spread.filter("n > 2 and lo <> hi").select("key"))
-    return kept(rooted.join(several, "key").select("uid", "root").distinct())
+    several = saved(spread.filter("n > 2 and lo <> hi").select("key"))
+    return saved(rooted.join(several, "key").select("uid", "root").distinct())
 
 
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -387,14 +387,14 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFr
             yield pa.record_batch([pa.array(every, pa.int32()), pa.array(uids, pa.int64())], ["token", "uid"])
 
     spelt = map_batches(sets, tokens, "token int, uid long")
-    shared = kept(spelt.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = saved(spelt.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
     lists = spelt.join(shared, "token").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("found"))
     sizes = sets.select("uid", (F.octet_length("shingles") / 4).cast("int").alias("size"))
-    weights = kept(roots.groupBy("root").agg(F.count("*").alias("weight")))
+    weights = saved(roots.groupBy("root").agg(F.count("*").alias("weight")))
     known = roots.join(weights, "root").join(sizes, "uid")
     alone = F.col("size") - F.size("found")  # shingles of no other document come first
     reached = F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1 - alone
-    prefixes = kept(
+    prefixes = saved(
         lists.join(known, "uid")
         .filter(reached > 0)
         .select("uid", "root", "weight", "size", alone.alias("alone"), F.posexplode(F.slice("found", F.lit(1), reached.cast("int"))).alias("at", "f"))
@@ -404,11 +404,11 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFr
     greatest = prefixes.groupBy("token").agg(
         F.max(F.struct("weight", "root")).alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")
     )
-    greatest = kept(greatest.filter("lo <> hi").select("token", F.col("g.root").alias("most")))
+    greatest = saved(greatest.filter("lo <> hi").select("token", F.col("g.root").alias("most")))
     in_most = F.col("root") == F.col("most")
-    here = kept(prefixes.join(greatest, "token").select("token", "uid", "root", "size", "place", in_most.alias("in_most")))
+    here = saved(prefixes.join(greatest, "token").select("token", "uid", "root", "size", "place", in_most.alias("in_most")))
     blocks = lambda of: F.ceil(F.sum(of.cast("int")) / BLOCK).cast("int")
-    counts = kept(here.groupBy("token").agg(blocks(F.col("in_most")).alias("of_most"), blocks(~F.col("in_most")).alias("of_rest")))
+    counts = saved(here.groupBy("token").agg(blocks(F.col("in_most")).alias("of_most"), blocks(~F.col("in_most")).alias("of_rest")))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     tile = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -482,31 +482,31 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     that repeat both doc_id and text share their uid, and so all of this).
     """
     docs = with_uid(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = kept(features(docs, words))
+    found = saved(features(docs, words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     first = found.groupBy("digest").agg(F.min(order).alias("first"))
-    texts = kept(first.select("digest", "first", F.col("first.uid").alias("uid")))
+    texts = saved(first.select("digest", "first", F.col("first.uid").alias("uid")))
     members = buckets(found.select("uid", "fp", "views").join(texts.select("uid"), "uid"))
-    pairs = kept(candidates(members))
+    pairs = saved(candidates(members))
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     texts_of = lambda uids: shingle_sets(docs.join(uids, "uid").dropDuplicates(["uid"]), words)
-    near = kept(verified(pairs, kept(texts_of(ends)), similarity))
-    roots = kept(components(near).select(F.col("node").alias("uid"), "root"))
+    near = saved(verified(pairs, saved(texts_of(ends)), similarity))
+    roots = saved(components(near).select(F.col("node").alias("uid"), "root"))
     rest = unsettled(members, roots)
-    rest_sets = kept(texts_of(rest.select("uid")))
-    more = kept(verified(prefix_pairs(rest_sets, rest, similarity), rest_sets, similarity))
+    rest_sets = saved(texts_of(rest.select("uid")))
+    more = saved(verified(prefix_pairs(rest_sets, rest, similarity), rest_sets, similarity))
     if not more.isEmpty():  # no links, no new components
-        near = kept(near.union(more).distinct())
+        near = saved(near.union(more).distinct())
         roots = components(near).select(F.col("node").alias("uid"), "root")
     rooted = texts.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    groups = kept(rooted.groupBy("root").agg(F.min("first").alias("stands")))
+    groups = saved(rooted.groupBy("root").agg(F.min("first").alias("stands")))
     degree = (
         near.select(F.col("a").alias("uid"))
         .union(near.select(F.col("b").alias("uid")))
         .groupBy("uid")
         .agg(F.count("*").alias("n_links"))
     )
-    by_text = kept(
+    by_text = saved(
         rooted.join(groups, "root")
         .join(degree, "uid", "left")
         .select("digest", "stands", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Folders of the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside go when the scope ends, but for those that stay.
+
+    What leaves the scope must read none of them: save it with ``stays``.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+def saved(df: DataFrame, stays: bool = False) -> DataFrame:
     """A Parquet table in the shared folder, read back: computed once, safe when an executor is lost.
 
     Unlike a checkpoint it does not keep the order of rows, and it has the size of its files.  A
@@ -54,6 +75,8 @@ def saved(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not stays:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefspark.llm.common import map_batches, partitions, saved, table
+from briefspark.llm.common import map_batches, partitions, saved, scratch, table
 from briefspark.llm.components import components
 
 SEED = 42
@@ -60,6 +60,8 @@ COUNT_ROWS = 1 << 16
 VIEWS, SAMPLED = 20, 4
 #: Documents of a shared shingle that meet in one piece; more are dealt out in blocks.
 BLOCK = 1024
+#: Row numbers that may go to all tasks: 8 MB of them.
+FEW = 1 << 20
 #: Bits by which whole fingerprints of documents at 0.8 may differ (0.151 x 64 expected).
 FAR = 28
 
@@ -224,20 +226,26 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components_of(documents: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id)."""
-    docs = saved(fingerprints(documents, words))
+    docs = saved(fingerprints(documents, words), stays=True)
+    with scratch(documents.sparkSession):
+        by_fp = _components_of_fingerprints(docs)
+    return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _components_of_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) -> (fp, component_id)."""
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(first)).select(F.col("node").alias("fp"), "root")
     rooted = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # saved, like other small sides of joins below: the join then has an exchange on either side,
     # and only so can Spark split a hot key
     ids = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return saved(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), stays=True)
 
 
 # -- near-duplicates of 0.8 and more -------------------------------------------
 
-FEATURES = "uid long, doc_id long, digest binary, fp long, views array<long>"
+FEATURES = "uid long, doc_id long, digest binary, fp long, size int, views array<long>"
 
 
 def sampling(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,46 +278,49 @@ def features(documents: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, fps, views = [], [], []
+            digests, fps, sizes, views = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = np.unique(shingle_hashes(text or "", words))
                 spoken = b" ".join((text or "").encode().lower().split())
                 digests.append(xxhash.xxh3_128_digest(spoken))
                 fps.append(majority(hashes))
+                sizes.append(len(hashes))
                 views.append(view_fingerprints(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(views, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["uid", "doc_id", "digest", "fp", "views"])
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(views, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["uid", "doc_id", "digest", "fp", "size", "views"])
 
     return map_batches(documents.select("uid", "doc_id", "text"), run, FEATURES)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(uid, fp, views) -> (key, uid, fp, weight): the members of every bucket of equal view
-    fingerprints; weight: how many members the buckets of a document have."""
-    views = rows.select("uid", "fp", F.explode("views").alias("key"))
-    shared = saved(views.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    """(uid, fp, size, views) -> (key, uid, fp, size, weight): the members of every bucket of equal
+    view fingerprints; size: shingles; weight: how many members the buckets of a document have."""
+    views = rows.select("uid", "fp", "size", F.explode("views").alias("key"))
+    shared = saved(views.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = views.join(shared, "key")
-    weight = members.groupBy("uid").agg(F.sum("size").alias("weight"))
-    return saved(members.join(weight, "uid").select("key", "uid", "fp", "weight"))
+    weight = members.groupBy("uid").agg(F.sum("n").alias("weight"))
+    return saved(members.join(weight, "uid").select("key", "uid", "fp", "size", "weight"))
 
 
-def candidates(members: DataFrame, radius: int = FAR) -> DataFrame:
-    """Buckets -> distinct (a, b), a < b, that pass the pivot table.
+def candidates(members: DataFrame, similarity: float, radius: int = FAR) -> DataFrame:
+    """Buckets -> distinct (a, b), a < b, that pass the pivot table and whose numbers of shingles
+    allow that similarity.
 
     In every bucket, members meet the one that shares most buckets with others (the likely
     original) and one at random; ``unsettled`` has the members that this does not settle.
     """
     centres = saved(
         members.groupBy("key").agg(
-            F.max(F.struct("weight", "uid", "fp")).alias("most"),
-            F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp")).alias("any"),
+            F.max(F.struct("weight", "uid", "fp", "size")).alias("most"),
+            F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "fp", "size")).alias("any"),
         )
     )
-    both = F.array(*[F.struct(f"{c}.uid", f"{c}.fp") for c in ("most", "any")])
+    both = F.array(*[F.struct(f"{c}.uid", f"{c}.fp", f"{c}.size") for c in ("most", "any")])
     met = (
         members.join(centres, "key")
-        .select("uid", "fp", F.explode(both).alias("c"))
+        .select("uid", "fp", "size", F.explode(both).alias("c"))
         .filter(F.col("uid") != F.col("c.uid"))
+        .filter(F.least("size", "c.size") >= similarity * F.greatest("size", "c.size") - 1e-6)
     )
     own, other = F.struct("uid", "fp"), F.struct("c.uid", "c.fp")
     pairs = met.select(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")).distinct()
@@ -481,19 +492,35 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     text to other texts; stays: true for the one document that stands for the group (rows
     that repeat both doc_id and text share their uid, and so all of this).
     """
+    with scratch(documents.sparkSession):
+        rows, by_text = _near_groups(documents, words, similarity)
+    return rows.join(by_text, "digest").select(
+        "uid",
+        "doc_id",
+        F.col("stands.doc_id").alias("group_id"),
+        "n_links",
+        (F.col("uid") == F.col("stands.uid")).alias("stays"),
+    )
+
+
+def _near_groups(documents: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, digest) of every document, (digest, stands, n_links) of every text."""
     docs = with_uid(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = saved(features(docs, words))
+    rows = saved(found.select("uid", "doc_id", "digest"), stays=True)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
-    first = found.groupBy("digest").agg(F.min(order).alias("first"))
+    first = rows.groupBy("digest").agg(F.min(order).alias("first"))
     texts = saved(first.select("digest", "first", F.col("first.uid").alias("uid")))
-    members = buckets(found.select("uid", "fp", "views").join(texts.select("uid"), "uid"))
-    pairs = saved(candidates(members))
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts_of = lambda uids: shingle_sets(docs.join(uids, "uid").dropDuplicates(["uid"]), words)
-    near = saved(verified(pairs, saved(texts_of(ends)), similarity))
+    members = buckets(found.select("uid", "fp", "size", "views").join(texts.select("uid"), "uid"))
+    # the texts of those that share a bucket with another move, once; few of these go to all tasks
+    in_buckets = saved(members.select("uid").distinct())
+    if in_buckets.count() <= FEW:
+        in_buckets = F.broadcast(in_buckets)
+    sets = saved(shingle_sets(docs.join(in_buckets, "uid").dropDuplicates(["uid"]), words))
+    near = saved(verified(saved(candidates(members, similarity)), sets, similarity))
     roots = saved(components(near).select(F.col("node").alias("uid"), "root"))
     rest = unsettled(members, roots)
-    rest_sets = saved(texts_of(rest.select("uid")))
+    rest_sets = saved(sets.join(rest.select("uid"), "uid", "left_semi"))
     more = saved(verified(prefix_pairs(rest_sets, rest, similarity), rest_sets, similarity))
     if not more.isEmpty():  # no links, no new components
         near = saved(near.union(more).distinct())
@@ -506,18 +533,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
         .groupBy("uid")
         .agg(F.count("*").alias("n_links"))
     )
-    by_text = saved(
-        rooted.join(groups, "root")
-        .join(degree, "uid", "left")
-        .select("digest", "stands", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    return found.select("uid", "doc_id", "digest").join(by_text, "digest").select(
-        "uid",
-        "doc_id",
-        F.col("stands.doc_id").alias("group_id"),
-        "n_links",
-        (F.col("uid") == F.col("stands.uid")).alias("stays"),
-    )
+    by_text = rooted.join(groups, "root").join(degree, "uid", "left")
+    return rows, saved(by_text.select("digest", "stands", F.coalesce("n_links", F.lit(0)).alias("n_links")), stays=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,11 +25,23 @@ from briefspark.operators import replay as RP
 from briefspark.plans import distill as P
 from briefspark.plans import seeds as S
 from briefspark.sources import pages as PG
+from briefspark.operators.ordered import checkpoint_folder
 from briefspark.sources import payloads as PL
 from briefspark.sources import sinks as SK
 from briefspark.sources import store as ST
 from briefspark.sources.transcript import Transcript, normalize_simple
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where queries write files that they read back: the checkpoint folder, or a temporary one
+    in a local session that has none."""
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="briefspark-")
+    return folder
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -207,6 +221,18 @@ def normalize_hf(spark, sf):
     return _flat(PL.normalize_hf(S.hf_payloads(S.pages_of_chats(spark, sf))).messages)
 
 
+@query
+def read_payload_arrays(spark, sf):
+    """All chats as export files of one JSON array each, some 64 chats to a file, read back
+    through the payload reader and normalized."""
+    payloads = S.hf_payloads(S.pages_of_chats(spark, sf)).select("conv_key", "payload")
+    files = max(1, payloads.count() // 64)
+    chats = payloads.groupBy(F.pmod(F.xxhash64("conv_key"), F.lit(files))).agg(F.concat_ws(",\n ", F.collect_list("payload")).alias("chats"))
+    folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    chats.select(F.concat(F.lit("[\n "), "chats", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return PL.normalize_hf(PL.read_payloads(spark, folder, "array", platform="huggingface")).messages.select("ordinal", "role", "text")
+
+
 @query
 def normalize_deepseek(spark, sf):
     return _flat(PL.normalize_deepseek(S.deepseek_payloads(S.pages_of_chats(spark, sf))).messages)

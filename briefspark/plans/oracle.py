@@ -106,6 +106,7 @@ def flat(where: str = "true", text: str = trim("padded"), role: str = S.ROLE, de
 
 
 ORACLE["normalize_hf"] = flat("role <> 'system'")
+ORACLE["read_payload_arrays"] = f"SELECT ordinal, role, text FROM ({ORACLE['normalize_hf']})"
 ORACLE["normalize_deepseek"] = flat()
 ORACLE["normalize_grok"] = flat()
 ORACLE["normalize_gemini"] = flat()

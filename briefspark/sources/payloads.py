@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
+from briefspark.sources.arrays import read_arrays
 from briefspark.sources.platforms.chatgpt import normalize_chatgpt
 from briefspark.sources.platforms.claude import normalize_claude
 from briefspark.sources.platforms.gemini import normalize_gemini
@@ -73,7 +74,8 @@ def read_payloads(
     """Exported chats -> payloads(conv_key, platform, url, captured_at, payload).
 
     ``lines``: one JSON document per line; ``files``: one document per file (any
-    framed text); ``parquet`` / ``json`` / ``orc``: a table with a payload column
+    framed text); ``array``: files of one JSON array of documents each, which many
+    tasks read together (see arrays); ``parquet`` / ``json`` / ``orc``: a table with a payload column
     and optional url, platform, captured_at, conv_key columns.  Nothing is dropped
     here: a bad document becomes an error row of its normalizer.
     """
@@ -81,6 +83,8 @@ def read_payloads(
         raw = spark.read.text(path, wholetext=fmt == "files").select(
             F.col("value").alias("payload"), F.col("_metadata.file_path").alias("url")
         )
+    elif fmt == "array":
+        raw = read_arrays(spark, path)
     else:
         raw = spark.read.format(fmt).load(path)
     for name, value in (("url", None), ("platform", platform), ("captured_at", captured_at), ("conv_key", None)):

@@ -9,6 +9,12 @@ the sorted artifacts of a conversation.  What keeps that stream small:
 * artifacts under three words can never merge and do not enter the stream;
 * of copies that follow each other only the last one enters, since each of them
   would land on the slot of the one before.
+
+``by_groups`` is for conversations with very many drafts.  An artifact only joins a version that
+it is alike, so artifacts of different connected groups of the graph of alike pairs never meet:
+pairs are found by rare words (as in ``similar_drafts``), groups by least labels and pointer
+doubling, and the greedy runs inside a group, on pair rows instead of words.  Groups, not
+conversations, are dealt out to tasks; the result is the same.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
-from briefspark.operators.ordered import block_of, fold_sorted, previous
+from briefspark.operators.ordered import block_of, fold_sorted, hold, previous
 
 
 def draft_similarity(artifacts: DataFrame) -> DataFrame:
@@ -50,6 +56,17 @@ def similar_drafts(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD)
     keyed = sets.withColumn("tokens", F.array_sort("tokens")).withColumn("set_key", F.xxhash64("tokens"))
     firsts = keyed.groupBy("conv_key", "set_key").agg(F.min(F.struct("ordinal", "tokens")).alias("f"))
     firsts = firsts.select("conv_key", "set_key", F.col("f.ordinal").alias("ordinal"), F.col("f.tokens").alias("tokens"))
+    near = _alike(firsts, threshold)
+    same = keyed.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_b")).join(
+        firsts.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_a")), ["conv_key", "set_key"]
+    )
+    equal = same.filter("ordinal_a < ordinal_b").select("conv_key", "ordinal_a", "ordinal_b", F.lit(1.0).alias("sim"))
+    return near.unionByName(equal)
+
+
+def _alike(firsts: DataFrame, threshold: float) -> DataFrame:
+    """(conv_key, ordinal, tokens), different sets -> (conv_key, ordinal_a, ordinal_b, sim) of the
+    pairs with at least that similarity."""
     words = firsts.select("conv_key", "ordinal", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
     often = words.groupBy("conv_key", "word").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("conv_key", "ordinal").orderBy("often", "word"))
@@ -70,17 +87,81 @@ def similar_drafts(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD)
         .distinct()
     )
     of = lambda end: firsts.select("conv_key", F.col("ordinal").alias(f"ordinal_{end}"), F.col("tokens").alias(end))
-    near = (
+    return (
         met.join(of("a"), ["conv_key", "ordinal_a"])
         .join(of("b"), ["conv_key", "ordinal_b"])
         .select("conv_key", "ordinal_a", "ordinal_b", T.jaccard(F.col("a"), F.col("b")).alias("sim"))
         .filter(F.col("sim") >= threshold)
     )
-    same = keyed.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_b")).join(
-        firsts.select("conv_key", "set_key", F.col("ordinal").alias("ordinal_a")), ["conv_key", "set_key"]
-    )
-    equal = same.filter("ordinal_a < ordinal_b").select("conv_key", "ordinal_a", "ordinal_b", F.lit(1.0).alias("sim"))
-    return near.unionByName(equal)
+
+
+def _groups(pairs: DataFrame) -> DataFrame:
+    """(conv_key, a, b) -> (conv_key, node, root): the least node that each node of a pair reaches.
+
+    A round gives every node the least label of itself and its neighbours, then the label of that
+    label, so that the rounds grow with the logarithm of a group's width.
+    """
+    both = hold(pairs.select("conv_key", "a", "b").union(pairs.select("conv_key", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = hold(both.groupBy("conv_key", F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    while True:
+        of = lambda name: labels.select("conv_key", F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        heard = both.join(of("b"), ["conv_key", "b"]).groupBy("conv_key", F.col("a").alias("node")).agg(F.min("b_root").alias("heard"))
+        least = labels.join(heard, ["conv_key", "node"]).select("conv_key", "node", "root", F.least("root", "heard").alias("b"))
+        after = least.join(of("b"), ["conv_key", "b"]).select("conv_key", "node", F.col("root").alias("before"), F.col("b_root").alias("root"))
+        after = hold(after)
+        labels = after.drop("before")
+        if after.filter("root <> before").isEmpty():
+            return labels
+
+
+class _Group:
+    """The slots of one group, told by pairs of alike sets."""
+
+    def __init__(self) -> None:
+        self.alike: dict = defaultdict(set)
+        self.holders: dict = defaultdict(set)  # set -> slots whose version has it
+        self.kept: list[tuple] = []  # (slot ordinal, ordinal of the current version)
+        self.sets: list = []
+
+    def add(self, ordinal, kind, of_set, other) -> None:
+        if kind == 0:  # a pair, of which this is the later set
+            self.alike[of_set].add(other)
+            self.alike[other].add(of_set)
+            return
+        homes = set(self.holders[of_set]).union(*(self.holders[s] for s in self.alike[of_set]))
+        if homes:
+            home = min(homes)
+            self.holders[self.sets[home]].discard(home)
+            self.sets[home], self.kept[home] = of_set, (self.kept[home][0], ordinal)
+        else:
+            home = len(self.kept)
+            self.sets.append(of_set)
+            self.kept.append((ordinal, ordinal))
+        self.holders[of_set].add(home)
+
+    def rows(self) -> list[tuple]:
+        return self.kept
+
+
+def _kept_by_groups(artifacts: DataFrame, worded: DataFrame, threshold: float) -> DataFrame:
+    """(conv_key, ordinal, tokens) -> (conv_key, slot, ordinal) of the kept versions."""
+    keyed = worded.withColumn("tokens", F.array_sort("tokens")).withColumn("set_key", F.xxhash64("tokens"))
+    keyed = hold(keyed)
+    firsts = keyed.groupBy("conv_key", "set_key").agg(F.min(F.struct("ordinal", "tokens")).alias("f"))
+    firsts = hold(firsts.select("conv_key", "set_key", F.col("f.ordinal").alias("ordinal"), F.col("f.tokens").alias("tokens")))
+    pairs = _alike(firsts, threshold).select("conv_key", F.col("ordinal_a").alias("a"), F.col("ordinal_b").alias("b"))
+    pairs = hold(pairs)
+    sets = firsts.select("conv_key", "set_key", F.col("ordinal").alias("of_set"))
+    versions = keyed.select("conv_key", "set_key", "ordinal").join(sets, ["conv_key", "set_key"])
+    none = F.lit(None).cast(dict(artifacts.dtypes)["ordinal"])
+    versions = versions.select("conv_key", "ordinal", F.lit(1).alias("kind"), "of_set", none.alias("other"))
+    told = pairs.select("conv_key", F.col("b").alias("ordinal"), F.lit(0).alias("kind"), F.col("b").alias("of_set"), F.col("a").alias("other"))
+    roots = _groups(pairs).withColumnRenamed("node", "of_set")
+    rows = versions.unionByName(told).join(roots, ["conv_key", "of_set"], "left")
+    rows = rows.withColumn("root", F.coalesce("root", "of_set")).select("conv_key", "root", "ordinal", "kind", "of_set", "other")
+    types = dict(artifacts.dtypes)
+    schema = f"conv_key {types['conv_key']}, root {types['ordinal']}, slot {types['ordinal']}, ordinal {types['ordinal']}"
+    return fold_sorted(rows, ["conv_key", "root"], ["ordinal", "kind"], schema, _Group).drop("root")
 
 
 class _Slots:
@@ -118,7 +199,7 @@ class _Slots:
         return self.kept
 
 
-def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD) -> DataFrame:
+def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOLD, by_groups: bool = False) -> DataFrame:
     """artifacts(conv_key, ordinal, content, ..) -> kept rows, + slot.
 
     ``slot`` gives the order of the result: the ordinal at which the lineage first
@@ -142,7 +223,10 @@ def collapse_lineage(artifacts: DataFrame, threshold: float = K.LINEAGE_THRESHOL
         .filter((F.size("tokens") >= K.TOKEN_SET_MIN) & ~F.col("__next").eqNullSafe(F.struct("copy_of", "size")))
         .select("conv_key", "ordinal", "tokens")
     )
-    kept = fold_sorted(worded, ["conv_key"], ["ordinal"], _schema(artifacts), lambda: _Slots(threshold))
+    if by_groups:
+        kept = _kept_by_groups(artifacts, worded, threshold)
+    else:
+        kept = fold_sorted(worded, ["conv_key"], ["ordinal"], _schema(artifacts), lambda: _Slots(threshold))
     tiny = prints.filter(F.size("tokens") < K.TOKEN_SET_MIN).select(
         "conv_key", "ordinal", F.col("ordinal").alias("slot")
     )

@@ -34,6 +34,11 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return context.getCheckpointDir()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """A result that several steps read: checkpointed where there is a folder for it, else cached."""
+    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df.persist()
+
+
 def block_of(ordinal: str | Column) -> Column:
     col = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     return F.shiftright(col.cast("bigint"), BLOCK_BITS)

@@ -569,6 +569,12 @@ def collapse_lineage(spark, sf):
 # -- extraction -------------------------------------------------------------------------------------
 
 
+@query
+def collapse_lineage_by_groups(spark, sf):
+    """The same drafts, dealt out to tasks by groups of alike ones instead of by chat."""
+    return D.collapse_lineage(S.artifacts(spark, sf), by_groups=True).select("conv_key", "slot", "ordinal", "content")
+
+
 @query
 def extract_tables(spark, sf):
     return X.extract_tables(S.seeded(spark, sf)).selectExpr("conv_key", "ordinal", "CAST(pos AS BIGINT) AS pos", "`table` AS table_text")

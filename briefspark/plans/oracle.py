@@ -210,6 +210,7 @@ f AS (SELECT *, min(ordinal) OVER (PARTITION BY conv_key, st) AS head FROM s)
 SELECT a.conv_key, a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, round({SIM.format(a='a.toks', b='b.toks')}, 6) AS sim FROM f a JOIN f b ON a.conv_key = b.conv_key AND a.ordinal < b.ordinal
 WHERE a.ordinal = a.head AND (b.ordinal = b.head OR b.head = a.head) AND {SIM.format(a='a.toks', b='b.toks')} >= 0.5"""
 ORACLE["collapse_lineage"] = f"WITH RECURSIVE {KEPT} SELECT conv_key, slot, ordinal, content FROM lineage"
+ORACLE["collapse_lineage_by_groups"] = ORACLE["collapse_lineage"]
 
 # -- extraction ----------------------------------------------------------------------------------------------
 

@@ -95,7 +95,7 @@ def _alike(firsts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _groups(pairs: DataFrame) -> DataFrame:
+def connected_groups(pairs: DataFrame) -> DataFrame:
     """(conv_key, a, b) -> (conv_key, node, root): the least node that each node of a pair reaches.
 
     A round gives every node the least label of itself and its neighbours, then the label of that
@@ -156,7 +156,7 @@ def _kept_by_groups(artifacts: DataFrame, worded: DataFrame, threshold: float) -
     none = F.lit(None).cast(dict(artifacts.dtypes)["ordinal"])
     versions = versions.select("conv_key", "ordinal", F.lit(1).alias("kind"), "of_set", none.alias("other"))
     told = pairs.select("conv_key", F.col("b").alias("ordinal"), F.lit(0).alias("kind"), F.col("b").alias("of_set"), F.col("a").alias("other"))
-    roots = _groups(pairs).withColumnRenamed("node", "of_set")
+    roots = connected_groups(pairs).withColumnRenamed("node", "of_set")
     rows = versions.unionByName(told).join(roots, ["conv_key", "of_set"], "left")
     rows = rows.withColumn("root", F.coalesce("root", "of_set")).select("conv_key", "root", "ordinal", "kind", "of_set", "other")
     types = dict(artifacts.dtypes)

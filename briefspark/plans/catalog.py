@@ -824,6 +824,13 @@ def guarantee_tables(spark, sf):
     return R.guarantee_tables(model, facts).select("conv_key", "kind", "value")
 
 
+@query
+def guarantee_tables_in_rounds(spark, sf):
+    """The same tables, settled side by side over overlapping pairs instead of in a stream per chat."""
+    model, facts = _facts(spark, sf)
+    return R.guarantee_tables(model, facts, in_rounds=True).select("conv_key", "kind", "value")
+
+
 @query
 def guarantee_images(spark, sf):
     model, facts = _facts(spark, sf)

@@ -358,6 +358,7 @@ fold AS (SELECT conv_key, n, [toks] AS known, is_new = 1 AS added FROM t WHERE n
   SELECT conv_key, n, CASE WHEN is_new = 1 AND hit THEN known ELSE list_append(known, toks) END, is_new = 1 AND NOT hit FROM (
     SELECT t.conv_key, t.n, t.is_new, t.toks, f.known, len(list_filter(f.known, lambda k: {OVER.format(a='k', b='t.toks')} >= 0.8)) > 0 AS hit FROM fold f JOIN t ON t.conv_key = f.conv_key AND t.n = f.n + 1))
 SELECT conv_key, kind, value FROM model UNION ALL SELECT t.conv_key, 'table', t.value FROM t JOIN fold f USING (conv_key, n) WHERE f.added"""
+ORACLE["guarantee_tables_in_rounds"] = ORACLE["guarantee_tables"]
 ORACLE["guarantee_images"] = f"""WITH {FACTS}, {LAST_IMAGES}, {MODEL} SELECT conv_key, kind, value FROM model UNION ALL SELECT conv_key, 'image', value FROM images WHERE pos <> 0"""
 ORACLE["table_overlap"] = f"""WITH d AS (SELECT doc_id, {lap('text')} AS a, {lap("'the of and ' || lang || ' ' || source || ' ' || coalesce(CAST(quality AS STRING), '')")} AS b FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE round({OVER.format(a='a', b='b')}, 6) END AS overlap FROM d"""

@@ -40,10 +40,10 @@ def test_groups_are_connected_parts(spark):
     for _ in pairs:
         for c, a, b in pairs:
             root[c, a] = root[c, b] = min(root[c, a], root[c, b])
-    got = D._groups(spark.createDataFrame(pairs, "conv_key string, a int, b int")).collect()
+    got = D.connected_groups(spark.createDataFrame(pairs, "conv_key string, a int, b int")).collect()
     assert {(r["conv_key"], r["node"]): r["root"] for r in got} == root and len(got) == len(root)
     none = spark.createDataFrame([], "conv_key string, a int, b int")
-    assert D._groups(none).count() == 0
+    assert D.connected_groups(none).count() == 0
 
 
 def test_one_hot_chat_is_dealt_to_several_tasks(spark, monkeypatch):

@@ -24,6 +24,7 @@ from briefspark.operators import render as RD
 from briefspark.operators import replay as RP
 from briefspark.plans import distill as P
 from briefspark.plans import seeds as S
+from briefspark.sources import files as FL
 from briefspark.sources import pages as PG
 from briefspark.operators.ordered import checkpoint_folder
 from briefspark.sources import payloads as PL
@@ -213,6 +214,28 @@ def brief_slug(spark, sf):
     return ST.brief_slug(docs).select("doc_id", "slug")
 
 
+def _titled_chats(spark, sf):
+    """(conv_key, title): titles that many chats share."""
+    turns = S.chats(spark, sf).groupBy(F.col("conv_id").alias("conv_key"))
+    return turns.agg(F.concat(F.lit("Chat of "), F.count("*").cast("string"), F.lit(" turns!")).alias("title"))
+
+
+@query
+def brief_file_names(spark, sf):
+    """One name for each chat, told apart by a number where titles have one slug."""
+    return FL.file_names(_titled_chats(spark, sf))
+
+
+@query
+def write_brief_files(spark, sf):
+    """A file for each chat, a part for each turn; what the files hold."""
+    path = f"{shared_folder(spark)}/briefs-{uuid.uuid4().hex}"
+    turns = S.chats(spark, sf).selectExpr("conv_id AS conv_key", "turn AS part", "coalesce(text, '') || chr(10) AS human_md")
+    FL.write_brief_files(turns, _titled_chats(spark, sf), path, extensions=("md",))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+
+
 # -- normalizers -----------------------------------------------------------------------
 
 

@@ -93,6 +93,13 @@ ORACLE["upsert_briefs"] = """SELECT conv_id AS store_key, lpad(CAST(turn AS STRI
 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
 ORACLE["stale_briefs"] = "SELECT DISTINCT conv_id AS conv_key FROM conversations WHERE role = 'system'"
 ORACLE["brief_slug"] = """SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'handoff-brief') AS slug FROM documents"""
+NAMED = """asked AS (SELECT conv_id AS conv_key, 'Chat of ' || count(*) || ' turns!' AS title FROM conversations GROUP BY 1),
+slugs AS (SELECT conv_key, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'handoff-brief') AS slug FROM asked),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY conv_key) AS k FROM slugs),
+named AS (SELECT conv_key, CASE WHEN k = 1 THEN slug ELSE slug || '_' || k END AS name FROM ranks)"""
+ORACLE["brief_file_names"] = f"WITH {NAMED} SELECT conv_key, name FROM named"
+ORACLE["write_brief_files"] = f"""WITH {NAMED} SELECT name || '.md' AS file_name, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS content
+FROM conversations JOIN named ON conv_id = conv_key GROUP BY name"""
 
 # -- normalizers ----------------------------------------------------------------------
 

@@ -19,6 +19,7 @@ from briefspark.operators import evaluate as V
 from briefspark.operators import extract as X
 from briefspark.operators import lineage as D
 from briefspark.operators import model as M
+from briefspark.operators import parity as PA
 from briefspark.operators import reconcile as R
 from briefspark.operators import render as RD
 from briefspark.operators import replay as RP
@@ -317,6 +318,28 @@ def parity_report(spark, sf):
     return V.parity_report(texts)
 
 
+#: What is planted in the payloads of three platforms: a changed text, a role, a lost end.
+PLANTED = {
+    "grok": "transform(turns, t -> named_struct('turn', t.turn, 'conv_id', t.conv_id, 'role', t.role, "
+    "'text', if(t.turn = t.conv_id % 3, t.text || ' changed', t.text)))",
+    "huggingface": "transform(turns, t -> named_struct('turn', t.turn, 'conv_id', t.conv_id, "
+    "'role', if(t.conv_id % 5 = 2 AND t.turn = 1, 'user', t.role), 'text', t.text))",
+    "deepseek": "filter(turns, t -> t.conv_id % 4 <> 1 OR t.turn < 2)",
+}
+
+
+@query
+def parity_differences(spark, sf):
+    """Where four platforms first differ on the same chats, three of them with planted differences."""
+    pages = S.pages_of_chats(spark, sf, flat_roles=True)
+    make = {"grok": S.grok_payloads, "huggingface": S.hf_payloads, "deepseek": S.deepseek_payloads, "chatgpt": S.chatgpt_payloads}
+    sources = {
+        name: PL.NORMALIZERS[name](payloads(pages.withColumn("turns", F.expr(PLANTED.get(name, "turns"))))).messages
+        for name, payloads in make.items()
+    }
+    return PA.parity_differences(sources, facts=False)
+
+
 # -- branches -----------------------------------------------------------------------------
 
 

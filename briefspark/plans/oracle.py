@@ -129,6 +129,18 @@ SELECT page AS conv_key, count(*) + count(*) FILTER (role = 'system') AS total_b
 FROM chats GROUP BY page"""
 ORACLE["parity_report"] = f"WITH {CHATS} SELECT page AS conv_key, CAST(7 AS BIGINT) AS platforms, true AS equal FROM chats WHERE {has_text('padded')} GROUP BY page"
 
+ORACLE["parity_differences"] = f"""WITH {CHATS}, made AS (SELECT platform, page, turn,
+    CASE WHEN role = 'user' OR (platform = 'huggingface' AND conv_id % 5 = 2 AND turn = 1) THEN 'human' ELSE 'assistant' END AS role,
+    CASE WHEN platform = 'grok' AND turn = conv_id % 3 THEN padded || ' changed' ELSE padded END AS text
+  FROM chats, unnest(['grok', 'huggingface', 'deepseek', 'chatgpt']) AS p(platform) WHERE platform <> 'deepseek' OR conv_id % 4 <> 1 OR turn < 2),
+has AS (SELECT platform, page, row_number() OVER (PARTITION BY platform, page ORDER BY turn) - 1 AS ordinal, role, {trim('text')} AS text FROM made WHERE {has_text('text')}),
+votes AS (SELECT page, ordinal, role, text, count(*) AS n FROM has GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY page, ordinal ORDER BY n DESC, role, text) AS k, sum(n) OVER (PARTITION BY page, ordinal) AS present FROM votes),
+found AS (SELECT p.platform, b.page, b.ordinal, CASE WHEN h.page IS NULL AND n >= 4 - present THEN 'missing' WHEN h.page IS NOT NULL AND n < 4 - present THEN 'extra'
+    WHEN h.page IS NULL THEN NULL WHEN h.role <> b.role THEN 'role' WHEN h.text <> b.text THEN 'text' END AS what
+  FROM best b CROSS JOIN unnest(['grok', 'huggingface', 'deepseek', 'chatgpt']) AS p(platform) LEFT JOIN has h ON h.platform = p.platform AND h.page = b.page AND h.ordinal = b.ordinal WHERE k = 1)
+SELECT page AS conv_key, platform, 'message' AS kind, min(ordinal) AS ordinal, 0 AS pos, arg_min(what, ordinal) AS what FROM found WHERE what IS NOT NULL GROUP BY page, platform"""
+
 # -- branches --------------------------------------------------------------------------------
 
 NODES = """nodes AS (SELECT conv_id AS conv_key, turn * 2 + v AS pos, CASE v WHEN 0 THEN 'n' ELSE 'x' END || CAST(turn AS STRING) AS node,

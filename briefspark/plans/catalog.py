@@ -25,6 +25,7 @@ from briefspark.operators import render as RD
 from briefspark.operators import replay as RP
 from briefspark.plans import distill as P
 from briefspark.plans import seeds as S
+from briefspark.sources import brief_table as BT
 from briefspark.sources import files as FL
 from briefspark.sources import pages as PG
 from briefspark.operators.ordered import checkpoint_folder
@@ -202,6 +203,21 @@ def upsert_briefs(spark, sf):
     )
 
 
+@query
+def upsert_brief_table(spark, sf):
+    """Briefs by host and path of their chat, saved in two upserts of a stored table; what it holds."""
+    rows = S.chats(spark, sf).select(
+        ST.store_key(F.expr(S.CHAT_URL)).alias("store_key"),
+        F.expr("lpad(CAST(conv_id AS STRING), 12, '0') || lpad(CAST(turn AS STRING), 6, '0')").alias("saved_at"),
+        F.col("text").alias("brief"),
+        "role",
+    )
+    store = BT.BriefTable(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    store.upsert(rows.filter("role <> 'user'").drop("role"))
+    store.upsert(rows.filter("role = 'user'").drop("role"))
+    return store.read()
+
+
 @query
 def stale_briefs(spark, sf):
     rows = S.chats(spark, sf).selectExpr("conv_id AS conv_key", "turn AS ordinal", "role", "text")

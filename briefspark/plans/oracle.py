@@ -91,6 +91,9 @@ SELECT conv_id AS conv_key, turn AS ordinal, CASE WHEN f.conv_id IS NULL THEN ''
   CASE WHEN f.conv_id IS NULL THEN 'data layer' ELSE 'screen' END AS source FROM conversations LEFT JOIN f USING (conv_id)"""
 ORACLE["upsert_briefs"] = """SELECT conv_id AS store_key, lpad(CAST(turn AS STRING), 6, '0') AS saved_at, text AS brief
 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
+ORACLE["upsert_brief_table"] = f"""WITH {URLS} SELECT nullif(regexp_extract(url, '^https?://([^?#]*)', 1), '') AS store_key,
+  lpad(CAST(conv_id AS STRING), 12, '0') || lpad(CAST(turn AS STRING), 6, '0') AS saved_at, text AS brief
+FROM chat_urls JOIN conversations USING (conv_id, turn) QUALIFY row_number() OVER (PARTITION BY store_key ORDER BY saved_at DESC) = 1"""
 ORACLE["stale_briefs"] = "SELECT DISTINCT conv_id AS conv_key FROM conversations WHERE role = 'system'"
 ORACLE["brief_slug"] = """SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'handoff-brief') AS slug FROM documents"""
 NAMED = """asked AS (SELECT conv_id AS conv_key, 'Chat of ' || count(*) || ' turns!' AS title FROM conversations GROUP BY 1),

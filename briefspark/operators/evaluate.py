@@ -55,6 +55,56 @@ def corpus_summary(scorecard: DataFrame, platforms: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the quantile sketches of a summary: exact up to about so many conversations.
+SKETCH_K = 4096
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Bound of a sketch's error in rank, as a share of all values, that holds with 99 % probability
+    (the fit that the sketch's authors publish; merging does not add to it)."""
+    return 2.296 / k**0.9723
+
+
+def summary_parts(scorecard: DataFrame, platforms: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """(platform, conversations, full_chars, brief_chars, reductions) of one batch of conversations.
+
+    ``reductions`` is a mergeable quantile sketch, so parts can be stored, batch by batch, and
+    summed up later without reading a conversation again.  Values without reduction count as
+    conversations but not in the sketch.
+    """
+    joined = scorecard.join(platforms.select(F.col("conv_key").alias("id"), "platform"), "id")
+    return joined.groupBy("platform").agg(
+        F.count("*").alias("conversations"),
+        F.sum("full_chars").alias("full_chars"),
+        F.sum("brief_chars").alias("brief_chars"),
+        F.kll_sketch_agg_double(F.col("reduction").cast("double"), k).alias("reductions"),
+    )
+
+
+def summed_parts(parts: DataFrame, k: int = SKETCH_K, ranks: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Parts of any number of batches -> per platform and in total: sizes, quantiles of the reduction.
+
+    ``quantiles`` are those at ``ranks``, each the least value that at least this share of all is
+    no greater than, but for an error in rank of ``rank_error``.
+    """
+    total = parts.rollup("platform").agg(
+        F.sum("conversations").alias("conversations"),
+        F.sum("full_chars").alias("full_chars"),
+        F.sum("brief_chars").alias("brief_chars"),
+        F.kll_merge_agg_double("reductions", k).alias("reductions"),
+    )
+    some = F.kll_sketch_get_n_double("reductions") > 0
+    found = F.kll_sketch_get_quantile_double("reductions", F.array(*map(F.lit, ranks)))
+    return total.select(
+        "platform",
+        "conversations",
+        "full_chars",
+        "brief_chars",
+        F.when(some, found).alias("quantiles"),
+        F.lit(rank_error(k)).alias("rank_error"),
+    )
+
+
 def _js_string(v: Column) -> Column:
     return F.coalesce(T.variant_text(v), F.to_json(v))
 

@@ -998,6 +998,21 @@ def corpus_summary(spark, sf):
     return out.select("platform", "conversations", "full_chars", "brief_chars")
 
 
+@query
+def corpus_quantiles(spark, sf):
+    """Quantiles of the reduction per platform, from stored parts of three batches of chats."""
+    platforms = S.chats(spark, sf).select(F.col("conv_id").alias("conv_key"), F.expr(f"{S.CHAT_URL} AS url")).groupBy("conv_key").agg(
+        F.min(PL.route_platform(F.col("url"))).alias("platform")
+    )
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    card = P.keep(_scorecard(spark, sf), "scorecard")
+    for batch in range(3):
+        V.summary_parts(card.filter(F.expr(f"pmod(id, 3) = {batch}")), platforms).write.mode("append").parquet(path)
+    out = V.summed_parts(spark.read.parquet(path))
+    found = [F.round(F.col("quantiles")[n], 6).alias(name) for n, name in enumerate(("p10", "median", "p90"))]
+    return out.select("platform", "conversations", *found, F.round("rank_error", 6).alias("rank_error"))
+
+
 def _verdicts(spark, sf):
     return S.chats(spark, sf).selectExpr(
         "conv_id",

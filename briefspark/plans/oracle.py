@@ -449,6 +449,9 @@ UNION ALL SELECT 2, 1, '', '**Same-next-move pass rate: ' || CAST(count(*) FILTE
 UNION ALL SELECT 4, 0, CAST(id AS STRING), '- **' || CAST(id AS STRING) || '**: ' || reasoning FROM j WHERE same_move IS NOT NULL"""
 ORACLE["corpus_summary"] = f"""WITH RECURSIVE {CARD}, {URLS}, plat AS (SELECT conv_id AS id, min({platform_case()}) AS platform FROM chat_urls GROUP BY 1)
 SELECT platform, count(*) AS conversations, CAST(sum(full_chars) AS BIGINT) AS full_chars, CAST(sum(brief_chars) AS BIGINT) AS brief_chars FROM card JOIN plat USING (id) GROUP BY ROLLUP (platform)"""
+ORACLE["corpus_quantiles"] = f"""WITH RECURSIVE {CARD}, {URLS}, plat AS (SELECT conv_id AS id, min({platform_case()}) AS platform FROM chat_urls GROUP BY 1)
+SELECT platform, count(*) AS conversations, round(quantile_disc(reduction, 0.1), 6) AS p10, round(quantile_disc(reduction, 0.5), 6) AS median,
+  round(quantile_disc(reduction, 0.9), 6) AS p90, round(2.296 / pow(4096, 0.9723), 6) AS rank_error FROM card JOIN plat USING (id) GROUP BY ROLLUP (platform)"""
 ORACLE["parse_verdict"] = """SELECT conv_id, turn, turn % 4 IN (0, 3) AS same_move, CASE turn % 4 WHEN 0 THEN 'same' WHEN 1 THEN '' WHEN 2 THEN 'judge output did not parse: ' || substr(text, 1, 120) ELSE role END AS reasoning FROM conversations"""
 ORACLE["pass_rate"] = "SELECT count(*) AS n, count(*) FILTER (turn % 4 IN (0, 3)) AS passed, round(count(*) FILTER (turn % 4 IN (0, 3)) / count(*), 6) AS rate FROM conversations"
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from briefspark.functions.text import js_rtrim
 
 BLOCK_BITS = 10
+#: Characters at which a block of texts is closed before its ``BLOCK`` units are full.
+BLOCK_CHARS = 1 << 22
 PART_CHARS = 1 << 22
 
 
@@ -201,7 +203,8 @@ UNIT = ["code", "src", "ordinal", "pos"]
 
 
 def text_blocks(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> DataFrame:
-    """units(conv_key, code, src, ordinal, pos, text) -> joined blocks of them.
+    """units(conv_key, code, src, ordinal, pos, text) -> joined blocks of them: at most
+    ``BLOCK`` units, and less than ``BLOCK_CHARS`` characters, separators aside, before the last of them.
 
     (conv_key, code, src, block, text, lead, tail, chars, start): the texts of a
     block joined, what goes before and after it, its length with both, and where
@@ -215,9 +218,14 @@ def text_blocks(units: DataFrame, rules: dict[int, Rule], gap: str = "") -> Data
         return F.create_map(*pairs)[F.col("code")]
 
     piece = F.struct("ordinal", "pos", "text")
+    size = F.length("text").cast("bigint")
+    # a block of long texts is several: units are dealt by where they start in it
+    before = Window.partitionBy("conv_key", "code", "src", "block").orderBy("ordinal", "pos", "text")
+    starts = F.sum(size).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
     blocks = (
         units.filter(F.length("text") > 0)
         .withColumn("block", block_of("ordinal"))
+        .withColumn("block", F.struct("block", F.floor(starts / BLOCK_CHARS).alias("part")))
         .groupBy("conv_key", "code", "src", "block")
         .agg(F.array_sort(F.collect_list(piece)).alias("__p"))
         .select(

@@ -267,7 +267,8 @@ def _js_replacement(template: str):
     return build
 
 
-#: Seconds that one pattern of an edit may take; an edit beyond that is skipped.
+#: Seconds that one pattern of an edit may take; an edit beyond that is skipped, and counted
+#: in the document's ``skipped``.
 PATTERN_SECONDS = 10
 _ATOM = re.compile(r"\\.|\[\^?(?:\\.|[^\]\\])*\]|(?P<own>\(\?(?:>|P|\(|#|[a-zA-Z-]+[:)])|(?:[*+?]|\{\d+(?:,\d*)?\})\+)|.", re.DOTALL)
 
@@ -317,7 +318,9 @@ def edit_canvas(doc: dict | None, recipient: str, payload_text: str | None, doc_
                         count=0 if u.get("multiple") else 1,
                         timeout=PATTERN_SECONDS,
                     )
-                except (re.error, regex.error, IndexError, OverflowError, RecursionError, TimeoutError):
+                except TimeoutError:
+                    doc["skipped"] = doc.get("skipped", 0) + 1
+                except (re.error, regex.error, IndexError, OverflowError, RecursionError):
                     continue
     return doc
 
@@ -325,7 +328,8 @@ def edit_canvas(doc: dict | None, recipient: str, payload_text: str | None, doc_
 def replay_canvas(events: DataFrame) -> DataFrame:
     """events(conv_key, ord, recipient, doc_id, doc_type, body) -> documents.
 
-    (conv_key, first_ord, doc_id, name, doc_type, content), one fold per document.
+    (conv_key, first_ord, doc_id, name, doc_type, content, skipped), one fold per document.
+    ``skipped`` counts the edits whose pattern took too long: a document with any lacks them.
     """
     key_type = dict(events.dtypes)["conv_key"]
 
@@ -336,7 +340,7 @@ def replay_canvas(events: DataFrame) -> DataFrame:
         keyed,
         ["conv_key", "doc_id"],
         ["ord"],
-        f"conv_key {key_type}, doc_id string, first_ord bigint, name string, doc_type string, content string",
+        f"conv_key {key_type}, doc_id string, first_ord bigint, name string, doc_type string, content string, skipped bigint",
         _CanvasFold,
     )
 
@@ -352,7 +356,7 @@ class _CanvasFold:
 
     def rows(self) -> list[tuple]:
         d = self.doc
-        return [] if d is None else [(self.first, d["name"], d["type"], d["content"])]
+        return [] if d is None else [(self.first, d["name"], d["type"], d["content"], d.get("skipped", 0))]
 
 
 # -- the same folds for a payload that is one row ------------------------------------------

@@ -100,3 +100,14 @@ def test_long_chat_is_one_document(spark):
     rows = [("c", "huggingface", None, None, json.dumps({"title": "t", "messages": messages}))]
     t = PL.normalize(spark.createDataFrame(rows, "conv_key string, platform string, url string, captured_at string, payload string"))
     assert t.messages.filter(F.col("ordinal") == 2999).first()["text"] == "m2999" and t.messages.count() == 3000
+
+
+def test_an_edit_that_takes_too_long_is_counted(monkeypatch):
+    monkeypatch.setattr(RP, "PATTERN_SECONDS", 0.2)
+    fold = RP._CanvasFold()
+    slow = {"pattern": "(a|aa)+$", "replacement": "x", "multiple": True}
+    good = {"pattern": "!", "replacement": "?"}
+    fold.add(3, "canmore.create_textdoc", json.dumps({"name": "n", "content": "a" * 60 + "!"}), None)
+    fold.add(4, "canmore.update_textdoc", json.dumps({"updates": [slow, good, slow | {"pattern": "("}]}), None)
+    [(first, name, kind, content, skipped)] = fold.rows()
+    assert (first, name, kind, skipped) == (3, "n", None, 1) and content == "a" * 60 + "?"

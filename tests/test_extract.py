@@ -6,7 +6,7 @@ from briefspark.functions import constants as K
 from briefspark.operators import chunk as C
 from briefspark.operators import extract as X
 from briefspark.operators import lineage as D
-from briefspark.operators.ordered import Rule, assemble
+from briefspark.operators.ordered import Rule, assemble, text_blocks
 
 MESSAGES = "conv_key string, ordinal bigint, role string, text string, images array<string>"
 
@@ -161,3 +161,18 @@ def test_long_text_comes_in_parts_that_read_on(spark):
     parts = [r.text for r in assemble(units, rules, "\n", part_chars=20_000).orderBy("part").collect()]
     want = "A " + ", ".join(f"1:{i}" for i in range(5000)) + ".\nB " + "; ".join(f"2:{i}" for i in range(5000)) + "!"
     assert len(parts) > 1 and "".join(parts) == want
+
+
+def test_blocks_of_long_texts_are_closed_by_size(spark, monkeypatch):
+    rows = [("a", c, 0, i, 0, f"{c}:{i} " + "x" * (i % 50)) for c in (1, 2) for i in range(1500)] + [("b", 1, 0, 0, 0, "y" * 9000), ("b", 1, 0, 1, 0, "z")]
+    units = spark.createDataFrame(rows, "conv_key string, code int, src int, ordinal bigint, pos int, text string")
+    rules = {1: Rule(group=1, sep=", ", heading="A ", end="."), 2: Rule(group=2, sep="; ", heading="B ", end="!")}
+
+    def texts():
+        return {r["conv_key"]: r["text"] for r in assemble(units, rules, "\n").collect()}
+
+    whole, few = texts(), text_blocks(units, rules).count()
+    monkeypatch.setattr("briefspark.operators.ordered.BLOCK_CHARS", 1000)
+    assert texts() == whole and few == 5
+    sizes = [len(r["text"].replace(", ", "").replace("; ", "")) for r in text_blocks(units, rules).filter("conv_key = 'a'").collect()]
+    assert len(sizes) > 80 and max(sizes) < 1000 + 60 and text_blocks(units, rules).filter("conv_key = 'b'").count() == 2

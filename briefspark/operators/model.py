@@ -60,6 +60,45 @@ def complete_batch(
     return spread.mapInPandas(run, ddl)
 
 
+LEDGER = "asked string, output string, error string, batch int"
+
+
+def complete_with_ledger(
+    prompts: DataFrame,
+    complete: Callable[[str], str],
+    ledger: str,
+    batches: int = 8,
+    partitions: int = 4,
+    concurrency: int = 4,
+) -> DataFrame:
+    """prompts(.., prompt) -> + output, error, by way of a ledger of answers at the path ``ledger``.
+
+    Different prompts that have no answer there yet are asked in ``batches``, by hash; each batch's
+    answers are appended before the next is asked.  So a run that failed goes on where it
+    stopped: at most one batch is asked again (and a lost task's part of a batch, which Spark repeats).  Equal
+    prompts are asked once.  A failed call is in the ledger with its error, and the next
+    run asks again.  ``partitions`` x ``concurrency`` calls are in flight at most, over all
+    tasks.  A null prompt is an error row and is not asked.
+    """
+    spark = prompts.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+    key = F.sha2(F.col("prompt"), 256).alias("asked")
+    wanted = prompts.filter("prompt IS NOT NULL").groupBy(key).agg(F.any_value("prompt").alias("prompt"))
+    for batch in range(batches):
+        answered = spark.read.schema(LEDGER).parquet(ledger).filter("error IS NULL").select("asked")
+        mine = wanted.filter(F.pmod(F.xxhash64("asked"), F.lit(batches)) == batch)
+        asked = complete_batch(mine.join(answered, "asked", "left_anti"), complete, partitions, concurrency)
+        asked.withColumn("batch", F.lit(batch)).write.mode("append").parquet(ledger)
+    found = spark.read.schema(LEDGER).parquet(ledger)
+    # an answer before an error, and of several the least, so that reading again gives the same
+    least = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "output", "error"))
+    best = found.groupBy("asked").agg(least.alias("answer"))
+    none = F.when(F.col("prompt").isNull(), F.lit("no prompt"))
+    rest = [F.col(c) for c in prompts.columns if c != "prompt"]
+    joined = prompts.withColumn("asked", key).join(best, "asked", "left")
+    return joined.select(*rest, F.col("answer.output").alias("output"), F.coalesce("answer.error", none).alias("error"))
+
+
 # -- parsing ---------------------------------------------------------------------------
 
 

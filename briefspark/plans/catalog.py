@@ -800,6 +800,26 @@ def complete_batch(spark, sf):
     return M.complete_batch(prompts, echo)
 
 
+@query
+def complete_with_ledger(spark, sf):
+    """The same answers by way of a stored ledger, of which a second run asks failed prompts only."""
+    prompts = S.chats(spark, sf).selectExpr("conv_id AS conv_key", "turn AS chunk_ord", "text AS prompt")
+    ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+
+    def first(prompt: str) -> str:
+        if len(prompt) % 7 < 2:
+            raise RuntimeError("refused")
+        return "first " + prompt
+
+    def second(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("refused")
+        return "second " + prompt
+
+    M.complete_with_ledger(prompts, first, ledger, batches=2)
+    return M.complete_with_ledger(prompts, second, ledger, batches=2)
+
+
 @query
 def parse_sections(spark, sf):
     p = _parsed(spark, sf)

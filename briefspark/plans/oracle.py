@@ -338,6 +338,8 @@ SELECT conv_key, chunk AS chunk_ord, string_agg(unit, chr(10) || chr(10) ORDER B
 # -- model stage ---------------------------------------------------------------------------------------------
 
 ORACLE["complete_batch"] = "SELECT conv_id AS conv_key, turn AS chunk_ord, CASE WHEN length(text) % 7 <> 0 THEN 'echo ' || text END AS output, CASE WHEN length(text) % 7 = 0 THEN 'RuntimeError: refused' END AS error FROM conversations"
+ORACLE["complete_with_ledger"] = """SELECT conv_id AS conv_key, turn AS chunk_ord,
+  CASE length(text) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'second ' || text ELSE 'first ' || text END AS output, CASE WHEN text IS NULL THEN 'no prompt' WHEN length(text) % 7 = 0 THEN 'RuntimeError: refused' END AS error FROM conversations"""
 ORACLE["parse_sections"] = f"""SELECT conv_id AS conv_key, turn AS chunk_ord, CASE WHEN turn % 5 = 3 THEN {q(K.NOTE_NO_OBJECT)} END AS error,
   CASE WHEN turn % 5 <> 3 THEN 'State of turn ' || CAST(turn AS STRING) END AS now, CASE WHEN turn % 5 <> 3 THEN CAST(1 AS BIGINT) END AS n_decided, CASE WHEN turn % 5 <> 3 THEN CAST(2 AS BIGINT) END AS n_open,
   CASE turn % 5 WHEN 3 THEN NULL WHEN 2 THEN CAST(0 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS n_verbatim, CASE WHEN turn % 5 <> 3 THEN 'use Plan ' || CAST((turn + 1) % 2 AS STRING) END AS idea,

@@ -3,8 +3,9 @@
 Replaying is an ordered fold over string edits, so it runs in grouped Python on
 ``events(conv_key, ord, name, input)`` where ``input`` is the JSON of one tool
 call.  The group is a single path wherever a conversation has no command that
-ties paths together (``cd``, ``cp``, ``mv``), else the conversation.  A group is
-read as a stream, so memory holds the live files and not the events.
+ties paths together (``cd``, ``cp``, ``mv``), else all files that come from one creation
+(``replay_blocks``).  A group is read as a stream, so memory holds the live files and
+not the events.
 """
 
 from __future__ import annotations
@@ -22,119 +23,8 @@ from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.functions.strings import read_json, valid
 from briefspark.operators.ordered import first_wins, fold_sorted, last_wins
-
-STAMP_BITS = 20
-
-# -- one sandbox ------------------------------------------------------------------
-
-
-def absolute(cwd: str, path: str) -> str:
-    """Absolute form of a path; one quote at either end is dropped."""
-    path = re.sub(r"^['\"]|['\"]$", "", path)
-    parts: list[str] = []
-    for step in (path if path.startswith("/") else f"{cwd}/{path}").split("/"):
-        if step == "..":
-            del parts[-1:]
-        elif step not in ("", "."):
-            parts.append(step)
-    return "/" + "/".join(parts)
-
-
-class Sandbox:
-    """Live files of a session; a dict keeps the first-write order of the paths.
-
-    Every write is stamped with (event, write inside the event) so that states
-    replayed apart from each other still sort into one order.
-    """
-
-    def __init__(self) -> None:
-        self.text: dict[str, str] = {}
-        self.place: dict[str, int] = {}
-        self.written: dict[str, int] = {}
-        self.cwd = K.HOME_DIR
-        self.manifest: list[str] = []
-        self.stamp = 0
-
-    def write(self, path: str, text: str) -> None:
-        self.stamp += 1
-        if path not in self.text:
-            self.place[path] = self.stamp
-        self.text[path] = text
-        self.written[path] = self.stamp
-
-    def forget(self, path: str) -> None:
-        self.text.pop(path, None)
-        self.written.pop(path, None)
-
-    def shell(self, line: str) -> None:
-        for command in re.split(r"&&|;|\n", line):
-            words = [a or b or c for a, b, c in re.findall(r'"([^"]*)"|\'([^\']*)\'|(\S+)', command)]
-            verb, rest = (words[0], words[1:]) if words else ("", [])
-            plain = [w for w in rest if not w.startswith("-")]
-            if verb == "cd" and rest and rest[0]:
-                self.cwd = absolute(self.cwd, rest[0])
-            elif verb == "rm":
-                for w in plain:
-                    self.forget(absolute(self.cwd, w))
-            elif verb in ("cp", "mv") and len(plain) > 1:
-                source, target = (absolute(self.cwd, plain[i]) for i in (0, -1))
-                if source in self.text:
-                    self.write(target, self.text[source])
-                if verb == "mv":
-                    self.forget(source)
-
-    def apply(self, at: int, name: str | None, call: dict) -> None:
-        self.stamp = at << STAMP_BITS
-
-        def field(key):
-            value = call.get(key)
-            return valid(value) if isinstance(value, str) else None
-
-        command, path = field("command"), field("path")
-        target = absolute(self.cwd, path) if path else None
-        if target and (name == "create_file" or command == "create"):
-            if field("file_text") is not None:
-                self.write(target, field("file_text"))
-        elif target and "str_replace" in (name, command):
-            old = field("old_str") or ""
-            if old in self.text.get(target, "") and target in self.text:
-                self.write(target, self.text[target].replace(old, field("new_str") or "", 1))
-        elif target and "insert" in (name, command):
-            at = call.get("insert_line")
-            at = at if isinstance(at, (int, float)) and not isinstance(at, bool) else 0
-            new = field("insert_text")
-            lines = self.text.get(target, "").split("\n")
-            at = int(min(max(at, 0), len(lines)))  # a place beyond the end, or infinite, appends
-            lines.insert(at, (field("new_str") or "") if new is None else new)
-            self.write(target, "\n".join(lines))
-        elif name in ("bash_tool", "bash") or command == "bash":
-            self.shell(command or "")
-        elif name == "present_files":
-            listed = call.get("filepaths")
-            listed = call.get("file_paths") if listed is None else listed
-            if isinstance(listed, list):
-                self.manifest = [absolute("/", valid(p)) for p in listed if isinstance(p, str)]
-
-    def state(self) -> list[dict]:
-        """One entry per live file, then one per manifest entry."""
-        files = [
-            {"path": p, "content": t, "place": self.place[p], "write_ord": self.written[p], "manifest_ord": None}
-            for p, t in self.text.items()
-        ]
-        listed = [
-            {"path": p, "content": None, "place": None, "write_ord": None, "manifest_ord": i}
-            for i, p in enumerate(dict.fromkeys(self.manifest))
-        ]
-        return files + listed
-
-
-def _call(text) -> dict:
-    try:
-        value = read_json(text) if isinstance(text, str) else {}
-    except ValueError:
-        value = {}
-    return value if isinstance(value, dict) else {}
-
+from briefspark.operators.replay_blocks import replay_tied
+from briefspark.operators.sandbox import Sandbox, call_of
 
 STATE = (
     "conv_key {key}, __group string, path string, content string, place bigint, write_ord bigint, manifest_ord bigint"
@@ -154,30 +44,28 @@ def replay_files(events: DataFrame) -> DataFrame:
     plain_path = F.coalesce(~path.rlike(r"//|(^|/)\.\.?(/|\z)|/\z|['\"]"), F.lit(True))
     shaped = events.withColumn("__shell", shell).withColumn(
         "__ties",
-        F.when(F.col("__shell"), F.coalesce(command.rlike(r"(^|[;&\s'\"])(cd|cp|mv|rm)\b"), F.lit(False)))
+        F.when(F.col("__shell"), F.coalesce(command.rlike(r"(^|\W)(cd|cp|mv|rm)\b"), F.lit(False)))
         .otherwise(~plain_path),
     )
-    tied = shaped.filter("__ties").select("conv_key").distinct().withColumn("__tied", F.lit(True))
+    ties = shaped.filter("__ties").select("conv_key").distinct()
     full_path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(K.HOME_DIR + "/"), path))
-    routed = (
-        shaped.join(tied, "conv_key", "left")
+    alone = (
+        shaped.join(ties, "conv_key", "left_anti")
+        .filter(~F.col("__shell"))
         .withColumn(
             "__group",
-            F.when(F.col("__tied") | (F.col("name") == "present_files"), F.lit("")).otherwise(
-                F.coalesce(full_path, F.lit(""))
-            ),
+            F.when(F.col("name") == "present_files", F.lit("")).otherwise(F.coalesce(full_path, F.lit(""))),
         )
-        .filter(F.coalesce("__tied", F.lit(False)) | ~F.col("__shell"))
     )
-
     folded = fold_sorted(
-        routed.select("conv_key", "__group", "ord", "name", "input"),
+        alone.select("conv_key", "__group", "ord", "name", "input"),
         ["conv_key", "__group"],
         ["ord"],
         STATE.format(key=key_type),
         _SandboxFold,
     )
-    return folded.drop("__group")
+    tied = events.select("conv_key", "ord", "name", "input").join(ties, "conv_key", "left_semi")
+    return folded.drop("__group").unionByName(replay_tied(tied))
 
 
 class _SandboxFold:
@@ -185,7 +73,7 @@ class _SandboxFold:
         self.box = Sandbox()
 
     def add(self, at, name, call) -> None:
-        self.box.apply(int(at), name, _call(call))
+        self.box.apply(int(at), name, call_of(call))
 
     def rows(self) -> list[tuple]:
         names = ("path", "content", "place", "write_ord", "manifest_ord")
@@ -379,7 +267,7 @@ def with_sandbox_state(df: DataFrame, column: str, name: str) -> DataFrame:
     def fold(text: str | None) -> str:
         box = Sandbox()
         for at, e in enumerate(json.loads(text) if text else []):
-            box.apply(at, e.get("name"), _call(e.get("input")))
+            box.apply(at, e.get("name"), call_of(e.get("input")))
         return json.dumps(box.state())
 
     return _with_fold(df, column, name, fold)

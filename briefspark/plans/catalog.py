@@ -498,6 +498,22 @@ def replay_files_by_path(spark, sf):
     return state.filter("place IS NOT NULL").select("conv_key", "path", "content")
 
 
+@query
+def replay_across_folders(spark, sf):
+    """Every turn moves to a folder next to the last one, writes a note there and copies it up."""
+    folder = F.expr("'cd ../t' || CAST(turn % 3 AS STRING)")
+    steps = [
+        ("bash_tool", F.struct(folder.alias("command"))),
+        ("create_file", F.struct(F.lit("note.md").alias("path"), F.col("text").alias("file_text"))),
+        ("bash_tool", F.struct(F.lit("cp note.md ../last.md; mv -f ../last.md ../latest.md").alias("command"))),
+    ]
+    calls = [F.struct(F.lit(i).alias("i"), F.lit(name).alias("name"), F.to_json(body).alias("input")) for i, (name, body) in enumerate(steps)]
+    events = S.chats(spark, sf).withColumn("e", F.explode(F.array(*calls))).selectExpr(
+        "conv_id AS conv_key", "turn * 4 + e.i AS ord", "e.name", "e.input"
+    )
+    return RP.replay_files(events).select("conv_key", "path", "content")
+
+
 def _sandbox(spark, sf):
     """Sandbox states: odd chats deliver files, the others only have drafts."""
     rows = S.chats(spark, sf)

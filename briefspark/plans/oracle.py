@@ -187,6 +187,9 @@ QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn DESC) =
 ORACLE["replay_files_by_path"] = DRAFTS
 ORACLE["replay_files"] = f"""SELECT * FROM ({DRAFTS}) UNION ALL SELECT * FROM (
 SELECT conv_id, '/mnt/user-data/outputs/final ' || CAST(turn % 2 AS STRING) || '.md', {EDITED} FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn DESC) = 1)"""
+ORACLE["replay_across_folders"] = """SELECT conv_id AS conv_key, '/home/t' || CAST(turn % 3 AS STRING) || '/note.md' AS path, text AS content FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn DESC) = 1
+UNION ALL SELECT * FROM (SELECT conv_id, '/home/latest.md', text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)"""
 ORACLE["choose_deliverables"] = """WITH files AS (SELECT conv_id AS conv_key, turn, CASE WHEN conv_id % 2 = 1 AND turn % 2 = 0 THEN '/mnt/user-data/outputs/' ELSE '/home/claude/' END || 'f' || CAST(turn AS STRING) || CASE WHEN turn % 4 = 2 THEN '.pdf' ELSE '.md' END AS path,
   CASE WHEN turn = 0 THEN '' ELSE text END AS content FROM conversations),
 listed AS (SELECT DISTINCT conv_id AS conv_key, '/mnt/user-data/outputs/f' || CAST(turn AS STRING) || '.md' AS path FROM conversations WHERE role = 'user' AND conv_id % 2 = 1),

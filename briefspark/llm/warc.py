@@ -8,8 +8,10 @@ Payloads are shuffled once, to meet the largest id of their digest (a narrow tab
 payload is a skewed join, which Spark splits, and makes small records.  An archive holds
 ARCHIVE_RECORDS at most.
 
-Reading: every archive is read whole and walked by the lengths its headers give.  It yields a
-run: its captures sorted by (url key, time, id), cut at range borders into slices.  Borders
+Reading: Spark's text reader streams every archive in pieces, cut at the same separator; a task
+puts them together again to records by the lengths that their headers give, and holds one record
+at a time, however many bytes an archive has.  Payloads are held against their digests.  An archive
+yields a run: its captures sorted by (url key, time, id), cut at range borders into slices.  Borders
 are percentiles of a sample of SAMPLE full keys per range, so captures of one hot url are
 dealt out to several ranges.  The slices of a range, one from each archive,
 are merged by a loser tree into the globally ordered capture history.  A slice is one row of
@@ -27,7 +29,6 @@ ends inside urls are percent-encoded.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -151,30 +152,58 @@ def _id_of(uri: bytes) -> int | None:
     return None if text == b"null" else int(text)
 
 
-def read_archive(name: str, content: bytes) -> list[tuple]:
-    """The captures of one archive as index entries, in file order."""
-    found, at = [], 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at) + 4
-        fields = dict(HEADER.findall(content, at, end))
-        if not content.startswith(b"WARC/1.", at) or b"Content-Length" not in fields:
-            raise ValueError(f"{name}: no WARC record at {at}")
-        size = int(fields[b"Content-Length"])
-        http = content.index(b"\r\n\r\n", end) + 4
-        payload = memoryview(content)[http : end + size]
-        kind, digest = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
-        if kind == "response":
-            length, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            if own != digest:
-                raise ValueError(f"{name}: payload at {at} does not match its digest")
-        else:
-            length = int(dict(HEADER.findall(content, end, http))[b"Content-Length"])
-        url = fields[b"WARC-Target-URI"].decode()
-        page_id = _id_of(fields[b"WARC-Record-ID"])
-        refers = fields.get(b"WARC-Refers-To")
-        found.append((url_key(url), fields[b"WARC-Date"].decode(), page_id, url, length, digest, kind, _id_of(refers) if refers else None, name, at))
-        at = end + size + 4
-    return found
+def read_record(name: str, at: int, record: bytes, end: int, fields: dict[bytes, bytes]) -> tuple:
+    """One record as an index entry; its own header, up to ``end``, is in ``fields``."""
+    http = record.index(RECORD_END.encode(), end) + 4
+    payload = memoryview(record)[http:]
+    kind, digest = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+    if kind == "response":
+        length, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if own != digest:
+            raise ValueError(f"{name}: payload at {at} does not match its digest")
+    else:
+        length = int(dict(HEADER.findall(record, end, http))[b"Content-Length"])
+    url, refers = fields[b"WARC-Target-URI"].decode(), fields.get(b"WARC-Refers-To")
+    page_id = _id_of(fields[b"WARC-Record-ID"])
+    return url_key(url), fields[b"WARC-Date"].decode(), page_id, url, length, digest, kind, _id_of(refers) if refers else None, name, at
+
+
+class Archive:
+    """The records of one archive out of its pieces, one after the other.
+
+    Where the separator also occurs inside a record, or a payload ends in a part of it, pieces are
+    not records: only the lengths in the headers count.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.name, self.held, self.place, self.need, self.header = name, bytearray(), 0, 0, None
+        self.entries: list[tuple] = []
+
+    def add(self, piece: bytes) -> None:
+        self.held += piece
+        self.held += RECORD_END.encode()
+        while len(self.held) > self.need:
+            if self.header is None:
+                end = self.held.find(RECORD_END.encode()) + 4
+                if end < 4:  # the rest of a separator and the start of a header
+                    return
+                fields = dict(HEADER.findall(bytes(self.held[:end])))
+                if not self.held.startswith(b"WARC/1.") or b"Content-Length" not in fields:
+                    if not self.held.strip(b"\r\n"):
+                        return
+                    raise ValueError(f"{self.name}: no WARC record at {self.place}")
+                self.header, self.need = (end, fields), end + int(fields[b"Content-Length"]) + 3
+            else:
+                size = self.need + 1
+                self.entries.append(read_record(self.name, self.place, bytes(self.held[: size - 4]), *self.header))
+                del self.held[:size]
+                self.place, self.need, self.header = self.place + size, 0, None
+
+    def run(self) -> list[tuple]:
+        """The captures, sorted."""
+        if self.header or self.held.strip(b"\r\n"):
+            raise ValueError(f"{self.name}: the record at {self.place} is cut off")
+        return sorted(self.entries, key=sort_key)
 
 
 def sort_key(entry: tuple) -> tuple:
@@ -234,15 +263,26 @@ def _types() -> list[pa.DataType]:
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """One row per capture, each archive's sorted: a run."""
 
+    def entries(archive: Archive) -> pa.RecordBatch:
+        columns = list(zip(*archive.run())) or [[]] * len(_names())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types())], _names())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = None
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                entries = sorted(read_archive(path.rsplit("/", 1)[-1], gzip.decompress(content.as_py())), key=sort_key)
-                columns = list(zip(*entries)) or [[]] * len(_names())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _types())], _names())
-
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return map_batches(archives.select("path", "content"), run, ENTRY)
+            for path, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                name = path.rsplit("/", 1)[-1]
+                if archive is None or archive.name != name:
+                    if archive:
+                        yield entries(archive)
+                    archive = Archive(name)
+                archive.add(piece.as_py())
+        if archive:
+            yield entries(archive)
+
+    # compressed files are not split, so a task reads all pieces of an archive, in order
+    archives = spark.read.option("lineSep", RECORD_END).option("pathGlobFilter", "part-*").text(folder)
+    return map_batches(archives.select("_metadata.file_path", F.col("value").cast("binary")), run, ENTRY)
 
 
 def merged_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:

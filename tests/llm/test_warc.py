@@ -6,6 +6,7 @@ import os
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from briefspark.llm import warc
@@ -42,6 +43,36 @@ def test_records_are_read_back(spark):
     assert sorted(map(tuple, got.collect()), key=str) == expected(ROWS)
 
 
+def test_records_out_of_any_pieces():
+    ends = ["", "\r", "\r\n", "\r\n\r", "\r\n\r\n", "x\r\n\r\n\r\n\r\n", "\r\nWARC/1.1\r\n\r\n", "\n\r\n"]
+    file, want = b"", []
+    for i, payload in enumerate(end.encode() for end in ends + [prose(1, 50) + e for e in ends]):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        digest = base64.b32encode(hashlib.sha1(payload).digest())
+        head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:capture:%d>\r\nWARC-Date: t\r\nWARC-Target-URI: u\r\n" % i
+        head += b"WARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (digest, len(block))
+        want.append((i, len(payload), len(file)))
+        file += head + block + b"\r\n\r\n"
+        archive = warc.Archive("a")
+        pieces = file.split(b"\r\n\r\n")
+        for piece in pieces if pieces[-1] else pieces[:-1]:
+            archive.add(piece)
+        assert [(e[2], e[4], e[9]) for e in archive.run()] == want
+    cut = warc.Archive("a")
+    cut.add(head[:-4])
+    for broken in (cut.run, lambda: warc.Archive("b").add(b"no record")):
+        with pytest.raises(ValueError):
+            broken()
+
+
+def test_a_payload_of_fifty_megabytes(spark):
+    rows = [(1, "http://a/", ("é" * 1_000 + "\r\n\r\n") * 25_000 + "end"), (2, "http://a/", "x"), (3, "http://a/", "x")]
+    big = spark.createDataFrame([(i, u, h[-3:], len(h)) for i, u, h in rows], "page_id long, url string, tail string, n long")
+    body = F.when(F.col("n") > 9, F.concat(F.repeat(F.lit("é" * 1_000 + "\r\n\r\n"), F.lit(25_000)), F.lit("end"))).otherwise(F.col("tail"))
+    got = warc.capture_history(big.select("page_id", "url", body.alias("html")).coalesce(1))
+    assert sorted(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == expected(rows)
+
+
 def test_small_payloads_are_always_responses(spark):
     got = warc.capture_history(pages(spark, ROWS), min_bytes=5).collect()
     assert {r["record_type"] for r in got if r["payload_bytes"] < 5} == {"response"}

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefspark.llm.common import map_batches, partitions, table
@@ -192,6 +192,13 @@ SCHEMA = (
 )
 
 
+def range_of(borders: Column, k: Column, count: int) -> Column:
+    """How many of ``count`` sorted borders lie below k, by binary search."""
+    steps = F.array(*[F.lit(1 << n) for n in reversed(range(count.bit_length()))])
+    below = lambda found, step: F.get(borders, found + step - 1) < k  # noqa: E731 - null beyond the last
+    return F.aggregate(steps, F.lit(0), lambda found, step: F.when(below(found, step), found + step).otherwise(found))
+
+
 def with_next(documents: DataFrame) -> tuple[DataFrame, int]:
     """Documents dealt out by ranges of doc_id and sorted; each range ends with a borrowed
     copy of the first document of the next range (the last range: of the first)."""
@@ -205,7 +212,7 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, int]:
     borders = docs.agg(F.percentile_approx("k", shares, 100 * parts)).first()[0] or []
     borders = sorted(set(borders))
     table_of = lambda values, kind: F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>")
-    docs = docs.withColumn("range", F.size(F.filter(table_of(borders, "long"), lambda x: x < F.col("k"))))
+    docs = docs.withColumn("range", range_of(table_of(borders, "long"), F.col("k"), len(borders)) if borders else F.lit(0))
     heads = sorted((r["range"], r["k"]) for r in docs.groupBy("range").agg(F.min("k").alias("k")).collect())
     first: list[int | None] = [None] * (len(borders) + 1)
     before: list[int | None] = [None] * (len(borders) + 1)

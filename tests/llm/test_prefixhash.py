@@ -1,6 +1,9 @@
+import bisect
 import hashlib
 import os
 
+from pyspark.sql import functions as F
+
 from briefspark.llm import prefixhash as p
 from tests.llm.cases import documents, edge_texts, prose
 
@@ -34,6 +37,14 @@ def test_likeness_is_about_the_common_share():
     assert p.likeness(f(""), f("")) == 1 and p.likeness(f(""), f("x")) == 0
 
 
+def test_range_by_binary_search(spark):
+    for count in (1, 2, 3, 4, 7, 8, 9, 100):
+        borders = [7 * n - 40 for n in range(count)]
+        rows = spark.range(-60, 720, 3).select(F.col("id").alias("k"))
+        found = rows.select("k", p.range_of(F.array(*map(F.lit, borders)).cast("array<long>"), F.col("k"), count).alias("n"))
+        assert all(r["n"] == bisect.bisect_left(borders, r["k"]) for r in found.collect())
+
+
 def test_one_document_and_none(spark):
     row = p.fingerprints(documents(spark, [(5, "alone")])).first()
     assert row["near_next"] == 1 and row["next_common_prefix"] == 5

@@ -1,11 +1,13 @@
 """Prefix-target expansion: every assistant turn becomes an example of its own.
 
 An example is everything up to and including one assistant turn; only that reply is
-trainable.  Written out in full, a chat of n turns takes n^2 turns of text, so the
-examples share their prefixes: row k of a chat holds what example k adds (``context``:
-the turns since the last reply and the head of this one; ``reply``: the trainable text),
-and the text of example k is the rows 0..k one after the other.  ``full_examples`` writes
-each example out for consumers that need it so.
+trainable.  ``written_examples`` explodes the replies of a chat and writes each example out whole,
+with a mask; the query reads its digests back from these texts and masks.  A chat of n turns
+takes n^2 turns of text so; rows are built one at a time, after the only shuffle, that of the turns.
+
+``prefix_targets`` is the form to store where chats are long: row k of a chat holds what example k
+adds (``context``: the turns since the last reply and the head of this one; ``reply``: the
+trainable text), and the text of example k is the rows 0..k one after the other.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside roles and texts a backslash
 becomes ``\\s``, ``<|`` becomes ``<\\p`` and, in roles, a line feed becomes ``\\n``: no
@@ -107,29 +109,68 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     )
 
 
-def full_examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_chars): every example written out whole.
+def _turns(formatted: str) -> Column:
+    """The turns (role, text) of a formatted chat, unescaped."""
+
+    def parsed(turn: Column) -> Column:
+        cut = F.instr(turn, F.lit("\n"))
+        begin = F.lit(len(START) + 1)
+        return F.struct(
+            unescape_role(F.substring(turn, begin, cut - begin)).alias("role"),
+            unescape(F.substring(turn, cut + 1, F.length(turn))).alias("text"),
+        )
 
-    The mask covers code points loss_start .. loss_start + loss_chars of text.
+    # the text ends with END, so the last piece is empty
+    pieces = F.split(formatted, "\\Q" + END + "\\E")
+    return let(pieces, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), parsed)).alias("turns")
+
+
+def written_examples(conversations: DataFrame) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_chars, last): every example written out whole.
+
+    The mask covers code points loss_start .. loss_start + loss_chars of text.  A chat that does not
+    end in a reply has one more row, all of it, with a null example and an empty mask.  ``last`` marks
+    the row that holds the whole chat.  Examples are built one row after the other.
     """
-    one = F.transform(
-        "ends",
-        lambda end, k: F.struct(
-            k.cast("long").alias("example"),
-            _joined(F.slice("turns", F.lit(1), end + 1)).alias("text"),
-            F.length(F.get("turns", end)["text"]).cast("long").alias("loss_chars"),
-        ),
-    )
+    stops = F.array_distinct(F.concat("ends", F.array(F.size("turns") - 1)))
+    final = F.get("turns", F.col("end"))
+    trained = final["role"] == TARGET
+    loss = F.when(trained, F.length(final["text"]).cast("long")).otherwise(F.lit(0).cast("long"))
     return (
         _pieces(conversations)
-        .select("conv_id", F.explode(one).alias("e"))
-        .select("conv_id", "e.*")
-        .withColumn(
-            "loss_start", F.length("text").cast("long") - F.col("loss_chars") - F.lit(len(END))
+        .select("conv_id", "turns", F.posexplode(stops).alias("k", "end"))
+        .select(
+            "conv_id",
+            F.when(trained, F.col("k").cast("long")).alias("example"),
+            _joined(F.slice("turns", F.lit(1), F.col("end") + 1)).alias("text"),
+            loss.alias("loss_chars"),
+            (F.col("end") == F.size("turns") - 1).alias("last"),
         )
+        .withColumn("loss_start", F.length("text").cast("long") - F.col("loss_chars") - F.lit(len(END)))
     )
 
 
+def full_examples(conversations: DataFrame) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_chars): the examples to train on."""
+    return written_examples(conversations).filter("example IS NOT NULL").drop("last")
+
+
+def read_back_written(examples: DataFrame) -> DataFrame:
+    """Examples written out -> one row per chat: turns (role, text), loss, formatted.
+
+    The loss is what the masks of all examples cover; of the texts, only the whole chat is kept.
+    """
+    covered = F.substring("text", F.col("loss_start") + 1, F.col("loss_chars"))
+    masked = examples.select(
+        "conv_id",
+        F.when(F.col("example").isNotNull(), F.struct("example", covered.alias("reply"))).alias("m"),
+        F.when(F.col("last"), F.col("text")).alias("whole"),
+    )
+    chats = masked.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"), F.max("whole").alias("formatted"))
+    replies = F.transform("m", lambda m: unescape(m["reply"]))
+    return chats.select("conv_id", "formatted", F.array_join(replies, "").alias("loss"), _turns("formatted"))
+
+
 def read_back(examples: DataFrame) -> DataFrame:
     """Shared-prefix examples -> one row per chat: turns (role, text), loss, formatted."""
     row = F.struct(F.col("example").isNull().alias("last"), "example", "context", "reply")
@@ -137,28 +178,13 @@ def read_back(examples: DataFrame) -> DataFrame:
         "parts", lambda p: F.concat(p["context"], F.coalesce(F.concat(p["reply"], F.lit(END)), F.lit("")))
     )
 
-    def parsed(turn: Column) -> Column:
-        cut = F.instr(turn, F.lit("\n"))
-        begin = F.lit(len(START) + 1)
-        return F.struct(
-            unescape_role(F.substring(turn, begin, cut - begin)).alias("role"),
-            unescape(F.substring(turn, cut + 1, F.length(turn))).alias("text"),
-        )
-
-    turns = F.split("formatted", "\\Q" + END + "\\E")
     replies = F.transform("parts", lambda p: unescape(F.coalesce(p["reply"], F.lit(""))))
     return (
         examples.select("conv_id", row.alias("r"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("r")).alias("parts"))
         .select("conv_id", F.array_join(texts, "").alias("formatted"), F.array_join(replies, "").alias("loss"))
-        .select(
-            "conv_id",
-            "formatted",
-            "loss",
-            # the text ends with END, so the last piece is empty
-            let(turns, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), parsed)).alias("turns"),
-        )
+        .select("conv_id", "formatted", "loss", _turns("formatted"))
     )
 
 
@@ -175,7 +201,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROBE).alias("text"),
     )
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return read_back(prefix_targets(real.unionByName(probe))).select(
+    return read_back_written(written_examples(real.unionByName(probe))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),

@@ -53,7 +53,25 @@ def test_full_examples_hold_all_that_precedes(spark):
     assert len(got) == expected
 
 
+def test_round_trip_of_written_examples(spark):
+    got = {r["conv_id"]: r for r in chat.read_back_written(chat.written_examples(table(spark, ROWS))).collect()}
+    want = ordered(ROWS)
+    assert got.keys() == want.keys()
+    for conv, turns in want.items():
+        assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == turns
+        assert got[conv]["formatted"] == written(turns)
+        assert got[conv]["loss"] == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_the_query_shuffles_turns_only(spark):
+    frame = chat.query(spark, "/root/testdata/sf0.001")
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Generate" in plan
+
+
 def test_empty_table(spark):
+    assert chat.read_back_written(chat.written_examples(table(spark, []))).count() == 0
     assert chat.read_back(chat.prefix_targets(table(spark, []))).count() == 0
 
 

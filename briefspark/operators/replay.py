@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from briefspark.functions import constants as K
 from briefspark.functions import text as T
 from briefspark.functions.strings import read_json, valid
-from briefspark.operators.ordered import first_wins, fold_sorted, last_wins
+from briefspark.operators.ordered import first_wins, fold_sorted, hold, last_wins
 from briefspark.operators.replay_blocks import replay_tied
 from briefspark.operators.sandbox import Sandbox, call_of
 
@@ -65,7 +65,7 @@ def replay_files(events: DataFrame) -> DataFrame:
         _SandboxFold,
     )
     tied = events.select("conv_key", "ord", "name", "input").join(ties, "conv_key", "left_semi")
-    return folded.drop("__group").unionByName(replay_tied(tied))
+    return folded.drop("__group").unionByName(replay_tied(hold(tied)))  # it is read four times
 
 
 class _SandboxFold:

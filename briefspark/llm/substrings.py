@@ -106,11 +106,15 @@ def from_gaps(data: bytes) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
-    """Rows in lists of about ``size`` words: (the row's other columns .., words)."""
+    """Rows in lists of about ``size`` words: (the row's other columns .., hashes of its words).
+
+    The words themselves, several times as large, are held for one row at a time.
+    """
+    hashes = WordHashes()
     held, total = [], 0
     for batch in batches:
         for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = words_of(text)
+            words = hashes.of(words_of(text))
             held.append((*row, words))
             total += len(words)
             if total >= size:
@@ -143,16 +147,15 @@ def probe_rows(documents: DataFrame, block: int, buckets: list[int], chunk_words
     n = len(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for rows in chunks(batches, chunk_words):
-            found, owner, start = [], [], []
-            for uid, words in rows:
-                h = rolling(hashes.of(words), block, FACTORS[0]) if len(words) >= block else np.empty(0, np.uint64)
-                found.append(h)
-                owner.append(np.full(len(h), uid, np.int64))
-                start.append(np.arange(len(h), dtype=np.int32))
+            uids = np.array([uid for uid, _ in rows], np.int64)
+            found = [rolling(words, block, FACTORS[0]) if len(words) >= block else np.empty(0, np.uint64) for _, words in rows]
+            rows.clear()
+            size = np.array([len(h) for h in found])
             h = mixed(np.concatenate(found))
-            owner, start = np.concatenate(owner), np.concatenate(start)
+            del found
+            owner = np.repeat(uids, size)
+            start = (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
             bucket = (h & np.uint64((1 << 24) - 1)) % np.uint64(n)
             h = bucket << np.uint64(KEPT_BITS) | h >> np.uint64(64 - KEPT_BITS)
             order = np.argsort(h)
@@ -289,14 +292,12 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
     n = len(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for rows in chunks(batches, chunk_words):
             parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for k, uid, hits, words in rows:
-                if len(words) < window:
+            for k, uid, hits, h in rows:
+                if len(h) < window:
                     continue
-                at = around(np.frombuffer(hits, "<i4"), len(words), block, window)
-                h = hashes.of(words)
+                at = around(np.frombuffer(hits, "<i4"), len(h), block, window)
                 own = (
                     rolling(h, window, FACTORS[0])[at], (mixed(rolling(h, window, FACTORS[1])[at]) >> np.uint64(32)).astype(np.uint32),
                     np.full(len(at), k, np.int64), np.full(len(at), uid, np.int64), at.astype(np.int32),
@@ -305,7 +306,9 @@ def window_rows(marked: DataFrame, block: int, window: int, buckets: list[int],
                     held.append(value)
             if not parts[0]:
                 continue
+            rows.clear()
             one, two, key, uid, start = map(np.concatenate, parts)
+            parts.clear()
             one = mixed(one)
             bucket = one % np.uint64(n)
             order = np.lexsort((start, key, two, one, bucket))

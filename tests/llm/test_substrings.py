@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from briefspark.llm import substrings as s
 from tests.llm.cases import CLASHING, documents, edge_texts
@@ -59,3 +62,12 @@ def test_block_has_to_fit(spark):
 
 def test_empty_table(spark):
     assert s.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_chunks_hold_hashes_instead_of_words():
+    texts = ["a b  c a", None, " d"]
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], ["uid", "text"])
+    (rows,) = s.chunks(iter([batch]), 100)
+    assert [uid for uid, _ in rows] == [1, 2, 3]
+    for (_, held), text in zip(rows, texts):
+        assert held.dtype == np.uint64 and held.tolist() == [xxhash.xxh64_intdigest(w) for w in s.words_of(text)]

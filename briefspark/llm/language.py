@@ -8,13 +8,12 @@ The nearest language wins.
 
 The score is 1 minus the distance to the nearest language over the greatest possible one.
 
-Learning: the n-grams of TRAIN_DOCS documents per language, on average, which a hash of
-doc_id picks among those with a language; so the model is learned from a bounded sample.  They
-are counted in tasks and added up per (language, n-gram); only the profiles, PROFILE n-grams
-for each language, reach the driver and go back with the tasks.
+Learning: the n-grams of all documents with a language that are not held out.  Tasks count those of
+some SLICE_CHARS characters of a language at a time, Spark adds them up per (language, n-gram); only
+the profiles, PROFILE n-grams for each language, reach the driver and go back with the tasks.
 
-Limits (``limits``): what scores and leads tell is learned from a bounded sample of the labelled
-documents that are held out and nearest to the language of their label.  A text is in no learned
+Limits (``limits``): what scores and leads tell is learned from all labelled documents that
+are held out and nearest to the language of their label.  A text is in no learned
 language if its score lies more than SPREADS standard deviations below their mean; scores that
 lie as far out themselves (junk) do not count.  A label is wrong if another language leads
 it by more than half of what the right one leads the others by on average.  Texts of fewer than
@@ -38,14 +37,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briefspark.llm.common import map_batches, table
 
 PROFILE, LONGEST = 300, 3
-TRAIN_DOCS = 2000
+#: Text of a language whose n-grams are counted at once.
+SLICE_CHARS = 1 << 20
 UNDECIDED = "und"
 #: See limits; a word of n letters has 3 n + 1 n-grams.
 SPREADS, JUDGED, LEAST_DOCS = 5, 24, 30
@@ -122,42 +122,39 @@ class Profiles:
         return self.languages[int(scores.argmax())], float(scores.max())
 
 
-def sampled(labelled: DataFrame, docs: int) -> DataFrame | None:
-    """(lang, text) of so many documents of each language on average; none if there are none."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs / n))])
-    pick = (F.xxhash64("doc_id").bitwiseAND((1 << 52) - 1) / float(1 << 52)) < share[F.col("lang")]
-    return labelled.filter(pick).select("lang", "text")
-
-
-def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Profiles:
+def learn(labelled: DataFrame) -> Profiles:
     """(doc_id, text, lang) with a language each -> profiles."""
-    picked = sampled(labelled, train_docs)
-    if picked is None:
-        return Profiles({})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        held: dict[str, list[str]] = {}
+        sizes: Counter = Counter()
+
+        def slice_of(lang: str) -> pa.RecordBatch:
+            # no n-gram goes over a blank
+            ngrams, counts = counts_of(" ".join(held.pop(lang)))
+            sizes.pop(lang)
+            columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(ngrams), np.int64))), pa.array(ngrams), pa.array(counts.astype(np.int64))]
+            return pa.record_batch(columns, ["lang", "ngram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held = counts.setdefault(lang, Counter())
-                for ngram, n in zip(*(x.tolist() for x in counts_of(text or ""))):
-                    held[ngram] += n
-        rows = [(lang, g, n) for lang, found in counts.items() for g, n in found.items()]
-        columns = list(zip(*rows)) or [(), (), ()]
-        kinds = (pa.string(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "ngram", "n"])
-
-    totals = map_batches(picked, count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
-    first = F.struct((-F.col("n")).alias("n"), "ngram")
-    merged = totals.select("lang", F.pmod(F.xxhash64("ngram"), F.lit(8)).alias("part"), first.alias("r"))
-    # the best of each part, then of all parts: no task sorts a whole language
-    top = lambda c: F.slice(F.array_sort(c), 1, PROFILE)
-    parts = merged.groupBy("lang", "part").agg(top(F.collect_list("r")).alias("best"))
-    best = parts.groupBy("lang").agg(top(F.flatten(F.collect_list("best"))).alias("best"))
-    return Profiles({r["lang"]: [x["ngram"] for x in r["best"]] for r in best.collect()})
+                held.setdefault(lang, []).append(text or "")
+                sizes[lang] += len(text or "") + 1
+                if sizes[lang] >= SLICE_CHARS:
+                    yield slice_of(lang)
+                elif sizes.total() >= 4 * SLICE_CHARS:  # very many languages
+                    yield slice_of(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield slice_of(lang)
+
+    totals = map_batches(labelled.select("lang", "text"), count, "lang string, ngram long, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    # tasks rank what they hold before they send it: none sorts a whole language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "ngram"))
+    best = totals.withColumn("place", place).filter(F.col("place") <= PROFILE).orderBy("lang", "place").collect()
+    ranked: dict[str, list[int]] = {}
+    for r in best:
+        ranked.setdefault(r["lang"], []).append(r["ngram"])
+    return Profiles(ranked)
 
 
 def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
@@ -196,9 +193,6 @@ def limits(documents: DataFrame, profiles: Profiles) -> Limits:
     """Limits from the labelled documents that are held out; counts of rounded scores and a
     sum of leads reach the driver."""
     labelled = documents.select("doc_id", "text", "lang").filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    picked = sampled(labelled, TRAIN_DOCS)
-    if picked is None:
-        return Limits()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +210,7 @@ def limits(documents: DataFrame, profiles: Profiles) -> Limits:
             columns = [pa.array(x, pa.float64()) for x in (list(zip(*found)) or [(), ()])]
             yield pa.record_batch(columns, ["score", "lead"])
 
-    measured = map_batches(picked, measure, "score double, lead double")
+    measured = map_batches(labelled.select("lang", "text"), measure, "score double, lead double")
     table = measured.groupBy("score").agg(F.count("*").alias("n"), F.sum("lead").alias("lead")).collect()
     score, n, lead = (np.array([r[c] for r in table], float) for c in ("score", "n", "lead"))
     if n.sum() < LEAST_DOCS:

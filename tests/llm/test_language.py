@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from briefspark.llm import language
 from tests.llm.cases import documents, prose
@@ -66,3 +67,34 @@ def test_distance_is_out_of_place():
     assert lang == "x" and score == 1 - (0 + 0 + 300) / 900
     assert p.nearest(np.array([number["q"]])) == ("x", 0.0)  # equally far from both
     assert p.nearest(np.array([], np.int64)) == ("und", 0.0)
+
+
+def test_every_document_counts_in_profiles_and_limits(spark, monkeypatch):
+    monkeypatch.setattr(language, "SLICE_CHARS", 500)
+    docs = [(n, prose(n, 12), "xy"[n % 2]) for n in range(14_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    train = [r["doc_id"] for r in df.filter(~language.held_out(F.col("doc_id"))).collect()]
+    profiles = language.learned_from(df)
+    for at, lang in enumerate(profiles.languages):
+        counts = Counter()
+        for n in train:
+            if docs[n][2] == lang:
+                counts.update(dict(zip(*(x.tolist() for x in language.counts_of(docs[n][1])))))
+        expected = sorted(counts, key=lambda g: (-counts[g], g))[: language.PROFILE]
+        own = profiles.places[:, at]
+        assert profiles.ngrams[own >= 0][np.argsort(own[own >= 0])].tolist() == expected
+
+    found = []  # the limits, from all rows at once
+    for n in set(range(14_000)) - set(train):
+        scores = profiles.scores(language.profile_of(docs[n][1]))
+        own = profiles.languages.index(docs[n][2])
+        if own == scores.argmax():
+            found.append((round(float(scores[own]), 3), float(scores[own] - np.delete(scores, own).max())))
+    scores, leads = np.array(found).T
+    judged = np.array([len(language.profile_of(docs[n][1])) >= language.JUDGED for n in range(14_000)])
+    assert judged.all()
+    within, least = np.ones(len(scores), bool), -1
+    while (bound := scores[within].mean() - language.SPREADS * scores[within].std()) > least + 1e-12:
+        least, within = bound, scores >= bound
+    got = language.limits(df, profiles)
+    assert np.isclose(got.lead, leads[within].mean() / 2) and np.isclose(got.score, least)

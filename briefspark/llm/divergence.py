@@ -7,7 +7,8 @@ term being one character: a slice of pointers is split into those below, at and
 what is equal goes on with the next 8 bytes.  Small slices are finished by sorting, character
 by character.  Splitting keeps the order of equal terms, so a run of equal pointers holds their
 documents one after the other, and its length, its number of different documents and its
-occurrences per source are read off.  Runs are added up over slices and tasks by Spark.
+occurrences per source are read off.  Runs are dealt out once, by (language, term), and added up
+by Spark; what a term has in all sources of its language is summed where its rows are.
 
 Shares.  Each language keeps the V terms that at least LEAST_DOCS of its documents hold.  A
 group, (lang, source) or a whole language, gives a term that occurs n times there the share
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefspark.llm.common import kept, map_batches, partitions, table
+from briefspark.llm.common import kept, map_batches, partitions, saved, scratch, table
 
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Text of a slice, slices of pointers that are sorted directly, rows of (lang, term) taken at once.
@@ -188,7 +189,9 @@ def term_counts(documents: DataFrame) -> DataFrame:
             yield slice_of()
 
     found = map_batches(documents.select("text", "lang", "source"), run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt out by (lang, term), which also serves all sums over a term's sources
+    dealt = found.repartition(partitions(documents.sparkSession), "lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 # -- shares ---------------------------------------------------------------------
@@ -281,20 +284,24 @@ def both_sides(cells: DataFrame) -> DataFrame:
 def divergences(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(text, lang, source) -> (lang, source, part, item, value, rank); see the module."""
     docs = documents.select("text", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")])
-    counts = kept(term_counts(docs))
-    of_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"))
-    terms = kept(of_term.filter(F.col("docs") >= least_docs).drop("docs"))
-    cells = kept(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("total_lang"))
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns(
+        {"n_lang": F.sum("n").over(of_term), "docs": F.sum("docs").over(of_term), "head": F.min("source").over(of_term) == F.col("source")}
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    groups = groups.select("lang", "source", zero("total"), zero("terms"), zero("total_lang"))
-    # a group without kept terms has no share; 1 stands for it, which makes all its pairs 0
-    none = share(F.lit(0), F.col("total"), F.greatest("terms", F.lit(1)))
-    groups = kept(groups.withColumn("p0", F.when(F.col("terms") > 0, none).otherwise(F.lit(1))))
-    shares = cells.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    shares = kept(shares.select("lang", "source", "term", "n", "p", "p0", share(F.col("n_lang"), F.col("total_lang"), F.col("terms")).alias("q")))
+    with scratch(documents.sparkSession):
+        cells = saved(counts.filter(F.col("docs") >= least_docs).drop("docs"))
+        # one row of each term is its head
+        langs = cells.filter("head").groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("total_lang"))
+        totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+        groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+        groups = groups.select("lang", "source", zero("total"), zero("terms"), zero("total_lang"))
+        # a group without kept terms has no share; 1 stands for it, which makes all its pairs 0
+        none = share(F.lit(0), F.col("total"), F.greatest("terms", F.lit(1)))
+        groups = kept(groups.withColumn("p0", F.when(F.col("terms") > 0, none).otherwise(F.lit(1))))
+        shares = cells.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+        q = share(F.col("n_lang"), F.col("total_lang"), F.col("terms")).alias("q")
+        shares = saved(shares.select("lang", "source", "term", "n", "p", "p0", q), stays=True)
 
     # pairs: all V terms as if in neither source, then corrections
     end = lambda source, p0: groups.select("lang", F.col("source").alias(source), F.col("p0").alias(p0), "terms")

@@ -101,3 +101,11 @@ def test_runs_of_a_slice_of_an_array():
 def test_terms_without_letters_and_empty_table(spark):
     assert audited(spark, [("1 2 3", "en", "a"), (None, "en", "b")]) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
     assert audited(spark, [], extra=False) == []
+
+
+def test_counts_are_dealt_out_once(spark):
+    df = spark.createDataFrame([("a b", "en", "s")], "text string, lang string, source string")
+    counts = divergence.term_counts(df)
+    of_term = divergence.Window.partitionBy("lang", "term")
+    plan = counts.withColumn("all", F.sum("n").over(of_term))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -35,7 +35,8 @@ def parity_entries(sources: dict[str, DataFrame], facts: bool = True) -> DataFra
     tagged = [
         m.withColumn("platform", F.lit(name)).select(key.alias("conv_key"), "ordinal", "role", "text") for name, m in sources.items()
     ]
-    numbered = dense_ordinal(reduce(DataFrame.unionByName, tagged), ["conv_key"], "ordinal", "place")
+    # numbering, digests and opened blocks all read the messages, whose making may be dear
+    numbered = dense_ordinal(hold(reduce(DataFrame.unionByName, tagged)), ["conv_key"], "ordinal", "place")
     messages = numbered.select("conv_key", F.col("place").cast("bigint").alias("ordinal"), "role", "text")
     entries = messages.select("conv_key", "ordinal", F.lit("message").alias("kind"), F.lit(0).alias("pos"), "role", "text")
     if facts:

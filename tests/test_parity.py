@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from briefspark.operators import parity as P
 from briefspark.operators.ordered import BLOCK_BITS
@@ -78,3 +79,18 @@ def test_nulls_missing_chats_and_nothing(spark):
     got = {tuple(r) for r in P.parity_differences({"p": good, "q": good, "r": none, "s": chat(spark, "x", "a", "", "c", "more")}).collect()}
     assert got == {("x", "r", "message", 0, 0, "missing"), ("x", "s", "message", 1, 0, "text")}
     assert P.parity_differences({"p": none, "q": none}).count() == 0
+
+
+def test_messages_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        made.add(1)
+        return x
+
+    told = F.udf(tell, "string").asNondeterministic()
+    chat = [("x", n, "user", f"text {n}") for n in range(20)]
+    good = spark.createDataFrame(chat, "conv_key string, ordinal long, role string, text string")
+    found = P.parity_differences({"p": good.withColumn("text", told("text")), "q": good, "r": good.filter("ordinal < 15")}, facts=False)
+    assert [tuple(r) for r in found.collect()] == [("x", "r", "message", 15, 0, "missing")]
+    assert made.value == 20

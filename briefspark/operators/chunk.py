@@ -11,16 +11,15 @@ per conversation, and the blocks then number their units in parallel.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefspark.functions import constants as K
 from briefspark.operators.lineage import collapse_lineage
-from briefspark.operators.ordered import Rule, assemble, block_of, running
+from briefspark.operators.ordered import Rule, assemble, block_of, fold_sorted, running
 
 BLOCK_CHUNKS = 1024
 UNIT_ORDER = ["src", "ordinal"]
@@ -121,6 +120,23 @@ def transfer(costs, budget: int) -> list[tuple[int, int, int, bool]]:
     return pieces
 
 
+class _Chain:
+    """What each block of one conversation is entered with: the fill, and the chunks before."""
+
+    def __init__(self) -> None:
+        self.load = self.base = 0
+        self.entered: list[tuple[int, int, int]] = []  # (block, load, base)
+
+    def add(self, block, pieces) -> None:
+        self.entered.append((block, self.load, self.base))
+        hit = [p for p in pieces if p["entry"] <= self.load][-1]
+        self.load = self.load + hit["exit"] if hit["adds"] else hit["exit"]
+        self.base += hit["opened"]
+
+    def rows(self) -> list[tuple]:
+        return self.entered
+
+
 _PIECES = "array<struct<entry:bigint,opened:bigint,exit:bigint,adds:boolean>>"
 
 
@@ -152,27 +168,15 @@ def chunk_numbers(units: DataFrame, max_chars: int = K.CHUNK_CHARS, block_chunks
     def numbering(costs: pd.Series, load: pd.Series) -> pd.Series:
         return pd.Series([fill([int(x) for x in c], max_chars, int(l))[0] for c, l in zip(costs, load)])
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        load, base = 0, 0
-        for pdf in batches:
-            loads, bases = [], []
-            for pieces in pdf["pieces"]:
-                loads.append(load)
-                bases.append(base)
-                hit = [p for p in pieces if p["entry"] <= load][-1]
-                load = load + hit["exit"] if hit["adds"] else hit["exit"]
-                base += hit["opened"]
-            yield pd.DataFrame(
-                {"conv_key": pdf["conv_key"], "block": pdf["block"], "load": loads, "base": bases}
-            )
-
-    entries = (
-        blocks.select("conv_key", "block", summary(F.transform("u", lambda x: x["cost"])).alias("pieces"))
-        .repartition("conv_key")
-        .sortWithinPartitions("conv_key", "block")
-        .groupBy("conv_key")
-        .applyInPandas(chain, f"conv_key {key_type}, block bigint, load bigint, base bigint")
+    # a conversation of one block, block 0, enters it with nothing: only longer ones are chained
+    several = (
+        blocks.select("conv_key", "block", F.transform("u", lambda x: x["cost"]).alias("costs"))
+        .withColumn("__last", F.max("block").over(Window.partitionBy("conv_key")))
+        .filter("__last > 0")
+        .select("conv_key", "block", summary("costs").alias("pieces"))
     )
+    schema = f"conv_key {key_type}, block bigint, load bigint, base bigint"
+    entries = fold_sorted(several, ["conv_key"], ["block"], schema, _Chain)
     numbered = (
         blocks.join(entries, ["conv_key", "block"], "left")
         .withColumn("load", F.coalesce("load", F.lit(0)))

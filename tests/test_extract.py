@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from briefspark.functions import constants as K
 from briefspark.operators import chunk as C
 from briefspark.operators import extract as X
@@ -150,6 +152,17 @@ def test_chunks_equal_the_greedy_rule_over_many_blocks(spark):
     assert C.transcript_chars(units).first().full_chars == len(whole)
 
 
+def test_only_conversations_of_several_blocks_are_chained(spark):
+    long = ["word " * (n % 23) + str(n) for n in range(300)]
+    units = C.transcript_units(messages(spark, "x" * 50, "short", conv="b").unionByName(messages(spark, *long, conv="a")))
+    assert "FlatMapGroupsInPandas" not in C.chunk_numbers(units, 120, 1)._jdf.queryExecution().executedPlan().toString()
+    for conv, texts in {"a": long, "b": ["x" * 50, "short"]}.items():
+        alone = C.transcript_units(messages(spark, *texts, conv=conv))
+        expected = [tuple(r) for r in C.chunk_transcript(alone, 120, 1024).orderBy("chunk_ord").collect()]
+        got = C.chunk_transcript(units, 120, 1).filter(F.col("conv_key") == conv).orderBy("chunk_ord")
+        assert [tuple(r) for r in got.collect()] == expected
+
+
 def test_no_units_no_chunks(spark):
     assert C.chunk_transcript(C.transcript_units(messages(spark, ""))).count() == 0
 

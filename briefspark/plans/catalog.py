@@ -988,6 +988,13 @@ def _brief(spark, sf):
     return t, P.distill_deterministic(t)
 
 
+def _measured_brief(spark, sf):
+    """The units of the transcripts and the briefs, from one collapse of the drafts."""
+    t = _seeded_transcript(spark, sf)
+    collapsed = P.keep(P.collapsed_artifacts(t), "kept_artifacts")
+    return C.transcript_units(t.messages, collapsed, collapsed=True), P.distill_deterministic(t, collapsed=collapsed)
+
+
 @query
 def render_body(spark, sf):
     return RD.render_body(_brief(spark, sf)[1])
@@ -1002,8 +1009,7 @@ def render_brief(spark, sf):
 
 
 def _scorecard(spark, sf):
-    t, brief = _brief(spark, sf)
-    return V.brief_metrics(C.transcript_units(t.messages, t.artifacts), brief)
+    return V.brief_metrics(*_measured_brief(spark, sf))
 
 
 @query

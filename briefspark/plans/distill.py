@@ -19,7 +19,7 @@ from briefspark.operators.render import Brief
 from briefspark.sources.transcript import Transcript
 
 
-def _collapsed(t: Transcript) -> DataFrame:
+def collapsed_artifacts(t: Transcript) -> DataFrame:
     """Artifacts without stale drafts, in the order of their lineages."""
     kept = collapse_lineage(t.artifacts)
     return kept.drop("ordinal").withColumn("ordinal", F.col("slot"))
@@ -55,7 +55,7 @@ def tier0_facts(
     mentioned files of a conversation to its first ones; by default all are listed.
     ``collapsed`` is for callers that have the artifacts without stale drafts already.
     """
-    a = keep(_collapsed(t), "kept_artifacts") if collapsed is None else collapsed
+    a = keep(collapsed_artifacts(t), "kept_artifacts") if collapsed is None else collapsed
     facts = keep(X.conversation_facts(t.messages, a), "facts")
     files = X.artifact_files(a).unionByName(X.upload_files(t.uploads))
     mentioned = X.first_mentions(facts, t.artifacts, cap)
@@ -131,7 +131,7 @@ def distill_with_model(
         if not checkpoint_folder(t.meta.sparkSession):
             raise ValueError("model answers have to be saved: give `save` or set spark.checkpoint.dir")
         save = keep
-    collapsed = keep(_collapsed(t), "kept_artifacts")
+    collapsed = keep(collapsed_artifacts(t), "kept_artifacts")
     base = distill_deterministic(t, collapsed=collapsed)
     verbatim, files = base.verbatim, base.files
     units = C.transcript_units(t.messages, collapsed, collapsed=True)

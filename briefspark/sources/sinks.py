@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefspark.functions import text as T
+from briefspark.operators.ordered import hold
 
 SCORECARD_TITLE = "# briefspark eval scorecard"
 SCORECARD_JUDGED = "Mode: **full judgement** (model: `{}`)."
@@ -86,6 +87,8 @@ def scorecard_document(scorecard: DataFrame, judge: str | None = None) -> DataFr
     def of_rows(part: int, rows: DataFrame) -> DataFrame:
         return rows.select(F.lit(part).alias("part"), F.lit(0).alias("place"), F.col("id").cast("string").alias("id"), "line")
 
+    if judge is not None:
+        scorecard = hold(scorecard)  # lines, pass rate and reasons read it
     mode = SCORECARD_JUDGED.format(judge) if judge else SCORECARD_UNJUDGED
     out = fixed(0, [SCORECARD_TITLE, "", mode, "", *SCORECARD_HEAD]).unionByName(of_rows(1, scorecard_markdown(scorecard)))
     if judge is None:

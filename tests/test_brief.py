@@ -107,3 +107,22 @@ def test_flat_plan_has_no_python_worker(chat):
     facts = P.X.conversation_facts(chat.messages.select("conv_key", "ordinal", "role", "text"), images=False)
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan and "FlatMapGroups" not in plan
+
+
+def test_scorecard_is_measured_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        made.add(1)
+        return x
+
+    told = F.udf(tell, "double").asNondeterministic()
+    card = spark.createDataFrame(
+        [(n, 100, 10, 0.9, True, n % 2 == 0, "because", 0, 0, 0, 2, 3) for n in range(10)],
+        "id long, full_chars long, brief_chars long, reduction double, integrity_complete boolean, same_move boolean, reasoning string, "
+        "decided int, open int, rejected int, verbatim int, files int",
+    ).withColumn("reduction", told("reduction"))
+    lines = SK.scorecard_document(card, "judge").collect()
+    assert [r["line"] for r in lines if (r["part"], r["place"]) == (2, 1)] == ["**Same-next-move pass rate: 5/10**"]
+    assert sum(r["part"] == 4 for r in lines) == 10
+    assert made.value == 10
